@@ -192,8 +192,8 @@ class Bpe:
 class Store:
     """Strings met so far and their runs of ids."""
 
-    def __init__(self):
-        self.known: dict[str, int] = {}
+    def __init__(self, most: int = REMEMBERED):
+        self.most, self.known = most, {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
@@ -202,8 +202,8 @@ class Store:
         at = list(map(self.known.get, keys))
         if None in at:
             new = list({k for k, i in zip(keys, at, strict=True) if i is None})
-            if self.known and len(self.known) + len(new) > REMEMBERED:
-                self.__init__()
+            if self.known and len(self.known) + len(new) > self.most:
+                self.__init__(self.most)
                 return self.find(keys, make)
             self.add(new, *make(new))
             for i in [i for i, x in enumerate(at) if x is None]:

@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,7 +70,7 @@ def step_batches(batches: Iterator[pa.RecordBatch], sized_by: str, step_bytes: i
     for batch in batches:
         column = batch.column(sized_by)
         start = held = 0
-        for i, n in enumerate(pa.compute.binary_length(column).fill_null(0).to_pylist()):
+        for i, n in enumerate(pc.binary_length(column).fill_null(0).to_pylist()):
             if held and held + n > step_bytes:
                 yield batch.slice(start, i - start)
                 start, held = i, 0

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm.bpe import decode_bpe, encode_bpe
+from ridgeline.llm.huffman import file_starts, read_ids, store_tokens
+from ridgeline.llm.ogg import decode_ogg, encode_ogg
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +26,29 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids written in ascending order of doc_id, read back from the files, with their place in the stream."""
+    docs = table(spark, sf_dir, "documents")
+    files = store_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), n_ids=49_408, end_id=2)
+    rows = read_ids(files, docs.schema["doc_id"].dataType.simpleString())
+    rows = rows.select("id", "part", "seq", "local", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    placed = rows.join(file_starts(files), ["part", "seq"])
+    return placed.select(F.col("id").alias("doc_id"), (F.col("start") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as an Ogg medium, read back: digests of the medium and its payload, and features."""
+    media = decode_ogg(encode_ogg(table(spark, sf_dir, "documents")))
+    return media.select(
+        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_huffman_ids": op9_huffman_ids,
+    "op10_ogg": op10_ogg,
 }
 
 ORACLES: dict[str, str] = {}
