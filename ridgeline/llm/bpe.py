@@ -23,11 +23,14 @@ import regex
 from pyspark.sql import DataFrame
 
 from ridgeline.llm.common import map_steps, pick
+from ridgeline.llm.words import U64, WordIds, gather, runs, word_hash, words_of
 
 #: Distinct pieces a worker remembers; beyond it, it forgets them all (results don't depend on it).
-REMEMBERED = 600_000
+REMEMBERED = 100_000
 #: Texts with one of these are matched as they stand: white space other than lone spaces and line ends, and the mark.
-UNEVEN = ["\0", "  ", " \n", "\n ", "\n\n", *(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")]
+UNEVEN = [b"\0", b"  ", b" \n", b"\n ", b"\n\n", *(chr(c).encode() for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")]
+#: Marks the hash of a word with a space before it.
+SPACED = U64(0xC2B2AE3D27D4EB4F)
 NO_RANK = np.int32(2**31 - 1)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,7 +100,7 @@ class Bpe:
         self.forget()
 
     def forget(self) -> None:
-        self.pieces, self.chunks = Store(), Store()
+        self.pieces, self.chunks = Store(), WordIds(self.make_chunks)
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces one after another, and how many each piece has."""
@@ -160,25 +163,39 @@ class Bpe:
         ids, n = self.find_pieces(list(chain.from_iterable(cut)))
         return ids, runs(n, np.fromiter(map(len, cut), np.int64, len(cut)))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def make_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return self.cut([c.decode() for c in chunks])
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each text has."""
-        if not self.space_begins:
-            return self.cut(texts)
-        even = [not any(x in t for x in UNEVEN) for t in texts]
-        chunks = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if ok else [t] for t, ok in zip(texts, even, strict=True)]
-        parts = list(chain.from_iterable(c if ok else () for c, ok in zip(chunks, even, strict=True)))
-        ids, n = self.chunks.find(parts, self.cut)
-        if all(even):
-            return ids, runs(n, np.fromiter(map(len, chunks), np.int64, len(chunks)))
-        other, m = self.cut([t for t, ok in zip(texts, even, strict=True) if not ok])
-        even = np.array(even)
-        counts = np.zeros(len(texts), np.int64)
-        counts[even] = runs(n, np.fromiter((len(c) for c, ok in zip(chunks, even, strict=True) if ok), np.int64, int(even.sum())))
-        counts[~even] = m
-        starts = np.zeros(len(texts), np.int64)
-        starts[even] = np.cumsum(counts[even]) - counts[even]
-        starts[~even] = len(ids) + np.cumsum(m) - m
-        return gather(np.concatenate([ids, other]), starts, counts), counts
+        even = np.array([self.space_begins and t[-1:] != b" " and not any(x in t for x in UNEVEN) for t in texts], bool)
+        parts = [self.encode_even([t for t, ok in zip(texts, even, strict=True) if ok]), self.cut([t.decode() for t, ok in zip(texts, even, strict=True) if not ok])]
+        counts, starts = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for rows, base, n in ((even, 0, parts[0][1]), (~even, len(parts[0][0]), parts[1][1])):
+            counts[rows], starts[rows] = n, base + np.cumsum(n) - n
+        return gather(np.concatenate([parts[0][0], parts[1][0]]), starts, counts), counts
+
+    def encode_even(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode(), for texts whose white space is lone spaces and line ends: by word with its leading space."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        raw = b"\n".join(texts) + b"\n"
+        data = np.frombuffer(raw, np.uint8)
+        line = data == 10
+        starts, ends, place = words_of(data, gap := line | (data == 32))
+        spaced = (starts > 0) & (data[starts - 1] == 32)
+        lengths = ends - starts
+        first, second = (word_hash(data, gap, starts, lengths, place, k) ^ np.where(spaced, SPACED, U64(0)) for k in (0, 1))
+        ids, n = self.chunks.encode(raw, starts - spaced, ends, first, second)
+        stops = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        line[stops - 1] = False  # these only part the texts
+        breaks = np.flatnonzero(line)
+        at = np.concatenate([starts, breaks])
+        order = np.argsort(at, kind="stable")
+        item_n = np.concatenate([n, np.ones(len(breaks), np.int64)])[order]
+        item_start = np.concatenate([np.cumsum(n) - n, np.full(len(breaks), len(ids))])[order]
+        per_text = np.diff(np.searchsorted(at[order], np.concatenate([[0], stops])))
+        return gather(np.concatenate([ids, self.byte_ids[10:11].astype(np.uint32)]), item_start, item_n), runs(item_n, per_text)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """Bytes of each text."""
@@ -224,18 +241,6 @@ class Store:
         self.known.update(zip(keys, range(have, have + len(keys)), strict=True))
 
 
-def runs(n: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums of ``n`` over runs of ``counts`` elements."""
-    return np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])])
-
-
-def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The runs flat[start : start + length] one after another."""
-    total = int(lengths.sum())
-    shift = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-    return flat[shift + np.arange(total)]
-
-
 @lru_cache(maxsize=2)
 def vocabulary(path: str, pattern: str, space_begins: bool = False) -> Bpe:
     """The vocabulary, loaded once per worker."""
@@ -257,7 +262,7 @@ def encode_bpe(df: DataFrame, ranks_path: str, pattern: str, space_begins: bool
     """
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
+        texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
         ids, counts = vocabulary(ranks_path, pattern, space_begins).encode(texts)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(pieces_of(ids.astype("<u4"), counts), pa.binary())], names=["id", "n_tokens", "ids"])
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 #: Bytes of text that one step of a Python operator holds at once (a longer text is one step of its own).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -65,6 +65,12 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str] | str, how: str
     return left.join(F.broadcast(right) if small(right) else right, on, how)
 
 
+def hash_sample(df: DataFrame, keys: list[str], rows: int, most: int) -> DataFrame:
+    """All ``rows`` rows of ``df``, or about ``most`` of them by a hash of ``keys``."""
+    share = 1 << 30
+    return df if rows <= most else df.where(F.pmod(F.xxhash64(*keys), F.lit(share)) < F.lit(share * most // rows))
+
+
 def step_batches(batches: Iterator[pa.RecordBatch], sized_by: str, step_bytes: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Split Arrow batches into runs of rows holding about ``step_bytes`` in column ``sized_by``."""
     for batch in batches:
