@@ -8,13 +8,57 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.bpe import decode_bpe, encode_bpe
 from ridgeline.llm.huffman import file_starts, read_ids, store_tokens
+from ridgeline.llm.language import identify
+from ridgeline.llm.line_dedup import LINE, MIN_WORDS, dedup_lines
+from ridgeline.llm.mih import BITS, K, sign_code, top_k
+from ridgeline.llm.mixing import mix
+from ridgeline.llm.ngram_join import similar_components
 from ridgeline.llm.ogg import decode_ogg, encode_ogg
+from ridgeline.llm.quality import score_quality
+from ridgeline.llm.sharding import shard_documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest rows by the signs of their embeddings, for every row whose id is divisible by 50."""
+    codes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), sign_code("embedding").alias("code"))
+    return top_k(codes, codes.where("id % 50 = 0"))
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles are alike by 0.85 or more."""
+    return similar_components(table(spark, sf_dir, "documents"), n=4, p=85, q=100)
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the runs of lines that occurred before."""
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines", "removed_words")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document."""
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document go into the mix."""
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; ``lang`` is what it declares and ``source`` its host."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard; equal texts are kept together where quotas allow."""
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded; the ids' and the decoded bytes' digests."""
     return bpe_digests(table(spark, sf_dir, "documents"))
@@ -46,9 +90,70 @@ def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_hamming_topk": op1_hamming_topk,
+    "op2_ngram_join": op2_ngram_join,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_quality": op4_quality,
+    "op5_mix": op5_mix,
+    "op6_language": op6_language,
+    "op7_shards": op7_shards,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_huffman_ids": op9_huffman_ids,
     "op10_ogg": op10_ogg,
 }
 
-ORACLES: dict[str, str] = {}
+WORD = r"[^\x20\x09-\x0D]+"
+
+OP1_SQL = f"""
+WITH codes AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x > 0 AND NOT isnan(x)) AS signs FROM embeddings WHERE len(embedding) = {BITS}),
+pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS id,
+         CAST(len(list_filter(list_zip(q.signs, r.signs), lambda z: z[1] <> z[2])) AS INTEGER) AS distance
+  FROM codes q, codes r WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(k AS INTEGER) AS rank, id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS k FROM pairs) WHERE k <= {K}
+"""
+
+OP3_SQL = rf"""
+WITH docs AS (SELECT doc_id, text FROM documents),
+raw AS (
+  SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS pos
+  FROM (SELECT doc_id, regexp_extract_all(text, '{LINE}') AS parts FROM docs)),
+lines AS (
+  SELECT doc_id, pos, regexp_replace(part, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line,
+         CAST(len(regexp_extract_all(part, '{WORD}')) AS BIGINT) AS n
+  FROM raw WHERE len(regexp_extract_all(part, '{WORD}')) > 0),
+ext AS (
+  SELECT *, CAST(e - n AS BIGINT) AS s
+  FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS e FROM lines)),
+windows AS (
+  SELECT DISTINCT doc_id, c, f, t FROM (
+    SELECT doc_id, string_agg(line, chr(10)) OVER w AS c, min(s) OVER w AS f, max(e) OVER w AS t FROM ext
+    WINDOW w AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND {MIN_WORDS - 1} FOLLOWING)
+    UNION ALL
+    SELECT doc_id, string_agg(line, chr(10)) OVER w, min(s) OVER w, max(e) OVER w FROM ext
+    WINDOW w AS (PARTITION BY doc_id ORDER BY e RANGE BETWEEN {MIN_WORDS - 1} PRECEDING AND CURRENT ROW))
+  WHERE t - f >= {MIN_WORDS}),
+repeats AS (
+  SELECT doc_id, f, t
+  FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY doc_id, f) AS k FROM windows) WHERE k > 1),
+gone AS (
+  SELECT *, EXISTS (SELECT 1 FROM repeats r WHERE r.doc_id = x.doc_id AND r.f <= x.s AND r.t > x.s) AS gone FROM ext x),
+runs AS (
+  SELECT doc_id, min(pos) AS a, max(pos) AS b, count(*) AS n_lines, sum(n) AS n_words
+  FROM (SELECT *, sum(CASE WHEN gone THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM gone)
+  WHERE gone GROUP BY doc_id, run),
+kept AS (
+  SELECT doc_id, string_agg(part, '' ORDER BY pos) AS text FROM raw x
+  WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = x.doc_id AND x.pos BETWEEN r.a AND r.b) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(n_lines) AS n_lines, sum(n_words) AS n_words FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN s.doc_id IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text,
+       CAST(coalesce(s.n_lines, 0) AS BIGINT) AS removed_lines, CAST(coalesce(s.n_words, 0) AS BIGINT) AS removed_words
+FROM docs d LEFT JOIN sums s ON s.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_hamming_topk": OP1_SQL,
+    "op3_line_dedup": OP3_SQL,
+}
