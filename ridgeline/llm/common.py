@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ridgeline.shipping import ship
+
 #: A table of at most so many rows of a few numbers may be broadcast (about 16 bytes a row).
 BROADCAST_ROWS = 1_000_000
 
@@ -47,6 +49,7 @@ def discard(df: DataFrame | None) -> None:
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, found by exact name and position, so other columns may clash in any way."""
+    ship(df.sparkSession)  # operators begin here, and their functions run on the executors
     names = list(df.columns)
     missing = [c for c in columns.values() if c not in names]
     if missing:
@@ -60,7 +63,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.count() <= rows
 
 
-def join_small(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
+def join_small(left: DataFrame, right: DataFrame, on: Column | list[str] | str, how: str = "inner") -> DataFrame:
     """Join that broadcasts ``right`` only if its row count is within bounds, and shuffles otherwise."""
     return left.join(F.broadcast(right) if small(right) else right, on, how)
 

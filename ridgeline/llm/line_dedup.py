@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import materialize, pick
+from ridgeline.llm.common import join_small, materialize, pick
 
 #: Words that a run needs to be deleted; shorter repeats (headings, licence lines) stay.
 MIN_WORDS = 30
@@ -67,16 +67,27 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return runs.where("gone").groupBy("id", "th", "run").agg(F.min("pos").alias("first_line"), F.max("pos").alias("last_line"), F.count("*").alias("n_lines"), F.sum("n").alias("n_words")).drop("run")
 
 
-def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, removed_runs array<struct<first_line, last_line>>, removed_lines, removed_words): texts without repeated runs."""
+def runs_by_document(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, th, runs array<struct<first_line, last_line>>, removed_lines, removed_words) of the documents with repeated runs."""
     docs = pick(df, id=id_col, text=text_col).withColumn("th", F.xxhash64("text"))
     runs = repeated_runs(docs, min_words).groupBy("id", "th")
-    gone = materialize(runs.agg(F.sort_array(F.collect_list(F.struct("first_line", "last_line"))).alias("runs"), F.sum("n_lines").alias("removed_lines"), F.sum("n_words").alias("removed_words")), "gone")
-    left = F.expr(f"concat_ws('', filter({CUT}, (x, i) -> not exists(runs, r -> i between r.first_line and r.last_line)))")
-    d, g = docs.alias("d"), gone.alias("g")
-    joined = d.join(g, F.col("d.id").eqNullSafe(F.col("g.id")) & F.col("d.th").eqNullSafe(F.col("g.th")), "left")
+    runs = runs.agg(F.sort_array(F.collect_list(F.struct("first_line", "last_line"))).alias("runs"), F.sum("n_lines").alias("removed_lines"), F.sum("n_words").alias("removed_words"))
+    return materialize(runs, "runs")
+
+
+def without_runs(text: str = "text", runs: str = "runs") -> Column:
+    """The text in column ``text`` without the lines of ``runs`` (null: all lines stay)."""
+    left = f"concat_ws('', filter({CUT.replace('text', f'`{text}`', 1)}, (x, i) -> not exists(`{runs}`, r -> i between r.first_line and r.last_line)))"
+    return F.when(F.col(runs).isNull(), F.col(text)).otherwise(F.expr(left))
+
+
+def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, removed_runs array<struct<first_line, last_line>>, removed_lines, removed_words): texts without repeated runs."""
+    d = pick(df, id=id_col, text=text_col).alias("d")
+    g = runs_by_document(df, min_words, id_col, text_col).alias("g")
+    joined = join_small(d, g, F.col("d.id").eqNullSafe(F.col("g.id")) & F.xxhash64("d.text").eqNullSafe(F.col("g.th")), "left")
     zero = F.lit(0).cast("long")
     return joined.select(
-        F.col("d.id").alias(id_col), F.when(F.col("runs").isNull(), F.col("text")).otherwise(left).alias(text_col),
-        F.col("runs").alias("removed_runs"), F.coalesce("removed_lines", zero).alias("removed_lines"), F.coalesce("removed_words", zero).alias("removed_words"),
+        F.col("d.id").alias(id_col), without_runs().alias(text_col), F.col("runs").alias("removed_runs"),
+        F.coalesce("removed_lines", zero).alias("removed_lines"), F.coalesce("removed_words", zero).alias("removed_words"),
     )
