@@ -27,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.bpe import Store, pieces_of, runs
+from ridgeline.llm.bpe import pieces_of
 from ridgeline.llm.common import discard, map_steps, materialize, pick, step_batches
+from ridgeline.llm.words import WordIds, runs, word_hash, words_of
 
 MAX_BITS, BLOCK, FILE_BYTES = 18, 1024, 8 << 20
-#: Words a worker remembers.
-REMEMBERED = 600_000
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 HEADER = struct.Struct("<8sHIIQQQI")
 MAGIC = b"HUFIDS\0\1"
 
@@ -196,17 +196,18 @@ def unpack_file(file: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 class Words:
     """The library's tokenizer on words between spaces and line ends, each encoded once.
 
-    White space parts words for this kind of tokenizer (it is dropped and no rule looks across it), so ids of a text
-    are those of its words.
+    White space parts words for this kind of tokenizer (it is dropped and no rule looks across it) and letters are put in
+    lower case, so ids of a text are those of its words in lower case. Where a text could hold one of the library's own
+    marks, words keep their case for it to tell.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.store = Tokenizer.from_file(path), Store(REMEMBERED)
+        self.tokenizer, self.store = Tokenizer.from_file(path), WordIds(self.make)
 
-    def make(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        groups = [words[i : i + 500] for i in range(0, len(words), 500)]
+    def make(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        groups = [[w.decode() for w in words[i : i + 500]] for i in range(0, len(words), 500)]
         ids, counts = [], []
         for group, coded in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             starts = np.cumsum([0, *(len(w) + 1 for w in group)])
@@ -215,14 +216,18 @@ class Words:
             counts.append(np.bincount(np.searchsorted(starts, at, side="right") - 1, minlength=len(group)))
         return np.concatenate(ids), np.concatenate(counts)
 
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another with the end id after each, and how many each has."""
-        cut = [[w for w in t.replace("\n", " ").split(" ") if w] for t in texts]
-        parts = [w for c in cut for w in c]
-        ids, n = self.store.find(parts, self.make) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        counts = runs(n, np.fromiter(map(len, cut), np.int64, len(cut)))
-        ends = np.cumsum(counts)
-        return np.insert(ids, ends, end_id), counts + 1
+        raw = b"\n".join(texts) + b"\n"
+        if b"<|" not in raw:
+            raw = raw.translate(LOWER)
+        data = np.frombuffer(raw, np.uint8)
+        starts, ends, place = words_of(data, gap := (data == 32) | (data == 10))
+        first, second = (word_hash(data, gap, starts, ends - starts, place, k) for k in (0, 1))
+        ids, n = self.store.encode(raw, starts, ends, first, second)
+        stops = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        counts = runs(n, np.diff(np.searchsorted(starts, np.concatenate([[0], stops]))))
+        return np.insert(ids, np.cumsum(counts), end_id), counts + 1
 
 
 @lru_cache(maxsize=2)
@@ -234,7 +239,7 @@ def tokenize(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc
     """(id, n_tokens long, ids binary of little-endian unsigned 32-bit integers), the end id last."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, counts = words(tokenizer_path).encode([t or "" for t in batch.column(1).to_pylist()], end_id)
+        ids, counts = words(tokenizer_path).encode([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], end_id)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(pieces_of(ids.astype("<u4"), counts), pa.binary())], names=["id", "n_tokens", "ids"])
 
     source = pick(df, id=id_col, text=text_col)
