@@ -1 +1 @@
-"""Package of the engine; see the README for its contents."""
+"""Column builders: geodesy, sight lines, cameras, cells, text and sensors. All stay inside whole-stage code generation."""

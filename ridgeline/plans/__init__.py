@@ -1 +1,7 @@
-"""Package of the engine; see the README for its contents."""
+"""Queries over a folder's tables, and the same as SQL for another engine."""
+
+from ridgeline.plans import scene
+
+_MODULES = (scene,)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
