@@ -1,7 +1,7 @@
 """Queries over a folder's tables, and the same as SQL for another engine."""
 
-from ridgeline.plans import scene
+from ridgeline.plans import records, scene
 
-_MODULES = (scene,)
+_MODULES = (scene, records)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
