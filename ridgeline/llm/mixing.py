@@ -5,7 +5,7 @@ up by a grouped aggregation. Tokens flow from patterns to the sources they belon
 A pattern offers its words once at no cost, a second time at cost 1, a third time at cost 2: repetition costs are
 convex, so the flow repeats words only where a quota can't be filled otherwise, and evenly. The flow decides how many
 words a pattern gives; its documents are all taken as often as that allows, and of the rest, documents in
-the order of a seeded hash are taken once more until the pattern's words are used up.
+the order of a seeded hash are taken once more while they fit, then smaller ones, then the one that comes nearest.
 
 The driver sees one row for each pattern (bounded by ``max_patterns``), never documents.
 
@@ -21,10 +21,12 @@ import heapq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import before, materialize, pick
+from ridgeline.llm.common import before, discard, materialize, pick
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS, SEED = 3, 20_240_101
+#: Passes of filling at most, and the share of a target that may stay open when a document would still fit.
+PASSES, NEAR = 8, 0.002
 
 
 def target_shares(sizes: list[int], weights: list[float], most: float) -> list[float]:
@@ -33,7 +35,7 @@ def target_shares(sizes: list[int], weights: list[float], most: float) -> list[f
     while True:
         left = total - sum(most * s for s, c in zip(sizes, capped, strict=True) if c)
         weight = sum(w for w, c in zip(weights, capped, strict=True) if not c)
-        targets = [most * s if c else left * w / weight if weight else 0.0 for s, w, c in zip(sizes, weights, capped, strict=True)]
+        targets = [float(most * s) if c else left * w / weight if weight else 0.0 for s, w, c in zip(sizes, weights, capped, strict=True)]
         over = [not c and t > most * s for t, s, c in zip(targets, sizes, capped, strict=True)]
         if not any(over):
             return targets
@@ -129,14 +131,32 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources_c
     bounded = F.broadcast if len(plan) <= 10_000 else lambda table: table  # one row for each pattern
     p, r = plan_df.alias("p"), rows.alias("r")
     chosen = r.join(bounded(p), F.col("r.sources").eqNullSafe(F.col("p.sources"))).select("id", "size", "pattern", "source", "source_size", "target", "full", "rest")
-    ranked = materialize(before(chosen, ["pattern"], F.xxhash64("id", F.lit(seed)), ["size"], F.col("size"), total), "ranked")
-    # whole documents in seeded order while they fit, then the one document that comes nearest to what is left
-    fits = F.col("before") + F.col("size") <= F.col("rest")
-    gap = ranked.groupBy("pattern").agg(F.max("rest").alias("r"), F.sum(F.when(fits, F.col("size")).otherwise(0)).alias("have")).select("pattern", (F.col("r") - F.col("have")).alias("gap"))
-    others = ranked.where(~fits & (F.col("size") > 0)).join(bounded(gap), "pattern")
-    nearest = others.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.col("before").alias("b"))).alias("best"), F.max("gap").alias("g"))
-    nearest = nearest.where("best.off < g").select("pattern", F.col("best.b").alias("nearest"))
-    done = ranked.join(bounded(nearest), "pattern", "left")
-    once_more = fits | ((F.col("before") == F.col("nearest")) & (F.col("size") > 0))
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("full") + F.when(once_more, 1).otherwise(0))
+    # whole documents in seeded order while they fit; again over those left that are small enough for what is left
+    state = materialize(chosen.withColumn("more", F.lit(0)), "chosen")
+    for _ in range(PASSES):
+        gap = state.groupBy("pattern").agg((F.max("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap"))
+        joined = state.join(bounded(materialize(gap, "gap")), "pattern")
+        fits = F.col("more").eqNullSafe(0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
+        order = before(joined, ["pattern"], F.xxhash64("id", F.lit(seed)), ["size", "more"], F.when(fits, F.col("size")).otherwise(0), total)
+        take = fits & (F.col("before") + F.col("size") <= F.col("gap"))
+        new = materialize(order.withColumn("more", F.when(take, 1).otherwise(F.col("more"))).drop("gap", "before"), "chosen")
+        left = new.groupBy("pattern").agg((F.max("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap"), F.max("target").alias("t"), F.min(F.when((F.col("more") == 0) & (F.col("size") > 0), F.col("size"))).alias("least"))
+        again = left.where(f"least <= gap and gap > {NEAR!r} * t").limit(1).count()
+        discard(state)
+        state = new
+        if not again:
+            break
+    # the one document that comes nearest to what is left still; the first of them in seeded order
+    gap = materialize(state.groupBy("pattern").agg((F.max("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap")), "gap")
+    others = state.where("more = 0 and size > 0").join(bounded(gap), "pattern")
+    ties = F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.xxhash64("id", F.lit(seed)).alias("h"), F.col("size").alias("s"))
+    nearest = materialize(others.groupBy("pattern").agg(F.min(ties).alias("best"), F.max("gap").alias("g")).where("best.off < g").select("pattern", F.col("best.h").alias("nh"), F.col("best.s").alias("ns")), "nearest")
+    last = state.where("more = 0 and size > 0").join(bounded(nearest), "pattern").where(F.xxhash64("id", F.lit(seed)).eqNullSafe(F.col("nh")) & (F.col("size") == F.col("ns")))
+    one = materialize(last.dropDuplicates(["pattern"]).select("pattern", "nh", "ns", F.lit(1).alias("one")), "one")
+    # equal rows can't be told apart: of those equal to the chosen one, the first numbered is it
+    hit = (F.col("more") == 0) & F.xxhash64("id", F.lit(seed)).eqNullSafe(F.col("nh")) & (F.col("size") == F.col("ns"))
+    done = state.join(bounded(one), "pattern", "left").withColumn("_hit", F.coalesce(hit, F.lit(False)))
+    same = before(done.where("_hit"), ["pattern"], F.lit(0).cast("long"), ["id"], F.lit(1), 1).withColumn("more", F.when(F.col("before") == 0, 1).otherwise(0)).drop("before")
+    done = done.where("not _hit").unionByName(same)
+    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("full") + F.col("more"))
     return done.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies"))

@@ -2,10 +2,10 @@
 
 Every row starts in the shard that its rank by a seeded hash gives it, so the shards hold equally many rows. Rows that
 belong to groups with more than one row (links) then move, round by round, to the shard where most of their
-groups' rows are: rows of each group are counted by shard, each row takes the shard with most of them that has
-room, and a shard admits rows up to its quota, the largest gains first. Rows without links fill the shards up to
-their quotas at the end; they are what the others changed places with. Rounds end when no row moves or after
-``rounds``.
+groups' rows are: rows of each group are counted by shard, each row takes the shard with most of them, and a shard
+admits rows up to its quota, the largest gains first. Shards with room are asked first; when none of them gains, two
+shards exchange as many rows as want to go each way. Rows without links fill the shards up to their
+quotas at the end; they are what the others changed places with. Rounds end when no row moves or after ``rounds``.
 
 The law is ``rows``: row counts of two shards differ by at most one, whatever the groups' sizes. A group larger than a
 shard fills one shard after another.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.common import before, discard, materialize, pick
 
-SHARDS, SEED, ROUNDS = 24, 7, 12
+SHARDS, SEED, ROUNDS = 24, 7, 16
 
 
 def quotas(rows: int, shards: int) -> list[int]:
@@ -45,31 +45,46 @@ def propagate(rows: DataFrame, links: DataFrame, n_rows: int, shards: int = SHAR
     state = materialize(links.select("row").distinct().select("row", start), "state")
     n_linked = state.count()
 
+    idle = full = 0
     for k in range(rounds if n_linked else 0):
         held = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
         room = [quota[s] - held.get(s, 0) for s in range(shards)]
+        by_room = any(room) and not full
         free = spark.createDataFrame([(s, n) for s, n in enumerate(room)], "shard int, room long")
         counts = links.join(state, "row").groupBy("group", "shard").agg(F.count("*").alias("n"))
-        # the shard with most rows of the group that has room; ties by a hash, so that groups don't pile up
-        open_counts = counts.join(F.broadcast(free), "shard").where("room > 0")
-        best = open_counts.groupBy("group").agg(F.max(F.struct("n", F.xxhash64("group", "shard", F.lit(seed)).alias("tie"), "shard")).alias("b")).select("group", F.col("b.n").alias("there"), F.col("b.shard").alias("to"))
+        # the shard with most rows of the group (of those with room); ties by a hash, so that groups don't pile up
+        wanted = counts.join(F.broadcast(free), "shard").where("room > 0") if by_room else counts
+        best = wanted.groupBy("group").agg(F.max(F.struct("n", F.xxhash64("group", "shard", F.lit(seed)).alias("tie"), "shard")).alias("b")).select("group", F.col("b.n").alias("there"), F.col("b.shard").alias("to"))
         here = counts.select("group", "shard", F.col("n").alias("here"))
-        votes = links.join(state, "row").join(best, "group").join(here, ["group", "shard"]).groupBy("row", "shard", "to").agg(F.sum(F.col("there") - F.when(F.col("to") == F.col("shard"), F.col("there")).otherwise(F.col("here"))).alias("gain"))
+        gain = F.when(F.col("to") == F.col("shard"), 0).otherwise(F.col("there") - F.col("here"))
+        votes = links.join(state, "row").join(best, "group").join(here, ["group", "shard"]).groupBy("row", "shard", "to").agg(F.sum(gain).alias("gain"))
         wish = votes.groupBy("row", "shard").agg(F.max(F.struct("gain", F.xxhash64("row", "to", F.lit(seed)).alias("tie"), "to")).alias("w")).select("row", "shard", F.col("w.gain").alias("gain"), F.col("w.to").alias("to"))
         # equal counts move too: all rows of a group agree on the shard
         movers = materialize(wish.where("to <> shard and gain >= 0"), "movers")
-        n_movers = movers.count()
-        if not n_movers:
-            discard(movers)
-            break
         # the largest gains first: gains in powers of two, then the seeded order
         power = F.least(F.lit(31), F.floor(F.log2(F.col("gain") + 1)).cast("int"))
         rank = (F.lit(15) - power).cast("long") * F.lit(1 << 58) + F.pmod(F.xxhash64("row", F.lit(seed + k)), F.lit(1 << 58))
-        placed = before(movers, ["to"], rank, ["row"], F.lit(1), n_movers)
-        admitted = placed.join(F.broadcast(free.withColumnRenamed("shard", "to")), "to").where("before < room").select("row", "to")
+        if by_room:
+            bound = free.select(F.col("shard").alias("to"), F.col("room").alias("most"))
+            keys = ["to"]
+        else:  # full shards admit as many as leave them the other way
+            flow = {(r["shard"], r["to"]): r["n"] for r in movers.groupBy("shard", "to").agg(F.count("*").alias("n")).collect()}
+            swaps = [(i, j, min(n, flow.get((j, i), 0))) for (i, j), n in flow.items()]
+            bound = spark.createDataFrame(swaps, "shard int, to int, most long")
+            keys = ["shard", "to"]
+        placed = before(movers, keys, rank, ["row"], F.lit(1), max(1, movers.count()))
+        admitted = materialize(placed.join(F.broadcast(bound), keys).where("before < most").select("row", "to"), "admitted")
+        idle = 0 if admitted.limit(1).count() else idle + 1
+        full = by_room and idle  # then two shards exchange rows once
+        if idle:
+            discard(movers)
+            discard(admitted)
+            if idle == 2 or not any(room):
+                break
+            continue
         new = materialize(state.join(admitted, "row", "left").select("row", F.coalesce("to", "shard").alias("shard")), "state")
-        discard(movers)
-        discard(state)
+        for old in (movers, admitted, state):
+            discard(old)
         state = new
 
     # rows without links fill what is left, in order
