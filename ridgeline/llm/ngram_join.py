@@ -13,10 +13,10 @@ Count-vector R-tree. Each set is also a point: the counts of its elements in WID
 at most the sum of their coordinates' minima; for a box of points, of the minima with its upper corner. In each bucket
 the points are packed to an R-tree and every set searches it with that bound; what is left is verified on whole sets.
 
-Buckets first link every set with the bucket's least one (one pair for each set, so a group of near copies costs its
-size). Only buckets whose sets are in different components afterwards are searched in full, for pairs of different
-components. Every link joins two sets of one bucket, so the components are exact; no bucket, partner list or
-candidate list is capped.
+Each set is first verified against one partner, the least that its buckets have, then against one of each component it
+still shares a bucket with, so a group of near copies costs its size. Only buckets whose sets are in different
+components afterwards are searched in full, for pairs of different components. Every link joins two sets of one
+bucket, so the components are exact; no bucket, partner list or candidate list is capped.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing; with fewer words
 than n the whole sequence is one n-gram; equal sets are linked; rows with the same id are handled row by
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ridgeline.llm.common import connected_components, discard, join_small, map_steps, materialize, pick, step_batches
 from ridgeline.llm.words import U64, constants, mixed, word_hash, words_of
 
-WIDTH, LEAF = 64, 16
+WIDTH, LEAF = 256, 16
 GRAM_SEED = 0x2545F491_4F6CDD1D
 
 
@@ -211,13 +211,13 @@ def similar_components(df: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_
         ends = np.cumsum(counts) * 8
         data = grams.astype("<u8").tobytes()
         sets = [data[e - c * 8 : e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-        at = points(grams, counts).astype("<i4")
+        at = points(grams, counts).astype("<u4")
         return pa.RecordBatch.from_arrays([pa.array(node_names(grams, counts), pa.int64()), pa.array(counts, pa.int64()), pa.array(sets, pa.binary()), pa.array([x.tobytes() for x in at], pa.binary())], names=["node", "n", "elements", "point"])
 
     named = materialize(map_steps(docs, "text", name, f"id {kind}, n bigint, node bigint"), "nodes")
     signed = docs.select("text").mapInArrow(sign, "sig bigint, node bigint")
     stars = materialize(signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig", "lo"), "stars")
-    buckets = materialize(join_small(signed, stars, "sig").distinct(), "buckets")
+    buckets = materialize(signed.join(stars, "sig").distinct(), "buckets")
     discard(stars)
 
     # whole sets of the nodes in buckets, from one document of each
@@ -225,23 +225,36 @@ def similar_components(df: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_
     chosen = materialize(named.join(met, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id"), "chosen").distinct()
     sets = map_steps(join_small(docs, chosen, "id", "left_semi"), "text", gather, "node bigint, n bigint, elements binary, point binary")
     sets = materialize(sets.where("n > 0").dropDuplicates(["node"]), "sets")
-    star_pairs = buckets.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
-    links = verify(star_pairs, sets, p, q)
+    # one pair for each set: with the least partner that any of its buckets has
+    first_pairs = materialize(buckets.groupBy("node").agg(F.min("lo").alias("lo")).where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")), "pairs")
+    links = verify(first_pairs, sets, p, q)
+    labels = connected_components(links)
+
+    # then one for each set and component that it still shares a bucket with
+    placed = buckets.join(labels, "node", "left").select("sig", "lo", "node", F.coalesce("label", "node").alias("component"))
+    low = labels.select(F.col("node").alias("lo"), F.col("label").alias("l"))
+    second = placed.join(low, "lo", "left").withColumn("l", F.coalesce("l", "lo")).where("l <> component").groupBy("node", "l").agg(F.min("lo").alias("lo"))
+    second = second.select(F.least("lo", "node").alias("a"), F.greatest("lo", "node").alias("b")).join(first_pairs, ["a", "b"], "left_anti").distinct()
+    second = materialize(second, "pairs")
+    links = materialize(links.union(verify(second, sets, p, q)), "links")
     labels = connected_components(links)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_buckets(batches):
-            at = np.frombuffer(b"".join(rows.column("point").to_pylist()), "<i4").reshape(-1, WIDTH).astype(np.int64)
+            at = np.frombuffer(b"".join(rows.column("point").to_pylist()), "<u4").reshape(-1, WIDTH).astype(np.int64)
             pairs = list(cross_pairs(*(rows.column(c).to_numpy() for c in ("node", "component")), at, rows.column("n").to_numpy(), p, q))
             for k in range(0, len(pairs), 100_000):
                 a, b = zip(*pairs[k : k + 100_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+    # what is left: buckets of several components, each set of members once, searched in full
     placed = buckets.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("component"))
-    open_sigs = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
-    parted = placed.join(open_sigs, "sig", "left_semi").join(sets.select("node", "n", "point"), "node")
+    half = [F.sum(F.shiftrightunsigned(F.xxhash64("node", F.lit(k)), 32)) for k in (0, 1)]
+    opened = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), half[0].alias("h0"), half[1].alias("h1")).where("x < y")
+    opened = opened.groupBy("n", "h0", "h1").agg(F.min("sig").alias("sig")).select("sig")
+    parted = placed.join(opened, "sig", "left_semi").join(sets.select("node", "n", "point"), "node")
     crossed = parted.repartition("sig").sortWithinPartitions("sig").mapInArrow(search, "a bigint, b bigint").distinct()
-    more = verify(crossed.join(star_pairs, ["a", "b"], "left_anti"), sets, p, q)
+    more = verify(crossed.join(first_pairs.union(second), ["a", "b"], "left_anti"), sets, p, q)
     if more.limit(1).count():
         labels = connected_components(links.union(more))
 
@@ -298,8 +311,8 @@ def verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
 def _bounded(p: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i4").reshape(-1, WIDTH) for c in ("xp", "yp"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, WIDTH) for c in ("xp", "yp"))
             sizes = [batch.column(c).to_numpy() for c in ("xn", "yn")]
-            yield batch.select(["a", "b"]).filter(pa.array(np.minimum(x, y).sum(axis=1) >= needed(*sizes, p, q)))
+            yield batch.select(["a", "b"]).filter(pa.array(np.minimum(x, y).sum(axis=1, dtype=np.int64) >= needed(*sizes, p, q)))
 
     return run
