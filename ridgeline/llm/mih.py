@@ -61,13 +61,15 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, segme
         parts = left.select("q", F.posexplode(F.array(*[part("q", j) for j in range(m)])).alias("segment", "wanted"))
         near = parts.select("segment", "wanted").distinct().select("segment", "wanted", F.explode(masks(width, radius)).alias("mask"))
         near = near.select("segment", "wanted", F.col("wanted").bitwiseXOR(F.col("mask")).alias("value"))
-        hits = parts.join(near.join(index, ["segment", "value"]), ["segment", "wanted"]).select("q", "segment", "code")
+        # merge joins: these rows compress so well that their shuffled size would call for a broadcast of millions
+        reached = near.hint("merge").join(index, ["segment", "value"]).select("segment", "wanted", "code")
+        hits = parts.join(reached.hint("merge"), ["segment", "wanted"]).select("q", "segment", "code")
         apart = F.array(*[F.bit_count(part("q", j).bitwiseXOR(part("code", j))) for j in range(m)])
         hits = hits.withColumn("apart", apart)
         # once: the segment is the first of the nearest ones
         hits = hits.where((F.array_min("apart") == radius) & (F.array_position("apart", F.lit(radius).cast("int")) == F.col("segment") + 1))
         hits = hits.select("q", "code", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"))
-        listed = hits.join(codes, "code").select("q", "distance", F.explode("ids").alias("id"))
+        listed = hits.hint("merge").join(codes, "code").select("q", "distance", F.explode("ids").alias("id"))
         best = (listed.unionByName(found) if found is not None else listed).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", F.col("id").asc_nulls_first())))
         best = materialize(best.where(F.col("rank") <= k).select("q", "distance", "id"), "best")
         covered = m * (radius + 1) - 1
