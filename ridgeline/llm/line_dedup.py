@@ -15,7 +15,8 @@ them; lines that repeat one another inside a document keep their first; a text o
 left alone; a text may become empty; other columns are ignored; an empty table gives an empty table.
 
 Work is linear: a line makes one row, a window one row, and first places are aggregated before they are shuffled, so
-a passage that a third of all documents share costs its own rows and nothing more.
+a passage that a third of all documents share costs its own rows and nothing more. Cutting texts, the first windows and
+the fingerprints touch all lines; contents are compared only in documents that share a fingerprint.
 """
 
 from __future__ import annotations
@@ -29,41 +30,85 @@ from ridgeline.llm.common import join_small, materialize, pick
 MIN_WORDS = 30
 #: A line: up to a line end, or up to white space after the end of a sentence, with what ends it.
 LINE = r"(?s)[^\n]*?(?:\n|[.!?][ \t]+\n?|\z)"
-CUT = f"regexp_extract_all(text, r'{LINE}', 0)"
+MARK = "\x01"
+#: Texts without any of these have lone spaces and line ends only; they are cut at literals, which gives the same lines.
+UNEVEN = ("  ", " \n", "\t", "\x0b", "\x0c", "\r", MARK)
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, th, first_line, last_line, n_lines, n_words) of the runs to delete. docs: id, text, th (the text's hash)."""
-    lines = docs.where("text is not null").select("id", "th", F.posexplode(F.expr(CUT)).alias("pos", "line"))
-    lines = lines.select("id", "th", "pos", F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("line"))
-    lines = lines.select("id", "th", "pos", F.xxhash64("line").alias("h"), F.expr(r"regexp_count(line, r'[^\x20\x09-\x0D]+')").cast("long").alias("n"))
-    lines = lines.where("n > 0").repartition("id", "th").dropDuplicates(["id", "th", "pos"])
+def literal(x: str) -> str:
+    return "'" + x.replace("\n", "\\n").replace("\t", "\\t").replace("\r", "\\r") + "'"
 
-    doc = Window.partitionBy("id", "th")
-    lines = lines.withColumn("e", F.sum("n").over(doc.orderBy("pos"))).withColumn("s", F.col("e") - F.col("n"))
 
-    def window(over) -> Column:
-        """Fingerprint with its position, content (two hashes) and extent of the window of each line."""
-        inside = F.collect_list("h").over(over)
-        return F.struct(F.min(F.struct("h", "pos")).over(over).alias("f"), F.xxhash64(inside).alias("c1"), F.xxhash64(F.lit(1), inside).alias("c2"), F.min("s").over(over).alias("from"), F.max("e").over(over).alias("to"))
+def is_even(text: str) -> str:
+    """SQL: whether the text can be cut at literals."""
+    return "not (" + " or ".join(f"contains(`{text}`, {literal(x)})" for x in UNEVEN) + ")"
+
+
+def lines_of(text: str) -> str:
+    """SQL: the array of a text's lines."""
+    marked = f"`{text}`"
+    for end in (". ", "! ", "? ", "\n"):
+        marked = f"replace({marked}, {literal(end)}, {literal(end + MARK)})"
+    return f"if({is_even(text)}, split({marked}, {literal(MARK)}), regexp_extract_all(`{text}`, r'{LINE}', 0))"
+
 
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, th, first_line, last_line, n_lines, n_words) of the runs to delete. docs: id, text, th (the text's hash).
+
+    Lines are written down once with the fingerprint of the window that starts at each. Only documents with a
+    fingerprint that occurs elsewhere go on to the comparison of contents.
+    """
+    cut = docs.where("text is not null").withColumn("copy", F.monotonically_increasing_id())
+    cut = cut.select("id", "th", "copy", F.posexplode(F.expr(lines_of("text"))).alias("pos", "line"))
+    lines = cut.withColumn("line", F.btrim("line", F.lit(" \t\n\x0b\x0c\r"))).where("line <> ''")
+    words = F.expr(f"if({is_even('line')}, length(line) - length(replace(line, ' ', '')) + 1, regexp_count(line, r'[^\\x20\\x09-\\x0D]+'))")
+    lines = lines.select("id", "th", "copy", "pos", F.xxhash64("line").alias("h"), words.cast("long").alias("n")).where("n > 0")
+
+    doc = Window.partitionBy("id", "th")
+    upto = doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead, back = doc.orderBy("s").rangeBetween(0, min_words - 1), doc.orderBy("e").rangeBetween(1 - min_words, 0)
-    both = materialize(lines.select("id", "th", "pos", "n", "s", window(ahead).alias("a"), window(back).alias("b")), "windows")
+    lines = lines.repartition("id", "th").withColumn("_first", F.min("copy").over(doc)).where("copy = _first")  # rows with equal id and text: one
+    lines = lines.withColumn("e", F.sum("n").over(upto)).withColumn("s", F.col("e") - F.col("n"))
+    lines = lines.withColumn("_f", F.min(F.struct("h", "pos")).over(ahead)).withColumn("_whole", F.max("e").over(ahead) - F.col("s") >= min_words)
+    at = F.when(F.col("_whole"), F.col("_f.pos"))
+    lines = lines.select("id", "th", "pos", "h", "n", "s", at.alias("at"), F.when(F.col("_whole"), F.col("_f.h")).alias("_h"))
+    new = F.coalesce(F.col("at") != F.lag("at").over(doc.orderBy("s")), F.lit(True))
+    lines = materialize(lines.select("id", "th", "pos", "h", "n", F.col("at"), F.when(new, F.col("_h")).alias("f")), "lines")
+
+    # positions of fingerprints that occur elsewhere too
+    picked = lines.where("f is not null").select(F.col("f"), "id", "th", "at")
+    place = F.struct("id", "th", "at")
+    shared = materialize(picked.groupBy("f").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("f"), "shared")
+    matched = materialize(join_small(picked, shared, "f", "left_semi").select("id", "th", "at").distinct(), "matched")
+    touched = materialize(matched.select("id", "th").distinct(), "touched")
+
+    l, t = lines.alias("l"), touched.alias("t")
+    same = F.col("l.id").eqNullSafe(F.col("t.id")) & (F.col("l.th") == F.col("t.th"))
+    near = join_small(l, t, same, "left_semi").select("id", "th", "pos", "h", "n", "at")
+    n, m = near.repartition("id", "th").alias("n"), matched.alias("m")
+    same = F.col("n.id").eqNullSafe(F.col("m.id")) & (F.col("n.th") == F.col("m.th")) & (F.col("n.at") == F.col("m.at"))
+    near = n.join(m, same, "left").select("n.id", "n.th", "pos", "h", "n.n", F.col("m.at").isNotNull().alias("met"))
+    near = near.withColumn("e", F.sum("n").over(upto)).withColumn("s", F.col("e") - F.col("n"))
+
+    def window(over, met: Column) -> Column:
+        """Content (two hashes) and extent of the window of each line; null where its fingerprint occurs nowhere else."""
+        inside = F.collect_list("h").over(over)
+        return F.struct(F.when(met, F.xxhash64(inside)).alias("c1"), F.when(met, F.xxhash64(F.lit(1), inside)).alias("c2"), F.min("s").over(over).alias("from"), F.max("e").over(over).alias("to"))
 
-    windows = both.select("id", "th", F.expr("inline(array(a, b))")).where(F.expr(f"`to` - `from` >= {min_words}"))
-    windows = windows.select("id", "th", F.col("f.h").alias("f"), F.col("f.pos").alias("at"), "c1", "c2", "from", "to")
-    place, start = F.struct("id", "th", "at"), F.struct("id", "th", "from")
-    shared = windows.groupBy("f").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("f")
-    matched = windows.join(shared, "f", "left_semi")
-    first = matched.groupBy("c1", "c2").agg(F.min(start).alias("first"), F.max(start).alias("last")).where("first <> last").select("c1", "c2", "first")
-    repeats = matched.join(first, ["c1", "c2"]).where("struct(id, th, `from`) > first").select("id", "th", "from", "to").distinct()
+    # a window seen from its last line starts with a line whose own window lies inside it
+    both = near.select("id", "th", "pos", "n", "s", window(ahead, F.col("met")).alias("a"), window(back, F.first("met").over(back)).alias("b"))
+    both = materialize(both, "windows")
+    windows = both.select("id", "th", F.expr("inline(array(a, b))")).where(F.expr(f"c1 is not null and `to` - `from` >= {min_words}"))
+    start = F.struct("id", "th", "from")
+    first = windows.groupBy("c1", "c2").agg(F.min(start).alias("first"), F.max(start).alias("last")).where("first <> last").select("c1", "c2", "first")
+    repeats = windows.join(first, ["c1", "c2"]).where("struct(id, th, `from`) > first").select("id", "th", "from", "to").distinct()
 
     # a line is in a repeated window if one that starts at or before it reaches beyond its start
     marks = both.select("id", "th", "pos", "n", F.col("s").alias("at"), F.lit(None).cast("long").alias("to"))
     marks = marks.unionByName(repeats.select("id", "th", F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("n"), F.col("from").alias("at"), "to"))
-    upto = doc.orderBy("at", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marks = marks.withColumn("gone", F.coalesce(F.max("to").over(upto) > F.col("at"), F.lit(False))).where("pos >= 0")
-    runs = marks.withColumn("run", F.sum(F.when(F.col("gone"), 0).otherwise(1)).over(doc.orderBy("at", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    sofar = doc.orderBy("at", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marks = marks.withColumn("gone", F.coalesce(F.max("to").over(sofar) > F.col("at"), F.lit(False))).where("pos >= 0")
+    runs = marks.withColumn("run", F.sum(F.when(F.col("gone"), 0).otherwise(1)).over(sofar))
     return runs.where("gone").groupBy("id", "th", "run").agg(F.min("pos").alias("first_line"), F.max("pos").alias("last_line"), F.count("*").alias("n_lines"), F.sum("n").alias("n_words")).drop("run")
 
 
@@ -77,7 +122,7 @@ def runs_by_document(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
 
 def without_runs(text: str = "text", runs: str = "runs") -> Column:
     """The text in column ``text`` without the lines of ``runs`` (null: all lines stay)."""
-    left = f"concat_ws('', filter({CUT.replace('text', f'`{text}`', 1)}, (x, i) -> not exists(`{runs}`, r -> i between r.first_line and r.last_line)))"
+    left = f"concat_ws('', filter({lines_of(text)}, (x, i) -> not exists(`{runs}`, r -> i between r.first_line and r.last_line)))"
     return F.when(F.col(runs).isNull(), F.col(text)).otherwise(F.expr(left))
 
 
