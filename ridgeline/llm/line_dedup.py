@@ -59,8 +59,9 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     fingerprint that occurs elsewhere go on to the comparison of contents.
     """
     cut = docs.where("text is not null").withColumn("copy", F.monotonically_increasing_id())
-    cut = cut.select("id", "th", "copy", F.posexplode(F.expr(lines_of("text"))).alias("pos", "line"))
-    lines = cut.withColumn("line", F.btrim("line", F.lit(" \t\n\x0b\x0c\r"))).where("line <> ''")
+    # trimmed inside the array: each line once, whatever reads it afterwards
+    trimmed = F.transform(F.expr(lines_of("text")), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")))
+    lines = cut.select("id", "th", "copy", F.posexplode(trimmed).alias("pos", "line")).where("line <> ''")
     words = F.expr(f"if({is_even('line')}, length(line) - length(replace(line, ' ', '')) + 1, regexp_count(line, r'[^\\x20\\x09-\\x0D]+'))")
     lines = lines.select("id", "th", "copy", "pos", F.xxhash64("line").alias("h"), words.cast("long").alias("n")).where("n > 0")
 
