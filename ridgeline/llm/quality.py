@@ -2,12 +2,12 @@
 
 Each document has a score w . f(text). That a document marked good is preferred to one marked bad has the probability
 1 / (1 + exp(-(w . (f_good - f_bad)))), and w minimises the logistic loss over preference pairs (Newton's method with
-a small ridge). The scores' threshold is the quantile of the training scores that leaves as large a share below as
-is marked bad; the result's score is the logistic of the distance from the threshold.
+a small ridge). The scores' threshold is the exact quantile of the scores of all training rows that leaves as large a
+share below as is marked bad; the result's score is the logistic of the distance from the threshold.
 
 Features come from whole texts only (never from labels, language, source or id): lengths, repeated words and lines,
-capitals, symbols, and the like. They are computed in one map over all documents. Fitting takes about ``max_rows``
-labelled rows of each mark, chosen by a hash of the id, and ``max_pairs`` seeded pairs.
+capitals, symbols, and the like. They are computed in one map over all documents. Only fitting the weights samples: it
+takes about ``max_rows`` labelled rows of each mark, chosen by a hash of the id, and ``max_pairs`` seeded pairs.
 
 Defined results: null and empty texts have features and a score like any other; labels other than 0 and 1 are not
 learnt from; a document labelled twice counts twice; without both marks every score is 0.5; rows with the same id are
@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import hash_sample, map_steps, materialize, pick
+from ridgeline.llm.common import discard, hash_sample, map_steps, materialize, pick
 
 #: Bounds of what is learnt from.
 MAX_ROWS, MAX_PAIRS, RIDGE, SEED = 20_000, 200_000, 1e-3, 11
+#: Buckets that the scores are counted in at a time.
+BUCKETS = 4096
 UPPER = bytes(range(65, 91))
 SYMBOLS = b"!\"#$%&()*+/:;<=>@[\\]^_`{|}~"
 DIGITS = b"0123456789"
@@ -60,11 +62,11 @@ def text_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_steps(source, "text", step, f"id {source.schema['id'].dataType.simpleString()}, features array<double>")
 
 
-def fit(good: np.ndarray, bad: np.ndarray, max_pairs: int = MAX_PAIRS, ridge: float = RIDGE, seed: int = SEED) -> tuple[np.ndarray, float, float]:
-    """Weights, threshold and scale: a document's score is the logistic of scale * (weights . features - threshold)."""
+def fit(good: np.ndarray, bad: np.ndarray, max_pairs: int = MAX_PAIRS, ridge: float = RIDGE, seed: int = SEED) -> np.ndarray:
+    """Weights of the features."""
     width = len(FEATURES)
     if not len(good) or not len(bad):
-        return np.zeros(width), 0.0, 0.0
+        return np.zeros(width)
     both = np.concatenate([good, bad])
     spread = both.std(axis=0)
     spread[spread == 0] = 1
@@ -81,11 +83,29 @@ def fit(good: np.ndarray, bad: np.ndarray, max_pairs: int = MAX_PAIRS, ridge: fl
         w -= move
         if np.abs(move).max() < 1e-9:
             break
-    w = w / spread
-    ranked = np.sort(both @ w)
-    cut = min(max(len(bad), 1), len(ranked) - 1)  # so many training scores lie below
-    threshold = float(ranked[cut - 1] + ranked[cut]) / 2
-    return w, threshold, 1.0
+    return w / spread
+
+
+def neighbours(values: DataFrame, cut: int) -> tuple[float, float]:
+    """The greatest of the ``cut`` least of all ``values`` (one column v, more than ``cut`` rows) and the next one.
+
+    Counts in buckets between two of the values, narrowed to the bucket that holds both: exact, and the driver gets no
+    more than BUCKETS rows at a time.
+    """
+    low, high = values.agg(F.min("v"), F.max("v")).first()
+    below = 0
+    while low < high:
+        bucket = F.least(F.floor((F.col("v") - low) / (high - low) * BUCKETS), F.lit(BUCKETS - 1))
+        counted = values.where(F.col("v").between(low, high)).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        found = sorted(counted.collect())
+        at = 0
+        while below + found[at]["n"] < cut:
+            below += found[at]["n"]
+            at += 1
+        if below + found[at]["n"] == cut:
+            return found[at]["high"], found[at + 1]["low"] if at + 1 < len(found) else found[at]["high"]
+        low, high = found[at]["low"], found[at]["high"]
+    return low, low
 
 
 def held_out_fold(key: Column) -> Column:
@@ -98,13 +118,19 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     rows = materialize(text_features(df, id_col, text_col), "features")
     marks = pick(labels, id=label_id, mark=label_col).where("mark in (0, 1) and id is not null").where(~held_out_fold(F.col("id")))
     known = materialize(rows.join(marks, "id"), "labelled")
+    n = {r["mark"]: r["n"] for r in known.groupBy("mark").agg(F.count("*").alias("n")).collect()}
     sample = {}
     for mark in (1, 0):
         marked = known.where(F.col("mark") == mark)
-        found = hash_sample(marked, ["id"], marked.count(), max_rows).orderBy("id", "features").limit(2 * max_rows).select("features").collect()
+        found = hash_sample(marked, ["id"], n.get(mark, 0), max_rows).orderBy("id", "features").limit(2 * max_rows).select("features").collect()
         sample[mark] = np.array([r["features"] for r in found], float).reshape(-1, len(FEATURES))
-    w, threshold, scale = fit(sample[1], sample[0])
-    raw = sum((F.col("features")[i] * F.lit(float(x)) for i, x in enumerate(w)), F.lit(0.0)) - F.lit(threshold)
-    score = 1 / (1 + F.exp(-F.lit(scale) * F.greatest(F.lit(-700.0), F.least(F.lit(700.0), raw))))
+    weighted = sum((F.col("features")[i] * F.lit(float(x)) for i, x in enumerate(fit(sample[1], sample[0]))), F.lit(0.0))
+    threshold = 0.0
+    if len(n) == 2:
+        values = materialize(known.select(weighted.alias("v")), "training-scores")
+        threshold = sum(neighbours(values, n[0])) / 2  # so many training scores lie below
+        discard(values)
+    raw = weighted - F.lit(threshold)
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), raw))))
     scored = rows.select(F.col("id").alias(id_col), held_out_fold(F.col("id")).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int"))

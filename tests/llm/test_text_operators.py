@@ -11,7 +11,7 @@ from ridgeline.llm import ngram_join as nj
 from ridgeline.llm.language import identify
 from ridgeline.llm.line_dedup import LINE, dedup_lines
 from ridgeline.llm.mih import top_k
-from ridgeline.llm.quality import held_out_fold, score_quality
+from ridgeline.llm.quality import held_out_fold, neighbours, score_quality
 
 SCHEMA = "doc_id long, text string, node string, TEXT string, id long, n long"
 
@@ -223,3 +223,21 @@ def test_quality_learns_from_the_training_fold_only(spark):
     assert all(again[r["doc_id"]] == pytest.approx(r["score"]) for r in got if r["doc_id"] != 5)
     assert {r["score"] for r in score_quality(df, labels.limit(0)).collect()} == {0.5}
     assert score_quality(df.limit(0), labels).count() == 0
+
+
+def test_quality_threshold_is_the_share_marked_bad_of_all_training_rows(spark):
+    rng = random.Random(12)
+    text = lambda p: " ".join("BUY!" if rng.random() < p else rng.choice(["alpha", "beta", "gamma"]) + str(rng.randrange(500)) for _ in range(rng.randrange(40, 160))) + "."
+    docs = [(i, text(0.35 if i % 10 == 0 else 0.2)) for i in range(1200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 != 0)) for i in range(1200)], "doc_id long, quality int")
+    got = [r for r in score_quality(df, labels, max_rows=40).collect() if not r["held_out"]]
+    assert sum(r["predicted"] == 0 for r in got) == sum(r["doc_id"] % 10 == 0 for r in got)
+
+
+def test_neighbours_of_a_cut_are_exact(spark):
+    rng = random.Random(13)
+    for values in ([rng.gauss(0, 1) for _ in range(3000)] + [1e9], [2.5] * 40, [1.0] * 30 + [2.0] * 30, [0.0, 5e-324], [1e-300 * rng.random() for _ in range(50)] + [7.0] * 9):
+        df, ranked = spark.createDataFrame([(x,) for x in values], "v double"), sorted(values)
+        for cut in {1, len(values) // 2, len(values) - 1}:
+            assert neighbours(df, cut) == (ranked[cut - 1], ranked[cut])
