@@ -9,12 +9,17 @@ language l the log posterior is the sum of
 Soft counts are posteriors of a first pass that sees texts only; they are summed by grouped aggregations, so a host
 that holds a third of all rows is one row per task before it is shuffled.
 
+One more hypothesis is that the text is in none of the languages: its trigrams are then spread evenly over all bins.
+It has soft counts, a prior and likelihoods like a language, but is never answered. Trigrams that a language has not
+shown cost more than an even spread, so foreign texts and junk fit none; ``confidence`` is of all hypotheses.
+
 Trigram tables are learnt from the whole texts of about ``max_rows`` rows that declare a language, chosen by a hash of
 the text; everything else is counted over all rows.
 
 Defined results: a text without a letter (null and empty ones too) gives no evidence and is rejected, whatever
-else the row declares; missing declarations, suffixes and hosts give no evidence; the row is rejected too if no
-language reaches ``least``; ties go to the first language by name; rows with the same id are judged row by row; other
+else the row declares; missing declarations, suffixes and hosts give no evidence; the row is rejected too if all
+languages together don't reach ``least`` against none of them, or none of them reaches ``least`` of what they share
+(``language`` is then the best of them all the same); ties go to the first language by name; rows with the same id are judged row by row; other
 columns are ignored; an empty table, or one that declares no language to learn from, gives no language and rejects all.
 """
 
@@ -60,12 +65,12 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
     rows = pick(df, **columns)
     rows = rows.select("id", "text", normalized(F.col("declared")).alias("declared") if declared_col else null.alias("declared"), F.lower("host").alias("host") if host_col else null.alias("host"))
     names, table = profile or learn_profile(rows, "text", "declared", max_rows)
-    out = materialize(texts_read(rows, names, table), "evidence")
+    out = materialize(texts_read(rows, table), "evidence")
     if not names:
         return out.select(F.col("id").alias(id_col), null.alias("language"), F.lit(0.0).alias("confidence"), F.lit(True).alias("rejected"), "declared")
     parts = F.split("host", r"\.")
     out = out.withColumn("suffix", F.when(F.size(parts) > 1, F.element_at(parts, -1))).withColumn("domain", F.when(F.size(parts) > 2, F.concat_ws(".", F.slice(parts, -2, 2))).otherwise(F.col("host")))
-    n = len(names)
+    n = len(names) + 1  # the last is none of them
     soft = [F.when(F.col("letters"), F.col("p")[i]).otherwise(0.0) for i in range(n)]
 
     def sums(*keys: str) -> DataFrame:
@@ -95,16 +100,17 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
 
     placed = out.join(by_host, "host", "left").join(likelihood("declared"), "declared", "left").join(likelihood("suffix"), "suffix", "left")
     fused = [F.coalesce(F.col("host_log")[i], F.lit(float(np.log(all_rows[i])))) + F.coalesce(F.col("declared_log")[i], F.lit(0.0)) + F.coalesce(F.col("suffix_log")[i], F.lit(0.0)) + F.col("text_log")[i] for i in range(n)]
-    placed = placed.select("id", "declared", "letters", F.array(*fused).alias("l")).withColumn("top", F.array_max("l"))
+    placed = placed.select("id", "declared", "letters", F.array(*fused[:-1]).alias("l"), fused[-1].alias("none")).withColumn("top", F.array_max("l"))
     placed = placed.withColumn("z", F.aggregate("l", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     best = F.element_at(F.array(*map(F.lit, names)), F.array_position("l", F.col("top")).cast("int"))
-    confidence = F.when(F.col("letters"), 1 / F.col("z")).otherwise(0.0)
-    rejected = ~F.col("letters") | (confidence < least)
+    odds = F.exp(F.least(F.col("none") - F.col("top"), F.lit(700.0)))
+    confidence = F.when(F.col("letters"), 1 / (F.col("z") + odds)).otherwise(0.0)
+    rejected = ~F.col("letters") | (1 / F.col("z") < least) | (F.col("z") / (F.col("z") + odds) < least)
     return placed.select(F.col("id").alias(id_col), F.when(F.col("letters"), best).alias("language"), confidence.alias("confidence"), rejected.alias("rejected"), "declared")
 
 
 def learn_profile(df: DataFrame, text_col: str, declared_col: str, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages that MIN_SHARE of the rows declare, by name, and the log probability of each bin in each.
+    """Languages that MIN_SHARE of the rows declare, by name, and the log probability of each bin in each and, last, in none.
 
     Counted over the whole texts of about ``max_rows`` rows; the driver gets a number for each language and bin.
     """
@@ -128,21 +134,21 @@ def learn_profile(df: DataFrame, text_col: str, declared_col: str, max_rows: int
         found = hash_sample(rows, ["text"], total, max_rows).mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
         table[found["cell"].to_numpy(np.int64)] += found["n"].to_numpy(float)
     table = table.reshape(-1, BINS)
-    return names, np.log(table / table.sum(axis=1, keepdims=True))
+    return names, np.log(np.vstack([table / table.sum(axis=1, keepdims=True), np.full(BINS, 1 / BINS)]))
 
 
-def texts_read(rows: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
+def texts_read(rows: DataFrame, table: np.ndarray) -> DataFrame:
     """(id, declared, host, letters boolean, text_log array<double>, p array<double>): tempered log likelihoods of whole texts."""
     columns = np.ascontiguousarray(table.T)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        logs, letters = np.zeros((batch.num_rows, len(names))), np.zeros(batch.num_rows, bool)
+        logs, letters = np.zeros((batch.num_rows, len(table))), np.zeros(batch.num_rows, bool)
         for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
             bins = trigram_bins(text or b"")
             letters[i] = len(bins) > 0
             if len(bins):
                 logs[i] = columns[bins].sum(axis=0) * TEMPER
-        logs -= logs.max(axis=1, keepdims=True, initial=-np.inf) if len(names) else 0
+        logs -= logs.max(axis=1, keepdims=True, initial=-np.inf)
         odds = np.exp(logs)
         odds /= odds.sum(axis=1, keepdims=True)
         rows_of = lambda x: pa.array(list(x), pa.list_(pa.float64()))

@@ -208,6 +208,23 @@ def test_language_evidence(spark):
     assert identify(df.where("lang is null")).where("not rejected").count() == 0
 
 
+def test_language_rejects_what_fits_none(spark):
+    rng = random.Random(14)
+    vocabulary = {"en": "the quick brown fox jumps over a lazy dog while many people watch it from their houses near the river".split(), "es": "la ciudad fue fundada por los romanos y su historia es muy larga con calles plazas iglesias mercados".split()}
+    rows = [(i, " ".join(rng.choice(vocabulary[x]) for _ in range(25)), x, f"www.site{i % 5}.example.com") for i in range(200) for x in [("en", "es")[i % 2]]]
+    foreign = [
+        "A magyar nyelv az uráli nyelvek családjába tartozó finnugor nyelvek egyike, rokonai a manysi és a hanti nyelv.",
+        "Русский язык является одним из восточнославянских языков и национальным языком русского народа",
+        "日本語は日本国内や日本人同士の間で使用されている言語である", " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(20)),
+    ]
+    rows += [(1000 + i, t, None, "www.site1.example.com") for i, t in enumerate(foreign)]
+    rows += [(2000, "the people watch the river", None, None), (2001, "la historia es larga", None, "www.site1.example.com")]
+    got = {r["doc_id"]: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[1000 + i]["rejected"] and got[1000 + i]["confidence"] < 0.5 for i in range(len(foreign)))
+    assert all(got[i]["language"] == ("en", "es")[i % 2] and not got[i]["rejected"] for i in range(200))
+    assert [(got[i]["language"], got[i]["rejected"]) for i in (2000, 2001)] == [("en", False), ("es", False)]
+
+
 def test_quality_learns_from_the_training_fold_only(spark):
     rng = random.Random(8)
     good = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(30)) for _ in range(50)) + "."
