@@ -13,8 +13,10 @@ One more hypothesis is that the text is in none of the languages: its trigrams a
 It has soft counts, a prior and likelihoods like a language, but is never answered. Trigrams that a language has not
 shown cost more than an even spread, so foreign texts and junk fit none; ``confidence`` is of all hypotheses.
 
-Trigram tables are learnt from the whole texts of about ``max_rows`` rows that declare a language, chosen by a hash of
-the text; everything else is counted over all rows.
+Every language that a row with a letter declares is learnt, however rare. Its trigram table is counted over the whole
+texts of all rows that declare it, or about ``max_rows`` of them, chosen by a hash of the text; trigrams it has not shown
+share as much as it has shown different ones (Witten-Bell), so a thin profile expects more of the unknown. Everything
+else is counted over all rows. A language costs 256 KB of the driver's and each Python worker's memory.
 
 Defined results: a text without a letter (null and empty ones too) gives no evidence and is rejected, whatever
 else the row declares; missing declarations, suffixes and hosts give no evidence; the row is rejected too if all
@@ -32,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import hash_sample, map_steps, materialize, pick
+from ridgeline.llm.common import map_steps, materialize, pick
 
-MAX_ROWS, BINS, LEAST, PRIOR_ROWS, TEMPER, MIN_SHARE = 20_000, 1 << 15, 0.5, 20.0, 0.25, 0.002
+MAX_ROWS, BINS, LEAST, PRIOR_ROWS, TEMPER = 20_000, 1 << 15, 0.5, 20.0, 0.25
 SEPARATORS = np.frombuffer(bytes(32 if b < 65 or 91 <= b <= 96 or 123 <= b <= 127 else b + 32 * (65 <= b <= 90) for b in range(256)), np.uint8)
 
 
@@ -110,14 +112,16 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
 
 
 def learn_profile(df: DataFrame, text_col: str, declared_col: str, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages that MIN_SHARE of the rows declare, by name, and the log probability of each bin in each and, last, in none.
+    """Languages that rows with a letter declare, by name, and the log probability of each bin in each and, last, in none.
 
-    Counted over the whole texts of about ``max_rows`` rows; the driver gets a number for each language and bin.
+    Counted over the whole texts of about ``max_rows`` rows of each; the driver gets a number for each language and bin.
     """
     rows = pick(df, text=text_col, declared=declared_col).where("text is not null and declared is not null")
-    shares = rows.groupBy("declared").agg(F.count("*").alias("n"))
-    total = shares.agg(F.sum("n")).first()[0] or 0
-    names = sorted(r["declared"] for r in shares.where(F.col("n") >= MIN_SHARE * total).collect())
+    sizes = {r["declared"]: r["n"] for r in rows.groupBy("declared").agg(F.count("*").alias("n")).collect()}
+    names, share = sorted(sizes), 1 << 30
+    most = [F.lit(x) for k, n in sizes.items() if n > max_rows for x in (k, share * max_rows // n)]
+    if most:
+        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(share)) < F.coalesce(F.create_map(*most)[F.col("declared")], F.lit(share)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(names), BINS), np.int64)
@@ -129,12 +133,15 @@ def learn_profile(df: DataFrame, text_col: str, declared_col: str, max_rows: int
         cell = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(counts.ravel()[cell], pa.int64())], names=["cell", "n"])
 
-    table = np.full(len(names) * BINS, 0.1)
+    table = np.zeros(len(names) * BINS)
     if names:
-        found = hash_sample(rows, ["text"], total, max_rows).mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-        table[found["cell"].to_numpy(np.int64)] += found["n"].to_numpy(float)
+        found = rows.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        table[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(float)
     table = table.reshape(-1, BINS)
-    return names, np.log(np.vstack([table / table.sum(axis=1, keepdims=True), np.full(BINS, 1 / BINS)]))
+    shown = table.any(axis=1)  # texts without a letter teach nothing
+    names, table = [x for x, s in zip(names, shown, strict=True) if s], table[shown]
+    total, kinds = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True)
+    return names, np.log(np.vstack([(table + kinds / BINS) / (total + kinds), np.full(BINS, 1 / BINS)]))
 
 
 def texts_read(rows: DataFrame, table: np.ndarray) -> DataFrame:

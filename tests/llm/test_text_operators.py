@@ -225,6 +225,19 @@ def test_language_rejects_what_fits_none(spark):
     assert [(got[i]["language"], got[i]["rejected"]) for i in (2000, 2001)] == [("en", False), ("es", False)]
 
 
+@pytest.mark.parametrize("max_rows", [20_000, 60])
+def test_language_learns_rare_languages(spark, max_rows):
+    rng = random.Random(15)
+    vocabulary = {"aa": ["lorem", "dolor", "amet", "elit"], "bb": ["zwischen", "durch", "schon", "strasse"], "cc": ["hogyan", "nyelv", "mindig", "ember"]}
+    rows = [(i, " ".join(rng.choice(vocabulary[x]) for _ in range(12)), x, "s") for i in range(2400) for x in [("aa", "bb")[i % 2]]]
+    rows += [(5000 + i, " ".join(rng.choice(vocabulary["cc"]) for _ in range(12)), "cc", "s") for i in range(3)]
+    rows += [(6000, "ember nyelv mindig hogyan", None, "s"), (6001, "12 34", "dd", "s")]
+    got = {r["doc_id"]: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), max_rows=max_rows).collect()}
+    assert all(got[i]["language"] == "cc" and not got[i]["rejected"] for i in (5000, 5001, 5002, 6000))
+    assert all(got[i]["language"] == ("aa", "bb")[i % 2] and not got[i]["rejected"] for i in range(2400))
+    assert got[6001]["rejected"]
+
+
 def test_quality_learns_from_the_training_fold_only(spark):
     rng = random.Random(8)
     good = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(30)) for _ in range(50)) + "."
