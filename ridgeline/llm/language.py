@@ -27,6 +27,8 @@ columns are ignored; an empty table, or one that declares no language to learn f
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,25 @@ from ridgeline.llm.common import map_steps, materialize, pick
 MAX_ROWS, BINS, LEAST, PRIOR_ROWS, TEMPER = 20_000, 1 << 15, 0.5, 20.0, 0.25
 SEPARATORS = np.frombuffer(bytes(32 if b < 65 or 91 <= b <= 96 or 123 <= b <= 127 else b + 32 * (65 <= b <= 90) for b in range(256)), np.uint8)
 
+UNSEEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|template)\b.*?(?:</\1\s*>|\Z)")
+MARKUP, MARKED_LANG = re.compile(r"<[^>]*>"), re.compile(r"(?is)<html\b[^>]*?[\s:]lang\s*=\s*[\"']?\s*([\w-]+)")
+ADDRESS = re.compile(r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:\s]+)")
+
+
+def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(id, text, lang, host) of every page: its text without markup, what <html lang> declares, its URL's host."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pages = batch.column("html").cast(pa.string()).to_pylist()
+        texts = [x if x is None else html.unescape(MARKUP.sub(" ", UNSEEN.sub(" ", x))) for x in pages]
+        langs = [(m := MARKED_LANG.search(UNSEEN.sub(" ", x or ""))) and m[1] for x in pages]
+        hosts = [(m := ADDRESS.match(x or "")) and (m[1].rstrip(".") or None) for x in batch.column("url").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.string()) for x in (texts, langs, hosts))], names=["id", "text", "lang", "host"])
+
+    source = pick(pages, id=id_col, url=url_col, html=html_col)
+    out = map_steps(source, "html", step, f"id {source.schema['id'].dataType.simpleString()}, text string, lang string, host string")
+    return out.withColumnRenamed("id", id_col)
+
 
 def trigram_bins(text: bytes) -> np.ndarray:
     """Bins of the byte trigrams of a text; letters in lower case, all else below 128 is one space."""

@@ -222,8 +222,12 @@ def similar_components(df: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_
 
     # whole sets of the nodes in buckets, from one document of each
     met = buckets.select("node").distinct()
-    chosen = materialize(named.join(met, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id"), "chosen").distinct()
-    sets = map_steps(join_small(docs, chosen, "id", "left_semi"), "text", gather, "node bigint, n bigint, elements binary, point binary")
+    # (by id where there is one; a set that only rows with a null id hold is found by those)
+    chosen = materialize(named.join(met, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")), "chosen")
+    sources = join_small(docs, chosen.where("id is not null").select("id").distinct(), "id", "left_semi")
+    if chosen.where("id is null").limit(1).count():
+        sources = sources.union(docs.where("id is null"))
+    sets = map_steps(sources, "text", gather, "node bigint, n bigint, elements binary, point binary")
     sets = materialize(sets.where("n > 0").dropDuplicates(["node"]), "sets")
     # one pair for each set: with the least partner that any of its buckets has
     first_pairs = materialize(buckets.groupBy("node").agg(F.min("lo").alias("lo")).where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")), "pairs")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.bpe import decode_bpe, encode_bpe
 from ridgeline.llm.huffman import file_starts, read_ids, store_tokens
-from ridgeline.llm.language import identify
+from ridgeline.llm.language import identify, page_evidence
 from ridgeline.llm.line_dedup import LINE, MIN_WORDS, dedup_lines
 from ridgeline.llm.mih import BITS, K, sign_code, top_k
 from ridgeline.llm.mixing import mix
@@ -54,6 +54,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op6_language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page, by its text, its markup and its address."""
+    return identify(page_evidence(table(spark, sf_dir, "pages")), id_col="page_id", host_col="host")
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard; equal texts are kept together where quotas allow."""
     return shard_documents(table(spark, sf_dir, "documents"))
@@ -96,6 +101,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_mix": op5_mix,
     "op6_language": op6_language,
+    "op6_language_pages": op6_language_pages,
     "op7_shards": op7_shards,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_huffman_ids": op9_huffman_ids,

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 
 from ridgeline.llm import ngram_join as nj
-from ridgeline.llm.language import identify
+from ridgeline.llm.language import identify, page_evidence
+from ridgeline.llm.queries import op6_language_pages
 from ridgeline.llm.line_dedup import LINE, dedup_lines
 from ridgeline.llm.mih import top_k
 from ridgeline.llm.quality import held_out_fold, neighbours, score_quality
@@ -81,6 +82,16 @@ def test_component_corner_cases(spark):
     assert nj.similar_components(table(spark, []), 4, 85, 100).count() == 0
 
 
+def test_near_copies_with_a_null_id_link(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = [" ".join(words[:k] + [f"x{j}" for j in range(200 - k)]) for k in (200, 192, 184)]  # each is alike with the next, the ends are not
+    sets = [shingles(t, 4) for t in near]
+    alike = lambda a, b: len(a & b) / len(a | b) >= 0.9
+    assert alike(sets[0], sets[1]) and alike(sets[1], sets[2]) and not alike(sets[0], sets[2])
+    got = sorted(map(tuple, nj.similar_components(table(spark, near, [5, None, 3]), 4, 90, 100).collect()), key=repr)
+    assert got == [(3, 197, 3), (5, 197, 3), (None, 197, 3)]
+
+
 @pytest.mark.parametrize("p", [80, 85])
 def test_alike_sets_always_share_a_signature(p):
     rng = random.Random(p)
@@ -238,6 +249,23 @@ def test_language_learns_rare_languages(spark, max_rows):
     assert got[6001]["rejected"]
 
 
+def test_language_of_pages(spark, tmp_path):
+    rng = random.Random(16)
+    vocabulary = {"aa": ["lorem", "dolor", "amet", "&eacute;lit"], "bb": ["zwischen", "durch", "schon", "stra&szlig;e"]}
+    page = lambda lang, text: f'<!DOCTYPE html><html class=x lang="{lang}"><head><script>var a = "<p>durch</p>";</script></head><!-- <p> --><body><p>{text}</p></body></html>'
+    rows = [(i, f"http://u@www.s{i % 7}.example.{x}:80/en/{i}?q=1", page(x.upper() + "-XX", " ".join(rng.choice(vocabulary[x]) for _ in range(20)))) for i in range(120) for x in [("aa", "bb")[i % 2]]]
+    rows += [(500, "https://new.other.bb/#top", "<p>q"), (501, "https://new.other.aa", "<p>q"), (502, None, None), (503, "no address", "<p>12</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen = {r["page_id"]: r for r in page_evidence(df).collect()}
+    assert (seen[1]["lang"], seen[1]["host"], seen[500]["host"], seen[503]["host"], seen[502]["text"]) == ("BB-XX", "www.s1.example.bb", "new.other.bb", None, None)
+    assert not re.search("[<>&]|var", seen[1]["text"])
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r for r in op6_language_pages(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and all(got[i]["language"] == ("aa", "bb")[i % 2] and not got[i]["rejected"] for i in range(120))
+    assert (got[500]["language"], got[501]["language"]) == ("bb", "aa")  # the suffix decides
+    assert got[502]["rejected"] and got[503]["rejected"]
+
+
 def test_quality_learns_from_the_training_fold_only(spark):
     rng = random.Random(8)
     good = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(30)) for _ in range(50)) + "."
