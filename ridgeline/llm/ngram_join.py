@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import batched
 from math import lgamma, log
 
 import numpy as np
@@ -187,8 +188,13 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
-def similar_components(df: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles long, component_id): documents whose sets of word n-grams have a Jaccard similarity of p / q or more."""
+def similar_components(df: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
+    """(id, n_shingles long, component_id): documents whose sets of word n-grams have a Jaccard similarity of p / q or more.
+
+    With ``links`` also n_links long, the number of other documents that each is alike with, copies counted one by one
+    (documents without n-grams have none): every pair of different sets that the bound leaves is verified then, so the
+    work grows with the pairs of a group of near copies, not with its members.
+    """
     docs = pick(df, id=id_col, text=text_col)
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -214,6 +220,14 @@ def similar_components(df: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_
         at = points(grams, counts).astype("<u4")
         return pa.RecordBatch.from_arrays([pa.array(node_names(grams, counts), pa.int64()), pa.array(counts, pa.int64()), pa.array(sets, pa.binary()), pa.array([x.tobytes() for x in at], pa.binary())], names=["node", "n", "elements", "point"])
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_buckets(batches):
+            at = np.frombuffer(b"".join(rows.column("point").to_pylist()), "<u4").reshape(-1, WIDTH).astype(np.int64)
+            pairs = cross_pairs(*(rows.column(c).to_numpy() for c in ("node", "component")), at, rows.column("n").to_numpy(), p, q)
+            for some in batched(pairs, 100_000):
+                a, b = zip(*some, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
     named = materialize(map_steps(docs, "text", name, f"id {kind}, n bigint, node bigint"), "nodes")
     signed = docs.select("text").mapInArrow(sign, "sig bigint, node bigint")
     stars = materialize(signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig", "lo"), "stars")
@@ -229,6 +243,23 @@ def similar_components(df: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_
         sources = sources.union(docs.where("id is null"))
     sets = map_steps(sources, "text", gather, "node bigint, n bigint, elements binary, point binary")
     sets = materialize(sets.where("n > 0").dropDuplicates(["node"]), "sets")
+    def crossed(placed: DataFrame) -> DataFrame:
+        """Pairs of different components in buckets of (sig, node, component); of buckets with the same members one is searched."""
+        half = [F.sum(F.shiftrightunsigned(F.xxhash64("node", F.lit(k)), 32)) for k in (0, 1)]
+        opened = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), half[0].alias("h0"), half[1].alias("h1")).where("x < y")
+        opened = opened.groupBy("n", "h0", "h1").agg(F.min("sig").alias("sig")).select("sig")
+        parted = placed.join(opened, "sig", "left_semi").join(sets.select("node", "n", "point"), "node")
+        return parted.repartition("sig").sortWithinPartitions("sig").mapInArrow(search, "a bigint, b bigint").distinct()
+
+    if links:
+        alike = verify(crossed(buckets.select("sig", "node", F.col("node").alias("component"))), sets, p, q)
+        copies = named.groupBy("node").agg(F.count("*").alias("copies"))
+        both = alike.select(F.col("a").alias("at"), F.col("b").alias("node")).union(alike.select(F.col("b").alias("at"), F.col("a").alias("node")))
+        others = both.join(copies, "node").groupBy(F.col("at").alias("node")).agg(F.sum("copies").alias("others"))
+        linked = copies.join(others, "node", "left").select("node", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        member = named.join(connected_components(alike), "node", "left").join(linked, "node")
+        return document_components(member.select("id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("component"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).alias("n_links")), id_col)
+
     # one pair for each set: with the least partner that any of its buckets has
     first_pairs = materialize(buckets.groupBy("node").agg(F.min("lo").alias("lo")).where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")), "pairs")
     links = verify(first_pairs, sets, p, q)
@@ -243,22 +274,9 @@ def similar_components(df: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_
     links = materialize(links.union(verify(second, sets, p, q)), "links")
     labels = connected_components(links)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_buckets(batches):
-            at = np.frombuffer(b"".join(rows.column("point").to_pylist()), "<u4").reshape(-1, WIDTH).astype(np.int64)
-            pairs = list(cross_pairs(*(rows.column(c).to_numpy() for c in ("node", "component")), at, rows.column("n").to_numpy(), p, q))
-            for k in range(0, len(pairs), 100_000):
-                a, b = zip(*pairs[k : k + 100_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
     # what is left: buckets of several components, each set of members once, searched in full
     placed = buckets.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("component"))
-    half = [F.sum(F.shiftrightunsigned(F.xxhash64("node", F.lit(k)), 32)) for k in (0, 1)]
-    opened = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), half[0].alias("h0"), half[1].alias("h1")).where("x < y")
-    opened = opened.groupBy("n", "h0", "h1").agg(F.min("sig").alias("sig")).select("sig")
-    parted = placed.join(opened, "sig", "left_semi").join(sets.select("node", "n", "point"), "node")
-    crossed = parted.repartition("sig").sortWithinPartitions("sig").mapInArrow(search, "a bigint, b bigint").distinct()
-    more = verify(crossed.join(first_pairs.union(second), ["a", "b"], "left_anti"), sets, p, q)
+    more = verify(crossed(placed).join(first_pairs.union(second), ["a", "b"], "left_anti"), sets, p, q)
     if more.limit(1).count():
         labels = connected_components(links.union(more))
 
@@ -267,11 +285,11 @@ def similar_components(df: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_
 
 
 def document_components(member: DataFrame, id_col: str) -> DataFrame:
-    """(id, n_shingles, component_id): the least id of each component; member: id, n, component (null: none)."""
+    """(id, n_shingles, component_id): the least id of each component; member: id, n, component (null: none) and what is kept."""
     member = materialize(member, "members")
     least = member.where("component is not null").groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("k")).where("k > 1")
     joined = member.join(least, "component", "left")
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), *member.columns[3:])
 
 
 def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:

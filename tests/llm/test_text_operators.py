@@ -74,6 +74,15 @@ def test_components_equal_brute_force(spark, n, p):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, n, p, 100)
 
 
+def test_links_equal_brute_force(spark):
+    texts = near_copies(4) + near_copies(4)[30:60]  # and exact copies
+    sets = [shingles(t, 4) for t in texts]
+    want = [sum(bool(x and y) and 100 * len(x & y) >= 85 * len(x | y) for y in sets) - bool(x) for x in sets]
+    got = {r["doc_id"]: r for r in nj.similar_components(table(spark, texts), 4, 85, 100, links=True).collect()}
+    assert [got[i]["n_links"] for i in range(len(texts))] == want
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == brute_components(texts, 4, 85, 100)
+
+
 def test_component_corner_cases(spark):
     same = " ".join(f"w{i}" for i in range(50))
     df = table(spark, [same, same, same, "other words here now", None], [None, 7, 7, 3, None])
