@@ -22,13 +22,25 @@ def r(x: Column | str, digits: int = 4) -> Column:
 def geo_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every observer and summit a twentieth of them at a time: distance, bearing, destination, altitude, dip."""
     o, p = views.observers(spark, sf_dir).alias("o"), views.summits(spark, sf_dir).where("elevationM is not null").alias("p")
-    pair = p.join(o, F.expr("cast(substring(p.id, 2) as bigint) % 25 = o.observer_id"))
+    return _scalars(p.join(o, F.expr("cast(substring(p.id, 2) as bigint) % 25 = o.observer_id")))
+
+
+def geo_scalars_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every observer and every summit of known height within the radius."""
+    o, p = views.observers(spark, sf_dir), views.summits(spark, sf_dir).where("elevationM is not null")
+    near = v.within_radius(o, p, views.RADIUS_KM).select(F.col("observer_id").alias("_o"), F.col("id").alias("_p")).alias("near")
+    o, p = o.alias("o"), p.alias("p")
+    return _scalars(near.join(o, F.expr("_o = o.observer_id")).join(p, F.expr("_p = p.id")))
+
+
+def _scalars(pair: DataFrame) -> DataFrame:
+    """Distance and so on of pairs of an observer o and a summit p."""
     ola, olo, pla, plo = (F.col(x) for x in ("o.lat", "o.lon", "p.lat", "p.lon"))
     d, b = g.haversine_m(ola, olo, pla, plo), g.initial_bearing_deg(ola, olo, pla, plo)
     dla, dlo = g.destination(ola, olo, b * num(0.9), d)
     eye, top = F.col("o.eyeElevationM"), F.col("p.elevationM")
     return pair.select(
-        "id", "observer_id", r(d, 3).alias("distanceM"), r(b).alias("bearingDeg"), r(dla, 6).alias("destLat"), r(dlo, 6).alias("destLon"),
+        "p.id", "o.observer_id", r(d, 3).alias("distanceM"), r(b).alias("bearingDeg"), r(dla, 6).alias("destLat"), r(dlo, 6).alias("destLon"),
         r(g.angular_difference_deg(b, num(10))).alias("turnDeg"), r(g.normalise_longitude_deg(plo * num(53.7123457))).alias("foldedLon"), r(g.curvature_drop_m(d), 3).alias("dropM"),
         r(g.altitude_angle_deg(eye, top, d)).alias("altitudeDeg"), r(g.exact_altitude_deg(eye, top, d)).alias("exactAltitudeDeg"),
         r(g.flat_horizon_distance_m(eye), 2).alias("horizonM"), r(g.flat_horizon_dip_deg(eye)).alias("dipDeg"),
@@ -151,7 +163,7 @@ g_final AS (
 
 HID = "visibility IN ('self-occluded', 'foreground-occluded')"
 
-QUERIES = {f.__name__: f for f in (geo_scalars, horizon_staircase, horizon_profile, peaks_within_radius, visible_peaks, annotated_scene, scene_report, horizon_coverage, sweep_report, near_field, profile_coverage)}
+QUERIES = {f.__name__: f for f in (geo_scalars, geo_scalars_all, horizon_staircase, horizon_profile, peaks_within_radius, visible_peaks, annotated_scene, scene_report, horizon_coverage, sweep_report, near_field, profile_coverage)}
 
 ORACLES = {
     "geo_scalars": f"""WITH {s.OBSERVER}, {s.SUMMIT}, pair AS (
@@ -183,3 +195,5 @@ gaps AS (SELECT observer_id, bearingDeg, coalesce(lead(bearingDeg) OVER (PARTITI
 f AS (SELECT observer_id, max(gap) AS gap, arg_max(bearingDeg, struct_pack(g := gap, b := -bearingDeg)) AS start, list_sort(list(gap))[count(*) // 2 + 1] AS med FROM gaps GROUP BY observer_id)
 SELECT observer_id, CASE WHEN gap > 4e0 * med THEN start END AS gapFromDeg, CASE WHEN gap > 4e0 * med THEN (start + gap) % 360e0 END AS gapToDeg, CASE WHEN gap > 4e0 * med THEN 360e0 - gap ELSE 360e0 END AS coveredSpanDeg FROM f""",
 }
+#: All pairs within the radius.
+ORACLES["geo_scalars_all"] = ORACLES["geo_scalars"].replace("ON CAST(substring(p.id, 2) AS BIGINT) % 25 = o.observer_id", "ON true") + " WHERE d <= 30000e0"

@@ -40,3 +40,10 @@ def test_query_equals_sql(spark, engine, name):
     columns = [c[0] for c in result.description]
     assert sorted(columns) == names
     assert rows(names, [r.asDict() for r in df.collect()]) == rows(names, [dict(zip(columns, r, strict=True)) for r in result.fetchall()])
+
+
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the tables")
+@pytest.mark.parametrize("name", ["heading_answers", "true_headings", "orientation_answers", "geo_scalars"])
+def test_whole_query_has_more_than_the_partial_one(engine, name):
+    part, whole = (engine.execute(f"SELECT count(*) FROM ({plans.ORACLES[k]})").fetchone()[0] for k in (name, f"{name}_all"))
+    assert whole > part
