@@ -90,10 +90,10 @@ def label_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("observer_id", "id", "rank", "budget", (F.col("rank") <= F.col("budget")).alias("labelled"))
 
 
-def label_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def label_collisions(spark: SparkSession, sf_dir: str, radius_km: float = 15.0) -> DataFrame:
     """Pairs of label boxes of one observer that overlap (touching is no overlap)."""
     h, p, ro, hf, vf = _pose()
-    seen = v.sightings(views.observers(spark, sf_dir), views.summits(spark, sf_dir), 15.0)
+    seen = v.sightings(views.observers(spark, sf_dir), views.summits(spark, sf_dir), radius_km)
     at = c.project(h, p, ro, hf, vf, F.col("bearingDeg"), F.col("altitudeDeg"))
     boxes = seen.select("observer_id", "id", at["inFrame"].alias("inFrame"), r(at["x"] * num(1600), 3).alias("x"), r(at["y"] * num(1200), 3).alias("y"), (text_width_em(F.col("name")) * num(14)).alias("w")).where("inFrame")
     a, b = boxes.alias("a"), boxes.alias("b")
@@ -101,6 +101,11 @@ def label_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, (F.col("a.observer_id") == F.col("b.observer_id")) & hit).select("a.observer_id", F.col("a.id").alias("first"), F.col("b.id").alias("second"))
 
 
+def label_collisions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """label_collisions of all summits within the radius that labels are ranked in."""
+    return label_collisions(spark, sf_dir, views.RADIUS_KM)
+
+
 def resolved_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heading, ground height and field of view from three layers: user, photograph, default; a bad user value blocks."""
     k = F.col("p_partkey")
@@ -148,7 +153,7 @@ POINTS = "pts AS (SELECT c_custkey AS point_id, 44.9e0 + ((c_custkey * 37) % 120
 _C = "c_custkey"
 _P = "p_partkey"
 
-_FUNCS = (raster_readings, grid_choice, missing_tiles, projected_peaks, fields_of_view, clipped_segments, label_ranking, label_collisions, resolved_pose, trims)
+_FUNCS = (raster_readings, grid_choice, missing_tiles, projected_peaks, fields_of_view, clipped_segments, label_ranking, label_collisions, label_collisions_all, resolved_pose, trims)
 QUERIES = {f.__name__: f for f in _FUNCS}
 ORACLES = {
     "raster_readings": f"""WITH {GRID}, {POINTS}, ix AS (SELECT *, (46e0 - lat) / 0.02e0 AS r0, (CASE WHEN lon - 7e0 >= 0 THEN lon - 7e0 ELSE lon - 7e0 + 360e0 END) / 0.02e0 AS c0 FROM pts),
@@ -188,3 +193,5 @@ y AS (SELECT *, least(360e0, hf * 1.5e0) AS dr, least(175e0, greatest(1e0, hf +
 SELECT k, {s.fold('h + (k % 61 - 30e0)')} AS headingDeg, greatest(-90e0, least(90e0, p + (k % 41 - 20e0))) AS pitchDeg, tf AS hFovDeg, round(2e0 * degrees(atan(tan(radians(tf) / 2e0) / 1.5e0)), 4) + 0e0 AS vFovDeg,
   round(CASE WHEN sp >= 360 THEN 0e0 ELSE dr - (CASE WHEN off < sp THEN least(sp - off, dr) ELSE 0e0 END) - greatest(0e0, least(off + dr - 360e0, sp)) END, 6) + 0e0 AS uncoveredDeg, round(least(1e0, greatest(0e0, (hf - 30e0) / 50e0)), 6) + 0e0 AS ramp FROM z""",
 }
+#: All label boxes within the radius.
+ORACLES["label_collisions_all"] = ORACLES["label_collisions"].replace("distanceM <= 15000e0", "distanceM <= 30000e0")

@@ -43,7 +43,7 @@ def test_query_equals_sql(spark, engine, name):
 
 
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the tables")
-@pytest.mark.parametrize("name", ["heading_answers", "true_headings", "orientation_answers", "geo_scalars"])
+@pytest.mark.parametrize("name", ["heading_answers", "true_headings", "orientation_answers", "geo_scalars", "label_collisions"])
 def test_whole_query_has_more_than_the_partial_one(engine, name):
     part, whole = (engine.execute(f"SELECT count(*) FROM ({plans.ORACLES[k]})").fetchone()[0] for k in (name, f"{name}_all"))
     assert whole > part
