@@ -23,14 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from ridgeline.llm.common import map_steps, pick
-from ridgeline.llm.words import U64, WordIds, gather, runs, word_hash, words_of
+from ridgeline.llm.words import WordIds, gather, runs, words_of
 
 #: Distinct pieces a worker remembers; beyond it, it forgets them all (results don't depend on it).
 REMEMBERED = 100_000
 #: Texts with one of these are matched as they stand: white space other than lone spaces and line ends, and the mark.
 UNEVEN = [b"\0", b"  ", b" \n", b"\n ", b"\n\n", *(chr(c).encode() for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")]
-#: Marks the hash of a word with a space before it.
-SPACED = U64(0xC2B2AE3D27D4EB4F)
 NO_RANK = np.int32(2**31 - 1)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -182,11 +180,9 @@ class Bpe:
         raw = b"\n".join(texts) + b"\n"
         data = np.frombuffer(raw, np.uint8)
         line = data == 10
-        starts, ends, place = words_of(data, gap := line | (data == 32))
+        starts, ends = words_of(line | (data == 32))
         spaced = (starts > 0) & (data[starts - 1] == 32)
-        lengths = ends - starts
-        first, second = (word_hash(data, gap, starts, lengths, place, k) ^ np.where(spaced, SPACED, U64(0)) for k in (0, 1))
-        ids, n = self.chunks.encode(raw, starts - spaced, ends, first, second)
+        ids, n = self.chunks.encode(raw, starts - spaced, ends)
         stops = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
         line[stops - 1] = False  # these only part the texts
         breaks = np.flatnonzero(line)

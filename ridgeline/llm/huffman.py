@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.bpe import pieces_of
 from ridgeline.llm.common import discard, map_steps, materialize, pick, step_batches
-from ridgeline.llm.words import WordIds, runs, word_hash, words_of
+from ridgeline.llm.words import WordIds, runs, words_of
 
 MAX_BITS, BLOCK, FILE_BYTES = 18, 1024, 8 << 20
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -222,9 +222,8 @@ class Words:
         if b"<|" not in raw:
             raw = raw.translate(LOWER)
         data = np.frombuffer(raw, np.uint8)
-        starts, ends, place = words_of(data, gap := (data == 32) | (data == 10))
-        first, second = (word_hash(data, gap, starts, ends - starts, place, k) for k in (0, 1))
-        ids, n = self.store.encode(raw, starts, ends, first, second)
+        starts, ends = words_of((data == 32) | (data == 10))
+        ids, n = self.store.encode(raw, starts, ends)
         stops = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
         counts = runs(n, np.diff(np.searchsorted(starts, np.concatenate([[0], stops]))))
         return np.insert(ids, np.cumsum(counts), end_id), counts + 1

@@ -36,23 +36,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import connected_components, discard, join_small, map_steps, materialize, pick, step_batches
-from ridgeline.llm.words import U64, constants, mixed, word_hash, words_of
+from ridgeline.llm.words import U64, constants, eights, mixed, word_hash, words_of
 
 WIDTH, LEAF = 256, 16
 GRAM_SEED = 0x2545F491_4F6CDD1D
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def gram_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram hashes of each text, sorted, one text after another; and how many each text has."""
-    data = np.frombuffer(b" ".join([*texts, b""]) or b" ", np.uint8)
-    upper = (data >= 65) & (data <= 90)
-    data = np.where(upper, data + 32, data)
-    gap = (data == 32) | ((data >= 9) & (data <= 13))
-    starts, ends, place = words_of(data, gap)
+    raw = (b" ".join([*texts, b""]) or b" ").translate(LOWER)
+    data = np.frombuffer(raw, np.uint8)
+    starts, ends = words_of((data == 32) | ((data >= 9) & (data <= 13)))
     bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
     if not len(starts):
         return np.zeros(0, U64), np.zeros(len(texts), np.int64)
-    words = word_hash(data, gap, starts, ends - starts, place, 0)
+    words = word_hash(raw, eights(raw), starts, ends - starts)
     doc = np.searchsorted(bounds, starts, side="right") - 1
     per_doc = np.bincount(doc, minlength=len(texts))
     scale = constants(GRAM_SEED, n)

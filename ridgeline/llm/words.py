@@ -1,20 +1,26 @@
-"""A worker's memory of words and their ids, in arrays: no Python object for a word.
+"""A worker's memory of words and their ids, in arrays: no Python object for a word that was met before.
 
-Words are runs of bytes between spaces and line ends. A word is known by two 64-bit hashes of its bytes; a hash table
-with open addressing gives the run of ids it was encoded to. Words not met before are encoded once by the caller's
-function. The memory holds ``most`` words and is emptied when it is full, which changes no result.
+Words are runs of bytes between spaces and line ends. A hash of a word's 8-byte lanes, each mixed in its turn, says where
+in an open-addressing table to look; what is found there counts only if all its lanes are the word's own, so two words are
+never taken for one another. Words not met before are encoded once by the caller's function. The memory holds ``most``
+words of up to LONGEST bytes and is emptied when it is full; longer words are encoded once a step. Neither changes a result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
 
 U64 = np.uint64
 SPREAD = U64(0x9E3779B97F4A7C15)
-#: Words a worker remembers (about 90 bytes each with the table's free room).
-REMEMBERED = 1_000_000
+#: Words a worker remembers (about 90 bytes each with the table's free room), and the bytes of the longest.
+REMEMBERED, LONGEST = 1_000_000, 64
+#: Longer words than this are hashed one by one.
+LANED = 4096
+#: The first n bytes of a lane.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -29,22 +35,6 @@ def constants(seed: int, n: int) -> np.ndarray:
     return mixed(np.arange(1, n + 1, dtype=U64) * SPREAD + U64(seed)) | U64(1)
 
 
-class Powers:
-    """1, r, r squared and so on modulo 2**64, grown as longer words come."""
-
-    def __init__(self, ratio: int):
-        self.ratio, self.known = U64(ratio), np.ones(1, U64)
-
-    def __call__(self, n: int) -> np.ndarray:
-        if len(self.known) < n:
-            self.known = np.cumprod(np.concatenate([[U64(1)], np.full(max(n, 2 * len(self.known)), self.ratio)]).astype(U64))
-        return self.known[:n]
-
-
-BYTES = constants(0x51ED270B_5EED0001, 256), constants(0x7F4A7C15_9E3779B1, 256)
-POWERS = Powers(0xD1342543DE82EF95), Powers(0xAF251AF3B0F025B5)
-
-
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The runs flat[start : start + length] one after another."""
     total = int(lengths.sum())
@@ -57,20 +47,36 @@ def runs(n: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])])
 
 
-def words_of(data: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each run of bytes outside ``gap``, and each byte's place in its word."""
+def words_of(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of bytes outside ``gap``."""
     edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    begun = np.zeros(len(data), np.int64)
-    begun[starts] = starts
-    return starts, ends, np.where(gap, 0, np.arange(len(data)) - np.maximum.accumulate(begun))
+    return edge[::2], edge[1::2]
+
 
+def eights(data: bytes) -> np.ndarray:
+    """The eight bytes from each place of ``data`` on as one number (zeros follow the end)."""
+    return np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))
 
-def word_hash(data: np.ndarray, gap: np.ndarray, starts: np.ndarray, lengths: np.ndarray, place: np.ndarray, which: int) -> np.ndarray:
-    """One of two 64-bit hashes of each word."""
-    letters = BYTES[which][data] * POWERS[which](int(lengths.max(initial=1)))[place]
-    letters[gap] = 0
-    return mixed(np.add.reduceat(letters, starts) + lengths.astype(U64) * SPREAD) if len(starts) else np.zeros(0, U64)
+
+def lane(view: np.ndarray, starts: np.ndarray, lengths: np.ndarray, k: int) -> np.ndarray:
+    """Lane k of each word, all of which are longer than 8 * k bytes (or empty)."""
+    return view[starts + 8 * k] & MASKS[np.minimum(lengths - 8 * k, 8)]
+
+
+def word_hash(data: bytes, view: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: its length, then one lane after another, mixed each time."""
+    out = mixed(lengths.astype(U64) * SPREAD)
+    todo = np.arange(len(starts))
+    if (lengths > LANED).any():
+        for i in np.flatnonzero(lengths > LANED).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : starts[i] + lengths[i]], digest_size=8).digest(), "little")
+        todo = np.flatnonzero(lengths <= LANED)
+    k = 0
+    while len(todo):
+        out[todo] = mixed(out[todo] ^ lane(view, starts[todo], lengths[todo], k))
+        k += 1
+        todo = todo[lengths[todo] > 8 * k]
+    return out
 
 
 class WordIds:
@@ -84,62 +90,101 @@ class WordIds:
     def forget(self) -> None:
         self.bits, self.n = 12, 0
         self.table = np.full(1 << self.bits, -1, np.int32)
-        self.first, self.second = np.zeros(1 << 11, U64), np.zeros(1 << 11, U64)
+        self.hashes, self.sizes = np.zeros(1 << 11, U64), np.zeros(1 << 11, np.int64)
+        self.at, self.lanes, self.n_lanes = np.zeros(1 << 11, np.int64), np.zeros(1 << 12, U64), 0
         self.starts, self.lengths = np.zeros(1 << 11, np.int64), np.zeros(1 << 11, np.int32)
         self.ids, self.used = np.zeros(1 << 13, np.uint32), 0
 
-    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    def same(self, there: np.ndarray, view: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Whether the words numbered ``there`` are the given ones, byte by byte."""
+        out = self.sizes[there] == lengths
+        todo, k = np.flatnonzero(out), 0
+        while len(todo):
+            differ = self.lanes[self.at[there[todo]] + k] != lane(view, starts[todo], lengths[todo], k)
+            out[todo[differ]] = False
+            k += 1
+            todo = todo[~differ & (lengths[todo] > 8 * k)]
+        return out
+
+    def find(self, hashes: np.ndarray, view: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Index of each word, -1 for new ones."""
-        out = np.full(len(first), -1, np.int64)
-        todo, slots = np.arange(len(first)), (first >> U64(64 - self.bits)).astype(np.int64)
+        out = np.full(len(hashes), -1, np.int64)
+        todo, slots = np.arange(len(hashes)), (hashes >> U64(64 - self.bits)).astype(np.int64)
         while len(todo):
             there = self.table[slots]
             some = there >= 0
             todo, slots, there = todo[some], slots[some], there[some]
-            same = (self.first[there] == first[todo]) & (self.second[there] == second[todo])
-            out[todo[same]] = there[same]
-            todo, slots = todo[~same], (slots[~same] + 1) & ((1 << self.bits) - 1)
+            hit = self.hashes[there] == hashes[todo]
+            hit[hit] = self.same(there[hit], view, starts[todo[hit]], lengths[todo[hit]])
+            out[todo[hit]] = there[hit]
+            todo, slots = todo[~hit], (slots[~hit] + 1) & ((1 << self.bits) - 1)
         return out
 
     def _place(self, at: np.ndarray) -> None:
         """Put the words numbered ``at`` into the table."""
-        todo, slots = at, (self.first[at] >> U64(64 - self.bits)).astype(np.int64)
+        todo, slots = at, (self.hashes[at] >> U64(64 - self.bits)).astype(np.int64)
         while len(todo):
             free = self.table[slots] < 0
             self.table[slots[free]] = todo[free]  # the last writer of a slot keeps it
             lost = self.table[slots] != todo
             todo, slots = todo[lost], (slots[lost] + 1) & ((1 << self.bits) - 1)
 
-    def add(self, first: np.ndarray, second: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        n = self.n + len(first)
-        while n > len(self.first):
-            self.first, self.second, self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.second, self.starts, self.lengths))
+    def _add(self, hashes: np.ndarray, view: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Remember new words, no two of them alike."""
+        n, per_word = self.n + len(hashes), -(-lengths // 8)
+        while n > len(self.hashes):
+            grown = (self.hashes, self.sizes, self.at, self.starts, self.lengths)
+            self.hashes, self.sizes, self.at, self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in grown)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n_lanes + int(per_word.sum()) > len(self.lanes):
+            self.lanes = np.concatenate([self.lanes, np.zeros_like(self.lanes)])
         new = np.arange(self.n, n)
-        self.first[new], self.second[new] = first, second
+        self.hashes[new], self.sizes[new] = hashes, lengths
+        self.at[new] = self.n_lanes + np.cumsum(per_word) - per_word
+        todo, k = np.arange(len(hashes)), 0
+        while len(todo):
+            self.lanes[self.at[new[todo]] + k] = lane(view, starts[todo], lengths[todo], k)
+            k += 1
+            todo = todo[lengths[todo] > 8 * k]
         self.starts[new], self.lengths[new] = self.used + np.cumsum(counts) - counts, counts
         self.ids[self.used : self.used + len(ids)] = ids
-        self.n, self.used = n, self.used + len(ids)
+        self.n, self.used, self.n_lanes = n, self.used + len(ids), self.n_lanes + int(per_word.sum())
         if 2 * n > 1 << self.bits:
             self.bits = (2 * n).bit_length()
             self.table = np.full(1 << self.bits, -1, np.int32)
             new = np.arange(n)
         self._place(new)
 
-    def encode(self, data: bytes, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words one after another, and how many each has."""
-        at = self.find(first, second)
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            _, one = np.unique(first[new], return_index=True)
-            one = new[one]
-            if self.n and self.n + len(one) > self.most:
+    def _known(self, data: bytes, view: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Index of each word; new ones are made and remembered."""
+        hashes = word_hash(data, view, starts, lengths)
+        at, fresh = self.find(hashes, view, starts, lengths), False
+        while len(new := np.flatnonzero(at < 0)):
+            one = new[np.unique(hashes[new], return_index=True)[1]]  # words that share a hash take turns
+            if not fresh and self.n and self.n + len(one) > self.most:
                 self.forget()
-                return self.encode(data, starts, ends, first, second)
-            words = [data[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
-            self.add(first[one], second[one], *self.make(words))
-            at[new] = self.find(first[new], second[new])
-            if (at[new] < 0).any():  # words that share the first hash alone
-                return self.encode(data, starts, ends, first, second)
-        return gather(self.ids, self.starts[at], self.lengths[at]), self.lengths[at].astype(np.int64)
+                at, fresh = np.full(len(hashes), -1, np.int64), True
+                continue
+            ids, counts = self.make([data[a : a + b] for a, b in zip(starts[one].tolist(), lengths[one].tolist(), strict=True)])
+            self._add(hashes[one], view, starts[one], lengths[one], ids, counts)
+            at[new] = self.find(hashes[new], view, starts[new], lengths[new])
+        return at
+
+    def encode(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words data[start : end] one after another, and how many each has."""
+        view, sizes = eights(data), ends - starts
+        long = np.flatnonzero(sizes > LONGEST)
+        if not len(long):
+            at = self._known(data, view, starts, sizes)
+            return gather(self.ids, self.starts[at], self.lengths[at]), self.lengths[at].astype(np.int64)
+        short = np.flatnonzero(sizes <= LONGEST)
+        at = self._known(data, view, starts[short], sizes[short])
+        first, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        first[short], n[short] = self.starts[at], self.lengths[at]
+        words = [data[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        nth = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        ids, counts = self.make(list(nth))
+        of = np.fromiter((nth[w] for w in words), np.int64, len(words))
+        first[long], n[long] = self.used + (np.cumsum(counts) - counts)[of], counts[of]
+        return gather(np.concatenate([self.ids[: self.used], ids]), first, n), n
