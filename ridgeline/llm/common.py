@@ -13,28 +13,45 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ridgeline.shipping import ship
 
-#: A table of at most so many rows of a few numbers may be broadcast (about 16 bytes a row).
-BROADCAST_ROWS = 1_000_000
+#: A table of at most so many bytes, measured on its rows, may be broadcast.
+BROADCAST_BYTES = 48 << 20
+#: A key is hot that more rows have than this, and than one row in HOT_SHARE; there are fewer than HOT_SHARE hot keys.
+HOT_ROWS, HOT_SHARE = 2_000, 20_000
+#: Deletes the files of a query's shuffles when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Bytes of text that one step of a Python operator holds at once (a longer text is one step of its own).
 STEP_BYTES = 1 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; below the warehouse where the cluster names none."""
+    """The shared folder for intermediate tables. Only a session on one machine may leave it unset; it gets one below its warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+def materialize(df: DataFrame, name: str, *done: DataFrame | None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Tables ``done`` are deleted afterwards: ``df`` was the last to read them.
+    """
+    spark = df.sparkSession
+    path, kept = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, kept)
+    out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    for old in done:
+        discard(old)
     return out
 
 
@@ -58,14 +75,45 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return renamed.select(*[F.col(f"_{names.index(src)}").alias(dst) for dst, src in columns.items()])
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` (materialised, a few numbers a row) has at most ``rows`` rows."""
-    return df.count() <= rows
+def row_bytes(name: str, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 24
+    if isinstance(kind, T.StructType):
+        return sum((row_bytes(f"{name}.`{f.name}`", f.dataType) for f in kind), F.lit(8))
+    if isinstance(kind, T.ArrayType):
+        inner = 8 * (1 + len(kind.elementType) if isinstance(kind.elementType, T.StructType) else 1)
+        if isinstance(kind.elementType, T.StringType | T.BinaryType):
+            return F.coalesce(F.aggregate(name, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.octet_length(x), F.lit(0)) + 24), F.lit(0)) + 24
+        return F.coalesce(F.size(name), F.lit(0)) * inner + 24
+    return F.lit(8)
+
+
+def small(df: DataFrame, most: int | None = None) -> bool:
+    """Whether ``df`` (materialised) takes at most ``most`` bytes, summed over all its rows."""
+    total = df.agg(F.sum(sum((row_bytes(f"`{f.name}`", f.dataType) for f in df.schema), F.lit(16).cast("long")))).first()[0]
+    return (total or 0) <= (BROADCAST_BYTES if most is None else most)
 
 
 def join_small(left: DataFrame, right: DataFrame, on: Column | list[str] | str, how: str = "inner") -> DataFrame:
-    """Join that broadcasts ``right`` only if its row count is within bounds, and shuffles otherwise."""
-    return left.join(F.broadcast(right) if small(right) else right, on, how)
+    """Join that broadcasts ``right`` only if its measured bytes are within bounds, and merges otherwise."""
+    return left.join(F.broadcast(right) if small(right) else right.hint("merge"), on, how)
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join of ``left`` with ``right`` (materialised; one row a key; ``count``: rows that ``left`` has of it, about).
+
+    Fewer than HOT_SHARE keys are hot, so their rows of ``right`` are broadcast; the rest has no large group to shuffle.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    bound = max(HOT_ROWS, total // HOT_SHARE)
+    right, hot = right.drop(count), right.where(F.col(count) > bound).drop(count)
+    if not hot.limit(1).count():
+        return join_small(left, right, keys)
+    if small(right):
+        return left.join(F.broadcast(right), keys)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.hint("merge"), keys)
+    return left.join(F.broadcast(hot), keys).unionByName(rest)
 
 
 def hash_sample(df: DataFrame, keys: list[str], rows: int, most: int) -> DataFrame:

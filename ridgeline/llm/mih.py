@@ -1,14 +1,15 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
-A code of ``bits`` bits is cut into segments; each segment's values are an index over all codes. A search looks up
-the query's segments, then all values at distance 1 from them, then 2, and so on. When all m segments were searched
-up to radius r, every code within m (r + 1) - 1 bits was met: a code further than r from the query in each of
-its m segments differs in m (r + 1) bits or more. A query ends when its k-th verified distance is within
-that, so its result is exact; the others go on.
+A code of ``bits`` bits is cut into m segments; each segment's values are an index over all codes. A search looks up the
+query's own segments, then the values at distance 1 from one segment after another, then those at distance 2, and so on.
+When j segments were searched up to radius r and the others up to r - 1, every code within m r + j - 1 bits was met: one
+further off differs from the query in more than r bits of each of those j segments and in r or more of each other. A query
+ends when its k-th verified distance is within that, so its result is exact; the others go on.
 
-Equal codes are one entry with their count and their k least ids (ties go to the least id), and equal queries are one
-search, so copies cost nothing. Neighbouring values are made once for each distinct segment value of the queries. A
-code is verified once, at the first segment that reaches it.
+The number of segments follows from the number of codes, so that a value has about BUCKET of them however many there are.
+The codes of a value are one row with an array (several rows beyond CHUNK codes); a looked-up row is verified inside the
+array and gives at most k codes, none further off than the k-th found so far. So rows count look-ups and not pairs. Equal
+codes are one entry with their k least ids (ties go to the least id), and equal queries are one search.
 
 Defined results: a row whose vector is null, empty or of another length than ``bits`` has no code and is neither found
 nor searched; rows with equal ids are found as rows of their own; fewer than k rows give fewer results; null ids sort
@@ -18,13 +19,14 @@ first and are no queries; other columns are ignored; an empty table gives an emp
 from __future__ import annotations
 
 from itertools import combinations
+from math import log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import discard, join_small, materialize, pick
+from ridgeline.llm.common import join_small, materialize, pick
 
-K, BITS, SEGMENTS = 10, 64, 4
+K, BITS, BUCKET, CHUNK = 10, 64, 128, 1024
 
 
 def sign_code(vector: str, bits: int = BITS) -> Column:
@@ -34,63 +36,81 @@ def sign_code(vector: str, bits: int = BITS) -> Column:
     return F.expr(f"case when size({vector}) = {bits} then {folded} end")
 
 
-def top_k(df: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, segments: int = SEGMENTS, id_col: str = "id", code_col: str = "code") -> DataFrame:
+def segments_for(codes: int, bits: int) -> int:
+    """Segments so narrow that each value of one has about BUCKET codes."""
+    width = min(bits, max(8, round(log2(max(1, codes) / BUCKET))))
+    return -(-bits // width)
+
+
+def top_k(df: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, segments: int | None = None, id_col: str = "id", code_col: str = "code") -> DataFrame:
     """(query_id, rank from 1, id, distance): the k rows of ``df`` nearest to each row of ``queries`` by Hamming distance, ties by id.
 
-    Both have an id and a code of up to 64 bits as a long.
+    Both have an id and a code of up to 64 bits as a long. ``segments``: chosen by the number of codes if not given.
     """
-    width = -(-bits // segments)
-    cuts = [(j * width, min(bits, (j + 1) * width)) for j in range(segments) if j * width < bits]
-    m = len(cuts)
     first_ids = Window.partitionBy("code").orderBy(F.col("id").asc_nulls_first())
     rows = pick(df, id=id_col, code=code_col).where("code is not null").withColumn("nth", F.row_number().over(first_ids)).where(F.col("nth") <= k)
     codes = materialize(rows.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
     asked = materialize(pick(queries, query_id=id_col, code=code_col).where("code is not null and query_id is not null"), "queries")
+    n_codes, n_ids = codes.agg(F.count("*"), F.sum(F.size("ids"))).first()
+    enough = min(k, n_ids or 0)  # as many as there are to find
+
+    m = segments or segments_for(n_codes, bits)
+    width = -(-bits // m)
+    cuts = [(j * width, min(bits, (j + 1) * width)) for j in range(m) if j * width < bits]
+    m = len(cuts)
 
     def part(code: str, j: int) -> Column:
         low, high = cuts[j]
         return F.shiftrightunsigned(F.col(code), low).bitwiseAND(F.lit((1 << (high - low)) - 1))
 
-    index = materialize(codes.select("code", F.posexplode(F.array(*[part("code", j) for j in range(m)])).alias("segment", "value")), "index")
-    left = materialize(asked.select(F.col("code").alias("q")).distinct(), "open")
-    found: DataFrame | None = None
+    # one row for each value of a segment, or for each CHUNK of its codes
+    entry = F.struct("code", F.col("ids")[0].alias("id"))
+    index = codes.select(entry.alias("entry"), F.posexplode(F.array(*[part("code", j) for j in range(m)])).alias("segment", "value"))
+    filled = index.groupBy("segment", "value").agg((F.count("*") / CHUNK).cast("int").alias("more"))
+    crowded = materialize(filled.where("more > 0"), "crowded")
+    chunk = F.coalesce(F.pmod(F.xxhash64("entry.code"), F.col("more") + 1), F.lit(0))
+    index = join_small(index, crowded, ["segment", "value"], "left").groupBy("segment", "value", chunk.alias("chunk"))
+    index = materialize(index.agg(F.collect_list("entry").alias("entries")).drop("chunk"), "index", crowded)
+
+    # the k nearest of a row's codes, by distance, then least id
+    near = F.filter(F.transform("entries", lambda e: F.struct(F.bit_count(F.col("q").bitwiseXOR(e["code"])).alias("distance"), e["id"].isNotNull().alias("known"), e["id"].alias("id"), e["code"].alias("code"))), lambda e: e["distance"] <= F.col("bound"))
+    some = F.slice(F.array_sort(near), 1, k)
+    order = Window.partitionBy("q").orderBy("distance", "known", "id", "code")
+
+    left = materialize(asked.select(F.col("code").alias("q")).distinct().withColumn("bound", F.lit(bits)), "open")
+    best: DataFrame | None = None
     results: list[DataFrame] = []
-    for radius in range(width + 1):
-        if not left.limit(1).count():
-            break
-        parts = left.select("q", F.posexplode(F.array(*[part("q", j) for j in range(m)])).alias("segment", "wanted"))
-        near = parts.select("segment", "wanted").distinct().select("segment", "wanted", F.explode(masks(width, radius)).alias("mask"))
-        near = near.select("segment", "wanted", F.col("wanted").bitwiseXOR(F.col("mask")).alias("value"))
-        # merge joins: these rows compress so well that their shuffled size would call for a broadcast of millions
-        reached = near.hint("merge").join(index, ["segment", "value"]).select("segment", "wanted", "code")
-        hits = parts.join(reached.hint("merge"), ["segment", "wanted"]).select("q", "segment", "code")
-        apart = F.array(*[F.bit_count(part("q", j).bitwiseXOR(part("code", j))) for j in range(m)])
-        hits = hits.withColumn("apart", apart)
-        # once: the segment is the first of the nearest ones
-        hits = hits.where((F.array_min("apart") == radius) & (F.array_position("apart", F.lit(radius).cast("int")) == F.col("segment") + 1))
-        hits = hits.select("q", "code", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"))
-        listed = hits.hint("merge").join(codes, "code").select("q", "distance", F.explode("ids").alias("id"))
-        best = (listed.unionByName(found) if found is not None else listed).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", F.col("id").asc_nulls_first())))
-        best = materialize(best.where(F.col("rank") <= k).select("q", "distance", "id"), "best")
-        covered = m * (radius + 1) - 1
-        proven = best.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") == k) & (F.col("far") <= covered)).select("q")
-        last = radius == width  # all values of all segments were looked up
-        done = left if last else materialize(proven, "proven")
-        results.append(best.join(done, "q", "left_semi"))
-        if last:
+    steps = [(0, range(m)), *((r, range(a, min(m, a + -(-m // 4)))) for r in range(1, width + 1) for a in range(0, m, -(-m // 4)))]
+    for radius, grown in steps:
+        if not enough or not left.limit(1).count():
             break
-        found = best.join(done, "q", "left_anti")
-        still = materialize(left.join(done, "q", "left_anti"), "open")
-        discard(left)
-        left = still
-    if not results:
+        parts = F.array(*[F.struct(F.lit(j).alias("segment"), part("q", j).alias("wanted")) for j in grown])
+        probes = left.select("q", "bound", F.inline(parts)).select("q", "bound", "segment", "wanted", F.explode(masks(width, radius)).alias("mask"))
+        probes = probes.select("q", "bound", "segment", F.col("wanted").bitwiseXOR(F.col("mask")).alias("value"))
+        hits = probes.join(index.hint("merge"), ["segment", "value"]).select("q", F.inline(some))
+        every = hits if best is None else hits.unionByName(best)
+        ranked = every.groupBy("q", "code").agg(F.first("distance").alias("distance"), F.first("known").alias("known"), F.first("id").alias("id"))
+        ranked = materialize(ranked.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).select("q", "code", "distance", "known", "id"), "best")
+        # ids that these codes have, and the distance that is sure to be enough
+        sums = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        reached = ranked.join(codes.select("code", F.size("ids").alias("n")), "code").withColumn("upto", sums)
+        far = materialize(reached.where(F.col("upto") >= enough).groupBy("q").agg(F.min("distance").alias("far")), "far")
+        covered = m * radius + grown[-1]
+        proven = far.where(F.col("far") <= covered).select("q")
+        results.append(materialize(ranked.join(proven, "q", "left_semi"), "found"))
+        open_ = left.join(proven, "q", "left_anti").join(far, "q", "left").select("q", F.coalesce("far", "bound").alias("bound"))
+        still = materialize(open_, "open", left, far)
+        best, left = materialize(ranked.join(still, "q", "left_semi"), "best", ranked, best), still
+    found = results[0] if results else None
+    for more in results[1:]:
+        found = found.unionByName(more)
+    if found is None:
         kind = df.schema[id_col].dataType
         return df.sparkSession.createDataFrame([], "query_id long, rank int, id long, distance int").withColumn("id", F.col("id").cast(kind)).withColumn("query_id", F.col("query_id").cast(kind))
-    every = results[0]
-    for more in results[1:]:
-        every = every.unionByName(more)
-    every = every.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", F.col("id").asc_nulls_first())))
-    return join_small(asked, materialize(every, "every"), asked.code == F.col("q")).select("query_id", "rank", "id", "distance")
+    listed = found.select("q", "code", "distance").join(codes, "code").select("q", "distance", F.explode("ids").alias("id"))
+    ranks = Window.partitionBy("q").orderBy("distance", F.col("id").asc_nulls_first())
+    ranked = materialize(listed.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k), "ranked", index, codes, best, left, *results)
+    return join_small(asked, ranked, asked.code == F.col("q")).select("query_id", "rank", "id", "distance")
 
 
 def masks(width: int, radius: int) -> Column:

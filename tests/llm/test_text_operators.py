@@ -208,6 +208,7 @@ def test_top_k_equals_brute_force(spark):
     few = spark.createDataFrame([(1, 5), (2, 9)], "id long, code long")
     assert top_k(few, few, k=10, bits=16).count() == 4
     assert top_k(df.limit(0), df.limit(0)).count() == 0
+    assert top_k(few.limit(0), few).count() == 0
 
 
 def test_language_evidence(spark):
