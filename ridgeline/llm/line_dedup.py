@@ -2,11 +2,11 @@
 
 A text is cut into lines: at line ends and after the end of a sentence. Every window of consecutive lines that holds
 ``min_words`` words selects its least line hash as a fingerprint, so a run of lines with that many words that two
-places share has a fingerprint in both. Positions of fingerprints are joined by hash; where one occurs twice, the
-match is extended both ways: the windows around the fingerprint, seen from their first and from their last line, are
-compared by content. A window whose content occurred before - in a document with a smaller id, or further up in
-the same one - belongs to a repeated run, and the run, which is the union of such windows, is deleted. Of each
-run the first occurrence stays.
+places share has a fingerprint in both. Positions of fingerprints are joined by hash; where one occurs twice, the match is
+extended both ways line by line: every window around the position, from its first line on to each last line that it can
+have, is compared by content. A window whose content occurred before - in a document with a smaller id, or further up in
+the same one - belongs to a repeated run, and the run, which is the union of such windows, is deleted. Of each run the
+first occurrence stays.
 
 Order of documents: id (null first), then the text's hash. Rows with the same id and text count as one document and
 get the same result. Defined results: a null text stays null, an empty one empty; blank lines hold no words, a match
@@ -14,9 +14,10 @@ looks past them, and those inside a deleted run go with it; lines are equal if t
 them; lines that repeat one another inside a document keep their first; a text of fewer than ``min_words`` words is
 left alone; a text may become empty; other columns are ignored; an empty table gives an empty table.
 
-Work is linear: a line makes one row, a window one row, and first places are aggregated before they are shuffled, so
-a passage that a third of all documents share costs its own rows and nothing more. Cutting texts, the first windows and
-the fingerprints touch all lines; contents are compared only in documents that share a fingerprint.
+Work is linear. A document is one row with arrays of its lines' hashes and words, and windows and their minima are found
+inside it; only fingerprints are shuffled, and of matched documents the windows around them. First places are aggregated
+before they are shuffled, and a content that very many windows have is joined by a bounded broadcast (``join_hot``), so a
+passage that a third of all documents share costs its own rows and nothing more.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import join_small, materialize, pick
+from ridgeline.llm.common import join_hot, join_small, materialize, pick
 
 #: Words that a run needs to be deleted; shorter repeats (headings, licence lines) stay.
 MIN_WORDS = 30
+#: Lines that most windows end within; the others are looked at again.
+SHORT = 6
 #: A line: up to a line end, or up to white space after the end of a sentence, with what ends it.
 LINE = r"(?s)[^\n]*?(?:\n|[.!?][ \t]+\n?|\z)"
 MARK = "\x01"
@@ -52,78 +55,90 @@ def lines_of(text: str) -> str:
     return f"if({is_even(text)}, split({marked}, {literal(MARK)}), regexp_extract_all(`{text}`, r'{LINE}', 0))"
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, th, first_line, last_line, n_lines, n_words) of the runs to delete. docs: id, text, th (the text's hash).
+def same_document(a: str, b: str) -> Column:
+    return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
 
-    Lines are written down once with the fingerprint of the window that starts at each. Only documents with a
-    fingerprint that occurs elsewhere go on to the comparison of contents.
+
+def line_arrays(docs: DataFrame, min_words: int) -> DataFrame:
+    """(id, th, pos, h, n, ends, at): arrays over the lines with words of each text.
+
+    pos: place among all lines; h: hash; n: words; ends: last line of the window that starts at each (their number where
+    too few words follow); at: place of that window's least hash, the leftmost (-1 where there is no window).
     """
-    cut = docs.where("text is not null").withColumn("copy", F.monotonically_increasing_id())
-    # trimmed inside the array: each line once, whatever reads it afterwards
-    trimmed = F.transform(F.expr(lines_of("text")), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")))
-    lines = cut.select("id", "th", "copy", F.posexplode(trimmed).alias("pos", "line")).where("line <> ''")
-    words = F.expr(f"if({is_even('line')}, length(line) - length(replace(line, ' ', '')) + 1, regexp_count(line, r'[^\\x20\\x09-\\x0D]+'))")
-    lines = lines.select("id", "th", "copy", "pos", F.xxhash64("line").alias("h"), words.cast("long").alias("n")).where("n > 0")
-
-    doc = Window.partitionBy("id", "th")
-    upto = doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead, back = doc.orderBy("s").rangeBetween(0, min_words - 1), doc.orderBy("e").rangeBetween(1 - min_words, 0)
-    lines = lines.repartition("id", "th").withColumn("_first", F.min("copy").over(doc)).where("copy = _first")  # rows with equal id and text: one
-    lines = lines.withColumn("e", F.sum("n").over(upto)).withColumn("s", F.col("e") - F.col("n"))
-    lines = lines.withColumn("_f", F.min(F.struct("h", "pos")).over(ahead)).withColumn("_whole", F.max("e").over(ahead) - F.col("s") >= min_words)
-    at = F.when(F.col("_whole"), F.col("_f.pos"))
-    lines = lines.select("id", "th", "pos", "h", "n", "s", at.alias("at"), F.when(F.col("_whole"), F.col("_f.h")).alias("_h"))
-    new = F.coalesce(F.col("at") != F.lag("at").over(doc.orderBy("s")), F.lit(True))
-    lines = materialize(lines.select("id", "th", "pos", "h", "n", F.col("at"), F.when(new, F.col("_h")).alias("f")), "lines")
-
-    # positions of fingerprints that occur elsewhere too
-    picked = lines.where("f is not null").select(F.col("f"), "id", "th", "at")
-    place = F.struct("id", "th", "at")
-    shared = materialize(picked.groupBy("f").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("f"), "shared")
-    matched = materialize(join_small(picked, shared, "f", "left_semi").select("id", "th", "at").distinct(), "matched")
-    touched = materialize(matched.select("id", "th").distinct(), "touched")
-
-    l, t = lines.alias("l"), touched.alias("t")
-    same = F.col("l.id").eqNullSafe(F.col("t.id")) & (F.col("l.th") == F.col("t.th"))
-    near = join_small(l, t, same, "left_semi").select("id", "th", "pos", "h", "n", "at")
-    n, m = near.repartition("id", "th").alias("n"), matched.alias("m")
-    same = F.col("n.id").eqNullSafe(F.col("m.id")) & (F.col("n.th") == F.col("m.th")) & (F.col("n.at") == F.col("m.at"))
-    near = n.join(m, same, "left").select("n.id", "n.th", "pos", "h", "n.n", F.col("m.at").isNotNull().alias("met"))
-    near = near.withColumn("e", F.sum("n").over(upto)).withColumn("s", F.col("e") - F.col("n"))
-
-    def window(over, met: Column) -> Column:
-        """Content (two hashes) and extent of the window of each line; null where its fingerprint occurs nowhere else."""
-        inside = F.collect_list("h").over(over)
-        return F.struct(F.when(met, F.xxhash64(inside)).alias("c1"), F.when(met, F.xxhash64(F.lit(1), inside)).alias("c2"), F.min("s").over(over).alias("from"), F.max("e").over(over).alias("to"))
-
-    # a window seen from its last line starts with a line whose own window lies inside it
-    both = near.select("id", "th", "pos", "n", "s", window(ahead, F.col("met")).alias("a"), window(back, F.first("met").over(back)).alias("b"))
-    both = materialize(both, "windows")
-    windows = both.select("id", "th", F.expr("inline(array(a, b))")).where(F.expr(f"c1 is not null and `to` - `from` >= {min_words}"))
+    cut = docs.where("text is not null").select("id", "th", F.expr(is_even("text")).alias("even"), F.expr(lines_of("text")).alias("cut"))
+    placed = F.transform("cut", lambda x, i: F.struct(i.alias("pos"), F.btrim(x, F.lit(" \t\n\x0b\x0c\r")).alias("line")))
+    cut = cut.select("id", "th", "even", F.filter(placed, lambda x: x["line"] != "").alias("cut"))
+    lone = F.transform("cut", lambda x: F.octet_length(x["line"]) - F.octet_length(F.replace(x["line"], F.lit(" "), F.lit(""))) + 1)
+    counted = F.transform("cut", lambda x: F.regexp_count(x["line"], F.lit(r"[^\x20\x09-\x0D]+")))
+    lines = cut.select("id", "th", "cut", F.when(F.col("even"), lone).otherwise(counted).alias("n"))
+    lines = lines.select("id", "th", F.expr("cut.pos").alias("pos"), F.transform("cut", lambda x: F.xxhash64(x["line"])).alias("h"), "n")
+    # lines * base + words of as many lines as are needed
+    base = 4 * min_words
+    fold = f"aggregate(slice(n, i + 1, {{}}), 0, (a, w) -> if(a % {base} >= {min_words}, a, a + {base} + least(w, {min_words})))"
+    reach = F.expr(f"transform(n, (x, i) -> {fold.format(SHORT)})")
+    lines = lines.select("*", reach.alias("_r"))
+    again = f"transform(_r, (r, i) -> if(r % {base} >= {min_words} or i + {SHORT} >= size(n), r, {fold.format(min_words)}))"
+    lines = lines.select("id", "th", "pos", "h", "n", F.expr(f"if(exists(_r, r -> r % {base} < {min_words}), {again}, _r)").alias("_r"))
+    ends = F.expr(f"transform(_r, (r, i) -> if(r % {base} >= {min_words}, i + r div {base} - 1, size(n)))")
+    lines = lines.select("id", "th", "pos", "h", "n", F.transform(ends, lambda e: e.cast("int")).alias("ends"))
+    least = "array_position(slice(h, i + 1, e - i + 1), array_min(slice(h, i + 1, e - i + 1)))"
+    return lines.select("*", F.expr(f"transform(ends, (e, i) -> if(e < size(n), cast(i + {least} - 1 as int), -1))").alias("at"))
+
+
+def repeated_runs(lines: DataFrame) -> DataFrame:
+    """(id, th, runs array<struct<a, b>>) of line_arrays() (materialised): first and last line of each run to delete, in order."""
+    # fingerprints, with the first and the last window start that selects each
+    first = "filter(transform(at, (a, i) -> if(a >= 0 and (i = 0 or at[i - 1] <> a), i, -1)), i -> i >= 0)"
+    chosen = lines.select("id", "th", "h", "at", F.expr(first).alias("lo"), F.expr(first.replace("(i = 0 or at[i - 1] <> a)", "(i = size(at) - 1 or at[i + 1] <> a)")).alias("hi"))
+    picked = chosen.select("id", "th", F.expr("inline(transform(lo, (x, k) -> struct(h[at[x]] as f, x as lo, hi[k] as hi)))"))
+    place = F.xxhash64("id", "th", "lo")
+    shared = picked.groupBy("f").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("k")).where("a <> b")
+    shared = materialize(shared.select("f", "k"), "shared")
+    matched = join_hot(picked, shared, ["f"], "k").groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("met"))
+    matched = materialize(matched, "matched", shared)
+
+    # windows around matched positions: from each start, with each last line up to where the next start's window ends
+    near = join_small(lines.select("id", "th", "h", "ends").alias("l"), matched.alias("m"), same_document("l", "m")).select("l.id", "l.th", "h", "ends", "met")
+    lasts = "sequence(ends[i], greatest(ends[i], coalesce(get(ends, i + 1), size(ends)) - 1))"
+    windows = F.expr(f"flatten(transform(flatten(transform(met, m -> sequence(m.lo, m.hi))), i -> transform({lasts}, e -> struct(i as `from`, e as `to`))))")
+    inside = "slice(h, w.`from` + 1, w.`to` - w.`from` + 1)"
+    windows = near.select("id", "th", "h", windows.alias("windows"))
+    windows = windows.select("id", "th", F.expr(f"inline(transform(windows, w -> struct(xxhash64({inside}) as c1, xxhash64(1, {inside}) as c2, w.`from` as `from`, w.`to` as `to`)))"))
+    windows = materialize(windows, "windows", matched)
     start = F.struct("id", "th", "from")
-    first = windows.groupBy("c1", "c2").agg(F.min(start).alias("first"), F.max(start).alias("last")).where("first <> last").select("c1", "c2", "first")
-    repeats = windows.join(first, ["c1", "c2"]).where("struct(id, th, `from`) > first").select("id", "th", "from", "to").distinct()
+    first = windows.groupBy("c1", "c2").agg(F.min(start).alias("first"), F.max(start).alias("last"), F.count("*").alias("k")).where("first <> last")
+    first = materialize(first.select("c1", "c2", "first", "k"), "first")
+    repeats = join_hot(windows, first, ["c1", "c2"], "k").where("struct(id, th, `from`) > first").select("id", "th", "from", "to")
 
-    # a line is in a repeated window if one that starts at or before it reaches beyond its start
-    marks = both.select("id", "th", "pos", "n", F.col("s").alias("at"), F.lit(None).cast("long").alias("to"))
-    marks = marks.unionByName(repeats.select("id", "th", F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("n"), F.col("from").alias("at"), "to"))
-    sofar = doc.orderBy("at", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marks = marks.withColumn("gone", F.coalesce(F.max("to").over(sofar) > F.col("at"), F.lit(False))).where("pos >= 0")
-    runs = marks.withColumn("run", F.sum(F.when(F.col("gone"), 0).otherwise(1)).over(sofar))
-    return runs.where("gone").groupBy("id", "th", "run").agg(F.min("pos").alias("first_line"), F.max("pos").alias("last_line"), F.count("*").alias("n_lines"), F.sum("n").alias("n_words")).drop("run")
+    # runs: windows that overlap or adjoin
+    doc = Window.partitionBy("id", "th").orderBy("from", "to")
+    gap = F.col("from") > F.max("to").over(doc.rowsBetween(Window.unboundedPreceding, -1)) + 1
+    runs = repeats.withColumn("_new", F.when(F.coalesce(gap, F.lit(True)), 1).otherwise(0))
+    runs = runs.withColumn("run", F.sum("_new").over(doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = runs.groupBy("id", "th", "run").agg(F.min("from").alias("a"), F.max("to").alias("b"))
+    runs = runs.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"))
+    return materialize(runs, "repeats", windows, first)
 
 
 def runs_by_document(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, runs array<struct<first_line, last_line>>, removed_lines, removed_words) of the documents with repeated runs."""
     docs = pick(df, id=id_col, text=text_col).withColumn("th", F.xxhash64("text"))
-    runs = repeated_runs(docs, min_words).groupBy("id", "th")
-    runs = runs.agg(F.sort_array(F.collect_list(F.struct("first_line", "last_line"))).alias("runs"), F.sum("n_lines").alias("removed_lines"), F.sum("n_words").alias("removed_words"))
-    return materialize(runs, "runs")
+    lines = materialize(line_arrays(docs, min_words), "lines")
+    runs = repeated_runs(lines)
+    found = join_small(lines.select("id", "th", "pos", "n").alias("l"), runs.alias("r"), same_document("l", "r")).select("l.id", "l.th", "pos", "n", "runs")
+    found = found.select(
+        "id", "th", F.expr("transform(runs, r -> struct(pos[r.a] as first_line, pos[r.b] as last_line))").alias("runs"),
+        F.expr("aggregate(runs, 0L, (s, r) -> s + r.b - r.a + 1)").alias("removed_lines"),
+        F.expr("aggregate(runs, 0L, (s, r) -> s + aggregate(slice(n, r.a + 1, r.b - r.a + 1), 0L, (t, w) -> t + w))").alias("removed_words"),
+    )
+    return materialize(found.dropDuplicates(["id", "th"]), "runs", lines, runs)
 
 
 def without_runs(text: str = "text", runs: str = "runs") -> Column:
     """The text in column ``text`` without the lines of ``runs`` (null: all lines stay)."""
-    left = f"concat_ws('', filter({lines_of(text)}, (x, i) -> not exists(`{runs}`, r -> i between r.first_line and r.last_line)))"
+    start = f"if(i = 0, 0, `{runs}`[i - 1].last_line + 1)"
+    length = f"if(i = size(`{runs}`), size(l), `{runs}`[i].first_line) - {start}"
+    left = f"transform(array({lines_of(text)}), l -> concat_ws('', flatten(transform(sequence(0, size(`{runs}`)), i -> slice(l, {start} + 1, {length})))))[0]"
     return F.when(F.col(runs).isNull(), F.col(text)).otherwise(F.expr(left))
 
 
