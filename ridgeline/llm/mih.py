@@ -24,7 +24,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import join_small, materialize, pick
+from ridgeline.llm.common import discard, join_small, materialize, pick
 
 K, BITS, BUCKET, CHUNK = 10, 64, 128, 1024
 
@@ -64,7 +64,7 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, segme
         return F.shiftrightunsigned(F.col(code), low).bitwiseAND(F.lit((1 << (high - low)) - 1))
 
     # one row for each value of a segment, or for each CHUNK of its codes
-    entry = F.struct("code", F.col("ids")[0].alias("id"))
+    entry = F.struct("code", F.col("ids")[0].alias("id"), F.size("ids").alias("n"))
     index = codes.select(entry.alias("entry"), F.posexplode(F.array(*[part("code", j) for j in range(m)])).alias("segment", "value"))
     filled = index.groupBy("segment", "value").agg((F.count("*") / CHUNK).cast("int").alias("more"))
     crowded = materialize(filled.where("more > 0"), "crowded")
@@ -72,45 +72,56 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, segme
     index = join_small(index, crowded, ["segment", "value"], "left").groupBy("segment", "value", chunk.alias("chunk"))
     index = materialize(index.agg(F.collect_list("entry").alias("entries")).drop("chunk"), "index", crowded)
 
-    # the k nearest of a row's codes, by distance, then least id
-    near = F.filter(F.transform("entries", lambda e: F.struct(F.bit_count(F.col("q").bitwiseXOR(e["code"])).alias("distance"), e["id"].isNotNull().alias("known"), e["id"].alias("id"), e["code"].alias("code"))), lambda e: e["distance"] <= F.col("bound"))
-    some = F.slice(F.array_sort(near), 1, k)
-    order = Window.partitionBy("q").orderBy("distance", "known", "id", "code")
+    def ranked(e: Column) -> Column:
+        """An entry by distance, then least id (null first)."""
+        apart = F.bit_count(F.col("q").bitwiseXOR(e["code"]))
+        return F.struct(apart.alias("distance"), e["id"].isNotNull().alias("known"), e["id"].alias("id"), e["code"].alias("code"), e["n"].alias("n"))
 
-    left = materialize(asked.select(F.col("code").alias("q")).distinct().withColumn("bound", F.lit(bits)), "open")
-    best: DataFrame | None = None
-    results: list[DataFrame] = []
-    steps = [(0, range(m)), *((r, range(a, min(m, a + -(-m // 4)))) for r in range(1, width + 1) for a in range(0, m, -(-m // 4)))]
-    for radius, grown in steps:
-        if not enough or not left.limit(1).count():
+    # the k nearest of a looked-up row's codes; of all that a query met; and the distance within which there are enough ids
+    some = F.slice(F.array_sort(F.filter(F.transform("entries", ranked), lambda e: e["distance"] <= F.col("far"))), 1, k)
+    order = Window.partitionBy("q").orderBy("distance", "known", "id", "code")
+    state = asked.select(F.col("code").alias("q")).distinct().withColumn("far", F.lit(bits)).withColumn("best", F.array().cast("array<" + _kind(codes) + ">"))
+    state, results = materialize(state, "open"), []
+    radius, grown, covered = 0, 0, -1
+    while enough:
+        n_open, nearest = state.where(f"far > {covered}").agg(F.count("*"), F.min("far")).first()
+        if not n_open:
             break
-        parts = F.array(*[F.struct(F.lit(j).alias("segment"), part("q", j).alias("wanted")) for j in grown])
-        probes = left.select("q", "bound", F.inline(parts)).select("q", "bound", "segment", "wanted", F.explode(masks(width, radius)).alias("mask"))
-        probes = probes.select("q", "bound", "segment", F.col("wanted").bitwiseXOR(F.col("mask")).alias("value"))
+        if grown == m:
+            radius, grown = radius + 1, 0
+        # no query ends before its nearest bound is covered; bounds fall, so go half the way
+        more = m if not radius else max(1, min(m - grown, (nearest - covered + 1) // 2))
+        left = state.where(f"far > {covered}")
+        parts = F.array(*[F.struct(F.lit(j).alias("segment"), part("q", j).alias("wanted")) for j in range(grown, grown + more)])
+        probes = left.select("q", "far", F.inline(parts)).select("q", "far", "segment", "wanted", F.explode(masks(width, radius)).alias("mask"))
+        probes = probes.select("q", "far", "segment", F.col("wanted").bitwiseXOR(F.col("mask")).alias("value"))
         hits = probes.join(index.hint("merge"), ["segment", "value"]).select("q", F.inline(some))
-        every = hits if best is None else hits.unionByName(best)
-        ranked = every.groupBy("q", "code").agg(F.first("distance").alias("distance"), F.first("known").alias("known"), F.first("id").alias("id"))
-        ranked = materialize(ranked.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).select("q", "code", "distance", "known", "id"), "best")
-        # ids that these codes have, and the distance that is sure to be enough
-        sums = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        reached = ranked.join(codes.select("code", F.size("ids").alias("n")), "code").withColumn("upto", sums)
-        far = materialize(reached.where(F.col("upto") >= enough).groupBy("q").agg(F.min("distance").alias("far")), "far")
-        covered = m * radius + grown[-1]
-        proven = far.where(F.col("far") <= covered).select("q")
-        results.append(materialize(ranked.join(proven, "q", "left_semi"), "found"))
-        open_ = left.join(proven, "q", "left_anti").join(far, "q", "left").select("q", F.coalesce("far", "bound").alias("bound"))
-        still = materialize(open_, "open", left, far)
-        best, left = materialize(ranked.join(still, "q", "left_semi"), "best", ranked, best), still
-    found = results[0] if results else None
-    for more in results[1:]:
-        found = found.unionByName(more)
-    if found is None:
+        hits = hits.unionByName(left.select("q", F.inline("best"))).groupBy("q", "code").agg(*[F.first(c).alias(c) for c in ("distance", "known", "id", "n")])
+        hits = hits.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
+        hits = hits.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("distance", "known", "id", "code", "n"))).alias("best"))
+        upto = F.expr(f"aggregate(best, named_struct('n', 0, 'far', {bits}), (a, e) -> named_struct('n', a.n + e.n, 'far', if(a.n < {enough}, e.distance, a.far)), a -> if(a.n < {enough}, {bits}, a.far))")
+        new = left.select("q", F.col("far").alias("was"), F.col("best").alias("had")).join(hits, "q", "left")
+        new = new.select("q", F.coalesce("best", "had").alias("best"), F.col("was")).select("q", F.least("was", upto).alias("far"), "best")
+        results.append(state)
+        state, grown = materialize(new, "open"), grown + more
+        covered = m * radius + grown - 1
+        results[-1] = materialize(results[-1].where(f"far <= {done}"), "found", results[-1]) if (done := covered - more) >= 0 else discard(results[-1])
+    results = [r for r in [*results, state if enough else None] if r is not None]
+    if not results:
         kind = df.schema[id_col].dataType
         return df.sparkSession.createDataFrame([], "query_id long, rank int, id long, distance int").withColumn("id", F.col("id").cast(kind)).withColumn("query_id", F.col("query_id").cast(kind))
-    listed = found.select("q", "code", "distance").join(codes, "code").select("q", "distance", F.explode("ids").alias("id"))
+    found = results[0]
+    for more in results[1:]:
+        found = found.unionByName(more)
+    listed = found.select("q", F.inline("best")).select("q", "code", "distance").join(codes, "code").select("q", "distance", F.explode("ids").alias("id"))
     ranks = Window.partitionBy("q").orderBy("distance", F.col("id").asc_nulls_first())
-    ranked = materialize(listed.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k), "ranked", index, codes, best, left, *results)
-    return join_small(asked, ranked, asked.code == F.col("q")).select("query_id", "rank", "id", "distance")
+    answers = materialize(listed.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k), "ranked", index, codes, *results)
+    return join_small(asked, answers, asked.code == F.col("q")).select("query_id", "rank", "id", "distance")
+
+
+def _kind(codes: DataFrame) -> str:
+    """Type of a ranked entry."""
+    return f"struct<distance:int,known:boolean,id:{codes.schema['ids'].dataType.elementType.simpleString()},code:bigint,n:int>"
 
 
 def masks(width: int, radius: int) -> Column:
