@@ -100,20 +100,17 @@ def join_small(left: DataFrame, right: DataFrame, on: Column | list[str] | str,
     return left.join(F.broadcast(right) if small(right) else right.hint("merge"), on, how)
 
 
-def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """Inner join of ``left`` with ``right`` (materialised; one row a key; ``count``: rows that ``left`` has of it, about).
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """Inner or left join with ``right`` (materialised; one row a key; ``count``: rows that ``left`` has of it, about).
 
     Fewer than HOT_SHARE keys are hot, so their rows of ``right`` are broadcast; the rest has no large group to shuffle.
     """
-    total = right.agg(F.sum(count)).first()[0] or 0
-    bound = max(HOT_ROWS, total // HOT_SHARE)
-    right, hot = right.drop(count), right.where(F.col(count) > bound).drop(count)
-    if not hot.limit(1).count():
-        return join_small(left, right, keys)
     if small(right):
-        return left.join(F.broadcast(right), keys)
-    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.hint("merge"), keys)
-    return left.join(F.broadcast(hot), keys).unionByName(rest)
+        return left.join(F.broadcast(right.drop(count)), keys, how)
+    bound = max(HOT_ROWS, (right.agg(F.sum(count)).first()[0] or 0) // HOT_SHARE)
+    right, hot = right.drop(count), F.broadcast(right.where(F.col(count) > bound).drop(count))
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.hint("merge"), keys, how)
+    return left.join(hot, keys).unionByName(rest)
 
 
 def hash_sample(df: DataFrame, keys: list[str], rows: int, most: int) -> DataFrame:

@@ -1,22 +1,25 @@
-"""N-gram Jaccard join: sets of word n-grams that are alike, found by group counts and verified exactly.
+"""N-gram Jaccard join: sets of word n-grams that are alike, found by a tree over group counts and verified exactly.
 
-Sets. A text's n-grams are hashed to 64 bits; equal sets become one node, named by a hash of the set.
-
-Groups. Every hash belongs to one of B groups. Two sets of at most U elements that reach the wanted similarity differ
-in at most D = 2U (q - p) / (q + p) elements (p / q is the similarity), so at most D groups differ. If one of the
-sets fills more than D groups, a filled group holds the same elements on both sides. A group's content is hashed to a
-signature; sets that share one meet in a bucket, all others cannot be alike. B is so much larger than D that a set
-fills more than D groups but once in a million; the few that don't meet in a bucket of their own as well. U grows in
-steps, so B follows the sets' sizes; a set signs for its own step and for the next ones that partners can be in.
+Sets. A text's n-grams are hashed to 64 bits; equal sets become one node, named by 128 bits of hashes of the set.
 
 Count-vector R-tree. Each set is also a point: the counts of its elements in WIDTH groups. The overlap of two sets is
-at most the sum of their coordinates' minima; for a box of points, of the minima with its upper corner. In each bucket
-the points are packed to an R-tree and every set searches it with that bound; what is left is verified on whole sets.
-
-Each set is first verified against one partner, the least that its buckets have, then against one of each component it
-still shares a bucket with, so a group of near copies costs its size. Only buckets whose sets are in different
-components afterwards are searched in full, for pairs of different components. Every link joins two sets of one
-bucket, so the components are exact; no bucket, partner list or candidate list is capped.
+at most the sum of their coordinates' minima; for a box of points, of the minima with its upper corner. Points are packed
+by size, then counts, to leaves and the leaves to levels of boxes; every set searches the tree with that bound, and what
+it finds is verified on whole sets. All links come from these searches.
+
+Spreading the tree. One tree over all sets would not fit a machine, and boxes of unrelated points in many dimensions
+overlap, so sets that can't be alike are kept in trees of their own. Every element belongs to one of B finer groups. Two
+sets of at most U elements that reach the wanted similarity differ in at most D = 2U (q - p) / (q + p) elements (p / q is the
+similarity), so at most D groups differ; if one of the sets fills more than D groups, a filled group holds the same
+elements on both sides. A group's content is hashed to a signature, and sets that share one meet in the tree of the
+least set that has it. B is so much larger than D that a set fills more than D groups but once in a million; the few
+that don't meet by a signature of their own. U grows in steps, so B follows the sets' sizes; a set signs for its own
+step and for the next ones that partners can be in.
+
+Cells. A tree holds at most about CELL_SETS sets and CELL_ELEMENTS elements; a larger one is cut to chunks by a hash.
+In a cell, a set is not held against those it is already connected with, so a group of near copies costs its size. Where
+a tree was cut and its sets are in several components afterwards, those outside its largest component search all
+its chunks, cell by cell. Every link joins two sets of one tree, so components are exact; nothing is capped.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing; with fewer words
 than n the whole sequence is one n-gram; equal sets are linked; rows with the same id are handled row by
@@ -27,18 +30,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import batched
 from math import lgamma, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import connected_components, discard, join_small, map_steps, materialize, pick, step_batches
+from ridgeline.llm.common import connected_components, join_hot, join_small, map_steps, materialize, pick, step_batches
 from ridgeline.llm.words import U64, constants, eights, mixed, word_hash, words_of
 
 WIDTH, LEAF = 256, 16
+#: Sets and elements (8 bytes each) that one task holds at once, about; a pair of sets is held whatever its size.
+CELL_SETS, CELL_ELEMENTS = 2048, 4_000_000
 GRAM_SEED = 0x2545F491_4F6CDD1D
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -72,10 +76,11 @@ def gram_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[new], np.bincount(of[new], minlength=len(texts))
 
 
-def node_names(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set, as signed numbers; 0 for empty sets."""
-    sums = segment_sums(mixed(grams ^ U64(0xA5A5A5A5_5A5A5A5A)), counts)
-    return np.where(counts > 0, mixed(sums + counts.astype(U64)), U64(0)).view(np.int64)
+def node_names(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Of each set, 64 bits as a signed number and all 128 bits of its name; zeros for empty sets."""
+    halves = [segment_sums(mixed(grams ^ U64(seed)), counts) for seed in (0xA5A5A5A5_5A5A5A5A, 0x3C6EF372_FE94F82B)]
+    halves = [np.where(counts > 0, mixed(h + counts.astype(U64)), U64(0)) for h in halves]
+    return halves[0].view(np.int64), [x.tobytes() for x in np.stack(halves, axis=1)]
 
 
 def segment_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -154,33 +159,68 @@ def needed(a: np.ndarray, b: np.ndarray, p: int, q: int) -> np.ndarray:
 
 
 class RTree:
-    """Points packed by size, then by their largest coordinates' order, to leaves of LEAF with their upper corners."""
+    """Points packed by size, then by their most varied coordinates, to boxes of LEAF with their upper corners, level on level."""
 
     def __init__(self, at: np.ndarray, sizes: np.ndarray):
         spread = at.var(axis=0).argsort()[::-1][:2]
         self.order = np.lexsort((at[:, spread[1]], at[:, spread[0]], sizes))
         self.at, self.sizes = at[self.order], sizes[self.order]
-        cuts = np.arange(0, len(at), LEAF)
-        self.upper = np.maximum.reduceat(self.at, cuts, axis=0)
-        self.least, self.most = np.minimum.reduceat(self.sizes, cuts), np.maximum.reduceat(self.sizes, cuts)
+        self.levels = [(self.at, self.sizes, self.sizes)]  # points, leaves, boxes of leaves and so on
+        while len(self.levels[-1][0]) > LEAF:
+            upper, least, most = self.levels[-1]
+            cuts = np.arange(0, len(upper), LEAF)
+            self.levels.append((np.maximum.reduceat(upper, cuts, axis=0), np.minimum.reduceat(least, cuts), np.maximum.reduceat(most, cuts)))
 
     def search(self, at: np.ndarray, size: int, p: int, q: int) -> np.ndarray:
         """Indices of points that the bound does not rule out as partners."""
-        bound = np.minimum(self.upper, at).sum(axis=1)
-        leaves = np.flatnonzero((bound >= needed(size, self.least, p, q)) & (self.most * q >= size * p) & (self.least * p <= size * q))
-        rows = (leaves[:, None] * LEAF + np.arange(LEAF)).ravel()
-        rows = rows[rows < len(self.at)]
-        rows = rows[np.minimum(self.at[rows], at).sum(axis=1) >= needed(size, self.sizes[rows], p, q)]
+        rows = np.arange(len(self.levels[-1][0]))
+        for depth in range(len(self.levels) - 1, -1, -1):
+            upper, least, most = self.levels[depth]
+            rows = rows[(most[rows] * q >= size * p) & (least[rows] * p <= size * q)]
+            rows = rows[np.minimum(upper[rows], at).sum(axis=1) >= needed(size, least[rows], p, q)]
+            if depth:
+                rows = (rows[:, None] * LEAF + np.arange(LEAF)).ravel()
+                rows = rows[rows < len(self.levels[depth - 1][0])]
         return self.order[rows]
 
 
-def cross_pairs(nodes: np.ndarray, components: np.ndarray, at: np.ndarray, sizes: np.ndarray, p: int, q: int) -> Iterator[tuple[int, int]]:
-    """Pairs of a bucket in different components that the bound leaves, each once."""
-    tree = RTree(at, sizes)
-    for i in range(len(nodes)):
-        found = tree.search(at[i], int(sizes[i]), p, q)
-        for j in found[(components[found] != components[i]) & (nodes[found] > nodes[i])].tolist():
-            yield int(nodes[i]), int(nodes[j])
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Elements that two sorted sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum())
+
+
+def cell_links(cell: pa.Table, p: int, q: int, every: bool) -> tuple[list[bytes], list[bytes]]:
+    """Links of one cell: of its searching sets (``query``) with those in its tree (``stored``).
+
+    Each pair is looked at once, unless its sets are in one component already; ``every``: all pairs. Columns: node, component,
+    outer (the set searches, here or in another cell), query, stored, n, elements.
+    """
+    sizes = cell.column("n").to_numpy()
+    sets = [np.frombuffer(x, "<u8") for x in cell.column("elements").to_pylist()]
+    nodes = cell.column("node").to_pylist()
+    at = points(np.concatenate(sets), sizes).astype(np.int32)
+    outer, query, stored = (cell.column(c).to_numpy(zero_copy_only=False) for c in ("outer", "query", "stored"))
+    rank = np.empty(len(nodes), np.int64)
+    rank[sorted(range(len(nodes)), key=nodes.__getitem__)] = np.arange(len(nodes))
+    _, component = np.unique(np.array([c.hex() for c in cell.column("component").to_pylist()]), return_inverse=True)
+    kept = np.flatnonzero(stored)
+    tree = RTree(at[kept], sizes[kept])
+    a, b = [], []
+    for i in np.flatnonzero(query).tolist():
+        found = kept[tree.search(at[i], int(sizes[i]), p, q)]
+        found = found[~outer[found] | (rank[found] > rank[i])]
+        if not every:  # likely partners first
+            found = found[np.argsort(-np.minimum(at[found], at[i]).sum(axis=1), kind="stable")]
+        for j in found.tolist():
+            if (every or component[i] != component[j]) and overlap(sets[i], sets[j]) >= needed(int(sizes[i]), int(sizes[j]), p, q):
+                a.append(nodes[i])
+                b.append(nodes[j])
+                if not every:
+                    component[component == component[j]] = component[i]
+    return a, b
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -199,141 +239,125 @@ def similar_components(df: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_
 
     def name(batch: pa.RecordBatch) -> pa.RecordBatch:
         grams, counts = gram_sets(_texts(batch), n)
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(node_names(grams, counts), pa.int64())], names=["id", "n", "node"])
+        half, node = node_names(grams, counts)
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(half, pa.int64()), pa.array(node, pa.binary())], names=["id", "n", "half", "node"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in step_batches(batches, "text"):
             grams, counts = gram_sets(_texts(batch), n)
-            nodes = node_names(grams, counts)
-            fresh = np.array([not (c == 0 or x in seen or seen.add(x)) for x, c in zip(nodes.tolist(), counts.tolist(), strict=True)], bool)
+            half, _ = node_names(grams, counts)
+            fresh = np.array([not (c == 0 or x in seen or seen.add(x)) for x, c in zip(half.tolist(), counts.tolist(), strict=True)], bool)
             grams = grams[np.repeat(fresh, counts)]
             sig, owner = signatures(grams, counts[fresh], p, q)
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(nodes[fresh][owner], pa.int64())], names=["sig", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(half[fresh][owner], pa.int64())], names=["sig", "half"])
 
-    def gather(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         grams, counts = gram_sets(_texts(batch), n)
-        ends = np.cumsum(counts) * 8
-        data = grams.astype("<u8").tobytes()
+        half, node = node_names(grams, counts)
+        ends, data = np.cumsum(counts) * 8, grams.astype("<u8").tobytes()
         sets = [data[e - c * 8 : e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-        at = points(grams, counts).astype("<u4")
-        return pa.RecordBatch.from_arrays([pa.array(node_names(grams, counts), pa.int64()), pa.array(counts, pa.int64()), pa.array(sets, pa.binary()), pa.array([x.tobytes() for x in at], pa.binary())], names=["node", "n", "elements", "point"])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_buckets(batches):
-            at = np.frombuffer(b"".join(rows.column("point").to_pylist()), "<u4").reshape(-1, WIDTH).astype(np.int64)
-            pairs = cross_pairs(*(rows.column(c).to_numpy() for c in ("node", "component")), at, rows.column("n").to_numpy(), p, q)
-            for some in batched(pairs, 100_000):
-                a, b = zip(*some, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    named = materialize(map_steps(docs, "text", name, f"id {kind}, n bigint, node bigint"), "nodes")
-    signed = docs.select("text").mapInArrow(sign, "sig bigint, node bigint")
-    stars = materialize(signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig", "lo"), "stars")
-    buckets = materialize(signed.join(stars, "sig").distinct(), "buckets")
-    discard(stars)
-
-    # whole sets of the nodes in buckets, from one document of each
-    met = buckets.select("node").distinct()
-    # (by id where there is one; a set that only rows with a null id hold is found by those)
-    chosen = materialize(named.join(met, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")), "chosen")
-    sources = join_small(docs, chosen.where("id is not null").select("id").distinct(), "id", "left_semi")
+        return pa.RecordBatch.from_arrays([pa.array(half, pa.int64()), pa.array(node, pa.binary()), pa.array(counts, pa.int64()), pa.array(sets, pa.binary())], names=["half", "node", "n", "elements"])
+
+    named = materialize(map_steps(docs, "text", name, f"id {kind}, n bigint, half bigint, node binary"), "nodes")
+
+    # trees: of the sets that share a signature, each joins the tree of the least (a sorted stream, nothing is gathered)
+    signed = docs.select("text").mapInArrow(sign, "sig bigint, half bigint")
+    least = F.first("half").over(Window.partitionBy("sig").orderBy("half"))
+    trees = materialize(signed.withColumn("tree", least).where("half <> tree").select("tree", "half").distinct(), "trees")
+    members = trees.union(trees.select("tree", F.col("tree").alias("half")).distinct())
+
+    # whole sets of the nodes in trees, from one document of each (by id where there is one)
+    chosen = materialize(named.join(members.select("half").distinct(), "half", "left_semi").groupBy("node").agg(F.min("id").alias("id")), "chosen")
+    sources = join_small(docs, materialize(chosen.where("id is not null").select("id").distinct(), "ids"), "id", "left_semi")
     if chosen.where("id is null").limit(1).count():
         sources = sources.union(docs.where("id is null"))
-    sets = map_steps(sources, "text", gather, "node bigint, n bigint, elements binary, point binary")
-    sets = materialize(sets.where("n > 0").dropDuplicates(["node"]), "sets")
-    def crossed(placed: DataFrame) -> DataFrame:
-        """Pairs of different components in buckets of (sig, node, component); of buckets with the same members one is searched."""
-        half = [F.sum(F.shiftrightunsigned(F.xxhash64("node", F.lit(k)), 32)) for k in (0, 1)]
-        opened = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), half[0].alias("h0"), half[1].alias("h1")).where("x < y")
-        opened = opened.groupBy("n", "h0", "h1").agg(F.min("sig").alias("sig")).select("sig")
-        parted = placed.join(opened, "sig", "left_semi").join(sets.select("node", "n", "point"), "node")
-        return parted.repartition("sig").sortWithinPartitions("sig").mapInArrow(search, "a bigint, b bigint").distinct()
-
+    sets = map_steps(sources, "text", whole, "half bigint, node binary, n bigint, elements binary")
+    sets = materialize(sets.where("n > 0").dropDuplicates(["node"]), "sets", chosen)
+
+    placed = materialize(members.join(sets.select("half", "node", "n"), "half").select("tree", "half", "node", "n"), "members", trees)
+    sizes = placed.groupBy("tree").agg(F.count("*").alias("k"), F.greatest(F.count("*") / CELL_SETS, F.sum("n") / CELL_ELEMENTS).alias("room"))
+    large = materialize(sizes.where("room > 1").select("tree", F.ceil("room").cast("int").alias("chunks"), "k"), "large")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    placed = join_small(placed, large.drop("k"), "tree", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", chunk)
+    cut = large.limit(1).count() > 0
+
+    def search(cells: DataFrame, every: bool) -> DataFrame:
+        """Links of cells: (tree, block, chunk, half, node, component, outer, query, stored)."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for cell in whole_cells(batches):
+                a, b = cell_links(cell, p, q, every)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+        key = ["tree", "block", "chunk"]
+        rows = cells.join(sets.select("node", "n", "elements"), "node").repartition(*key).sortWithinPartitions(*key, "n", "node")
+        return rows.select(*key, "node", "component", "outer", "query", "stored", "n", "elements").mapInArrow(run, "a binary, b binary")
+
+    yes = F.lit(True)
+    flags = [yes.alias("outer"), yes.alias("query"), yes.alias("stored")]
+    if links:
+        mine = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.struct(F.col("chunk").alias("block"), i.alias("chunk")))
+        theirs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.struct(i.alias("block"), F.col("chunk").alias("chunk")))
+        cells = placed.select("tree", "node", F.col("node").alias("component"), F.col("chunk").alias("own"), F.inline(F.array_distinct(F.concat(mine, theirs))))
+        cells = cells.select("tree", "block", "chunk", "node", "component", yes.alias("outer"), (F.col("own") == F.col("block")).alias("query"), (F.col("own") == F.col("chunk")).alias("stored"))
+        alike = materialize(search(cells, True).distinct(), "links")
+        labels = connected_components(alike)
+    else:
+        # the least set of a tree is in all its chunks, so that its near copies meet
+        hub = F.when(F.col("half") == F.col("tree"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
+        cells = placed.select("tree", F.lit(0).alias("block"), F.explode(hub).alias("chunk"), "node", F.col("node").alias("component"), *flags)
+        alike = materialize(search(cells, False), "links")
+        labels = connected_components(alike)
+        if cut:
+            alike = alike.union(materialize(search(outside(placed.where("chunks > 1"), labels), False), "links"))
+            labels = connected_components(alike)
+
+    # nodes, their components' least id, and back to documents; sets and components that very many have are no group to shuffle
+    nodes = named.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies")).join(labels, "node", "left")
     if links:
-        alike = verify(crossed(buckets.select("sig", "node", F.col("node").alias("component"))), sets, p, q)
-        copies = named.groupBy("node").agg(F.count("*").alias("copies"))
         both = alike.select(F.col("a").alias("at"), F.col("b").alias("node")).union(alike.select(F.col("b").alias("at"), F.col("a").alias("node")))
-        others = both.join(copies, "node").groupBy(F.col("at").alias("node")).agg(F.sum("copies").alias("others"))
-        linked = copies.join(others, "node", "left").select("node", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-        member = named.join(connected_components(alike), "node", "left").join(linked, "node")
-        return document_components(member.select("id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("component"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).alias("n_links")), id_col)
-
-    # one pair for each set: with the least partner that any of its buckets has
-    first_pairs = materialize(buckets.groupBy("node").agg(F.min("lo").alias("lo")).where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")), "pairs")
-    links = verify(first_pairs, sets, p, q)
-    labels = connected_components(links)
-
-    # then one for each set and component that it still shares a bucket with
-    placed = buckets.join(labels, "node", "left").select("sig", "lo", "node", F.coalesce("label", "node").alias("component"))
-    low = labels.select(F.col("node").alias("lo"), F.col("label").alias("l"))
-    second = placed.join(low, "lo", "left").withColumn("l", F.coalesce("l", "lo")).where("l <> component").groupBy("node", "l").agg(F.min("lo").alias("lo"))
-    second = second.select(F.least("lo", "node").alias("a"), F.greatest("lo", "node").alias("b")).join(first_pairs, ["a", "b"], "left_anti").distinct()
-    second = materialize(second, "pairs")
-    links = materialize(links.union(verify(second, sets, p, q)), "links")
-    labels = connected_components(links)
-
-    # what is left: buckets of several components, each set of members once, searched in full
-    placed = buckets.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("component"))
-    more = verify(crossed(placed).join(first_pairs.union(second), ["a", "b"], "left_anti"), sets, p, q)
-    if more.limit(1).count():
-        labels = connected_components(links.union(more))
-
-    member = named.join(labels, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("component"))
-    return document_components(member, id_col)
-
-
-def document_components(member: DataFrame, id_col: str) -> DataFrame:
-    """(id, n_shingles, component_id): the least id of each component; member: id, n, component (null: none) and what is kept."""
-    member = materialize(member, "members")
-    least = member.where("component is not null").groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("k")).where("k > 1")
-    joined = member.join(least, "component", "left")
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), *member.columns[3:])
-
-
-def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by sig, cut to one table for each sig (across batches)."""
+        others = both.join(nodes.select("node", "copies"), "node").groupBy(F.col("at").alias("node")).agg(F.sum("copies").alias("others"))
+        nodes = nodes.join(others, "node", "left").withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("copies") - 1)
+    nodes = materialize(nodes.where("copies > 1 or label is not null").withColumn("label", F.coalesce("label", "node")), "linked", sets)
+    names = materialize(nodes.groupBy("label").agg(F.min("id").alias("component_id"), F.count("*").alias("k")), "names")
+    answers = materialize(join_hot(nodes.drop("id"), names, ["label"], "k").drop("label"), "answers", nodes, names)
+    found = join_hot(named.where("n > 0").drop("half"), answers, ["node"], "copies", "left").drop("node")
+    found = found.unionByName(named.where("n = 0").select("id", "n"), allowMissingColumns=True)
+    counted = [F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] if links else []
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *counted)
+
+
+def outside(placed: DataFrame, labels: DataFrame) -> DataFrame:
+    """Cells in which the sets outside the largest component of each cut tree search all its chunks."""
+    member = placed.join(labels, "node", "left").withColumn("component", F.coalesce("label", "node")).drop("label")
+    member = materialize(member, "placed")
+    parts = member.groupBy("tree", "component").agg(F.count("*").alias("k"), F.sum("n").alias("e"))
+    main = parts.groupBy("tree").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("all"), F.max("k").alias("most"), F.sum("e").alias("elements"))
+    main = materialize(main.where("parts > 1").withColumn("blocks", F.ceil(F.greatest((F.col("all") - F.col("most")) / CELL_SETS, F.col("elements") / CELL_ELEMENTS)).cast("int")), "main")
+    member = join_small(member, main.select("tree", "main", "blocks"), "tree").withColumn("outer", F.col("component") != F.col("main"))
+    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
+    mine = F.when(F.col("outer"), F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.struct(block.alias("block"), i.alias("chunk"))))
+    theirs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("block"), F.col("chunk").alias("chunk")))
+    cells = F.array_distinct(F.concat(F.coalesce(mine, F.array().cast("array<struct<block:int,chunk:int>>")), theirs))
+    rows = member.select("tree", "node", "component", "outer", F.col("chunk").alias("own"), block.alias("of"), F.inline(cells))
+    return rows.select("tree", "block", "chunk", "node", "component", "outer", (F.col("outer") & (F.col("of") == F.col("block"))).alias("query"), (F.col("own") == F.col("chunk")).alias("stored"))
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by tree, block and chunk, cut to one table for each (across batches)."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
-        sig = batch.column("sig").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(sig)) + 1).tolist(), len(sig)]
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("tree", "block", "chunk")], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if a == b:
                 continue
-            if held and sig[a] != last:
+            if held and tuple(keys[a]) != last:
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(a, b - a))
-            last = sig[a]
+            last = tuple(keys[a])
     if held:
         yield pa.Table.from_batches(held)
-
-
-def verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike: the bound on their points first, then whole sets."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_py(), "<u8") for c in ("xs", "ys"))
-                keep[i] = np.isin(x, y, assume_unique=True, kind="sort").sum() >= needed(len(x), len(y), p, q)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    x = sets.select(F.col("node").alias("a"), F.col("n").alias("xn"), F.col("point").alias("xp"))
-    y = sets.select(F.col("node").alias("b"), F.col("n").alias("yn"), F.col("point").alias("yp"))
-    near = pairs.join(x, "a").join(y, "b").where(f"xn * {q} >= yn * {p} and yn * {q} >= xn * {p}").mapInArrow(_bounded(p, q), "a bigint, b bigint")
-    near = materialize(near, "bounded")
-    whole = near.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("xs")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("ys")), "b")
-    return materialize(whole.mapInArrow(check, "a bigint, b bigint"), "links")
-
-
-def _bounded(p: int, q: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, WIDTH) for c in ("xp", "yp"))
-            sizes = [batch.column(c).to_numpy() for c in ("xn", "yn")]
-            yield batch.select(["a", "b"]).filter(pa.array(np.minimum(x, y).sum(axis=1, dtype=np.int64) >= needed(*sizes, p, q)))
-
-    return run

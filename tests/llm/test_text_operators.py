@@ -83,6 +83,27 @@ def test_links_equal_brute_force(spark):
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == brute_components(texts, 4, 85, 100)
 
 
+@pytest.mark.parametrize("links", [False, True])
+def test_cut_trees_lose_no_link(spark, monkeypatch, links):
+    monkeypatch.setattr(nj, "CELL_SETS", 3)
+    texts = near_copies(9)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.similar_components(table(spark, texts), 4, 85, 100, links=links).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, 4, 85, 100)
+
+
+def thue_morse(n, a, b):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join((a, b)[x] for x in bits[:n])
+
+
+def test_words_that_plain_polynomial_hashes_take_for_one_another(spark):
+    texts = [thue_morse(n, *ab) for n in (8, 64, 1024, 2048, 4096, 8192) for ab in ("ab", "ba")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.similar_components(table(spark, texts), 4, 85, 100).collect()}
+    assert [got[i] for i in range(len(texts))] == [(1, i) for i in range(len(texts))]
+
+
 def test_component_corner_cases(spark):
     same = " ".join(f"w{i}" for i in range(50))
     df = table(spark, [same, same, same, "other words here now", None], [None, 7, 7, 3, None])

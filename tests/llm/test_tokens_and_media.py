@@ -15,6 +15,17 @@ from ridgeline.llm.words import WordIds
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 TEXTS = [None, "", " ", "a", "a b  c   d ", "x\n\ny", " \n x\n", "don't we'll", "été 日本語 😀 İ", "tab\tand nbsp", "aaaa" * 700, "The end.\nNext one. <|endoftext|>", "same", "same", "z" * 3000 + " q", "\0zero \x1c sep"]
+
+
+def thue_morse(n, a, b):
+    """Two such words, one with the letters changed about, have equal hashes by any plain polynomial modulo 2 to the 64."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join((a, b)[x] for x in bits[:n])
+
+
+TEXTS += [thue_morse(n, *ab) for n in (64, 1024, 2048, 4096) for ab in ("ab", "ba")] + [f"q {thue_morse(1024, 'y', 'x')} {thue_morse(1024, 'x', 'y')}"]
 SCHEMA = "doc_id long, text string, ids string, TEXT string, id long"
 
 
