@@ -29,8 +29,8 @@ from ridgeline.llm.common import join_hot, join_small, materialize, pick
 
 #: Words that a run needs to be deleted; shorter repeats (headings, licence lines) stay.
 MIN_WORDS = 30
-#: Lines that most windows end within; the others are looked at again.
-SHORT = 6
+#: Lines that hold a window in nearly every text.
+COMMON = 8
 #: A line: up to a line end, or up to white space after the end of a sentence, with what ends it.
 LINE = r"(?s)[^\n]*?(?:\n|[.!?][ \t]+\n?|\z)"
 MARK = "\x01"
@@ -72,17 +72,28 @@ def line_arrays(docs: DataFrame, min_words: int) -> DataFrame:
     counted = F.transform("cut", lambda x: F.regexp_count(x["line"], F.lit(r"[^\x20\x09-\x0D]+")))
     lines = cut.select("id", "th", "cut", F.when(F.col("even"), lone).otherwise(counted).alias("n"))
     lines = lines.select("id", "th", F.expr("cut.pos").alias("pos"), F.transform("cut", lambda x: F.xxhash64(x["line"])).alias("h"), "n")
-    # lines * base + words of as many lines as are needed
-    base = 4 * min_words
-    fold = f"aggregate(slice(n, i + 1, {{}}), 0, (a, w) -> if(a % {base} >= {min_words}, a, a + {base} + least(w, {min_words})))"
-    reach = F.expr(f"transform(n, (x, i) -> {fold.format(SHORT)})")
-    lines = lines.select("*", reach.alias("_r"))
-    again = f"transform(_r, (r, i) -> if(r % {base} >= {min_words} or i + {SHORT} >= size(n), r, {fold.format(min_words)}))"
-    lines = lines.select("id", "th", "pos", "h", "n", F.expr(f"if(exists(_r, r -> r % {base} < {min_words}), {again}, _r)").alias("_r"))
-    ends = F.expr(f"transform(_r, (r, i) -> if(r % {base} >= {min_words}, i + r div {base} - 1, size(n)))")
-    lines = lines.select("id", "th", "pos", "h", "n", F.transform(ends, lambda e: e.cast("int")).alias("ends"))
-    least = "array_position(slice(h, i + 1, e - i + 1), array_min(slice(h, i + 1, e - i + 1)))"
-    return lines.select("*", F.expr(f"transform(ends, (e, i) -> if(e < size(n), cast(i + {least} - 1 as int), -1))").alias("at"))
+    # words of the next 2, 4 and so on lines, no more than would fill a window; past the end every line fills one
+    wide, past = 1, min_words
+    lines = lines.withColumn("_1", F.transform("n", lambda w: F.least(w.cast("int"), F.lit(past))))
+    while wide < min_words:
+        pairs = f"transform(_{wide}, (w, i) -> if(w >= {past}, w, w + coalesce(get(_{wide}, i + {wide}), {past})))"
+        if wide >= COMMON:  # only texts with windows of so many lines
+            pairs = f"if(exists(_{wide}, w -> w < {past}), {pairs}, _{wide})"
+        lines = lines.withColumn(f"_{2 * wide}", F.expr(pairs))
+        wide *= 2
+    # lines of a window but its last: as many as leave it short of words, found by halving
+    reach = "0L"
+    for k in (2**j for j in range(wide.bit_length() - 2, -1, -1)):
+        # so far: lines * 2 to the 32 + words
+        step = f"coalesce(get(_{k}, i + cast(shiftright(a, 32) as int)), {past})"
+        reach = f"array({reach})" if reach == "0L" else f"array({reach})"
+        reach = f"transform({reach}, a -> if((a & 4294967295) + {step} < {past}, a + {k << 32}L + {step}, a))[0]"
+    ends = F.expr(f"transform(n, (x, i) -> cast(least(i + shiftright({reach}, 32), size(n)) as int))")
+    lines = lines.select("id", "th", "pos", "h", "n", ends.alias("ends"))
+    # a hash's upper half and the line's place in one number, so that the least has its place with it
+    lines = lines.withColumn("_p", F.expr("transform(h, (x, i) -> shiftleft(shiftright(x, 32), 32) + i)"))
+    at = "transform(ends, (e, i) -> if(e < size(n), cast(array_min(slice(_p, i + 1, e - i + 1)) & 4294967295 as int), -1))"
+    return lines.select("id", "th", "pos", "h", "n", "ends", F.expr(at).alias("at"))
 
 
 def repeated_runs(lines: DataFrame) -> DataFrame:
