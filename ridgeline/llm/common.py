@@ -113,6 +113,14 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, how
     return left.join(hot, keys).unionByName(rest)
 
 
+def hot_keys(df: DataFrame, key: str) -> DataFrame | None:
+    """The values of ``key`` that are hot (fewer than HOT_SHARE), null if there are none. df: materialised."""
+    counts = df.groupBy(key).agg(F.count("*").alias("k"))
+    total, most = counts.agg(F.sum("k"), F.max("k")).first()
+    bound = max(HOT_ROWS, (total or 0) // HOT_SHARE)
+    return counts.where(F.col("k") > bound).select(key) if most and most > bound else None
+
+
 def hash_sample(df: DataFrame, keys: list[str], rows: int, most: int) -> DataFrame:
     """All ``rows`` rows of ``df``, or about ``most`` of them by a hash of ``keys``."""
     share = 1 << 30

@@ -16,10 +16,11 @@ least set that has it. B is so much larger than D that a set fills more than D g
 that don't meet by a signature of their own. U grows in steps, so B follows the sets' sizes; a set signs for its own
 step and for the next ones that partners can be in.
 
-Cells. A tree holds at most about CELL_SETS sets and CELL_ELEMENTS elements; a larger one is cut to chunks by a hash.
-In a cell, a set is not held against those it is already connected with, so a group of near copies costs its size. Where
-a tree was cut and its sets are in several components afterwards, those outside its largest component search all
-its chunks, cell by cell. Every link joins two sets of one tree, so components are exact; nothing is capped.
+Cells. A tree holds at most about CELL_SETS sets; a larger one is cut to chunks by a hash. First each set
+asks for its likeliest partner that it isn't connected with yet, so a group of near copies costs its size. Where a tree's
+sets are in several components after these pairs were verified, those outside its largest component search all
+its chunks, cell by cell, for all partners in other components. Every link joins two sets of one tree, so
+components are exact; nothing is capped. Cells hold points of 512 bytes; whole sets are brought to pairs only.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing; with fewer words
 than n the whole sequence is one n-gram; equal sets are linked; rows with the same id are handled row by
@@ -37,12 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import connected_components, join_hot, join_small, map_steps, materialize, pick, step_batches
+from ridgeline.llm.common import connected_components, hot_keys, join_hot, join_small, map_steps, materialize, pick, step_batches
 from ridgeline.llm.words import U64, constants, eights, mixed, word_hash, words_of
 
 WIDTH, LEAF = 256, 16
-#: Sets and elements (8 bytes each) that one task holds at once, about; a pair of sets is held whatever its size.
-CELL_SETS, CELL_ELEMENTS = 2048, 4_000_000
+#: Sets that one cell holds at once, about.
+CELL_SETS = 4096
 GRAM_SEED = 0x2545F491_4F6CDD1D
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -192,35 +193,34 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(at, len(y) - 1)] == x).sum())
 
 
-def cell_links(cell: pa.Table, p: int, q: int, every: bool) -> tuple[list[bytes], list[bytes]]:
-    """Links of one cell: of its searching sets (``query``) with those in its tree (``stored``).
+def cell_pairs(cell: pa.Table, p: int, q: int, one: bool) -> tuple[list[bytes], list[bytes]]:
+    """Pairs of a cell's searching sets (``query``) and those in its tree (``stored``) that the bound leaves, each once.
 
-    Each pair is looked at once, unless its sets are in one component already; ``every``: all pairs. Columns: node, component,
-    outer (the set searches, here or in another cell), query, stored, n, elements.
+    ``one``: at most one pair for each set, the likeliest that joins it to sets it isn't connected with. Sets of one component
+    are never paired. Columns: node, component, outer (the set searches, here or in another cell), query, stored, n, point.
     """
     sizes = cell.column("n").to_numpy()
-    sets = [np.frombuffer(x, "<u8") for x in cell.column("elements").to_pylist()]
-    nodes = cell.column("node").to_pylist()
-    at = points(np.concatenate(sets), sizes).astype(np.int32)
+    at = np.frombuffer(b"".join(cell.column("point").to_pylist()), "<u2").reshape(-1, WIDTH).astype(np.int32)
+    nodes = np.array([x.hex() for x in cell.column("node").to_pylist()])
     outer, query, stored = (cell.column(c).to_numpy(zero_copy_only=False) for c in ("outer", "query", "stored"))
     rank = np.empty(len(nodes), np.int64)
-    rank[sorted(range(len(nodes)), key=nodes.__getitem__)] = np.arange(len(nodes))
+    rank[np.argsort(nodes)] = np.arange(len(nodes))
     _, component = np.unique(np.array([c.hex() for c in cell.column("component").to_pylist()]), return_inverse=True)
     kept = np.flatnonzero(stored)
     tree = RTree(at[kept], sizes[kept])
-    a, b = [], []
+    pairs = []
     for i in np.flatnonzero(query).tolist():
         found = kept[tree.search(at[i], int(sizes[i]), p, q)]
-        found = found[~outer[found] | (rank[found] > rank[i])]
-        if not every:  # likely partners first
-            found = found[np.argsort(-np.minimum(at[found], at[i]).sum(axis=1), kind="stable")]
-        for j in found.tolist():
-            if (every or component[i] != component[j]) and overlap(sets[i], sets[j]) >= needed(int(sizes[i]), int(sizes[j]), p, q):
-                a.append(nodes[i])
-                b.append(nodes[j])
-                if not every:
-                    component[component == component[j]] = component[i]
-    return a, b
+        found = found[component[found] != component[i]]
+        if one and len(found):
+            likely = np.minimum(at[found], at[i]).sum(axis=1) / needed(sizes[i], sizes[found], p, q)
+            j = int(found[likely.argmax()])
+            component[component == component[j]] = component[i]
+            pairs.append((i, j))
+        elif not one:
+            pairs += [(i, j) for j in found[~outer[found] | (rank[found] > rank[i])].tolist()]
+    names = cell.column("node").to_pylist()
+    return [names[i] for i, _ in pairs], [names[j] for _, j in pairs]
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -257,7 +257,9 @@ def similar_components(df: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_
         half, node = node_names(grams, counts)
         ends, data = np.cumsum(counts) * 8, grams.astype("<u8").tobytes()
         sets = [data[e - c * 8 : e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(half, pa.int64()), pa.array(node, pa.binary()), pa.array(counts, pa.int64()), pa.array(sets, pa.binary())], names=["half", "node", "n", "elements"])
+        at = [x.tobytes() for x in np.minimum(points(grams, counts), 65535).astype("<u2")]
+        columns = [pa.array(half, pa.int64()), pa.array(node, pa.binary()), pa.array(counts, pa.int64()), pa.array(at, pa.binary()), pa.array(sets, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["half", "node", "n", "point", "elements"])
 
     named = materialize(map_steps(docs, "text", name, f"id {kind}, n bigint, half bigint, node binary"), "nodes")
 
@@ -272,45 +274,48 @@ def similar_components(df: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_
     sources = join_small(docs, materialize(chosen.where("id is not null").select("id").distinct(), "ids"), "id", "left_semi")
     if chosen.where("id is null").limit(1).count():
         sources = sources.union(docs.where("id is null"))
-    sets = map_steps(sources, "text", whole, "half bigint, node binary, n bigint, elements binary")
+    sets = map_steps(sources, "text", whole, "half bigint, node binary, n bigint, point binary, elements binary")
     sets = materialize(sets.where("n > 0").dropDuplicates(["node"]), "sets", chosen)
 
     placed = materialize(members.join(sets.select("half", "node", "n"), "half").select("tree", "half", "node", "n"), "members", trees)
-    sizes = placed.groupBy("tree").agg(F.count("*").alias("k"), F.greatest(F.count("*") / CELL_SETS, F.sum("n") / CELL_ELEMENTS).alias("room"))
-    large = materialize(sizes.where("room > 1").select("tree", F.ceil("room").cast("int").alias("chunks"), "k"), "large")
+    large = materialize(placed.groupBy("tree").agg(F.ceil(F.count("*") / CELL_SETS).cast("int").alias("chunks")).where("chunks > 1"), "large")
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    placed = join_small(placed, large.drop("k"), "tree", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", chunk)
-    cut = large.limit(1).count() > 0
+    placed = join_small(placed, large, "tree", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", chunk)
 
-    def search(cells: DataFrame, every: bool) -> DataFrame:
-        """Links of cells: (tree, block, chunk, half, node, component, outer, query, stored)."""
+    def search(cells: DataFrame, one: bool) -> DataFrame:
+        """Candidate pairs (a, b), a < b, of cells: (tree, block, chunk, node, component, outer, query, stored)."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for cell in whole_cells(batches):
-                a, b = cell_links(cell, p, q, every)
+                a, b = cell_pairs(cell, p, q, one)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
         key = ["tree", "block", "chunk"]
-        rows = cells.join(sets.select("node", "n", "elements"), "node").repartition(*key).sortWithinPartitions(*key, "n", "node")
-        return rows.select(*key, "node", "component", "outer", "query", "stored", "n", "elements").mapInArrow(run, "a binary, b binary")
+        rows = cells.join(sets.select("node", "n", "point"), "node").repartition(*key).sortWithinPartitions(*key, "n", "node")
+        found = rows.select(*key, "node", "component", "outer", "query", "stored", "n", "point").mapInArrow(run, "a binary, b binary")
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     yes = F.lit(True)
     flags = [yes.alias("outer"), yes.alias("query"), yes.alias("stored")]
     if links:
-        mine = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.struct(F.col("chunk").alias("block"), i.alias("chunk")))
-        theirs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.struct(i.alias("block"), F.col("chunk").alias("chunk")))
+        every = F.sequence(F.lit(0), F.col("chunks") - 1)
+        mine = F.transform(every, lambda i: F.struct(F.col("chunk").alias("block"), i.alias("chunk")))
+        theirs = F.transform(every, lambda i: F.struct(i.alias("block"), F.col("chunk").alias("chunk")))
         cells = placed.select("tree", "node", F.col("node").alias("component"), F.col("chunk").alias("own"), F.inline(F.array_distinct(F.concat(mine, theirs))))
         cells = cells.select("tree", "block", "chunk", "node", "component", yes.alias("outer"), (F.col("own") == F.col("block")).alias("query"), (F.col("own") == F.col("chunk")).alias("stored"))
-        alike = materialize(search(cells, True).distinct(), "links")
+        alike = verify(materialize(search(cells, False), "pairs"), sets, p, q)
         labels = connected_components(alike)
     else:
         # the least set of a tree is in all its chunks, so that its near copies meet
         hub = F.when(F.col("half") == F.col("tree"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
         cells = placed.select("tree", F.lit(0).alias("block"), F.explode(hub).alias("chunk"), "node", F.col("node").alias("component"), *flags)
-        alike = materialize(search(cells, False), "links")
+        pairs = materialize(search(cells, True), "pairs")
+        alike = verify(pairs, sets, p, q)
         labels = connected_components(alike)
-        if cut:
-            alike = alike.union(materialize(search(outside(placed.where("chunks > 1"), labels), False), "links"))
+        rest = materialize(search(outside(placed, labels), False).join(pairs, ["a", "b"], "left_anti"), "pairs", pairs)
+        more = verify(rest, sets, p, q)
+        if more.limit(1).count():
+            alike = alike.union(more)
             labels = connected_components(alike)
 
     # nodes, their components' least id, and back to documents; sets and components that very many have are no group to shuffle
@@ -329,12 +334,12 @@ def similar_components(df: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_
 
 
 def outside(placed: DataFrame, labels: DataFrame) -> DataFrame:
-    """Cells in which the sets outside the largest component of each cut tree search all its chunks."""
+    """Cells in which the sets outside the largest component of each tree of several search all its chunks."""
     member = placed.join(labels, "node", "left").withColumn("component", F.coalesce("label", "node")).drop("label")
     member = materialize(member, "placed")
-    parts = member.groupBy("tree", "component").agg(F.count("*").alias("k"), F.sum("n").alias("e"))
-    main = parts.groupBy("tree").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("all"), F.max("k").alias("most"), F.sum("e").alias("elements"))
-    main = materialize(main.where("parts > 1").withColumn("blocks", F.ceil(F.greatest((F.col("all") - F.col("most")) / CELL_SETS, F.col("elements") / CELL_ELEMENTS)).cast("int")), "main")
+    parts = member.groupBy("tree", "component").agg(F.count("*").alias("k"))
+    main = parts.groupBy("tree").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("all"), F.max("k").alias("most"))
+    main = materialize(main.where("parts > 1").withColumn("blocks", F.ceil((F.col("all") - F.col("most")) / CELL_SETS).cast("int")), "main")
     member = join_small(member, main.select("tree", "main", "blocks"), "tree").withColumn("outer", F.col("component") != F.col("main"))
     block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
     mine = F.when(F.col("outer"), F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.struct(block.alias("block"), i.alias("chunk"))))
@@ -361,3 +366,26 @@ def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             last = tuple(keys[a])
     if held:
         yield pa.Table.from_batches(held)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are alike."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in ("xs", "ys"))
+                keep[i] = overlap(x, y) >= needed(len(x), len(y), p, q)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    whole = pairs
+    for side, name in (("a", "xs"), ("b", "ys")):
+        mine = sets.select(F.col("node").alias(side), F.col("elements").alias(name))
+        asked = hot_keys(pairs, side)
+        if asked is None:
+            whole = whole.join(mine.hint("merge"), side)
+        else:  # sets that very many pairs ask for are few
+            few = F.broadcast(asked.join(mine, side))
+            whole = whole.join(few, side).unionByName(whole.join(F.broadcast(asked), side, "left_anti").join(mine.hint("merge"), side))
+    return materialize(whole.select("a", "b", "xs", "ys").mapInArrow(check, "a binary, b binary"), "links")
