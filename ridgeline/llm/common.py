@@ -103,13 +103,15 @@ def join_small(left: DataFrame, right: DataFrame, on: Column | list[str] | str,
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
     """Inner or left join with ``right`` (materialised; one row a key; ``count``: rows that ``left`` has of it, about).
 
-    Fewer than HOT_SHARE keys are hot, so their rows of ``right`` are broadcast; the rest has no large group to shuffle.
+    Fewer than HOT_SHARE keys are hot, so their rows of ``right`` are broadcast; the rest has no large group to shuffle. The
+    rest is merged whatever its size: the plan is the same for every input.
     """
-    if small(right):
-        return left.join(F.broadcast(right.drop(count)), keys, how)
-    bound = max(HOT_ROWS, (right.agg(F.sum(count)).first()[0] or 0) // HOT_SHARE)
-    right, hot = right.drop(count), F.broadcast(right.where(F.col(count) > bound).drop(count))
-    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.hint("merge"), keys, how)
+    total, most = right.agg(F.sum(count), F.max(count)).first()
+    bound = max(HOT_ROWS, (total or 0) // HOT_SHARE)
+    rows, hot = right.drop(count), F.broadcast(right.where(F.col(count) > bound).drop(count))
+    if (most or 0) <= bound:
+        return left.join(rows.hint("merge"), keys, how)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rows.hint("merge"), keys, how)
     return left.join(hot, keys).unionByName(rest)
 
 

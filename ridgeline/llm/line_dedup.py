@@ -65,9 +65,13 @@ def line_arrays(docs: DataFrame, min_words: int) -> DataFrame:
     pos: place among all lines; h: hash; n: words; ends: last line of the window that starts at each (their number where
     too few words follow); at: place of that window's least hash, the leftmost (-1 where there is no window).
     """
-    cut = docs.where("text is not null").select("id", "th", F.expr(is_even("text")).alias("even"), F.expr(lines_of("text")).alias("cut"))
-    placed = F.transform("cut", lambda x, i: F.struct(i.alias("pos"), F.btrim(x, F.lit(" \t\n\x0b\x0c\r")).alias("line")))
-    cut = cut.select("id", "th", "even", F.filter(placed, lambda x: x["line"] != "").alias("cut"))
+    plain = "text"
+    for end, kept in ((". ", "."), ("! ", "!"), ("? ", "?"), ("\n", "")):  # as lines_of() does, without what is trimmed anyway
+        plain = f"replace({plain}, {literal(end)}, {literal(kept + MARK)})"
+    even = F.transform(F.expr(f"split({plain}, {literal(MARK)})"), lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line")))
+    odd = F.transform(F.expr(f"regexp_extract_all(text, r'{LINE}', 0)"), lambda x, i: F.struct(i.alias("pos"), F.btrim(x, F.lit(" \t\n\x0b\x0c\r")).alias("line")))
+    cut = docs.where("text is not null").select("id", "th", "text", F.expr(is_even("text")).alias("even"))
+    cut = cut.select("id", "th", "even", F.filter(F.when(F.col("even"), even).otherwise(odd), lambda x: x["line"] != "").alias("cut"))
     lone = F.transform("cut", lambda x: F.octet_length(x["line"]) - F.octet_length(F.replace(x["line"], F.lit(" "), F.lit(""))) + 1)
     counted = F.transform("cut", lambda x: F.regexp_count(x["line"], F.lit(r"[^\x20\x09-\x0D]+")))
     lines = cut.select("id", "th", "cut", F.when(F.col("even"), lone).otherwise(counted).alias("n"))
@@ -109,7 +113,7 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
     matched = materialize(matched, "matched", shared)
 
     # windows around matched positions: from each start, with each last line up to where the next start's window ends
-    near = join_small(lines.select("id", "th", "h", "ends").alias("l"), matched.alias("m"), same_document("l", "m")).select("l.id", "l.th", "h", "ends", "met")
+    near = lines.select("id", "th", "h", "ends").alias("l").join(matched.alias("m").hint("merge"), same_document("l", "m")).select("l.id", "l.th", "h", "ends", "met")
     lasts = "sequence(ends[i], greatest(ends[i], coalesce(get(ends, i + 1), size(ends)) - 1))"
     windows = F.expr(f"flatten(transform(flatten(transform(met, m -> sequence(m.lo, m.hi))), i -> transform({lasts}, e -> struct(i as `from`, e as `to`))))")
     inside = "slice(h, w.`from` + 1, w.`to` - w.`from` + 1)"
@@ -136,7 +140,7 @@ def runs_by_document(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     docs = pick(df, id=id_col, text=text_col).withColumn("th", F.xxhash64("text"))
     lines = materialize(line_arrays(docs, min_words), "lines")
     runs = repeated_runs(lines)
-    found = join_small(lines.select("id", "th", "pos", "n").alias("l"), runs.alias("r"), same_document("l", "r")).select("l.id", "l.th", "pos", "n", "runs")
+    found = lines.select("id", "th", "pos", "n").alias("l").join(runs.alias("r").hint("merge"), same_document("l", "r")).select("l.id", "l.th", "pos", "n", "runs")
     found = found.select(
         "id", "th", F.expr("transform(runs, r -> struct(pos[r.a] as first_line, pos[r.b] as last_line))").alias("runs"),
         F.expr("aggregate(runs, 0L, (s, r) -> s + r.b - r.a + 1)").alias("removed_lines"),
