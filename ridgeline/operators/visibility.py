@@ -23,8 +23,8 @@ def with_altitude(rays: DataFrame) -> DataFrame:
 
 
 def staircase(rays: DataFrame) -> DataFrame:
-    """Samples that stand higher than everything nearer on their ray."""
-    nearer = Window.partitionBy(*RAY).orderBy("distanceM").rowsBetween(Window.unboundedPreceding, -1)
+    """Samples that stand higher than everything nearer on their ray; of several at one distance the highest."""
+    nearer = Window.partitionBy(*RAY).orderBy("distanceM", F.desc("altitudeDeg")).rowsBetween(Window.unboundedPreceding, -1)
     high = with_altitude(rays).withColumn("_high", F.max("altitudeDeg").over(nearer))
     return high.where("_high is null or altitudeDeg > _high").drop("_high")
 
