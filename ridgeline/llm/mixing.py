@@ -7,21 +7,24 @@ convex, so the flow repeats words only where a quota can't be filled otherwise,
 words a pattern gives; its documents are all taken as often as that allows, and of the rest, documents in
 the order of a seeded hash are taken once more while they fit, then smaller ones, then the one that comes nearest.
 
-The driver sees one row for each pattern (bounded by ``max_patterns``), never documents.
+Sources and patterns are tables of any size. A source whose documents have no other fills its quota from its one pattern, which
+is its flow. Sources that share documents, directly or through others, are one network each; the flow of a network is
+found in one task, which holds its patterns (not their documents). The driver sees sums only.
 
 Defined results: a null or empty text has size 0 and nothing is taken; a null source is a source of its own, last in
-order; rows with the same id are taken one by one in the order of their size; other columns are ignored; an empty
-table gives an empty table.
+order; rows with the same id are taken one by one, those that are equal in text too as any of them; other columns are ignored;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import before, discard, materialize, pick
+from ridgeline.llm.common import before, connected_components, discard, join_hot, materialize, pick
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS, SEED = 3, 20_240_101
@@ -29,17 +32,37 @@ MAX_REPEATS, SEED = 3, 20_240_101
 PASSES, NEAR = 8, 0.002
 
 
-def target_shares(sizes: list[int], weights: list[float], most: float) -> list[float]:
-    """Quotas by weight that sum to the total size; none above ``most`` times its source, the excess reshared by weight."""
-    total, capped = float(sum(sizes)), [False] * len(sizes)
-    while True:
-        left = total - sum(most * s for s, c in zip(sizes, capped, strict=True) if c)
-        weight = sum(w for w, c in zip(weights, capped, strict=True) if not c)
-        targets = [float(most * s) if c else left * w / weight if weight else 0.0 for s, w, c in zip(sizes, weights, capped, strict=True)]
-        over = [not c and t > most * s for t, s, c in zip(targets, sizes, capped, strict=True)]
-        if not any(over):
-            return targets
-        capped = [c or o for c, o in zip(capped, over, strict=True)]
+def in_order(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with ``nth``, the place of each row in sorted order from 0: sorted in parts, whose counts are summed up."""
+    row = materialize(df.sort(*columns).withColumn("_m", F.monotonically_increasing_id()), "sorted")
+    part, inside = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = row.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row a part
+    offset = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = row.withColumn("_part", part).join(F.broadcast(counts.select("_part", offset.alias("_offset"))), "_part")
+    return numbered.withColumn("nth", F.col("_offset") + inside).drop("_m", "_part", "_offset")
+
+
+def source_targets(sizes: DataFrame, weights: tuple[float, ...], most: float, whole: int) -> DataFrame:
+    """(source, source_size, target) of (source, size): quotas by weight that sum to the total size.
+
+    Sources in code point order, null last, weigh ``weights`` in turn. No target is above ``most`` times its source; the excess
+    is reshared by weight until none is. Where sources overlap, targets are scaled to the ``whole`` of all documents.
+    """
+    ranked = in_order(sizes.withColumn("_none", F.col("source").isNull()), ["_none", "source"])
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("nth") % len(weights) + 1).cast("int"))
+    ranked = materialize(ranked.select("source", F.col("size").alias("source_size"), weight.alias("w")), "sources")
+    total, share = ranked.agg(F.sum("source_size"), F.sum("w")).first()
+    total, left, share, n_over = float(total or 0), float(total or 0), share or 1.0, 0
+    limit = F.lit(float(most)) * F.col("source_size")
+    while True:  # more of them are over each round, or it ends
+        over = F.lit(left) * F.col("w") / F.lit(share) > limit
+        capped, held, free = ranked.agg(F.count_if(over), F.sum(F.when(over, limit)), F.sum(F.when(~over, F.col("w")))).first()
+        if (capped or 0) <= n_over:
+            break
+        n_over, left, share = capped, total - (held or 0.0), free or 1.0
+    target = F.when(over, limit).otherwise(F.lit(left) * F.col("w") / F.lit(share))
+    scale = whole / total if total > whole else 1.0
+    return ranked.select("source", "source_size", (target * F.lit(scale)).alias("target"))
 
 
 def min_cost_flow(supplies: list[int], members: list[list[int]], quotas: list[int], repeats: int) -> list[list[int]]:
@@ -94,7 +117,33 @@ def min_cost_flow(supplies: list[int], members: list[list[int]], quotas: list[in
     return given
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), repeats: int = MAX_REPEATS, seed: int = SEED, max_patterns: int = 100_000) -> DataFrame:
+def network_flows(patterns: DataFrame, targets: DataFrame, repeats: int) -> DataFrame:
+    """(key, given): words that each pattern gives. patterns: key, sources (array), size; targets: source, target."""
+    several = patterns.where("size(sources) > 1")
+    name = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))  # the null source has a name of its own
+    member = patterns.select("key", "size", F.explode("sources").alias("source")).join(targets.select(F.col("source").alias("_s"), "target"), F.col("source").eqNullSafe(F.col("_s")))
+    member = materialize(member.select("key", "size", name.alias("source"), "target"), "members")
+    if not several.limit(1).count():
+        return member.select("key", F.least(F.round("target").cast("long"), F.lit(repeats) * F.col("size")).alias("given"))
+    links = member.join(several.select("key"), "key", "left_semi").select(F.concat(F.lit("k"), "key").alias("a"), F.col("source").alias("b"))
+    network = connected_components(links).select(F.col("node").alias("source"), F.col("label").alias("network"))
+    placed = member.join(network, "source", "left").withColumn("network", F.coalesce("network", "source"))
+
+    def flow(rows: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(rows["source"].unique())
+        at = {s: i for i, s in enumerate(names)}
+        keys, quotas = sorted(rows["key"].unique()), [0] * len(names)
+        members, supply = {k: [] for k in keys}, {}
+        for r in rows.sort_values(["key", "source"]).itertuples(index=False):
+            members[r.key].append(at[r.source])
+            supply[r.key], quotas[at[r.source]] = int(r.size), round(r.target)
+        given = min_cost_flow([supply[k] for k in keys], [members[k] for k in keys], quotas, repeats)
+        return pd.DataFrame({"key": keys, "given": [sum(g) for g in given]})
+
+    return placed.select("network", "key", "size", "source", "target").groupBy("network").applyInPandas(flow, "key string, given bigint")
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
     """(id, source, size, source_size, target, taken, copies long): how often each document goes into the mix.
 
     ``sources_col`` is a string or an array of strings. Sources in code point order, null last, weigh ``weights`` in
@@ -102,61 +151,48 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources_c
     times ``copies``.
     """
     rows = pick(df, id=id_col, text=text_col, sources=sources_col)
-    sources: Column = F.col("sources")
+    sources = F.col("sources")
     if rows.schema["sources"].dataType.typeName() != "array":
         sources = F.array(sources)
     size = F.coalesce(F.expr(f"regexp_count(text, r'{WORD}')").cast("long"), F.lit(0).cast("long"))
-    key = F.when(F.size(sources) > 0, F.sort_array(F.array_distinct(sources), True)).otherwise(F.array(F.lit(None).cast("string")))
-    rows = materialize(rows.select("id", key.alias("sources"), size.alias("size")), "sizes")
-    found = rows.groupBy("sources").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_patterns + 1).collect()
-    if len(found) > max_patterns:
-        raise ValueError(f"more than {max_patterns} patterns of sources")
-    patterns = sorted(found, key=lambda r: [(s is None, s or "") for s in r["sources"]])
-    names = sorted({s for r in patterns for s in r["sources"]}, key=lambda s: (s is None, s or ""))
-    at = {s: i for i, s in enumerate(names)}
-    members = [[at[s] for s in r["sources"]] for r in patterns]
-    sizes = [sum(r["size"] for r, m in zip(patterns, members, strict=True) if q in m) for q in range(len(names))]
-    shares = [weights[i % len(weights)] for i in range(len(names))]
-    whole = sum(r["size"] for r in patterns)
-    targets = target_shares(sizes, shares, repeats)
-    if sum(sizes) > whole:  # overlapping sources: their sizes count a document once for each
-        targets = [t * whole / sum(sizes) for t in targets]
-    given = min_cost_flow([r["size"] for r in patterns], members, [round(t) for t in targets], repeats)
-    plan, total = [], sum(r["n"] for r in patterns)
-    for k, (r, m, g) in enumerate(zip(patterns, members, given, strict=True)):
-        full, rest = divmod(sum(g), r["size"]) if r["size"] else (0, 0)
-        plan.append((k, r["sources"], names[m[0]], sizes[m[0]], targets[m[0]], full, rest))
-    schema = "pattern int, sources array<string>, source string, source_size long, target double, full long, rest long"
-    plan_df = rows.sparkSession.createDataFrame(plan, schema)
-    bounded = F.broadcast if len(plan) <= 10_000 else lambda table: table  # one row for each pattern
-    p, r = plan_df.alias("p"), rows.alias("r")
-    chosen = r.join(bounded(p), F.col("r.sources").eqNullSafe(F.col("p.sources"))).select("id", "size", "pattern", "source", "source_size", "target", "full", "rest")
+    own = F.when(F.size(sources) > 0, F.array_sort(F.array_distinct(sources))).otherwise(F.array(F.lit(None).cast("string")))
+    rows = rows.select("id", own.alias("sources"), size.alias("size"), F.xxhash64("id", "text", F.lit(seed)).alias("h"), F.monotonically_increasing_id().alias("row"))
+    # rows without words are taken no part in, so they need no order that lasts
+    rows = rows.select("id", "sources", F.to_json("sources").alias("key"), "size", F.when(F.col("size") == 0, F.xxhash64("row")).otherwise(F.col("h")).alias("h"), "row")
+    rows = materialize(rows, "sizes")
+    patterns = materialize(rows.groupBy("key").agg(F.first("sources").alias("sources"), F.sum("size").alias("size"), F.count("*").alias("n")), "patterns")
+    total, whole = patterns.agg(F.sum("n"), F.sum("size")).first()
+    per_source = patterns.select(F.explode("sources").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("size"))
+    targets = materialize(source_targets(per_source, weights, repeats, whole or 0), "targets")
+    given = network_flows(patterns, targets, repeats)
+    plan = patterns.join(given, "key").join(targets, F.col("sources")[0].eqNullSafe(F.col("source")))
+    full = F.when(F.col("size") > 0, F.floor(F.col("given") / F.col("size"))).otherwise(0).cast("long")
+    plan = plan.select("key", "n", "source", "source_size", "target", full.alias("full"), (F.col("given") - full * F.col("size")).alias("rest"))
+    plan = materialize(plan, "plan", patterns)
+    chosen = join_hot(rows.drop("sources"), plan, ["key"], "n")
+
+    def gaps(state: DataFrame) -> DataFrame:
+        """What each pattern still lacks, its documents, and the least of those that are left."""
+        left = F.min(F.when((F.col("more") == 0) & (F.col("size") > 0), F.col("size")))
+        return state.groupBy("key").agg((F.max("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap"), F.count("*").alias("n"), F.max("target").alias("t"), left.alias("least"))
+
     # whole documents in seeded order while they fit; again over those left that are small enough for what is left
-    state = materialize(chosen.withColumn("more", F.lit(0)), "chosen")
+    state = materialize(chosen.withColumn("more", F.lit(0)), "chosen", rows)
+    gap = materialize(gaps(state), "gap")
     for _ in range(PASSES):
-        gap = state.groupBy("pattern").agg((F.max("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap"))
-        joined = state.join(bounded(materialize(gap, "gap")), "pattern")
-        fits = F.col("more").eqNullSafe(0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
-        order = before(joined, ["pattern"], F.xxhash64("id", F.lit(seed)), ["size", "more"], F.when(fits, F.col("size")).otherwise(0), total)
+        joined = join_hot(state, gap.select("key", "gap", "n"), ["key"], "n")
+        fits = (F.col("more") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
+        order = before(joined, ["key"], F.col("h"), ["size", "row"], F.when(fits, F.col("size")).otherwise(0), total)
         take = fits & (F.col("before") + F.col("size") <= F.col("gap"))
-        new = materialize(order.withColumn("more", F.when(take, 1).otherwise(F.col("more"))).drop("gap", "before"), "chosen")
-        left = new.groupBy("pattern").agg((F.max("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap"), F.max("target").alias("t"), F.min(F.when((F.col("more") == 0) & (F.col("size") > 0), F.col("size"))).alias("least"))
-        again = left.where(f"least <= gap and gap > {NEAR!r} * t").limit(1).count()
-        discard(state)
-        state = new
-        if not again:
+        state = materialize(order.withColumn("more", F.when(take, 1).otherwise(F.col("more"))).drop("gap", "before"), "chosen", state)
+        discard(gap)
+        gap = materialize(gaps(state), "gap")
+        if not gap.where(f"least <= gap and gap > {NEAR!r} * t").limit(1).count():
             break
     # the one document that comes nearest to what is left still; the first of them in seeded order
-    gap = materialize(state.groupBy("pattern").agg((F.max("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap")), "gap")
-    others = state.where("more = 0 and size > 0").join(bounded(gap), "pattern")
-    ties = F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.xxhash64("id", F.lit(seed)).alias("h"), F.col("size").alias("s"))
-    nearest = materialize(others.groupBy("pattern").agg(F.min(ties).alias("best"), F.max("gap").alias("g")).where("best.off < g").select("pattern", F.col("best.h").alias("nh"), F.col("best.s").alias("ns")), "nearest")
-    last = state.where("more = 0 and size > 0").join(bounded(nearest), "pattern").where(F.xxhash64("id", F.lit(seed)).eqNullSafe(F.col("nh")) & (F.col("size") == F.col("ns")))
-    one = materialize(last.dropDuplicates(["pattern"]).select("pattern", "nh", "ns", F.lit(1).alias("one")), "one")
-    # equal rows can't be told apart: of those equal to the chosen one, the first numbered is it
-    hit = (F.col("more") == 0) & F.xxhash64("id", F.lit(seed)).eqNullSafe(F.col("nh")) & (F.col("size") == F.col("ns"))
-    done = state.join(bounded(one), "pattern", "left").withColumn("_hit", F.coalesce(hit, F.lit(False)))
-    same = before(done.where("_hit"), ["pattern"], F.lit(0).cast("long"), ["id"], F.lit(1), 1).withColumn("more", F.when(F.col("before") == 0, 1).otherwise(0)).drop("before")
-    done = done.where("not _hit").unionByName(same)
+    others = join_hot(state.where("more = 0 and size > 0"), gap.select("key", "gap", "n"), ["key"], "n")
+    nearest = others.groupBy("key").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "h", "size", "row")).alias("best"), F.max("gap").alias("g"))
+    last = materialize(nearest.where("best.off < g").select(F.col("best.row").alias("row"), F.lit(1).alias("one")), "nearest", gap)
+    done = state.join(last, "row", "left").withColumn("more", F.greatest("more", F.coalesce("one", F.lit(0))))
     copies = F.when(F.col("size") == 0, 0).otherwise(F.col("full") + F.col("more"))
     return done.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies"))

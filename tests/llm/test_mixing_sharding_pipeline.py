@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ridgeline.llm.common import before, connected_components
-from ridgeline.llm.mixing import min_cost_flow, mix, target_shares
+from ridgeline.llm.mixing import min_cost_flow, mix, source_targets
 from ridgeline.llm.sharding import numbered, propagate, shard_documents
 
 
@@ -18,10 +18,55 @@ def words(n, seed=0):
     return " ".join(rng.choice("abcdefghij") + str(rng.randrange(90)) for _ in range(n))
 
 
-def test_targets_stop_at_three_times_the_size():
-    assert target_shares([600, 0, 1, 10], [1, 2, 3, 1], 3) == pytest.approx([578.0, 0.0, 3.0, 30.0])
-    assert target_shares([100, 100, 100], [1, 2, 3], 3) == pytest.approx([50, 100, 150])
-    assert target_shares([], [], 3) == []
+def target_shares(sizes, weights, most):
+    """Quotas by trying every set of capped sources in order of their room: the plain way."""
+    order = sorted(range(len(sizes)), key=lambda i: most * sizes[i] / weights[i])
+    for k in range(len(order) + 1):
+        free, left = order[k:], sum(sizes) - sum(most * sizes[i] for i in order[:k])
+        weight = sum(weights[i] for i in free)
+        if all(left * weights[i] / weight <= most * sizes[i] for i in free):
+            return [left * weights[i] / weight if i in free else most * sizes[i] for i in range(len(sizes))]
+
+
+@pytest.mark.parametrize("sizes", [[600, 0, 1, 10], [100, 100, 100], [5, 0, 0, 3000, 7, 900, 1]])
+def test_targets_stop_at_three_times_the_size(spark, sizes):
+    df = spark.createDataFrame([(f"s{i}", s) for i, s in enumerate(sizes)], "source string, size long")
+    got = {r["source"]: r["target"] for r in source_targets(df, (1, 2, 3), 3, sum(sizes)).collect()}
+    assert [got[f"s{i}"] for i in range(len(sizes))] == pytest.approx(target_shares(sizes, [1 + i % 3 for i in range(len(sizes))], 3))
+
+
+def best_flow(supplies, members, quotas, repeats):
+    """Least cost of the largest flow, by trying every split of small supplies."""
+    best = {}
+
+    def go(p, left, cost, flow):
+        if p == len(supplies):
+            best[flow] = min(best.get(flow, cost), cost)
+            return
+        options = [()]
+        for q in members[p]:
+            options = [(*o, x) for o in options for x in range(min(left[q], repeats * supplies[p] - sum(o)) + 1)]
+        for o in options:
+            used = sum(o)
+            now = list(left)
+            for q, x in zip(members[p], o, strict=True):
+                now[q] -= x
+            go(p + 1, now, cost + sum(max(0, used - k * supplies[p]) for k in range(1, repeats)), flow + used)
+
+    go(0, list(quotas), 0, 0)
+    return max(best), best[max(best)]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_flow_equals_the_best_of_all(seed):
+    rng = random.Random(seed)
+    supplies, quotas = [rng.randrange(0, 4) for _ in range(3)], [rng.randrange(0, 6) for _ in range(2)]
+    members = [rng.choice([[0], [1], [0, 1]]) for _ in supplies]
+    given = min_cost_flow(supplies, members, quotas, 3)
+    used = [sum(g) for g in given]
+    assert all(sum(g[q] for g in given) <= quotas[q] for q in range(2))
+    cost = sum(max(0, u - k * s) for u, s in zip(used, supplies, strict=True) for k in (1, 2))
+    assert (sum(used), cost) == best_flow(supplies, members, quotas, 3)
 
 
 def test_flow_repeats_only_where_it_must_and_evenly():
