@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import before, discard, materialize, pick
+from ridgeline.llm.common import before, discard, join_hot, materialize, pick
 
 SHARDS, SEED, ROUNDS = 24, 7, 16
 
@@ -39,8 +39,8 @@ def propagate(rows: DataFrame, links: DataFrame, n_rows: int, shards: int = SHAR
     """
     spark = rows.sparkSession
     quota = quotas(n_rows, shards)
-    linked = links.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
-    links = materialize(links.join(linked, "group", "left_semi").select("row", "group"), "links")
+    linked = materialize(links.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"), "linked")
+    links = materialize(join_hot(links, linked, ["group"], "n").select("row", "group"), "links", linked)
     start = (F.col("row") % shards).cast("int").alias("shard")
     state = materialize(links.select("row").distinct().select("row", start), "state")
     n_linked = state.count()
@@ -55,12 +55,13 @@ def propagate(rows: DataFrame, links: DataFrame, n_rows: int, shards: int = SHAR
         # the shard with most rows of the group (of those with room); ties by a hash, so that groups don't pile up
         wanted = counts.join(F.broadcast(free), "shard").where("room > 0") if by_room else counts
         best = wanted.groupBy("group").agg(F.max(F.struct("n", F.xxhash64("group", "shard", F.lit(seed)).alias("tie"), "shard")).alias("b")).select("group", F.col("b.n").alias("there"), F.col("b.shard").alias("to"))
-        here = counts.select("group", "shard", F.col("n").alias("here"))
-        gain = F.when(F.col("to") == F.col("shard"), 0).otherwise(F.col("there") - F.col("here"))
-        votes = links.join(state, "row").join(best, "group").join(here, ["group", "shard"]).groupBy("row", "shard", "to").agg(F.sum(gain).alias("gain"))
+        # one row for each group and shard; a group that very many rows are in is no group to shuffle
+        gain = F.when(F.col("to") == F.col("shard"), 0).otherwise(F.col("there") - F.col("n"))
+        wishes = materialize(counts.join(best, "group").select("group", "shard", "to", gain.alias("gain"), "n"), "wishes")
+        votes = join_hot(links.join(state, "row"), wishes, ["group", "shard"], "n").groupBy("row", "shard", "to").agg(F.sum("gain").alias("gain"))
         wish = votes.groupBy("row", "shard").agg(F.max(F.struct("gain", F.xxhash64("row", "to", F.lit(seed)).alias("tie"), "to")).alias("w")).select("row", "shard", F.col("w.gain").alias("gain"), F.col("w.to").alias("to"))
         # equal counts move too: all rows of a group agree on the shard
-        movers = materialize(wish.where("to <> shard and gain >= 0"), "movers")
+        movers = materialize(wish.where("to <> shard and gain >= 0"), "movers", wishes)
         # the largest gains first: gains in powers of two, then the seeded order
         power = F.least(F.lit(31), F.floor(F.log2(F.col("gain") + 1)).cast("int"))
         rank = (F.lit(15) - power).cast("long") * F.lit(1 << 58) + F.pmod(F.xxhash64("row", F.lit(seed + k)), F.lit(1 << 58))
