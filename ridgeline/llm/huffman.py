@@ -31,7 +31,7 @@ from ridgeline.llm.bpe import pieces_of
 from ridgeline.llm.common import discard, map_steps, materialize, pick, step_batches
 from ridgeline.llm.words import WordIds, runs, words_of
 
-MAX_BITS, BLOCK, FILE_BYTES = 18, 1024, 8 << 20
+MAX_BITS, BLOCK, FILE_BYTES, PART_BYTES = 18, 1024, 8 << 20, 128 << 20
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 HEADER = struct.Struct("<8sHIIQQQI")
 MAGIC = b"HUFIDS\0\1"
@@ -269,7 +269,9 @@ def write_ids(ids: DataFrame, n_ids: int, max_bits: int = MAX_BITS, block: int =
 
     Ids are coded before the shuffle, so it moves coded bytes only; ``ids`` is read twice (counts, then codes).
     """
-    packed = zlib.compress(code_lengths(id_counts(ids, n_ids), max_bits).tobytes(), 9)
+    counts = id_counts(ids, n_ids)
+    lengths = code_lengths(counts, max_bits)
+    packed, coded_bytes = zlib.compress(lengths.tobytes(), 9), int(counts @ lengths) // 8
     kind = ids.schema["id"].dataType.simpleString()
 
     def code(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -297,7 +299,8 @@ def write_ids(ids: DataFrame, n_ids: int, max_bits: int = MAX_BITS, block: int =
             yield file()
 
     coded = map_steps(ids, "ids", code, f"id {kind}, n_tokens bigint, marks binary, data binary")
-    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a part for each shuffle partition, or more so that each sorts PART_BYTES at most, about
+    parts = max(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), coded_bytes // PART_BYTES)
     ordered = coded.repartitionByRange(parts, "id", F.xxhash64("data")).sortWithinPartitions("id", F.xxhash64("data"), "data")
     return materialize(ordered.mapInArrow(pack, "part int, seq int, n_docs bigint, n_tokens bigint, bytes binary"), "id-files")
 
@@ -317,9 +320,13 @@ def read_ids(files: DataFrame, kind: str) -> DataFrame:
 
 
 def file_starts(files: DataFrame) -> DataFrame:
-    """(part, seq, start): ids in all files before. One row for each file, so one small task sums them up."""
-    over = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return materialize(files.select("part", "seq", F.coalesce(F.sum("n_tokens").over(over), F.lit(0)).alias("start")), "id-starts")
+    """(part, seq, start): ids in all files before. The parts' sums (one row a part) are added up first, then each part's files."""
+    sizes = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    own = files.select("part", "seq", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("own"))
+    return materialize(own.join(F.broadcast(base), "part").select("part", "seq", (F.col("base") + F.col("own")).alias("start")), "id-starts")
 
 
 def store_tokens(df: DataFrame, tokenizer_path: str, n_ids: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
