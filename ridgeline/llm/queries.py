@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.bpe import decode_bpe, encode_bpe
@@ -94,6 +94,33 @@ def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op4_quality that SQL can state: which documents no label is learnt from."""
+    return op4_quality(spark, sf_dir).select("doc_id", "held_out")
+
+
+def op5_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5_mix that SQL can state: sizes and targets."""
+    return op5_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def op7_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op7_shards that SQL can state: rows of each shard, their slots and all sizes."""
+    shards = op7_shards(spark, sf_dir).groupBy("shard")
+    counts = shards.agg(F.count("*").alias("rows"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last"), F.sum("size").alias("size"))
+    return counts.select("shard", "rows", "slots", "last", F.sum("size").over(Window.partitionBy()).alias("size"))
+
+
+def op8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8_byte_bpe that SQL can state: the decoded bytes are the text's."""
+    return op8_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def op10_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op10_ogg that SQL can state: the payload that is read back."""
+    return op10_ogg(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
 QUERIES = {
     "op1_hamming_topk": op1_hamming_topk,
     "op2_ngram_join": op2_ngram_join,
@@ -106,6 +133,11 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_huffman_ids": op9_huffman_ids,
     "op10_ogg": op10_ogg,
+    "op4_folds": op4_folds,
+    "op5_targets": op5_targets,
+    "op7_quotas": op7_quotas,
+    "op8_decoded": op8_decoded,
+    "op10_payload": op10_payload,
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -159,7 +191,62 @@ SELECT d.doc_id, CASE WHEN s.doc_id IS NULL THEN d.text ELSE coalesce(k.text, ''
 FROM docs d LEFT JOIN sums s ON s.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+elements AS (SELECT doc_id, len(s) AS n, unnest(s) AS e FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM elements a JOIN elements b ON a.e = b.e AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS x, a AS y FROM edges UNION SELECT r.x, e.b FROM reach r JOIN edges e ON e.a = r.y)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.c, s.doc_id) AS component_id
+FROM sets s LEFT JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) m ON m.x = s.doc_id
+"""
+
+_STEP = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
+OP4_FOLDS_SQL = f"""
+WITH d AS (SELECT doc_id, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda t: CAST(ascii(t) AS BIGINT)) AS t FROM documents)
+SELECT doc_id, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], t), lambda c, b: {_STEP}), 4294967295) % 3 = 1 AS held_out FROM d
+"""
+
+OP5_TARGETS_SQL = f"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS z FROM d GROUP BY source),
+r AS (SELECT *, CAST((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1 AS DOUBLE) AS w FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY 3e0 * z / w, source) AS k FROM r),
+c AS (SELECT k.k, (SELECT sum(z) FROM o) - coalesce(sum(3 * i.z), 0) AS rest FROM (SELECT unnest(range(0, (SELECT count(*) FROM o))) AS k) k LEFT JOIN o i ON i.k <= k.k GROUP BY k.k),
+l AS (SELECT c.k, c.rest / (SELECT sum(w) FROM o WHERE o.k > c.k) AS per FROM c),
+b AS (SELECT min(l.k) AS k, arg_min(l.per, l.k) AS per FROM l WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.k > l.k AND l.per * o.w > 3e0 * o.z)),
+t AS (SELECT o.source, o.z, CASE WHEN o.k <= b.k THEN 3e0 * o.z ELSE b.per * o.w END AS target FROM o, b)
+SELECT d.doc_id, d.size, t.z AS source_size, round(t.target, 4) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""
+
+OP7_QUOTAS_SQL = """
+WITH d AS (SELECT count(*) AS n, CAST(sum(strlen(coalesce(text, '')) + 8) AS BIGINT) AS size FROM documents),
+s AS (SELECT unnest(range(0, 24)) AS shard), q AS (SELECT s.shard, d.n // 24 + CASE WHEN s.shard < d.n % 24 THEN 1 ELSE 0 END AS rows, size FROM s, d)
+SELECT CAST(shard AS INTEGER) AS shard, rows, rows AS slots, rows - 1 AS last, size FROM q WHERE rows > 0
+"""
+
+OP8_DECODED_SQL = "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"
+
+OP10_PAYLOAD_SQL = r"""
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, b, CAST(octet_length(b) AS BIGINT) AS n, CAST(greatest(1, (octet_length(b) + 575) // 576) * 576 AS BIGINT) AS m FROM t)
+SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(b || repeat('\xFF'::BLOB, m - n)) AS payload_sha256 FROM p
+"""
+
 ORACLES: dict[str, str] = {
     "op1_hamming_topk": OP1_SQL,
+    "op2_ngram_join": OP2_SQL,
+    "op4_folds": OP4_FOLDS_SQL,
+    "op5_targets": OP5_TARGETS_SQL,
+    "op7_quotas": OP7_QUOTAS_SQL,
+    "op8_decoded": OP8_DECODED_SQL,
+    "op10_payload": OP10_PAYLOAD_SQL,
     "op3_line_dedup": OP3_SQL,
 }
