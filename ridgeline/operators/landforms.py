@@ -8,24 +8,32 @@ from pyspark.sql import functions as F
 from ridgeline.functions.geodesy import cell_name, num
 from ridgeline.functions.text import trimmed
 
+# Classes that are summits, the size of a point, and the reasons in their order.
 SUMMIT_CLASSES = ("peak", "volcano")
 POINT_TOLERANCE_DEG = 1e-4
 REASONS = ("unreadable-row", "not-a-landform", "not-a-summit-class", "unnamed", "no-elevation", "not-a-point", "outside-area")
 
 
 def classify_landforms(rows: DataFrame, area: tuple[float, float, float, float]) -> DataFrame:
-    """Adds name, lat, lon, cell and reason (null for a summit). area: south, west, north, east."""
+    """Adds name, lat, lon, cell and reason (null for a summit). area: south, west, north, east.
+
+    Texts count without white space around them and a blank one is none; numbers must be finite; a box needs all four sides.
+    """
     south, west, north, east = area
-    b = F.col("bbox")
-    name = F.nullif(trimmed(F.col("names.primary")), F.lit(""))
-    lat, lon = (b["ymin"] + b["ymax"]) / num(2), (b["xmin"] + b["xmax"]) / num(2)
-    point = (b["xmax"] >= b["xmin"]) & (b["ymax"] >= b["ymin"]) & (b["xmax"] - b["xmin"] <= POINT_TOLERANCE_DEG) & (b["ymax"] - b["ymin"] <= POINT_TOLERANCE_DEG) & lat.between(-90, 90) & lon.between(-180, 180)
+    text = lambda c: F.nullif(trimmed(F.col(c)), F.lit(""))
+    finite = lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    x0, x1, y0, y1 = (finite(F.col(f"bbox.{side}").cast("double")) for side in ("xmin", "xmax", "ymin", "ymax"))
+    unboxed = x0.isNull() | x1.isNull() | y0.isNull() | y1.isNull()
+    name = text("names.primary")
+    lat, lon = F.when(~unboxed, (y0 + y1) / num(2)), F.when(~unboxed, (x0 + x1) / num(2))
+    point = (x1 >= x0) & (y1 >= y0) & (x1 - x0 <= POINT_TOLERANCE_DEG) & (y1 - y0 <= POINT_TOLERANCE_DEG) & lat.between(-90, 90) & lon.between(-180, 180)
     reason = (
-        F.when(F.col("id").isNull() | b.isNull(), REASONS[0]).when(~F.col("subtype").eqNullSafe("physical"), REASONS[1]).when(~F.coalesce(F.col("class").isin(*SUMMIT_CLASSES), F.lit(False)), REASONS[2])
-        .when(name.isNull(), REASONS[3]).when(F.col("elevation").isNull(), REASONS[4]).when(~F.coalesce(point, F.lit(False)), REASONS[5])
+        F.when(text("id").isNull() | unboxed, REASONS[0]).when(~text("subtype").eqNullSafe(F.lit("physical")), REASONS[1])
+        .when(~F.coalesce(text("class").isin(*SUMMIT_CLASSES), F.lit(False)), REASONS[2]).when(name.isNull(), REASONS[3])
+        .when(finite(F.col("elevation").cast("double")).isNull(), REASONS[4]).when(~F.coalesce(point, F.lit(False)), REASONS[5])
         .when(~(lat.between(south, north) & lon.between(west, east)), REASONS[6])
     )
-    return rows.withColumn("name", name).withColumn("lat", lat).withColumn("lon", lon).withColumn("cell", cell_name(lat, lon)).withColumn("reason", reason)
+    return rows.withColumn("id", text("id")).withColumn("name", name).withColumn("lat", lat).withColumn("lon", lon).withColumn("cell", cell_name(lat, lon)).withColumn("reason", reason)
 
 
 def import_landforms(rows: DataFrame, area: tuple[float, float, float, float], order: str = "ord") -> DataFrame:
@@ -55,3 +63,18 @@ def fill_elevations(summits: DataFrame, heights: DataFrame) -> DataFrame:
     filled = summits.join(heights.select("id", F.col("elevationM").alias("_second")), "id", "left")
     source = F.when(F.col("elevationM").isNotNull(), "first").when(F.col("_second").isNotNull(), "second")
     return filled.withColumn("elevationSource", source).withColumn("elevationM", F.coalesce("elevationM", "_second")).drop("_second")
+
+
+def batches(rows: DataFrame, order: str, most: int) -> DataFrame:
+    """batch (from 0), rows (array in order): consecutive rows by ``order``, ``most`` to a batch (1 to 100, cut to that).
+
+    Rows are numbered without one task for all: sorted in parts, whose counts (one row a part) are added up.
+    """
+    most = min(100, max(1, int(most)))
+    cuts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    part = rows.repartitionByRange(int(cuts), order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
+    inside = part.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = inside.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    numbered = inside.join(F.broadcast(counts), "_p").withColumn("batch", F.floor((F.col("_base") + F.col("_i")) / most).cast("long"))
+    return numbered.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct(order, *[c for c in rows.columns if c != order]))).alias("rows"))

@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.functions.geodesy import COINCIDENT_DISTANCE_TOLERANCE, altitude_angle_deg, bounding_box, cell_name, haversine_m, initial_bearing_deg, num
+from ridgeline.functions.geodesy import (
+    COINCIDENT_DISTANCE_TOLERANCE, altitude_angle_deg, angular_difference_deg, bounding_box, cell_name, haversine_m, initial_bearing_deg, lon_width_deg, lon_within, num,
+)
 
 RAY = ("observer_id", "bearingDeg")
 MAX_SAMPLE_GAP_FACTOR = 1.5
@@ -64,16 +66,41 @@ def sightings(observers: DataFrame, summits: DataFrame, radius_km: float) -> Dat
     return near.withColumn("altitudeDeg", altitude_angle_deg(F.col("eyeElevationM"), F.col("elevationM"), F.col("distanceM"))).withColumn("distanceKm", F.col("distanceM") / num(1000))
 
 
+def within_boxes(boxes: DataFrame, summits: DataFrame) -> DataFrame:
+    """Summits in boxes (observer_id, south, west, north, east; longitudes modular): by all cells of a box, then the exact test."""
+    rows = F.sequence(F.floor("south").cast("int"), F.least(F.lit(89), F.floor("north").cast("int")))
+    wide = lon_width_deg(F.col("west"), F.col("east")) >= 359
+    columns = F.when(wide, F.sequence(F.lit(-180), F.lit(179))).otherwise(F.sequence(F.floor("west").cast("int"), F.floor(F.col("west") + lon_width_deg(F.col("west"), F.col("east"))).cast("int")))
+    covered = boxes.select("*", F.explode(rows).alias("_r")).select("*", F.explode(columns).alias("_c"))
+    covered = covered.withColumn("cell", cell_name(F.col("_r").cast("double"), F.col("_c").cast("double"))).drop("_r", "_c").distinct().alias("b")
+    placed = summits.withColumn("cell", cell_name(F.col("lat"), F.col("lon"))).alias("p")
+    inside = F.col("p.lat").between(F.col("b.south"), F.col("b.north")) & lon_within(F.col("b.west"), F.col("b.east"), F.col("p.lon"))
+    return covered.join(placed, "cell").where(inside).select("b.observer_id", *[F.col(f"p.{c}") for c in summits.columns])
+
+
 def bracketed(seen: DataFrame, profile: DataFrame) -> DataFrame:
-    """Sightings with the measured bearings on both sides, across the seam: before, after, _b, _a (unwrapped) and weight."""
-    bearings = profile.groupBy("observer_id").agg(F.sort_array(F.collect_set("bearingDeg")).alias("_all"))
-    out = seen.join(bearings, "observer_id")
-    out = out.withColumn("_in0", F.expr("array_max(filter(_all, b -> b <= bearingDeg))")).withColumn("_in1", F.expr("array_min(filter(_all, b -> b > bearingDeg))"))
-    out = out.withColumn("before", F.coalesce("_in0", F.array_max("_all"))).withColumn("after", F.coalesce("_in1", F.array_min("_all")))
-    out = out.withColumn("_b", F.coalesce("_in0", F.array_max("_all") - num(360))).withColumn("_a", F.coalesce("_in1", F.array_min("_all") + num(360)))
+    """Sightings with the measured bearings on both sides, across the seam: before, after, _b, _a (unwrapped), weight, nearest.
+
+    A profile becomes arcs from each bearing to the next (the last to the first). An arc is found by whole degrees, which are
+    joined by equality, so a sighting meets the few arcs of its degree. Steps of both ends, if the profile has them, come along.
+    """
+    order, every = Window.partitionBy("observer_id").orderBy("bearingDeg"), Window.partitionBy("observer_id")
+    steps = ["steps"] if "steps" in profile.columns else []
+    arcs = profile.select("observer_id", "bearingDeg", *steps).dropDuplicates(list(RAY))
+    arcs = arcs.select(
+        "observer_id", F.col("bearingDeg").alias("before"), F.coalesce(F.lead("bearingDeg").over(order), F.min("bearingDeg").over(every)).alias("after"),
+        F.coalesce(F.lead("bearingDeg").over(order), F.min("bearingDeg").over(every) + num(360)).alias("_end"),
+        *[x for s in steps for x in (F.col(s).alias("_before"), F.coalesce(F.lead(s).over(order), F.min_by(s, "bearingDeg").over(every)).alias("_after"))],
+    )
+    degrees = F.transform(F.sequence(F.floor("before").cast("int"), F.floor("_end").cast("int")), lambda d: F.pmod(d, F.lit(360)))
+    arcs = arcs.select("*", F.explode(F.array_distinct(degrees)).alias("_degree"))
+    out = seen.withColumn("_degree", F.floor("bearingDeg").cast("int")).join(arcs, ["observer_id", "_degree"])
+    wrapped = F.when(F.col("bearingDeg") < F.col("before"), num(360)).otherwise(num(0))
+    out = out.withColumn("_b", F.col("before") - wrapped).withColumn("_a", F.col("_end") - wrapped).where("bearingDeg >= _b and bearingDeg < _a")
     weight = F.when(F.col("_a") > F.col("_b"), (F.col("bearingDeg") - F.col("_b")) / (F.col("_a") - F.col("_b"))).otherwise(num(0))
-    nearest = F.expr("array_min(transform(_all, b -> struct(abs(case when pmod(bearingDeg - b, 360D) > 180 then pmod(bearingDeg - b, 360D) - 360D else pmod(bearingDeg - b, 360D) end) as sep, b as b)))")
-    return out.withColumn("weight", weight).withColumn("nearest", nearest["b"]).drop("_in0", "_in1")
+    apart = lambda c: F.abs(angular_difference_deg(F.col(c), F.col("bearingDeg")))
+    ends = [F.struct(apart(c).alias("sep"), F.col(c).alias("b")) for c in ("before", "after")]
+    return out.withColumn("weight", weight).withColumn("nearest", F.least(*ends)["b"]).drop("_degree", "_end")
 
 
 def nearer_step(steps: str) -> str:
@@ -84,12 +111,9 @@ def nearer_step(steps: str) -> str:
 
 def against_horizon(seen: DataFrame, rays: DataFrame) -> DataFrame:
     """Sightings with occludingAltitudeDeg, clearanceDeg and occluderDistanceKm (null if nothing stands nearer)."""
-    profile = horizon_profile(rays)
-    steps = profile.select("observer_id", "bearingDeg", "steps")
-    out = bracketed(seen, profile)
-    for side in ("before", "after"):
-        out = out.join(steps.select("observer_id", F.col("bearingDeg").alias(side), F.col("steps").alias(f"_{side}")), ["observer_id", side])
-        out = out.withColumn(f"_{side}", F.expr(nearer_step(f"_{side}")))
+    out = bracketed(seen, horizon_profile(rays))
+    for side in ("_before", "_after"):
+        out = out.withColumn(side, F.expr(nearer_step(side)))
     b, a = F.col("_before"), F.col("_after")
     angle = F.when(b.isNull(), a["alt"]).when(a.isNull(), b["alt"]).otherwise(b["alt"] + F.col("weight") * (a["alt"] - b["alt"]))
     out = out.withColumn("occludingAltitudeDeg", F.coalesce(angle, num(-90))).withColumn("occluderDistanceKm", F.least(-b["nearKm"], -a["nearKm"]))
@@ -111,19 +135,22 @@ def annotate(observers: DataFrame, summits: DataFrame, rays: DataFrame, swept_de
     status, first that holds: too-near, unmeasured-bearing, unmeasured-range, judged. visibility of the judged: marginal
     where ground too near to be resolved decides, visible, self-occluded, or foreground-occluded, with the evidence.
     """
-    swept = ", ".join(f"{float(b)!r}D" for b in swept_deg)
     seen = against_horizon(sightings(observers, summits, radius_km), rays)
-    hole = F.expr(f"exists(filter(array({swept}), u -> not array_contains(_all, u)), u -> (u > _b and u < _a) or (u - 360D > _b and u - 360D < _a) or (u + 360D > _b and u + 360D < _a))") & (F.col("weight") != 0)
+    # bearings that were asked for and have no terrain: once for each observer
+    missing = horizon_coverage(rays, swept_deg).groupBy("observer_id").agg(F.collect_list("bearingDeg").alias("_missing"))
+    seen = seen.join(missing, "observer_id", "left")
+    between = F.exists("_missing", lambda u: ((u > F.col("_b")) & (u < F.col("_a"))) | ((u - 360 > F.col("_b")) & (u - 360 < F.col("_a"))) | ((u + 360 > F.col("_b")) & (u + 360 < F.col("_a"))))
+    hole = F.coalesce(between, F.lit(False)) & (F.col("weight") != 0)
     own = whole_rays(rays).select("observer_id", F.col("bearingDeg").alias("nearest"), "samples")
     out = seen.withColumn("hole", hole).join(own, ["observer_id", "nearest"], "left")
     out = out.withColumn("measured", F.coalesce(F.expr(measured_sql("samples", "0D", "distanceM", spacing_m)), F.lit(False)))
     status = F.when(F.col("distanceKm") < min_km, "too-near").when(F.col("hole"), "unmeasured-bearing").when(~F.col("measured"), "unmeasured-range").otherwise("judged")
 
     # half the relief of the unresolvable ground around the observer, towards the summit
-    near = rays.where(F.col("distanceM") <= near_m).groupBy("observer_id").agg(F.collect_list(F.struct("bearingDeg", "elevationM")).alias("_near"))
-    turn = "abs(case when pmod(n.bearingDeg - bearingDeg, 360D) > 180 then pmod(n.bearingDeg - bearingDeg, 360D) - 360D else pmod(n.bearingDeg - bearingDeg, 360D) end)"
-    out = out.join(near, "observer_id", "left").withColumn("_near", F.expr(f"transform(filter(_near, n -> {turn} <= {half_window_deg!r}D), n -> n.elevationM)"))
-    relief = F.greatest(F.array_max("_near"), F.col("groundElevationM")) - F.least(F.array_min("_near"), F.col("groundElevationM"))
+    near = rays.where(F.col("distanceM") <= near_m).groupBy(*RAY).agg(F.min("elevationM").alias("low"), F.max("elevationM").alias("high"))
+    near = near.groupBy("observer_id").agg(F.collect_list(F.struct("bearingDeg", "low", "high")).alias("_near"))  # one for each bearing
+    out = out.join(near, "observer_id", "left").withColumn("_near", F.filter("_near", lambda n: F.abs(angular_difference_deg(F.col("bearingDeg"), n["bearingDeg"])) <= num(half_window_deg)))
+    relief = F.greatest(F.array_max(F.col("_near.high")), F.col("groundElevationM")) - F.least(F.array_min(F.col("_near.low")), F.col("groundElevationM"))
     band_m = F.when(F.size("_near") > 0, relief / num(2)).otherwise(num(0))
     occluder_m = F.col("occluderDistanceKm") * num(1000)
     band = F.when((band_m > 0) & (occluder_m > 0) & (occluder_m < near_m), F.degrees(F.atan(band_m / occluder_m))).otherwise(num(0))

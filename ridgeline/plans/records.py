@@ -9,6 +9,7 @@ from ridgeline.functions import geodesy as g
 from ridgeline.functions import text as t
 from ridgeline.functions.geodesy import num
 from ridgeline.operators import landforms as lf
+from ridgeline.operators import visibility as v
 from ridgeline.plans import sqltext as s
 from ridgeline.plans.scene import r
 from ridgeline.sources import views
@@ -39,15 +40,17 @@ def circle_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def peaks_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summits in the box of each observer's circle."""
-    box = g.bounding_box(F.col("o.lat"), F.col("o.lon"), 12.0)
-    o, p = views.observers(spark, sf_dir).alias("o"), views.summits(spark, sf_dir).alias("p")
-    # cells of the box's corners: an equality join, then the exact test
-    corners = F.array_distinct(F.array(*[g.cell_name(box[a], box[b]) for a in ("south", "north") for b in ("west", "east")]))
-    wide = o.select("o.*", F.explode(corners).alias("cell"), *[x.alias(k) for k, x in box.items()]).alias("o")
-    joined = wide.join(p.withColumn("cell", g.cell_name(F.col("lat"), F.col("lon"))).alias("p"), "cell")
-    inside = F.col("p.lat").between(F.col("south"), F.col("north")) & g.lon_within(F.col("west"), F.col("east"), F.col("p.lon"))
-    return joined.where(inside).select("observer_id", "id")
+    """Summits in the box of a circle of 12 km around each observer."""
+    o = views.observers(spark, sf_dir).select("observer_id", "lat", "lon")
+    boxes = o.select("observer_id", *[x.alias(k) for k, x in g.bounding_box(F.col("lat"), F.col("lon"), 12.0).items()])
+    return v.within_boxes(boxes, views.summits(spark, sf_dir)).select("observer_id", "id")
+
+
+def peaks_in_wide_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in boxes that cover more cells than their corners: 140 km around each observer."""
+    o = views.observers(spark, sf_dir).select("observer_id", "lat", "lon")
+    boxes = o.select("observer_id", *[x.alias(k) for k, x in g.bounding_box(F.col("lat") - num(0.5), F.col("lon"), 140.0).items()])
+    return v.within_boxes(boxes, views.summits(spark, sf_dir)).groupBy("observer_id").agg(F.count("*").alias("peaks"), F.min("id").alias("firstId"))
 
 
 def longitude_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,8 +109,8 @@ def location_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("c_custkey")
     lat, lon = num(45) + (n * 7919 % 20000) / num(10000), num(6.9) + (n * 10473 % 20000) / num(10000)
     point = F.concat_ws(",", F.format_string("%.6f", lat), F.format_string("%.6f", lon))
-    rows = views.table(spark, sf_dir, "customer").select(F.floor(n / 100).cast("long").alias("batch"), n.alias("n"), point.alias("point"))
-    return rows.groupBy("batch").agg(F.concat_ws("|", F.transform(F.sort_array(F.collect_list(F.struct("n", "point"))), lambda x: x["point"])).alias("locations"), F.count("*").alias("points"))
+    rows = views.table(spark, sf_dir, "customer").where("c_custkey % 7 <> 3").select(n.alias("n"), point.alias("point"))
+    return lf.batches(rows, "n", 100).select("batch", F.concat_ws("|", F.transform("rows", lambda x: x["point"])).alias("locations"), F.size("rows").cast("long").alias("points"))
 
 
 def label_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,8 +130,8 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PK = "p_partkey"
 LAND = f"""land AS (
-  SELECT CASE WHEN {PK} % 17 <> 5 THEN concat('land-', CAST({PK} - CASE WHEN {PK} % 23 = 22 THEN 1 ELSE 0 END AS VARCHAR)) END AS id,
-    CASE WHEN {PK} % 11 = 3 THEN NULL ELSE trim(p_name) END AS name, {PK} % 7 = 2 AS water, {PK} % 5 = 1 AS valley, {PK} % 10 <> 0 AS high, {PK} % 19 <> 6 AS boxed, {PK} % 13 = 4 AS wide,
+  SELECT CASE WHEN {PK} % 43 = 9 THEN NULL WHEN {PK} % 17 <> 5 THEN concat('land-', CAST({PK} - CASE WHEN {PK} % 23 = 22 THEN 1 ELSE 0 END AS VARCHAR)) END AS id,
+    CASE WHEN {PK} % 11 = 3 THEN NULL ELSE trim(p_name) END AS name, {PK} % 7 = 2 AS water, {PK} % 5 = 1 AS valley, {PK} % 10 <> 0 AND {PK} % 41 <> 17 AS high, {PK} % 19 <> 6 AND {PK} % 37 <> 12 AS boxed, {PK} % 13 = 4 AS wide,
     45e0 + (({PK} * 7919) % 20000) / 10000e0 AS la, 6.9e0 + (({PK} * 10473) % 20000) / 10000e0 AS lo, {PK} AS ord FROM part),
 sized AS (SELECT *, CASE WHEN wide THEN 0.01e0 ELSE 0.00004e0 END AS sz FROM land),
 placed AS (SELECT *, CASE WHEN boxed THEN ((la - sz) + (la + sz)) / 2e0 END AS lat, CASE WHEN boxed THEN ((lo - sz) + (lo + sz)) / 2e0 END AS lon FROM sized),
@@ -150,7 +153,7 @@ _B = _box("lat", "lon", "12e0")
 _WIDTH = f"CASE WHEN east - west >= 360 THEN 360e0 ELSE {s.fold('east - west')} END"
 _OFF = f"CASE WHEN lon - west >= 0 AND lon - west < 360 THEN lon - west ELSE {s.fold('lon - west')} END"
 
-_FUNCS = (land_classified, land_outcomes, land_cells, circle_boxes, peaks_in_box, longitude_intervals, tagged_heights, filled_heights, reference_check, citations, licences, location_batches, label_widths, set_operations)
+_FUNCS = (land_classified, land_outcomes, land_cells, circle_boxes, peaks_in_box, peaks_in_wide_box, longitude_intervals, tagged_heights, filled_heights, reference_check, citations, licences, location_batches, label_widths, set_operations)
 QUERIES = {f.__name__: f for f in _FUNCS}
 
 
@@ -170,6 +173,8 @@ ORACLES = {
     "land_cells": f"WITH {LAND} SELECT {s.cell('lat', 'lon')} AS cell, count(*) AS peaks, min(id) AS firstId, round(max(lat), 6) + 0e0 AS north, round(min(lat), 6) + 0e0 AS south, round(min(lon), 6) + 0e0 AS west, round(max(lon), 6) + 0e0 AS east FROM imported WHERE outcome = 'kept' GROUP BY 1",
     "circle_boxes": " UNION ALL ".join(f"(WITH {s.OBSERVER} SELECT observer_id, '{name}' AS at, {', '.join(f'round({x}, 6) + 0e0 AS {k}' for k, x in _box(c, 'lon', '30e0').items())} FROM g_observer)" for name, c in (("observer", "lat"), ("pole", "(lat + 44.6e0)"))),
     "peaks_in_box": f"WITH {s.OBSERVER}, {s.SUMMIT}, b AS (SELECT observer_id, {', '.join(f'{x} AS {k}' for k, x in _B.items())} FROM g_observer) SELECT observer_id, id FROM b, g_summit p WHERE p.lat BETWEEN south AND north AND p.lon BETWEEN west AND east",
+    "peaks_in_wide_box": f"""WITH {s.OBSERVER}, {s.SUMMIT}, b AS (SELECT observer_id, {', '.join(f'{x} AS {k}' for k, x in _box('(lat - 0.5e0)', 'lon', '140e0').items())} FROM g_observer)
+SELECT observer_id, count(*) AS peaks, min(id) AS firstId FROM b, g_summit p WHERE p.lat BETWEEN south AND north AND p.lon BETWEEN west AND east GROUP BY observer_id""",
     "longitude_intervals": f"""WITH x AS (SELECT c_custkey AS k, CAST((c_custkey * 37) % 720 AS DOUBLE) - 360e0 AS west, CAST((c_custkey * 53) % 720 AS DOUBLE) - 359.5e0 AS east, CAST((c_custkey * 91) % 1080 AS DOUBLE) - 540e0 AS lon, CAST((c_custkey * 7) % 181 AS DOUBLE) - 90e0 AS lat FROM customer)
 SELECT k, {_WIDTH} AS width, east - west >= 360 OR ({_OFF}) <= ({_WIDTH}) AS inside, {s.norm_lon('lon')} AS folded, {s.fold('lon')} AS bearing, {s.cell('lat', 'lon')} AS cell, {s.angdiff('west', 'lon')} AS turn FROM x""",
     "tagged_heights": f"""WITH x AS (SELECT {PK} AS k, CASE {PK} % 8 WHEN 0 THEN concat({PK} % 4 + 1, ',', lpad(CAST({PK} % 1000 AS VARCHAR), 3, '0'), ' m') WHEN 1 THEN concat(({PK} * 7) % 14000, ' ft') WHEN 2 THEN 'unknown' WHEN 3 THEN concat('  +', {PK} % 3000, '.5 ')
@@ -181,7 +186,7 @@ SELECT k, tag, CAST(CASE k % 8 WHEN 0 THEN (k % 4 + 1) * 1000 + k % 1000 WHEN 1
   WHEN regexp_matches(text, '(?i)\\bcc by-nc\\b') THEN 'CC-BY-NC' WHEN regexp_matches(text, '(?i)\\bcc by\\b') THEN 'CC-BY' END AS licence FROM documents),
 c AS (SELECT licence, count(*) AS n, min(doc_id) AS firstDoc, licence IN ('GPL', 'CC-BY-NC', 'CC-BY') AS strong FROM d WHERE licence IS NOT NULL GROUP BY licence)
 SELECT licence, n, firstDoc, strong, CAST(row_number() OVER (ORDER BY strong DESC, licence) AS INTEGER) AS nth FROM c""",
-    "location_batches": """SELECT c_custkey // 100 AS batch, string_agg(printf('%.6f,%.6f', 45e0 + ((c_custkey * 7919) % 20000) / 10000e0, 6.9e0 + ((c_custkey * 10473) % 20000) / 10000e0), '|' ORDER BY c_custkey) AS locations, count(*) AS points FROM customer GROUP BY 1""",
+    "location_batches": """SELECT batch, string_agg(printf('%.6f,%.6f', 45e0 + ((c_custkey * 7919) % 20000) / 10000e0, 6.9e0 + ((c_custkey * 10473) % 20000) / 10000e0), '|' ORDER BY c_custkey) AS locations, count(*) AS points FROM (SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) // 100 AS batch FROM customer WHERE c_custkey % 7 <> 3) GROUP BY 1""",
     "label_widths": f"WITH {s.SUMMIT}, x AS (SELECT id, name, concat(CAST(floor(elevationM + 0.5e0) AS BIGINT), ' m') AS d0, elevationM FROM g_summit), y AS (SELECT *, CASE WHEN elevationM IS NULL THEN NULL ELSE d0 END AS detail FROM x) SELECT id, round({_width('name')} * 14e0, 4) + 0e0 AS nameWidthPx, detail, round({_width('detail')} * 11e0, 4) + 0e0 AS detailWidthPx FROM y",
     "set_operations": f"""WITH {s.SUMMIT}, a AS (SELECT id, name FROM g_summit WHERE CAST(substring(id, 2) AS BIGINT) % 3 <> 0), b AS (SELECT id, name FROM g_summit WHERE CAST(substring(id, 2) AS BIGINT) % 2 = 0)
 SELECT p.id, p.name, CASE WHEN a.id IS NOT NULL THEN 0 ELSE 1 END AS source, a.id IS NOT NULL AND b.id IS NULL AS onlyInFirst FROM g_summit p LEFT JOIN a ON a.id = p.id LEFT JOIN b ON b.id = p.id WHERE a.id IS NOT NULL OR b.id IS NOT NULL""",

@@ -60,13 +60,13 @@ def landforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     lat, lon = num(45) + (k * 7919 % 20000) / num(10000), num(6.9) + (k * 10473 % 20000) / num(10000)
     size = F.when(k % 13 == 4, num(0.01)).otherwise(num(0.00004))
-    box = F.struct((lon - size).alias("xmin"), (lon + size).alias("xmax"), (lat - size).alias("ymin"), (lat + size).alias("ymax"))
+    box = F.struct((lon - size).alias("xmin"), F.when(k % 37 != 12, lon + size).alias("xmax"), (lat - size).alias("ymin"), (lat + size).alias("ymax"))
     return table(spark, sf_dir, "part").select(
-        F.when(k % 17 != 5, F.concat(F.lit("land-"), (k - F.when(k % 23 == 22, 1).otherwise(0)).cast("string"))).alias("id"),
+        F.when(k % 43 == 9, F.lit(" \t")).when(k % 17 != 5, F.concat(F.lit("land-"), (k - F.when(k % 23 == 22, 1).otherwise(0)).cast("string"))).alias("id"),
         F.struct(F.when(k % 11 == 3, F.lit("  ")).otherwise(F.col("p_name")).alias("primary")).alias("names"),
         F.when(k % 7 == 2, F.lit("water")).otherwise(F.lit("physical")).alias("subtype"),
         F.when(k % 5 == 1, F.lit("valley")).when(k % 3 == 0, F.lit("volcano")).otherwise(F.lit("peak")).alias("class"),
-        F.when(k % 10 != 0, (F.col("p_size") * 60 + 400)).cast("int").alias("elevation"),
+        F.when(k % 41 == 17, num(float("nan"))).when(k % 10 != 0, F.col("p_size") * num(60) + num(400)).alias("elevation"),
         F.when(k % 19 != 6, box).alias("bbox"), k.alias("ord"),
     )
 
