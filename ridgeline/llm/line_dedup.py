@@ -68,14 +68,16 @@ def line_arrays(docs: DataFrame, min_words: int) -> DataFrame:
     plain = "text"
     for end, kept in ((". ", "."), ("! ", "!"), ("? ", "?"), ("\n", "")):  # as lines_of() does, without what is trimmed anyway
         plain = f"replace({plain}, {literal(end)}, {literal(kept + MARK)})"
-    even = F.transform(F.expr(f"split({plain}, {literal(MARK)})"), lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line")))
-    odd = F.transform(F.expr(f"regexp_extract_all(text, r'{LINE}', 0)"), lambda x, i: F.struct(i.alias("pos"), F.btrim(x, F.lit(" \t\n\x0b\x0c\r")).alias("line")))
+    even = F.transform(F.expr(f"split({plain}, {literal(MARK)})"), lambda x: F.trim(x))
+    odd = F.transform(F.expr(f"regexp_extract_all(text, r'{LINE}', 0)"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")))
     cut = docs.where("text is not null").select("id", "th", "text", F.expr(is_even("text")).alias("even"))
-    cut = cut.select("id", "th", "even", F.filter(F.when(F.col("even"), even).otherwise(odd), lambda x: x["line"] != "").alias("cut"))
-    lone = F.transform("cut", lambda x: F.octet_length(x["line"]) - F.octet_length(F.replace(x["line"], F.lit(" "), F.lit(""))) + 1)
-    counted = F.transform("cut", lambda x: F.regexp_count(x["line"], F.lit(r"[^\x20\x09-\x0D]+")))
-    lines = cut.select("id", "th", "cut", F.when(F.col("even"), lone).otherwise(counted).alias("n"))
-    lines = lines.select("id", "th", F.expr("cut.pos").alias("pos"), F.transform("cut", lambda x: F.xxhash64(x["line"])).alias("h"), "n")
+    cut = cut.select("id", "th", "even", F.when(F.col("even"), even).otherwise(odd).alias("all"))
+    cut = cut.select("id", "th", "even", "all", F.filter("all", lambda x: x != "").alias("cut"))
+    lone = F.transform("cut", lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
+    counted = F.transform("cut", lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")))
+    # (where no line is blank, places are plain numbers)
+    placed = "if(size(cut) = size(all), transform(cut, (x, i) -> i), filter(transform(all, (x, i) -> if(x = '', -1, i)), i -> i >= 0))"
+    lines = cut.select("id", "th", F.expr(placed).alias("pos"), F.transform("cut", lambda x: F.xxhash64(x)).alias("h"), F.when(F.col("even"), lone).otherwise(counted).alias("n"))
     # words of the next 2, 4 and so on lines, no more than would fill a window; past the end every line fills one
     wide, past = 1, min_words
     lines = lines.withColumn("_1", F.transform("n", lambda w: F.least(w.cast("int"), F.lit(past))))
@@ -85,15 +87,17 @@ def line_arrays(docs: DataFrame, min_words: int) -> DataFrame:
             pairs = f"if(exists(_{wide}, w -> w < {past}), {pairs}, _{wide})"
         lines = lines.withColumn(f"_{2 * wide}", F.expr(pairs))
         wide *= 2
-    # lines of a window but its last: as many as leave it short of words, found by halving
-    reach = "0L"
-    for k in (2**j for j in range(wide.bit_length() - 2, -1, -1)):
-        # so far: lines * 2 to the 32 + words
-        step = f"coalesce(get(_{k}, i + cast(shiftright(a, 32) as int)), {past})"
-        reach = f"array({reach})" if reach == "0L" else f"array({reach})"
-        reach = f"transform({reach}, a -> if((a & 4294967295) + {step} < {past}, a + {k << 32}L + {step}, a))[0]"
-    ends = F.expr(f"transform(n, (x, i) -> cast(least(i + shiftright({reach}, 32), size(n)) as int))")
-    lines = lines.select("id", "th", "pos", "h", "n", ends.alias("ends"))
+    # lines of a window but its last: as many as leave it short of words, found by halving; so far: lines * 2 to the 32 + words
+    def reach(most: int) -> str:
+        out = "0L"
+        while most:
+            step = f"coalesce(get(_{most}, i + cast(shiftright(a, 32) as int)), {past})"
+            out = f"transform(array({out}), a -> if((a & 4294967295) + {step} < {past}, a + {most << 32}L + {step}, a))[0]"
+            most //= 2
+        return f"transform(n, (x, i) -> cast(least(i + shiftright({out}, 32), size(n)) as int))"
+
+    common = f"if(exists(_{COMMON}, w -> w < {past}), {reach(wide // 2)}, {reach(COMMON // 2)})" if wide > COMMON else reach(wide // 2)
+    lines = lines.select("id", "th", "pos", "h", "n", F.expr(common).alias("ends"))
     # a hash's upper half and the line's place in one number, so that the least has its place with it
     lines = lines.withColumn("_p", F.expr("transform(h, (x, i) -> shiftleft(shiftright(x, 32), 32) + i)"))
     at = "transform(ends, (e, i) -> if(e < size(n), cast(array_min(slice(_p, i + 1, e - i + 1)) & 4294967295 as int), -1))"
