@@ -16,6 +16,7 @@ id sort by their ids' bytes, so equal rows are interchangeable; other columns ar
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -202,6 +203,7 @@ class Words:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.store = Tokenizer.from_file(path), WordIds(self.make)
