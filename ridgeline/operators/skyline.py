@@ -35,34 +35,41 @@ def split_scores(signal: DataFrame) -> DataFrame:
     return s.select(*COLUMN, "row", above.alias("above"), below.alias("below"), (above - below).alias("contrast"), (share * (num(1) - share) * (above - below) * (above - below)).alias("between"))
 
 
-def best_path(scores: np.ndarray, penalty: float, reach: int) -> np.ndarray:
-    """Row of each column that maximises the scores minus penalty * |step|, with steps of at most ``reach`` rows (exact)."""
+def best_path(scores: np.ndarray, penalty: float, free: int) -> np.ndarray:
+    """Row of each column that maximises the scores less the cost of steps (exact).
+
+    A step of up to ``free`` rows costs nothing, each further row ``penalty``; no step is too long, so a cliff can be followed.
+    Work is rows times columns: the best within the free window first, then what a steady cost carries up and down from there.
+    """
     n_cols, n_rows = scores.shape
-    total, back = scores[0].astype(float), np.zeros((n_cols, n_rows), np.int64)
-    rows = np.arange(n_rows)
+    rows, best = np.arange(n_rows), scores[0].astype(float)
+    parent = np.zeros((n_cols, n_rows), np.int64)
     for c in range(1, n_cols):
-        best, source = np.full(n_rows, -np.inf), np.zeros(n_rows, np.int64)
-        for d in sorted(range(-reach, reach + 1), key=lambda x: (abs(x), x)):  # ties: the smallest step
-            at = rows - d
-            ok = (at >= 0) & (at < n_rows)
-            value = np.where(ok, total[np.clip(at, 0, n_rows - 1)] - penalty * abs(d), -np.inf)
-            better = value > best
-            best, source = np.where(better, value, best), np.where(better, at, source)
-        total, back[c] = best + scores[c], source
+        padded = np.concatenate([np.full(free, -np.inf), best, np.full(free, -np.inf)])
+        near = np.lib.stride_tricks.sliding_window_view(padded, 2 * free + 1)
+        arg = near.argmax(axis=1) + rows - free  # the first of equals
+        carried, via = best[arg], rows
+        for turn in (1, -1):  # from above, then from below
+            value = (carried + penalty * turn * rows)[::turn]
+            high = np.maximum.accumulate(value)
+            source = np.maximum.accumulate(np.where(value == high, rows, 0))  # the nearest of equals
+            carried, via = high[::turn] - penalty * turn * rows, via[::turn][source][::turn]
+        parent[c] = arg[via]
+        best = carried + scores[c]
     path = np.zeros(n_cols, np.int64)
-    path[-1] = int(total.argmax())
+    path[-1] = int(best.argmax())
     for c in range(n_cols - 1, 0, -1):
-        path[c - 1] = back[c, path[c]]
+        path[c - 1] = parent[c, path[c]]
     return path
 
 
-def extract_skyline(signal: DataFrame, penalty: float = 0.002, reach: int = 4) -> DataFrame:
+def extract_skyline(signal: DataFrame, penalty: float = 0.002, free: int = 1) -> DataFrame:
     """image, col, row: the skyline of each image, from the between-split variances of its columns."""
     ship(signal.sparkSession)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         grid = frame.pivot_table(index="col", columns="row", values="between", fill_value=0.0).sort_index()
-        path = best_path(grid.to_numpy(), penalty, reach)
+        path = best_path(grid.to_numpy(), penalty, free)
         return pd.DataFrame({"image": frame["image"].iloc[0], "col": grid.index, "row": grid.columns.to_numpy()[path]})
 
     kinds = {f.name: f.dataType.simpleString() for f in signal.schema}

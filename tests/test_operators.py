@@ -113,19 +113,27 @@ def test_bilinear_is_exact_and_voids_are_never_averaged(spark):
     assert got[5] == ("outside", None, None) and got[6] == ("ok", "bilinear", 440.0) and got[7] == ("ok", "bilinear", 210.0)
 
 
-def brute_path(scores, penalty, reach):
+def brute_path(scores, penalty, free):
     n_cols, n_rows = scores.shape
+    cost = lambda q, r: penalty * max(0, abs(q - r) - free)
     best = {r: scores[0][r] for r in range(n_rows)}
     for c in range(1, n_cols):
-        best = {r: max(best[q] - penalty * abs(q - r) for q in range(n_rows) if abs(q - r) <= reach) + scores[c][r] for r in range(n_rows)}
+        best = {r: max(best[q] - cost(q, r) for q in range(n_rows)) + scores[c][r] for r in range(n_rows)}
     return max(best.values())
 
 
-def test_the_path_is_optimal():
-    scores = np.random.default_rng(1).random((12, 9))
-    path = skyline.best_path(scores, 0.3, 2)
-    value = sum(scores[c, r] for c, r in enumerate(path)) - 0.3 * np.abs(np.diff(path)).sum()
-    assert value == pytest.approx(brute_path(scores, 0.3, 2)) and np.abs(np.diff(path)).max() <= 2
+@pytest.mark.parametrize(("free", "penalty"), [(0, 0.3), (1, 0.1), (2, 0.3), (3, 0.0)])
+def test_the_path_is_optimal(free, penalty):
+    scores = np.random.default_rng(free).random((12, 9))
+    path = skyline.best_path(scores, penalty, free)
+    value = sum(scores[c, r] for c, r in enumerate(path)) - penalty * np.maximum(0, np.abs(np.diff(path)) - free).sum()
+    assert value == pytest.approx(brute_path(scores, penalty, free))
+
+
+def test_the_path_follows_a_cliff():
+    scores = np.zeros((6, 50))
+    scores[:3, 2] = scores[3:, 47] = 1
+    assert skyline.best_path(scores, 0.01, 1).tolist() == [2, 2, 2, 47, 47, 47]
 
 
 def test_stream_equals_batch_on_closed_windows(spark, tmp_path):
