@@ -86,11 +86,11 @@ def exact_altitude_deg(eye_m: Column, target_m: Column, ground_m: Column, k: flo
     return F.degrees(F.atan2((num(r) + target_m) * F.cos(angle) - (num(r) + eye_m), (num(r) + target_m) * F.sin(angle)))
 
 
-def bounding_box(lat: Column, lon: Column, radius_km: float) -> dict[str, Column]:
+def bounding_box(lat: Column, lon: Column, radius_km: float | Column) -> dict[str, Column]:
     """South, west, north, east of a circle; the whole world where it reaches a pole."""
-    d = radius_km * 1000 / EARTH_RADIUS_M
-    south, north = lat - F.degrees(num(d)), lat + F.degrees(num(d))
-    ratio = F.sin(num(d)) / F.cos(F.radians(lat))
+    d = radius_km * num(1000) / num(EARTH_RADIUS_M) if isinstance(radius_km, Column) else num(radius_km * 1000 / EARTH_RADIUS_M)
+    south, north = lat - F.degrees(d), lat + F.degrees(d)
+    ratio = F.sin(d) / F.cos(F.radians(lat))
     polar = (south <= -90) | (north >= 90) | (ratio >= 1)
     half = F.degrees(F.asin(clamp(ratio, -1, 1)))
     return {

@@ -279,3 +279,31 @@ def alignment_text(status: Column, heading: Column, pitch: Column, confidence: C
     measures = F.concat(F.lit("heading "), F.format_string("%.2f", heading), F.lit("°, pitch "), F.format_string("%.2f", pitch), F.lit("° (confidence "), F.format_string("%.0f", confidence * num(100)), F.lit(" %"))
     tentative = F.concat(F.lit("tentative: "), measures, F.lit(", concerns: "), words, F.lit(")"))
     return F.when(status == "failed", F.concat(F.lit("no alignment ("), words, F.lit(")"))).when(status == "low-confidence", tentative).otherwise(F.concat(measures, F.lit(")")))
+
+
+def no_terrain_text(lat: Column, lon: Column, tile: Column, held: Column) -> Column:
+    """Why nothing is drawn where no terrain is held. held: array of tile names."""
+    serving = F.when(F.size(held) == 0, "Nothing is held at all.").otherwise(F.concat(F.lit("Held: "), name_list(held, 6), F.lit(".")))
+    return F.concat(F.lit("No terrain at "), F.format_string("%.5f", lat), F.lit(", "), F.format_string("%.5f", lon), F.lit(": tile "), tile, F.lit(" is not held. "), serving)
+
+
+def scene_notes(peaks: DataFrame) -> DataFrame:
+    """observer_id, note: what an overlay must say about summits that it doesn't draw or decide. peaks: observer_id, name, kind.
+
+    kind: off-frame, foreground-occluded, marginal or unmeasured; others need no note. Names in order of the alphabet.
+    """
+    said = {"off-frame": "outside this frame, not drawn", "foreground-occluded": "hidden behind nearer, different hills", "marginal": "may or may not clear the ground in front", "unmeasured": "not judged"}
+    noted = peaks.where(F.col("kind").isin(*said)).groupBy("observer_id", "kind").agg(F.sort_array(F.collect_list("name")).alias("names"), F.count("*").alias("n"))
+    words = F.create_map(*[F.lit(x) for pair in said.items() for x in pair])
+    text = F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " summit ").otherwise(" summits "), words[F.col("kind")], F.lit(": "), name_list(F.col("names")))
+    return noted.select("observer_id", "kind", text.alias("note"))
+
+
+def svg_documents(parts: DataFrame, frame: Frame = Frame()) -> DataFrame:
+    """observer_id, svg: one document of each observer's parts (observer_id, layer, at, svg), lower layers first.
+
+    A document holds a frame's labels and lines, whose number the frame bounds.
+    """
+    body = F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("layer", "at", "svg"))), lambda p: p["svg"]))
+    head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{frame.width_px}" height="{frame.height_px}">'
+    return parts.groupBy("observer_id").agg(F.concat(F.lit(head + "\n"), body, F.lit("\n</svg>")).alias("svg"))

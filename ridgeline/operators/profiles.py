@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.functions.geodesy import fold
+from ridgeline.functions.geodesy import fold, num
 
 
 def steps_or_point(steps: Column, distance_km: Column, altitude: Column, elevation: Column) -> Column:
@@ -56,3 +56,20 @@ def point_at(points: Column, index: Column) -> Column:
     """An element by its place from 0; a place that there isn't is an error."""
     wrong = F.raise_error(F.concat(F.lit("no point "), index.cast("string")))
     return F.when((index >= 0) & (index < F.size(points)), F.get(points, index)).otherwise(wrong)
+
+
+def analytic_profile(centres: DataFrame, half_span: float, step: float, base: float, bumps: list[tuple[float, float, float]], distance_km: float = 10.0) -> DataFrame:
+    """key, bearingDeg, altitudeDeg, distanceKm, elevationM: closed-form skylines around centres (key, centreDeg).
+
+    bumps: offset from the centre, width and height in degrees of bell curves on a level base.
+    """
+    if not step > 0:
+        raise ValueError("the step must be above 0")
+    count = int(2 * half_span / step + 0.5)
+    at = centres.select("key", "centreDeg", F.explode(F.sequence(F.lit(0), F.lit(count))).alias("_i"))
+    offset = num(-half_span) + F.col("_i") * num(step)
+    altitude = num(base)
+    for centre, width, height in bumps:
+        z = (offset - num(centre)) / num(width)
+        altitude = altitude + num(height) * F.exp(num(-0.5) * z * z)
+    return at.select("key", fold(F.col("centreDeg") + offset).alias("bearingDeg"), altitude.alias("altitudeDeg"), num(distance_km).alias("distanceKm"), (num(distance_km * 1000) * F.tan(F.radians(altitude))).alias("elevationM"))

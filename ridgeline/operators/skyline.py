@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.functions.camera import unproject
 from ridgeline.functions.geodesy import num
 from ridgeline.shipping import ship
 
@@ -105,3 +106,18 @@ def align(observed: DataFrame, profile: DataFrame, offsets: list[float]) -> Data
     best = scored.withColumn("peak", F.coalesce(peak, num(0))).groupBy("image").agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.abs("offset")).alias("near"), "offset", "peak")).alias("b"))
     step = offsets[1] - offsets[0] if len(offsets) > 1 else 0.0
     return best.select("image", F.col("b.offset").alias("offsetDeg"), (F.col("b.offset") + F.col("b.peak") * num(step)).alias("refinedDeg"), F.col("b.score").alias("score"))
+
+
+def observations(columns: DataFrame, least: float) -> DataFrame:
+    """Readable columns of a skyline as directions: image, bearingDeg, altitudeDeg, weight.
+
+    columns: image, xNorm, rowNorm (null: not readable), confidence, and the camera's headingDeg, pitchDeg, rollDeg, hFovDeg, vFovDeg.
+    """
+    kept = columns.where(F.col("rowNorm").isNotNull() & (F.col("confidence") >= least))
+    bearing, altitude = unproject(*[F.col(c) for c in ("headingDeg", "pitchDeg", "rollDeg", "hFovDeg", "vFovDeg", "xNorm", "rowNorm")])
+    return kept.select("image", bearing.alias("bearingDeg"), altitude.alias("altitudeDeg"), F.col("confidence").alias("weight"))
+
+
+def aligned(status: Column) -> Column:
+    """Whether an alignment says anything, if only tentatively."""
+    return ~status.eqNullSafe(F.lit("failed"))

@@ -200,3 +200,19 @@ def profile_coverage(profile: DataFrame, gap_multiple: float = 4.0) -> DataFrame
     found = gaps.groupBy("observer_id").agg(F.max(F.struct(F.col("gap"), (-F.col("bearingDeg")).alias("start"))).alias("g"), F.sort_array(F.collect_list("gap")).alias("all"))
     wide = F.col("g.gap") > F.element_at("all", (F.size("all") / 2).cast("int") + 1) * num(gap_multiple)
     return found.select("observer_id", F.when(wide, -F.col("g.start") + num(0)).alias("gapFromDeg"), F.when(wide, F.pmod(F.col("g.gap") - F.col("g.start"), num(360))).alias("gapToDeg"), F.when(wide, num(360) - F.col("g.gap")).otherwise(num(360)).alias("coveredSpanDeg"))
+
+
+def peaks_for(areas: DataFrame, summits: DataFrame, allow_empty: bool = False) -> DataFrame:
+    """key, id, distanceM of the summits in areas: circles (key, lat, lon, radiusKm) sorted by ``nth``, nearest first.
+
+    An area without a summit is a row with reason 'empty-result', unless ``allow_empty``.
+    """
+    d = areas.select("key", *[x.alias(k) for k, x in bounding_box(F.col("lat"), F.col("lon"), F.col("radiusKm")).items()]).withColumnRenamed("key", "observer_id")
+    near = within_boxes(d, summits.select("id", F.col("lat"), F.col("lon"))).withColumnRenamed("observer_id", "key")
+    centre = areas.select("key", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "radiusKm")
+    found = near.join(centre, "key").withColumn("distanceM", haversine_m(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))).where("distanceM <= radiusKm * 1000")
+    found = found.select("key", "id", "distanceM", F.row_number().over(Window.partitionBy("key").orderBy("distanceM", "id")).cast("long").alias("nth"))
+    if allow_empty:
+        return found.withColumn("reason", F.lit(None).cast("string"))
+    empty = areas.select("key").join(found.select("key").distinct(), "key", "left_anti").withColumn("reason", F.lit("empty-result"))
+    return found.unionByName(empty, allowMissingColumns=True)

@@ -10,6 +10,8 @@ from ridgeline.functions.geodesy import num
 from ridgeline.operators import classic as old
 from ridgeline.operators import overlay as ov
 from ridgeline.operators import profiles as pf
+from ridgeline.operators import raster as ra
+from ridgeline.operators import skyline as sk
 from ridgeline.operators import visibility as v
 from ridgeline.plans import imaging
 from ridgeline.plans import sqltext as s
@@ -123,7 +125,62 @@ def overlay_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_ALL = (drawn_peaks, label_partition, label_layout, horizon_lines, normalised_profile, occluder_notes, pose_offsets, pose_uncertainties, overlay_texts)
+def scene_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each observer's overlay says about summits without a verdict or a place."""
+    p = _peaks(spark, sf_dir)
+    kind = F.when(~F.col("inFrame"), "off-frame").otherwise(F.col("visibility"))
+    return ov.scene_notes(p.select("observer_id", F.concat("name", F.lit(" "), "id").alias("name"), kind.alias("kind")))
+
+
+def svg_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document of the frame's labels for each observer."""
+    p = ov.partition(_peaks(spark, sf_dir), FRAME).where("status = 'candidate'")
+    return ov.svg_documents(p.select("observer_id", F.lit(1).alias("layer"), F.col("rank").alias("at"), ov.svg_label(F.round("xPx", 1), F.round("yPx", 1), F.col("name"), F.col("detail")).alias("svg")), FRAME)
+
+
+def empty_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said where a tile is not held."""
+    from ridgeline.functions.geodesy import cell_name
+
+    o = views.observers(spark, sf_dir)
+    held = F.slice(F.array(*[F.lit(f"N4{i}E00{i}") for i in range(8)]), 1, (F.col("observer_id") % 9).cast("int"))
+    return o.select("observer_id", ov.no_terrain_text(F.col("lat"), F.col("lon"), cell_name(F.col("lat"), F.col("lon")), held).alias("text"))
+
+
+def analytic_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed-form skylines around every observer's heading."""
+    o = views.observers(spark, sf_dir).select(F.col("observer_id").alias("key"), (F.col("observer_id") * 15).cast("double").alias("centreDeg"))
+    out = pf.analytic_profile(o, 60, 0.5, 3.0, [(-18, 4, 5.5), (-2, 1.6, 9), (14, 7, 3)])
+    return out.select("key", r("bearingDeg").alias("bearingDeg"), r("altitudeDeg", 5).alias("altitudeDeg"), r("elevationM", 2).alias("elevationM"))
+
+
+def skyline_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readable columns of skylines as directions."""
+    c = F.col("c_custkey")
+    columns = views.table(spark, sf_dir, "customer").select(
+        c.alias("image"), (c % 101 / num(100)).alias("xNorm"), F.when(c % 6 != 1, c % 89 / num(88)).alias("rowNorm"), (c % 10 / num(10)).alias("confidence"),
+        (c % 360).cast("double").alias("headingDeg"), (c % 11 - 5).cast("double").alias("pitchDeg"), num(0).alias("rollDeg"), num(66).alias("hFovDeg"), num(45).alias("vFovDeg"),
+    )
+    out = sk.observations(columns, 0.3)
+    return out.select("image", r("bearingDeg").alias("bearingDeg"), r("altitudeDeg").alias("altitudeDeg"), "weight")
+
+
+def nearest_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights of the summits by the nearest sample of a grid with voids."""
+    grid = spark.range(0, 51).select(F.col("id").cast("int").alias("row")).select("row", F.explode(F.sequence(F.lit(0), F.lit(50))).alias("col"))
+    samples = grid.select("row", "col", F.when((F.col("row") * 7 + F.col("col") * 3) % 23 != 4, (F.col("row") * 100 + F.col("col")).cast("double")).alias("elevationM"))
+    points = views.summits(spark, sf_dir).select(F.col("id").alias("point_id"), "lat", "lon")
+    return ra.read(points, samples, 46.0, 7.0, 0.02, 51, 51, "nearest")
+
+
+def areas_of_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summits in circles of different sizes, some of them empty."""
+    i = F.col("observer_id")
+    areas = views.observers(spark, sf_dir).select(i.alias("key"), (F.col("lat") + F.when(i % 7 == 3, num(9)).otherwise(num(0))).alias("lat"), "lon", (num(5) + i).alias("radiusKm"))
+    return v.peaks_for(areas, views.summits(spark, sf_dir)).select("key", "id", r("distanceM", 3).alias("distanceM"), "nth", "reason")
+
+
+_ALL = (drawn_peaks, label_partition, label_layout, horizon_lines, normalised_profile, occluder_notes, pose_offsets, pose_uncertainties, overlay_texts, scene_notes, svg_overlays, empty_terrain, analytic_profiles, skyline_observations, nearest_readings, areas_of_peaks)
 QUERIES = {f.__name__: f for f in _ALL}
 
 P = "p_partkey"
@@ -195,3 +252,29 @@ c AS (SELECT observer_id, ix, CASE WHEN NOT gone AND t0 <= t1 THEN ax + t0 * dx
 j AS (SELECT *, CASE WHEN coalesce(abs(lag(x1) OVER w - x0) <= 1e-9 AND abs(lag(y1) OVER w - y0) <= 1e-9, false) THEN 0 ELSE 1 END AS nw FROM c WINDOW w AS (PARTITION BY observer_id ORDER BY ix)),
 rn AS (SELECT *, sum(nw) OVER (PARTITION BY observer_id ORDER BY ix) AS run FROM j)
 SELECT observer_id, min(ix) AS first, count(*) AS segments, round(sum(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2))), 2) + 0e0 AS length FROM rn WHERE x0 IS NOT NULL AND NOT (abs(x1 - x0) <= 1e-9 AND abs(y1 - y0) <= 1e-9) GROUP BY observer_id, run"""
+
+ORACLES |= {
+    "scene_notes": f"""WITH {POSED}, x AS (SELECT observer_id, name || ' ' || id AS nm, CASE WHEN NOT inFrame THEN 'off-frame' ELSE visibility END AS kind FROM v),
+y AS (SELECT observer_id, kind, count(*) AS n, list_sort(list(nm)) AS l FROM x WHERE kind IN ('off-frame', 'foreground-occluded', 'marginal') GROUP BY 1, 2)
+SELECT observer_id, kind, CAST(n AS VARCHAR) || CASE WHEN n = 1 THEN ' summit ' ELSE ' summits ' END || CASE kind WHEN 'off-frame' THEN 'outside this frame, not drawn' WHEN 'marginal' THEN 'may or may not clear the ground in front' ELSE 'hidden behind nearer, different hills' END
+  || ': ' || array_to_string(l[1:4], ', ') || CASE WHEN n > 4 THEN ' and ' || CAST(n - 4 AS VARCHAR) || ' more' ELSE '' END AS note FROM y""",
+    "empty_terrain": f"""WITH {s.OBSERVER}, x AS (SELECT *, observer_id % 9 AS h, {s.cell('lat', 'lon')} AS tile FROM g_observer)
+SELECT observer_id, 'No terrain at ' || printf('%.5f', lat) || ', ' || printf('%.5f', lon) || ': tile ' || tile || ' is not held. ' || CASE WHEN h = 0 THEN 'Nothing is held at all.' ELSE 'Held: ' ||
+  array_to_string(list_transform(range(0, least(h, 6)), lambda i: 'N4' || CAST(i AS VARCHAR) || 'E00' || CAST(i AS VARCHAR)), ', ') || CASE WHEN h > 6 THEN ' and ' || CAST(h - 6 AS VARCHAR) || ' more' ELSE '' END || '.' END AS text FROM x""",
+    "analytic_profiles": f"""WITH {s.OBSERVER}, x AS (SELECT observer_id AS key, observer_id * 15 AS c, -60e0 + i * 0.5e0 AS o FROM g_observer, (SELECT unnest(range(0, 241)) AS i)),
+y AS (SELECT *, 3e0 + 5.5e0 * exp(-0.5e0 * pow((o + 18e0) / 4e0, 2)) + 9e0 * exp(-0.5e0 * pow((o + 2e0) / 1.6e0, 2)) + 3e0 * exp(-0.5e0 * pow((o - 14e0) / 7e0, 2)) AS a FROM x)
+SELECT key, round({s.fold('c + o')}, 4) + 0e0 AS bearingDeg, round(a, 5) + 0e0 AS altitudeDeg, round(10000e0 * tan(radians(a)), 2) + 0e0 AS elevationM FROM y""",
+    "nearest_readings": f"""WITH {s.SUMMIT}, x AS (SELECT id, (46e0 - lat) / 0.02e0 AS r, (CASE WHEN lon - 7e0 >= 0 THEN lon - 7e0 ELSE lon + 353e0 END) / 0.02e0 AS c FROM g_summit),
+y AS (SELECT *, r >= -1e-9 AND r <= 50.000000001e0 AND c >= -1e-9 AND c <= 50.000000001e0 AS ins, CAST(greatest(0, least(50, floor(r + 0.5e0))) AS INTEGER) AS rr, CAST(greatest(0, least(50, floor(c + 0.5e0))) AS INTEGER) AS cc FROM x)
+SELECT id AS point_id, CASE WHEN NOT ins THEN 'outside' WHEN (rr * 7 + cc * 3) % 23 = 4 THEN 'void' ELSE 'ok' END AS status, CASE WHEN ins AND (rr * 7 + cc * 3) % 23 <> 4 THEN 'nearest' END AS method, CASE WHEN ins AND (rr * 7 + cc * 3) % 23 <> 4 THEN CAST(rr * 100 + cc AS DOUBLE) END AS elevationM FROM y""",
+    "areas_of_peaks": f"""WITH {s.OBSERVER}, {s.SUMMIT}, a AS (SELECT observer_id AS key, lat + CASE WHEN observer_id % 7 = 3 THEN 9e0 ELSE 0e0 END AS la, lon AS lo, 5e0 + observer_id AS km FROM g_observer),
+h AS (SELECT * FROM (SELECT a.key, p.id, a.km, {s.haversine('a.la', 'a.lo', 'p.lat', 'p.lon')} AS d FROM a, g_summit p) WHERE d <= km * 1000e0)
+SELECT key, id, round(d, 3) + 0e0 AS distanceM, row_number() OVER (PARTITION BY key ORDER BY d, id) AS nth, CAST(NULL AS VARCHAR) AS reason FROM h UNION ALL SELECT key, NULL, NULL, NULL, 'empty-result' FROM a WHERE key NOT IN (SELECT key FROM h)""",
+    "skyline_observations": f"""WITH x AS (SELECT c_custkey AS observer_id, c_custkey % 101 / 100e0 AS x, c_custkey % 89 / 88e0 AS y, c_custkey % 10 / 10e0 AS weight, CAST(c_custkey % 360 AS DOUBLE) AS h, CAST(c_custkey % 11 - 5 AS DOUBLE) AS p, 66e0 AS hf, 45e0 AS vf FROM customer WHERE c_custkey % 6 <> 1 AND c_custkey % 10 >= 3),
+a AS (SELECT *, (x - 0.5e0) * 2e0 * tan(radians(hf) / 2e0) AS ta, (0.5e0 - y) * 2e0 * tan(radians(vf) / 2e0) AS tb FROM x),
+b AS (SELECT *, sin(radians(h)) * cos(radians(p)) + ta * cos(radians(h)) - tb * sin(radians(h)) * sin(radians(p)) AS e, cos(radians(h)) * cos(radians(p)) - ta * sin(radians(h)) - tb * cos(radians(h)) * sin(radians(p)) AS n, sin(radians(p)) + tb * cos(radians(p)) AS u FROM a)
+SELECT observer_id AS image, round({s.fold('degrees(atan2(e, n))')}, 4) + 0e0 AS bearingDeg, round(degrees(asin(u / sqrt(e * e + n * n + u * u))), 4) + 0e0 AS altitudeDeg, weight FROM b""",
+    "svg_overlays": ORACLES["label_partition"].rsplit("SELECT", 1)[0] + f""", lb AS (SELECT observer_id, rank, '<g><text x="' || {_coordinate('round(x * 1600e0, 1)')} || '" y="' || {_coordinate('round(y * 1200e0, 1)')} || '">' || {_XML.replace('nm', 'name')} || '</text><text x="' || {_coordinate('round(x * 1600e0, 1)')} || '" y="' ||
+  {_coordinate('round(y * 1200e0, 1)')} || '" dy="1.15em">' || detail || '</text></g>' AS g FROM b WHERE st = 'candidate' AND rank <= budget)
+SELECT observer_id, '<svg xmlns="http://www.w3.org/2000/svg" width="1600" height="1200">' || chr(10) || string_agg(g, chr(10) ORDER BY rank) || chr(10) || '</svg>' AS svg FROM lb GROUP BY observer_id""",
+}
