@@ -120,7 +120,7 @@ def live_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = ticks.select(F.col("observer_id").alias("scene"), (F.col("observer_id") * 3 + F.col("t")).alias("tick"), (h + F.col("t") * num(11)).alias("headingDeg"), p.alias("pitchDeg"), ro.alias("rollDeg"), hf.alias("hFovDeg"), vf.alias("vFovDeg"))
     seen = v.sightings(o, views.summits(spark, sf_dir), views.RADIUS_KM).select(F.col("observer_id").alias("scene"), "id", "bearingDeg", "altitudeDeg")
     out = dv.live_overlay(ticks, scenes, seen)
-    return out.select("tick", "id", "reason", r("x", 5).alias("x"), r("y", 5).alias("y"), "inFrame", r("uncoveredDeg", 5).alias("uncoveredDeg"))
+    return out.select(F.col("tick").cast("long").alias("tick"), "id", "reason", r("x", 5).alias("x"), r("y", 5).alias("y"), "inFrame", r("uncoveredDeg", 5).alias("uncoveredDeg"))
 
 
 def drags(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def horizon_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = old.interpolated(at, profile).select("observer_id", F.col("id").alias("at"), "bearing", "horizonDeg")
     on = cam.project(h, p, ro, hf, vf, F.col("bearing"), F.col("horizonDeg"))
     lines = ov.clipped_lines(found.select("observer_id", "at", (on["x"] * FRAME.width_px).alias("xPx"), (on["y"] * FRAME.height_px).alias("yPx")), FRAME.width_px, FRAME.height_px)
-    return lines.select("observer_id", "first", "segments", r("length", 2).alias("length"))
+    return lines.select("observer_id", F.col("first").cast("long").alias("first"), "segments", r("length", 2).alias("length"))
 
 
 def normalised_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
