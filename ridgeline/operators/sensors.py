@@ -25,6 +25,17 @@ def pitch_deg(x: Column, y: Column, z: Column) -> Column:
     return F.degrees(F.asin(clamp(z / F.sqrt(x * x + y * y + z * z), -1, 1)))
 
 
+def aged(samples: DataFrame, max_age_ms: int) -> DataFrame:
+    """Samples with the stretch of time that they are in, as long as the window."""
+    return samples.withColumn("_age", F.floor(F.col("ms") / max_age_ms))
+
+
+def by_age(instants: DataFrame, max_age_ms: int) -> DataFrame:
+    """Each instant with the two stretches that its window reaches into: an instant meets the samples of these, not all of its device."""
+    own = F.floor(F.col("atMs") / max_age_ms)
+    return instants.withColumn("_age", F.explode(F.array(own - 1, own)))
+
+
 def smoothed_headings(samples: DataFrame, instants: DataFrame, declination_deg: float | None, max_age_ms: int = MAX_AGE_MS, tau_ms: float = TIME_CONSTANT_MS) -> DataFrame:
     """instants: device, atMs. samples: device, ms, magneticDeg, trueDeg, accuracyDeg.
 
@@ -34,8 +45,8 @@ def smoothed_headings(samples: DataFrame, instants: DataFrame, declination_deg:
     true = F.coalesce("trueDeg", F.col("magneticDeg") + (num(declination_deg) if declination_deg is not None else F.lit(None).cast("double")))
     usable = (F.col("accuracyDeg").isNull() | (F.col("accuracyDeg") >= 0)) & (F.col("trueDeg").isNotNull() | F.col("magneticDeg").isNotNull())
     s = samples.where(usable).select("device", "ms", true.alias("t"))
-    i, ages = instants.alias("i"), F.col("i.atMs") - F.col("s.ms")
-    joined = i.join(s.alias("s"), (F.col("i.device") == F.col("s.device")) & (ages >= 0) & (ages <= max_age_ms), "left")
+    i, ages = by_age(instants, max_age_ms).alias("i"), F.col("i.atMs") - F.col("s.ms")
+    joined = i.join(aged(s, max_age_ms).alias("s"), (F.col("i.device") == F.col("s.device")) & (F.col("i._age") == F.col("s._age")) & (ages >= 0) & (ages <= max_age_ms), "left")
     w, rad = F.exp(-ages / num(tau_ms)), F.radians(F.col("t"))
     out = joined.groupBy("i.device", "i.atMs").agg(F.sum(w * F.sin(rad)).alias("sn"), F.sum(w * F.cos(rad)).alias("cs"), F.sum(w).alias("w"), F.count("s.ms").alias("n"), F.count("t").alias("good"))
     known = samples.select("device").distinct().withColumn("known", F.lit(True))
@@ -48,8 +59,8 @@ def smoothed_headings(samples: DataFrame, instants: DataFrame, declination_deg:
 def smoothed_orientation(samples: DataFrame, instants: DataFrame, max_age_ms: int = MAX_AGE_MS, tau_ms: float = TIME_CONSTANT_MS, limit_deg: float = GIMBAL_LIMIT_DEG) -> DataFrame:
     """pitchDeg, pitchSpreadDeg, rollDeg, with refusals of each; samples that are no gravity are left out."""
     x, y, z = (F.col(f"s.{k}") for k in "xyz")
-    i, ages = instants.alias("i"), F.col("i.atMs") - F.col("s.ms")
-    joined = i.join(samples.alias("s"), (F.col("i.device") == F.col("s.device")) & (ages >= 0) & (ages <= max_age_ms), "left")
+    i, ages = by_age(instants, max_age_ms).alias("i"), F.col("i.atMs") - F.col("s.ms")
+    joined = i.join(aged(samples, max_age_ms).alias("s"), (F.col("i.device") == F.col("s.device")) & (F.col("i._age") == F.col("s._age")) & (ages >= 0) & (ages <= max_age_ms), "left")
     size = F.sqrt(x * x + y * y + z * z)
     joined = joined.select("i.device", "i.atMs", "s.ms", size.between(*GRAVITY_RANGE).alias("ok"), pitch_deg(x, y, z).alias("p"), F.atan2(x, -y).alias("r"), F.exp(-ages / num(tau_ms)).alias("w"))
     good, rolls = F.col("ok"), F.col("ok") & (F.abs("p") <= limit_deg)

@@ -50,6 +50,10 @@ def missing_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return need.join(held, "tile", "left_anti")
 
 
+#: Screen cells in which label boxes are compared.
+CELL_W, CELL_H = 128, 32
+
+
 def _pose() -> tuple:
     o = F.col("observer_id")
     return (o * 29 % 360).cast("double"), (o % 7 - 3).cast("double"), (o % 5 - 2).cast("double"), num(60) + o % 20, num(42) + o % 13
@@ -96,9 +100,15 @@ def label_collisions(spark: SparkSession, sf_dir: str, radius_km: float = 15.0)
     seen = v.sightings(views.observers(spark, sf_dir), views.summits(spark, sf_dir), radius_km)
     at = c.project(h, p, ro, hf, vf, F.col("bearingDeg"), F.col("altitudeDeg"))
     boxes = seen.select("observer_id", "id", at["inFrame"].alias("inFrame"), r(at["x"] * num(1600), 3).alias("x"), r(at["y"] * num(1200), 3).alias("y"), (text_width_em(F.col("name")) * num(14)).alias("w")).where("inFrame")
-    a, b = boxes.alias("a"), boxes.alias("b")
+    # boxes by the screen cells that they touch; a pair counts in the cell of its overlap's upper left corner
+    across = F.sequence(F.floor(F.col("x") / CELL_W), F.floor((F.col("x") + F.col("w")) / CELL_W))
+    down = F.sequence(F.floor(F.col("y") / CELL_H), F.floor((F.col("y") + 32) / CELL_H))
+    celled = boxes.select("*", F.explode(across).alias("cx")).select("*", F.explode(down).alias("cy"))
+    a, b = celled.alias("a"), celled.alias("b")
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("observer_id", "cx", "cy")]
     hit = (F.col("a.id") < F.col("b.id")) & (F.col("a.x") < F.col("b.x") + F.col("b.w")) & (F.col("b.x") < F.col("a.x") + F.col("a.w")) & (F.col("a.y") < F.col("b.y") + 32) & (F.col("b.y") < F.col("a.y") + 32)
-    return a.join(b, (F.col("a.observer_id") == F.col("b.observer_id")) & hit).select("a.observer_id", F.col("a.id").alias("first"), F.col("b.id").alias("second"))
+    once = (F.floor(F.greatest("a.x", "b.x") / CELL_W) == F.col("a.cx")) & (F.floor(F.greatest("a.y", "b.y") / CELL_H) == F.col("a.cy"))
+    return a.join(b, [*same, hit, once]).select("a.observer_id", F.col("a.id").alias("first"), F.col("b.id").alias("second"))
 
 
 def label_collisions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
