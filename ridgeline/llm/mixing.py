@@ -143,20 +143,22 @@ def network_flows(patterns: DataFrame, targets: DataFrame, repeats: int) -> Data
     return placed.select("network", "key", "size", "source", "target").groupBy("network").applyInPandas(flow, "key string, given bigint")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), repeats: int = MAX_REPEATS, seed: int = SEED, order_col: str | None = None) -> DataFrame:
     """(id, source, size, source_size, target, taken, copies long): how often each document goes into the mix.
 
+    Documents are ordered by a seeded hash of ``order_col`` (the id if not given) and the text, so that reruns agree.
+
     ``sources_col`` is a string or an array of strings. Sources in code point order, null last, weigh ``weights`` in
     turn. ``source``, ``source_size`` and ``target`` are the first source's of each document. ``taken`` is ``size``
     times ``copies``.
     """
-    rows = pick(df, id=id_col, text=text_col, sources=sources_col)
+    rows = pick(df, id=id_col, text=text_col, sources=sources_col, order=order_col or id_col)
     sources = F.col("sources")
     if rows.schema["sources"].dataType.typeName() != "array":
         sources = F.array(sources)
     size = F.coalesce(F.expr(f"regexp_count(text, r'{WORD}')").cast("long"), F.lit(0).cast("long"))
     own = F.when(F.size(sources) > 0, F.array_sort(F.array_distinct(sources))).otherwise(F.array(F.lit(None).cast("string")))
-    rows = rows.select("id", own.alias("sources"), size.alias("size"), F.xxhash64("id", "text", F.lit(seed)).alias("h"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("id", own.alias("sources"), size.alias("size"), F.xxhash64("order", "text", F.lit(seed)).alias("h"), F.monotonically_increasing_id().alias("row"))
     # rows without words are taken no part in, so they need no order that lasts
     rows = rows.select("id", "sources", F.to_json("sources").alias("key"), "size", F.when(F.col("size") == 0, F.xxhash64("row")).otherwise(F.col("h")).alias("h"), "row")
     rows = materialize(rows, "sizes")
