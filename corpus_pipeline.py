@@ -88,7 +88,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing sources to target weights: each document as often as the mix takes it."""
     rows = Rows(docs)
-    mixed = mix(rows.narrow("text", "source"), id_col="_key")
+    mixed = mix(rows.narrow("doc_id", "text", "source"), id_col="_key", order_col="doc_id")  # keys differ from run to run
     taken = materialize(mixed.where("copies > 0").select("_key", "copies"), "taken")
     return rows.back(join_small(rows.all, taken, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
 
