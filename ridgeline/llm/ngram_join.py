@@ -43,7 +43,7 @@ from ridgeline.llm.words import U64, constants, eights, mixed, word_hash, words_
 
 WIDTH, LEAF = 256, 16
 #: Sets that one cell holds at once, about.
-CELL_SETS = 4096
+CELL_SETS = 2048
 GRAM_SEED = 0x2545F491_4F6CDD1D
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
