@@ -21,7 +21,7 @@ from ridgeline.shipping import ship
 BROADCAST_BYTES = 48 << 20
 #: A key is hot that more rows have than this, and than one row in HOT_SHARE; there are fewer than HOT_SHARE hot keys.
 HOT_ROWS, HOT_SHARE = 2_000, 20_000
-#: Rows go to Python in batches of so many bytes at most; Spark bounds only their number, which long texts make useless.
+#: Rows go to Python in batches of so many bytes at most, unless the session bounds them lower.
 BATCH_BYTES, BATCH = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Deletes the files of a query's shuffles when the query ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -70,7 +70,7 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, found by exact name and position, so other columns may clash in any way."""
     spark = df.sparkSession
     ship(spark)  # operators begin here, and their functions run on the executors
-    if int(spark.conf.get(BATCH, "0") or 0) in (0, -1, 2**31 - 1):  # unless the session bounds them itself
+    if int(spark.conf.get(BATCH).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(BATCH, str(BATCH_BYTES))
     names = list(df.columns)
     missing = [c for c in columns.values() if c not in names]
