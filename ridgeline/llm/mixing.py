@@ -163,9 +163,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources_c
     rows = rows.select("id", "sources", F.to_json("sources").alias("key"), "size", F.when(F.col("size") == 0, F.xxhash64("row")).otherwise(F.col("h")).alias("h"), "row")
     rows = materialize(rows, "sizes")
     patterns = materialize(rows.groupBy("key").agg(F.first("sources").alias("sources"), F.sum("size").alias("size"), F.count("*").alias("n")), "patterns")
-    total, whole = patterns.agg(F.sum("n"), F.sum("size")).first()
+    total, whole = (x or 0 for x in patterns.agg(F.sum("n"), F.sum("size")).first())
     per_source = patterns.select(F.explode("sources").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("size"))
-    targets = materialize(source_targets(per_source, weights, repeats, whole or 0), "targets")
+    targets = materialize(source_targets(per_source, weights, repeats, whole), "targets")
     given = network_flows(patterns, targets, repeats)
     plan = patterns.join(given, "key").join(targets, F.col("sources")[0].eqNullSafe(F.col("source")))
     full = F.when(F.col("size") > 0, F.floor(F.col("given") / F.col("size"))).otherwise(0).cast("long")
