@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.bpe import decode_bpe, encode_bpe
+from ridgeline.llm.conversation import damaged, repair, summaries
+from ridgeline.llm.divergence import MIN_DOCS, SCALE, SMOOTH, TOP, audit_sources
+from ridgeline.llm.html_text import main_text
 from ridgeline.llm.huffman import file_starts, read_ids, store_tokens
 from ridgeline.llm.language import identify, page_evidence
 from ridgeline.llm.line_dedup import LINE, MIN_WORDS, dedup_lines
@@ -94,6 +97,26 @@ def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by rule: its faults, the cheapest repair and the digest of what it gives."""
+    rows = table(spark, sf_dir, "conversations")
+    found, all_of = summaries(repair(damaged(rows))), rows.select("conv_id").distinct()
+    count = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    text = F.coalesce("repaired", F.lit(""))
+    joined = all_of.join(found, all_of["conv_id"].eqNullSafe(found["conv"]), "left")
+    return joined.select("conv_id", *count, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(text, 256).alias("repaired_sha256"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are apart, and each source's own terms."""
+    return audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op4_quality that SQL can state: which documents no label is learnt from."""
     return op4_quality(spark, sf_dir).select("doc_id", "held_out")
@@ -133,6 +156,9 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_huffman_ids": op9_huffman_ids,
     "op10_ogg": op10_ogg,
+    "op11_repair": op11_repair,
+    "op12_divergence": op12_divergence,
+    "op13_html": op13_html,
     "op4_folds": op4_folds,
     "op5_targets": op5_targets,
     "op7_quotas": op7_quotas,
@@ -240,7 +266,38 @@ p AS (SELECT doc_id, b, CAST(octet_length(b) AS BIGINT) AS n, CAST(greatest(1, (
 SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(b || repeat('\xFF'::BLOB, m - n)) AS payload_sha256 FROM p
 """
 
+OP12_SQL = rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY ALL HAVING count(*) >= {MIN_DOCS}),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+cell AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT *, 1 + ({SCALE}::HUGEINT * (n + {SMOOTH})) // (sum(n) OVER (PARTITION BY lang, source) + {SMOOTH} * v) AS p FROM cell JOIN v USING (lang)),
+q AS (SELECT lang, term, 1 + ({SCALE}::HUGEINT * (n + {SMOOTH})) // (sum(n) OVER (PARTITION BY lang) + {SMOOTH} * v) AS q
+      FROM (SELECT lang, term, sum(n) AS n FROM cell GROUP BY ALL) JOIN v USING (lang)),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum(abs(x.p - y.p)) AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+  FROM (SELECT lang, source, part, item, coalesce(value, 0) AS value FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= {TOP}
+"""
+
+#: The pages' own markup: headings and paragraphs of the article that is their main text.
+OP13_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS a FROM pages),
+b AS (SELECT page_id, list_transform(regexp_split_to_array(regexp_replace(a, '</?[a-z0-9]*$', ''), '</?(p|h[1-6])>'), lambda x: regexp_replace(x, '<[^>]*>', ' ', 'g')) AS b FROM a),
+c AS (SELECT page_id, list_transform(b, lambda x: trim(regexp_replace(replace(replace(regexp_replace(x, '&amp;?', '&', 'g'), '&quot;', '"'), '&copy;', '©'), '\s+', ' ', 'g'))) AS c FROM b),
+t AS (SELECT page_id, array_to_string(list_filter(c, lambda x: x <> ''), chr(10)) AS text FROM c)
+SELECT a.page_id, a.url, t.text, CAST(length(t.text) AS BIGINT) AS n_chars FROM a JOIN t ON a.page_id = t.page_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op12_divergence": OP12_SQL,
+    "op13_html": OP13_SQL,
     "op1_hamming_topk": OP1_SQL,
     "op2_ngram_join": OP2_SQL,
     "op4_folds": OP4_FOLDS_SQL,
