@@ -167,6 +167,8 @@ QUERIES = {
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: One step of the checksum.
+_STEP = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
 
 OP1_SQL = f"""
 WITH codes AS (
@@ -234,7 +236,6 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.c, s.doc_id)
 FROM sets s LEFT JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) m ON m.x = s.doc_id
 """
 
-_STEP = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
 OP4_FOLDS_SQL = f"""
 WITH d AS (SELECT doc_id, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda t: CAST(ascii(t) AS BIGINT)) AS t FROM documents)
 SELECT doc_id, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], t), lambda c, b: {_STEP}), 4294967295) % 3 = 1 AS held_out FROM d
@@ -286,6 +287,42 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= {TOP}
 """
 
+#: Repair with whole strings as states, one row of every conversation at a time.
+OP11_SQL = rf"""
+WITH RECURSIVE k AS (
+  SELECT *, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda t: CAST(ascii(t) AS BIGINT))),
+    lambda c, b: {_STEP}), 4294967295) % 20 AS kind FROM conversations),
+h AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM k WHERE kind <> 0),
+o AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS said, left(role, 1) AS i FROM h),
+f AS (SELECT *, CASE WHEN said = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault, lag(i) OVER (PARTITION BY conv_id ORDER BY pos) AS prev FROM o),
+ways(f, mid, ins) AS (VALUES ('', '', ''), ('', 'u', 'u'), ('', 'a', 'ua'), ('s', 's', ''), ('s', 'u', 'u'), ('s', 'a', 'ua'), ('u', 'u', ''), ('u', 'a', 'a'), ('u', 'u', 'au'), ('a', 'a', ''), ('a', 'u', 'u'), ('a', 'a', 'ua')),
+moves(mid, letter, t) AS (VALUES ('', 's', 's'), ('', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')),
+edits(edit) AS (VALUES ('D'), ('K'), ('R')),
+st AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS pos, '' AS s, {{'c': 0, 'a': '', 'l': CAST([] AS VARCHAR[])}} AS b FROM f
+  UNION ALL
+  SELECT conv_id, pos, s, arg_min(b, {{'c': b.c, 'a': b.a}}) AS b FROM (
+    SELECT f.conv_id, f.pos, CASE WHEN edit = 'D' THEN w.mid ELSE m.t END AS s, {{
+      'c': st.b.c + 2 * length(w.ins) + CASE edit WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN edit <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END,
+      'a': st.b.a || repeat('I', length(w.ins)) || edit,
+      'l': list_concat(st.b.l, list_concat(list_transform(range(1, length(w.ins) + 1), lambda x: CASE substring(w.ins, x, 1) WHEN 'u' THEN 'user:' ELSE 'assistant:' END),
+        CASE edit WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [CASE m.letter WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text] END))}} AS b
+    FROM st JOIN f ON f.conv_id IS NOT DISTINCT FROM st.conv_id AND f.pos = st.pos + 1 JOIN ways w ON w.f = st.s JOIN edits ON true
+    LEFT JOIN moves m ON m.mid = w.mid AND (edit = 'K' AND m.letter = f.i OR edit = 'R' AND m.letter IN ('u', 'a'))
+    WHERE edit = 'D' OR (m.t IS NOT NULL AND fault NOT IN ('blank', 'duplicate'))) x
+  GROUP BY conv_id, pos, s),
+n AS (SELECT conv_id, count(*) AS rows, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pos > 1 AND prev || i NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+e AS (SELECT st.conv_id, arg_min({{'c': b.c + t.c, 'a': b.a || repeat('I', t.c // 2), 'l': list_concat(b.l, t.l)}}, {{'c': b.c + t.c, 'a': b.a || repeat('I', t.c // 2)}}) AS b
+  FROM st JOIN n ON n.conv_id IS NOT DISTINCT FROM st.conv_id AND n.rows = st.pos
+  JOIN (VALUES ('', 0, CAST([] AS VARCHAR[])), ('a', 0, []), ('u', 2, ['assistant:']), ('s', 4, ['user:', 'assistant:'])) t(s, c, l) ON t.s = st.s GROUP BY st.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(e.b.c, 0) AS BIGINT) AS cost,
+  coalesce(e.b.a, '') AS audit, sha256(coalesce(array_to_string(e.b.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 #: The pages' own markup: headings and paragraphs of the article that is their main text.
 OP13_SQL = r"""
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS a FROM pages),
@@ -296,6 +333,7 @@ SELECT a.page_id, a.url, t.text, CAST(length(t.text) AS BIGINT) AS n_chars FROM
 """
 
 ORACLES: dict[str, str] = {
+    "op11_repair": OP11_SQL,
     "op12_divergence": OP12_SQL,
     "op13_html": OP13_SQL,
     "op1_hamming_topk": OP1_SQL,
