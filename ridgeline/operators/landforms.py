@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.geodesy import cell_name, num
 from ridgeline.functions.text import trimmed
+from ridgeline.tables import write_down
 
 # Classes that are summits, the size of a point, and the reasons in their order.
 SUMMIT_CLASSES = ("peak", "volcano")
@@ -38,9 +39,11 @@ def classify_landforms(rows: DataFrame, area: tuple[float, float, float, float])
 
 def import_landforms(rows: DataFrame, area: tuple[float, float, float, float], order: str = "ord") -> DataFrame:
     """As classify_landforms(); of the summits with one id the first by ``order`` is kept, the others are duplicates."""
-    nth = F.row_number().over(Window.partitionBy("id", F.col("reason").isNull()).orderBy(order))
-    out = classify_landforms(rows, area).withColumn("_n", nth)
-    return out.withColumn("outcome", F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("_n") > 1, "duplicate").otherwise("kept")).drop("_n")
+    out = classify_landforms(rows, area)
+    # only summits are ranked: what has a reason (all rows without an id among them) would be one large group
+    nth = F.row_number().over(Window.partitionBy("id").orderBy(order))
+    summits = out.where("reason is null").withColumn("outcome", F.when(nth > 1, "duplicate").otherwise("kept"))
+    return summits.unionByName(out.where("reason is not null").withColumn("outcome", F.col("reason")))
 
 
 def outcome_counts(imported: DataFrame) -> DataFrame:
@@ -68,13 +71,14 @@ def fill_elevations(summits: DataFrame, heights: DataFrame) -> DataFrame:
 def batches(rows: DataFrame, order: str, most: int) -> DataFrame:
     """batch (from 0), rows (array in order): consecutive rows by ``order``, ``most`` to a batch (1 to 100, cut to that).
 
-    Rows are numbered without one task for all: sorted in parts, whose counts (one row a part) are added up.
+    Rows are numbered without one task for all: sorted in parts, whose counts (one row a part) are added up. The parts are written
+    down before they are counted, because their bounds are sampled and a second evaluation would cut them elsewhere.
     """
     most = min(100, max(1, int(most)))
-    cuts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    part = rows.repartitionByRange(int(cuts), order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    inside = part.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1)
+    at = F.monotonically_increasing_id()  # the part and, in its lowest 33 bits, the place in it
+    part = write_down(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", at), "parts")
+    part = part.withColumn("_p", F.shiftright("_at", 33)).withColumn("_i", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    counts = inside.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    numbered = inside.join(F.broadcast(counts), "_p").withColumn("batch", F.floor((F.col("_base") + F.col("_i")) / most).cast("long"))
+    counts = part.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    numbered = part.join(F.broadcast(counts), "_p").withColumn("batch", F.floor((F.col("_base") + F.col("_i")) / most).cast("long"))
     return numbered.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct(order, *[c for c in rows.columns if c != order]))).alias("rows"))

@@ -76,6 +76,15 @@ def smoothed_orientation(samples: DataFrame, instants: DataFrame, max_age_ms: in
     return out.select("device", "atMs", mean.alias("pitchDeg"), F.when(F.col("n") > 1, F.sqrt(F.greatest(num(0), F.col("sq") / F.col("sw") - mean * mean))).alias("pitchSpreadDeg"), pitch_refusal.alias("pitchRefusal"), F.when(roll_refusal.isNull(), F.when(roll > 180, roll - num(360)).otherwise(roll)).alias("rollDeg"), roll_refusal.alias("rollRefusal"))
 
 
+def fused_poses(headings: DataFrame, gravity: DataFrame, instants: DataFrame, declination_deg: float | None, max_age_ms: int = MAX_AGE_MS, tau_ms: float = TIME_CONSTANT_MS, limit_deg: float = GIMBAL_LIMIT_DEG) -> DataFrame:
+    """device, atMs and headingDeg, pitchDeg, rollDeg, each answered or refused by itself: both traces of a device at one instant."""
+    turned = smoothed_headings(headings, instants, declination_deg, max_age_ms, tau_ms).select("device", "atMs", "headingDeg", F.col("refusal").alias("headingRefusal"))
+    tilted = smoothed_orientation(gravity, instants, max_age_ms, tau_ms, limit_deg)
+    out = turned.join(tilted, ["device", "atMs"]).join(gravity.select("device").distinct().withColumn("_known", F.lit(True)), "device", "left")
+    why = lambda c: F.when(F.col("_known").isNull(), "no-samples").otherwise(F.col(c)).alias(c)
+    return out.select("device", "atMs", "headingDeg", "headingRefusal", "pitchDeg", why("pitchRefusal"), "rollDeg", why("rollRefusal"))
+
+
 #: Expected gravity of each hold of a calibration.
 HOLDS = (("upright-portrait", 0, -1, 0), ("flat-face-up", 0, 0, -1), ("flat-face-down", 0, 0, 1), ("right-edge-down", 1, 0, 0))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.camera import unproject
-from ridgeline.functions.geodesy import num
+from ridgeline.functions.geodesy import clamp, num
 from ridgeline.shipping import ship
 
 COLUMN = ("image", "col")
@@ -77,6 +77,110 @@ def extract_skyline(signal: DataFrame, penalty: float = 0.002, free: int = 1) ->
     return split_scores(signal).groupBy("image").applyInPandas(run, f"image {kinds['image']}, col {kinds['col']}, row {kinds['row']}")
 
 
+# Where each factor of the evidence begins and where it is full, how rough a sky is, and what a readable column has.
+CONTRAST, SNR, ROUGHNESS = (0.04, 0.2), (1.0, 4.0), (0.002, 0.006)
+READABLE, AGREEMENT, FREE_SLOPE, SLOPE_PENALTY = 0.1, 0.12, 5.0, 1.0
+
+
+def band_rows(height: int) -> int:
+    """Rows of the two bands that a local edge is measured between."""
+    return max(2, int(height * 0.015 + 0.5))
+
+
+def rise(x: Column, ends: tuple[float, float]) -> Column:
+    """0 up to the first end, 1 from the second on; 0 for what is no finite number."""
+    low, high = ends
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), num(0)).otherwise(clamp((x - num(low)) / num(high - low), 0, 1))
+
+
+def step_factors(signal: DataFrame, height: int, radius: int = 1, band: int | None = None) -> DataFrame:
+    """image, col, row, contrast, snr, edge01, evidence, between: every row of a column as the first row of terrain under sky.
+
+    All factors are window sums over one sorting of a column. They are 0 where what lies above is not brighter, or too rough for sky.
+    """
+    band, guard = band or band_rows(height), radius + 1
+    order, whole = Window.partitionBy(*COLUMN).orderBy("row"), Window.partitionBy(*COLUMN)
+    v = smooth(signal, radius).withColumn("d", F.abs(F.col("value") - F.lag("value").over(order)))
+    over = lambda f, first, last: f.over(order.rowsBetween(first, last))
+    start = Window.unboundedPreceding
+    v = v.withColumns({
+        "n0": over(F.count("value"), start, -1), "s0": F.coalesce(over(F.sum("value"), start, -1), num(0)), "rough": F.coalesce(over(F.sum("d"), start, -(guard + 2)), num(0)),
+        "above": over(F.avg("value"), -(guard + band), -(guard + 1)), "below": over(F.avg("value"), guard, guard + band - 1),
+        "n": F.count("value").over(whole), "s": F.sum("value").over(whole), "q": F.sum(F.col("value") * F.col("value")).over(whole),
+    }).where("n0 > 0")
+    contrast = F.col("s0") / F.col("n0") - (F.col("s") - F.col("s0")) / (F.col("n") - F.col("n0"))
+    top = F.col("n0") - guard - 1
+    clear = num(1) - rise(F.when(top <= 1, num(0)).otherwise(F.col("rough") / (top - 1)), ROUGHNESS)
+    v = v.withColumns({"contrast": contrast, "clear": clear, "share": F.col("n0") / F.col("n"), "spread": F.greatest(num(0), F.col("q") / F.col("n") - (F.col("s") / F.col("n")) * (F.col("s") / F.col("n")))})
+    v = v.withColumn("between", F.col("share") * (num(1) - F.col("share")) * F.col("contrast") * F.col("contrast"))
+    v = v.withColumn("within", F.sqrt(F.greatest(num(0), F.col("spread") - F.col("between"))))
+    snr = F.when(F.col("within") > 0, F.col("contrast") / F.col("within")).otherwise(float("inf"))
+    edge = F.coalesce(clamp((F.col("above") - F.col("below")) / F.greatest(F.col("contrast"), num(1e-9)), 0, 1), num(0))
+    v = v.withColumns({"snr": snr, "edge01": edge}).withColumn("evidence", rise(F.col("contrast"), CONTRAST) * rise(F.col("snr"), SNR) * F.col("edge01") * F.col("clear"))
+    step = (F.col("contrast") > 0) & (F.col("clear") > 0)
+    values = {"contrast": F.col("contrast"), "snr": F.least(F.col("snr"), F.when(F.col("snr") == float("inf"), num(SNR[1])).otherwise(F.col("snr"))), "edge01": F.col("edge01"), "evidence": F.col("evidence"), "between": F.col("between")}
+    return v.select(*COLUMN, "row", *[F.when(step, x).otherwise(num(0)).alias(k) for k, x in values.items()])
+
+
+def choose_rows(evidence: np.ndarray, between: np.ndarray, pitch: float, radius: int) -> np.ndarray:
+    """Row of each column: the path of most evidence, moved within the blur to where the two sides differ most."""
+    path = best_path(evidence, SLOPE_PENALTY / pitch, max(1, int(FREE_SLOPE * pitch + 0.5)))
+    cols, best, row = np.arange(len(path)), between[np.arange(len(path)), path], path.copy()
+    for offset in range(1, radius + 1):
+        for other in (path - offset, path + offset):
+            there = np.clip(other, 0, evidence.shape[1] - 1)
+            better = (there == other) & (evidence[cols, there] > 0) & (between[cols, there] > best)
+            row[better], best[better] = there[better], between[cols, there][better]
+    return row
+
+
+def read_skyline(signal: DataFrame, height: int, pitch: float = 1.0, radius: int = 1, band: int | None = None, window: int = 16) -> DataFrame:
+    """One row for each column of each image: xNorm, rowNorm (null: not readable), confidence01 and what it is made of.
+
+    signal: image, col, row (both from 0), value; ``height`` rows; ``pitch``: source pixels a column stands for. The path through a
+    column's evidence is found in one task for each image (see best_path); an image is bounded by its pixels.
+    """
+    ship(signal.sparkSession)
+    names = ["contrast", "snr", "edge01", "evidence"]
+    kinds = {f.name: f.dataType.simpleString() for f in signal.schema}
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["col", "row"])
+        cols = frame["col"].drop_duplicates().to_numpy()
+        values = {k: frame[k].to_numpy().reshape(len(cols), -1)[:, : height - 2] for k in [*names, "between"]}  # rows 1 to height - 2
+        if height < 4:
+            return pd.DataFrame({"image": frame["image"].iloc[0], "col": cols, "row": None} | dict.fromkeys(names, 0.0))
+        row, at = choose_rows(values["evidence"], values["between"], pitch, radius + 1), np.arange(len(cols))
+        return pd.DataFrame({"image": frame["image"].iloc[0], "col": cols, "row": row + 1} | {k: values[k][at, row] for k in names})
+
+    schema = f"image {kinds['image']}, col {kinds['col']}, row int, contrast double, snr double, edge01 double, evidence double"
+    chosen = step_factors(signal, height, radius, band).groupBy("image").applyInPandas(run, schema)
+    chosen = chosen.withColumn("row", F.when(F.col("evidence") > 0, F.col("row")))
+    near = F.collect_list(F.when(F.col("evidence") >= READABLE, F.struct("col", "row"))).over(Window.partitionBy("image").orderBy("col").rowsBetween(-window, window))
+    chosen = chosen.withColumn("_near", near).withColumn("_near", F.sort_array(F.transform(F.filter("_near", lambda x: (x["col"] != F.col("col")) & x["row"].isNotNull()), lambda x: x["row"])))
+    n = F.size("_near")
+    median = F.when(n >= 3, (F.get("_near", F.floor((n - 1) / 2).cast("int")) + F.get("_near", F.floor(n / 2).cast("int"))) / num(2))
+    apart = F.abs(F.col("row") - median) / num(height) / num(AGREEMENT)
+    chosen = chosen.withColumn("agreement01", F.coalesce(num(1) / (num(1) + apart * apart), num(1)))
+    sure = clamp(F.col("evidence") * F.col("agreement01"), 0, 1)
+    columns = F.count("*").over(Window.partitionBy("image"))
+    readable = F.col("row").isNotNull() & (F.col("_sure") >= READABLE)
+    return chosen.withColumn("_sure", sure).select(
+        *COLUMN, ((F.col("col") + num(0.5)) / columns).alias("xNorm"), F.when(readable, (F.col("row") + num(0.5)) / num(height)).alias("rowNorm"), F.when(readable, F.col("_sure")).otherwise(num(0)).alias("confidence01"),
+        "contrast", "snr", "edge01", "agreement01",
+    )
+
+
+def skyline_summary(columns: DataFrame) -> DataFrame:
+    """image, columns, coverage01, meanConfidence01, reliefNorm (weighted deviation of the readable rows)."""
+    w, x = F.when(F.col("rowNorm").isNotNull(), F.col("confidence01")), F.col("rowNorm")
+    mean = F.sum(w * x) / F.sum(w)
+    return columns.groupBy("image").agg(
+        F.count("*").alias("columns"), (F.count("rowNorm") / F.count("*")).alias("coverage01"), F.coalesce(F.avg(w), num(0)).alias("meanConfidence01"),
+        F.coalesce(F.sqrt(F.greatest(num(0), F.sum(w * x * x) / F.sum(w) - mean * mean)), num(0)).alias("reliefNorm"),
+    )
+
+
 def weighted_moments(rows: DataFrame, keys: list[str], x: str, w: str) -> DataFrame:
     """Weighted mean and deviation, and the exact median."""
     m = F.sum(F.col(w) * F.col(x)) / F.sum(w)

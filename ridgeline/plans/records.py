@@ -109,7 +109,7 @@ def location_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("c_custkey")
     lat, lon = num(45) + (n * 7919 % 20000) / num(10000), num(6.9) + (n * 10473 % 20000) / num(10000)
     point = F.concat_ws(",", F.format_string("%.6f", lat), F.format_string("%.6f", lon))
-    rows = views.table(spark, sf_dir, "customer").where("c_custkey % 7 <> 3").select(n.alias("n"), point.alias("point"))
+    rows = views.table(spark, sf_dir, "customer").select(n.alias("n"), point.alias("point"))
     return lf.batches(rows, "n", 100).select("batch", F.concat_ws("|", F.transform("rows", lambda x: x["point"])).alias("locations"), F.size("rows").cast("long").alias("points"))
 
 
@@ -186,7 +186,7 @@ SELECT k, tag, CAST(CASE k % 8 WHEN 0 THEN (k % 4 + 1) * 1000 + k % 1000 WHEN 1
   WHEN regexp_matches(text, '(?i)\\bcc by-nc\\b') THEN 'CC-BY-NC' WHEN regexp_matches(text, '(?i)\\bcc by\\b') THEN 'CC-BY' END AS licence FROM documents),
 c AS (SELECT licence, count(*) AS n, min(doc_id) AS firstDoc, licence IN ('GPL', 'CC-BY-NC', 'CC-BY') AS strong FROM d WHERE licence IS NOT NULL GROUP BY licence)
 SELECT licence, n, firstDoc, strong, CAST(row_number() OVER (ORDER BY strong DESC, licence) AS INTEGER) AS nth FROM c""",
-    "location_batches": """SELECT batch, string_agg(printf('%.6f,%.6f', 45e0 + ((c_custkey * 7919) % 20000) / 10000e0, 6.9e0 + ((c_custkey * 10473) % 20000) / 10000e0), '|' ORDER BY c_custkey) AS locations, count(*) AS points FROM (SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) // 100 AS batch FROM customer WHERE c_custkey % 7 <> 3) GROUP BY 1""",
+    "location_batches": """SELECT batch, string_agg(printf('%.6f,%.6f', 45e0 + ((c_custkey * 7919) % 20000) / 10000e0, 6.9e0 + ((c_custkey * 10473) % 20000) / 10000e0), '|' ORDER BY c_custkey) AS locations, count(*) AS points FROM (SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) // 100 AS batch FROM customer) GROUP BY 1""",
     "label_widths": f"WITH {s.SUMMIT}, x AS (SELECT id, name, concat(CAST(floor(elevationM + 0.5e0) AS BIGINT), ' m') AS d0, elevationM FROM g_summit), y AS (SELECT *, CASE WHEN elevationM IS NULL THEN NULL ELSE d0 END AS detail FROM x) SELECT id, round({_width('name')} * 14e0, 4) + 0e0 AS nameWidthPx, detail, round({_width('detail')} * 11e0, 4) + 0e0 AS detailWidthPx FROM y",
     "set_operations": f"""WITH {s.SUMMIT}, a AS (SELECT id, name FROM g_summit WHERE CAST(substring(id, 2) AS BIGINT) % 3 <> 0), b AS (SELECT id, name FROM g_summit WHERE CAST(substring(id, 2) AS BIGINT) % 2 = 0)
 SELECT p.id, p.name, CASE WHEN a.id IS NOT NULL THEN 0 ELSE 1 END AS source, a.id IS NOT NULL AND b.id IS NULL AS onlyInFirst FROM g_summit p LEFT JOIN a ON a.id = p.id LEFT JOIN b ON b.id = p.id WHERE a.id IS NOT NULL OR b.id IS NOT NULL""",
