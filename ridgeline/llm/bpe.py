@@ -7,12 +7,13 @@ pair leave the matrix. The result equals that of the usual one-piece-at-a-time a
 
 Defined results: a null text counts as the empty text (no ids, empty bytes); repeated rows and null or repeated ids
 are encoded row by row; other columns are ignored whatever their names; an empty table gives an empty table; a
-piece of any length is encoded whole (its cost grows with the square of an unbroken piece's length).
+piece of any length is encoded whole; of pieces over LONG_PIECE bytes the next pair to merge comes from a heap, in the same order.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
@@ -30,6 +31,8 @@ REMEMBERED = 100_000
 #: Texts with one of these are matched as they stand: white space other than lone spaces and line ends, and the mark.
 UNEVEN = [b"\0", b"  ", b" \n", b"\n ", b"\n\n", *(chr(c).encode() for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")]
 NO_RANK = np.int32(2**31 - 1)
+#: Bytes of a piece from which on its merges come from a heap: a row's rounds cost the square of its length.
+LONG_PIECE = 256
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,7 +84,7 @@ class Bpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, space_begins: bool = False):
         """space_begins: the pattern never matches across the edge before a lone space or around a lone line end."""
-        self.pattern, self.space_begins = regex.compile(pattern), space_begins
+        self.pattern, self.space_begins, self.ranks = regex.compile(pattern), space_begins, ranks
         self.byte_ids = np.full(256, -1, np.int32)
         for token, rank in ranks.items():
             if len(token) == 1:
@@ -107,6 +110,11 @@ class Bpe:
         buckets = np.ceil(np.log2(np.maximum(lengths[order], 2))).astype(np.int64)
         flat, counts = [], []
         for rows in np.split(order, np.flatnonzero(np.diff(buckets)) + 1):
+            if len(rows) and lengths[rows[0]] > LONG_PIECE:  # in order of length
+                for i in rows.tolist():
+                    flat.append(self._merge_long(pieces[i]))
+                    counts.append(np.array([len(flat[-1])], np.int64))
+                continue
             at_once = max(1, (1 << 20) // max(1, int(lengths[rows].max(initial=1))))
             for k in range(0, len(rows), at_once):
                 ids, n = self._merge_matrix([pieces[i] for i in rows[k : k + at_once]])
@@ -151,6 +159,31 @@ class Bpe:
             ranks[left, at[left] - 1] = self.pairs.find(ids[left, at[left] - 1], ids[left, at[left]])
         return result[np.arange(result.shape[1]) < count[:, None]].astype(np.uint32), count
 
+    def _merge_long(self, piece: bytes) -> np.ndarray:
+        """Ids of one long piece: the same merges in the same order, the next one from a heap instead of a search through the whole row."""
+        after, before, alive = list(range(1, len(piece) + 1)), list(range(-1, len(piece) - 1)), bytearray(b"\1") * len(piece)
+        rank_of, n = self.ranks.get, len(piece)
+        current = [rank_of(piece[i : i + 2], NO_RANK) for i in range(n - 1)] + [NO_RANK]
+        heap = [(r, i) for i, r in enumerate(current) if r != NO_RANK]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            if not alive[i] or current[i] != rank:
+                continue
+            j = after[i]
+            after[i], alive[j] = after[j], 0
+            if after[j] < n:
+                before[after[j]] = i
+            for k in (before[i], i):
+                if k >= 0:
+                    end = after[after[k]] if after[k] < n else -1
+                    new = rank_of(piece[k:end], NO_RANK) if end >= 0 else NO_RANK
+                    current[k] = new
+                    if new != NO_RANK:
+                        heapq.heappush(heap, (new, k))
+        starts = [i for i in range(n) if alive[i]]
+        return np.array([self.ranks[piece[i : after[i]]] for i in starts], np.uint32)
+
     def find_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces one after another, and how many each has; pieces not seen before are merged."""
         return self.pieces.find(pieces, lambda new: self.merge([x.encode() for x in new]))

@@ -13,10 +13,12 @@ One more hypothesis is that the text is in none of the languages: its trigrams a
 It has soft counts, a prior and likelihoods like a language, but is never answered. Trigrams that a language has not
 shown cost more than an even spread, so foreign texts and junk fit none; ``confidence`` is of all hypotheses.
 
-Every language that a row with a letter declares is learnt, however rare. Its trigram table is counted over the whole
+The TAGS languages that most rows with a letter declare are learnt each (ties by name); whatever rarer tags there are share one
+more profile, which like "none" is a hypothesis but no answer. So the driver and each Python worker hold (TAGS + 2) x 256 KB
+at most, however many tags there are. A language's trigram table is counted over the whole
 texts of all rows that declare it, or about ``max_rows`` of them, chosen by a hash of the text; trigrams it has not shown
 share as much as it has shown different ones (Witten-Bell), so a thin profile expects more of the unknown. Everything
-else is counted over all rows. A language costs 256 KB of the driver's and each Python worker's memory.
+else is counted over all rows.
 
 Defined results: a text without a letter (null and empty ones too) gives no evidence and is rejected, whatever
 else the row declares; missing declarations, suffixes and hosts give no evidence; the row is rejected too if all
@@ -36,9 +38,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import map_steps, materialize, pick
+from ridgeline.llm.common import join_hot, map_steps, materialize, pick, small
 
 MAX_ROWS, BINS, LEAST, PRIOR_ROWS, TEMPER = 20_000, 1 << 15, 0.5, 20.0, 0.25
+#: Languages that have a profile of their own.
+TAGS = 200
 SEPARATORS = np.frombuffer(bytes(32 if b < 65 or 91 <= b <= 96 or 123 <= b <= 127 else b + 32 * (65 <= b <= 90) for b in range(256)), np.uint8)
 
 UNSEEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|template)\b.*?(?:</\1\s*>|\Z)")
@@ -93,25 +97,30 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
         return out.select(F.col("id").alias(id_col), null.alias("language"), F.lit(0.0).alias("confidence"), F.lit(True).alias("rejected"), "declared")
     parts = F.split("host", r"\.")
     out = out.withColumn("suffix", F.when(F.size(parts) > 1, F.element_at(parts, -1))).withColumn("domain", F.when(F.size(parts) > 2, F.concat_ws(".", F.slice(parts, -2, 2))).otherwise(F.col("host")))
-    n = len(names) + 1  # the last is none of them
+    n = len(table)  # the last is none of them; before it, if there are more tags than TAGS, what is rarer
     soft = [F.when(F.col("letters"), F.col("p")[i]).otherwise(0.0) for i in range(n)]
 
     def sums(*keys: str) -> DataFrame:
-        return out.groupBy(*keys).agg(*[F.sum(s).alias(f"n{i}") for i, s in enumerate(soft)])
+        return out.groupBy(*keys).agg(*[F.sum(s).alias(f"n{i}") for i, s in enumerate(soft)], F.count("*").alias("k"))
+
+    def joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+        """Left join with a table of one row a key (k: how many rows have it); a large one is merged, but for keys that are hot."""
+        right = materialize(right, f"by-{key}")
+        return left.join(F.broadcast(right.drop("k")), key, "left") if small(right) else join_hot(left, right, [key], "k", "left")
 
     def shares(frame: DataFrame, above: list[Column], weight: float = PRIOR_ROWS) -> list[Column]:
         total = sum((F.col(f"n{i}") for i in range(n)), F.lit(0.0))
         return [(F.col(f"n{i}") + weight * above[i]) / (total + weight) for i in range(n)]
 
     # priors: host, smoothed by domain, by suffix, by all
-    whole = sums().first()
+    whole = tuple(sums().first())[:n]
     all_rows = [((whole[i] or 0.0) + 1.0) / (sum(x or 0.0 for x in whole) + n) for i in range(n)]
     by_suffix = sums("suffix").where("suffix is not null")
     by_suffix = by_suffix.select("suffix", *[s.alias(f"s{i}") for i, s in enumerate(shares(by_suffix, [F.lit(x) for x in all_rows]))])
     by_domain = sums("suffix", "domain").where("domain is not null").join(by_suffix, "suffix", "left")
     by_domain = by_domain.select("domain", *[d.alias(f"d{i}") for i, d in enumerate(shares(by_domain, [F.coalesce(F.col(f"s{i}"), F.lit(x)) for i, x in enumerate(all_rows)]))])
     by_host = sums("domain", "host").where("host is not null").join(by_domain, "domain", "left")
-    by_host = by_host.select("host", F.array(*[F.log(h) for h in shares(by_host, [F.coalesce(F.col(f"d{i}"), F.lit(x)) for i, x in enumerate(all_rows)])]).alias("host_log"))
+    by_host = by_host.select("host", F.array(*[F.log(h) for h in shares(by_host, [F.coalesce(F.col(f"d{i}"), F.lit(x)) for i, x in enumerate(all_rows)])]).alias("host_log"), "k")
 
     def likelihood(key: str) -> DataFrame:
         """log P(key | language), smoothed by the key's share of all rows."""
@@ -119,11 +128,15 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
         totals = counted.agg(*[F.sum(f"n{i}").alias(f"t{i}") for i in range(n)]).first()
         every = sum(t or 0.0 for t in totals) or 1.0
         own = sum((F.col(f"n{i}") for i in range(n)), F.lit(0.0))
-        return counted.select(key, F.array(*[F.log((F.col(f"n{i}") + (own + 1) / every) / F.lit((totals[i] or 0.0) + 1 + 1 / every)) for i in range(n)]).alias(f"{key}_log"))
+        return counted.select(key, F.array(*[F.log((F.col(f"n{i}") + (own + 1) / every) / F.lit((totals[i] or 0.0) + 1 + 1 / every)) for i in range(n)]).alias(f"{key}_log"), "k")
 
-    placed = out.join(by_host, "host", "left").join(likelihood("declared"), "declared", "left").join(likelihood("suffix"), "suffix", "left")
+    placed = joined(joined(joined(out, by_host, "host"), likelihood("declared"), "declared"), likelihood("suffix"), "suffix")
     fused = [F.coalesce(F.col("host_log")[i], F.lit(float(np.log(all_rows[i])))) + F.coalesce(F.col("declared_log")[i], F.lit(0.0)) + F.coalesce(F.col("suffix_log")[i], F.lit(0.0)) + F.col("text_log")[i] for i in range(n)]
-    placed = placed.select("id", "declared", "letters", F.array(*fused[:-1]).alias("l"), fused[-1].alias("none")).withColumn("top", F.array_max("l"))
+    unnamed = fused[-1]
+    if n > len(names) + 1:  # together
+        high, low = F.greatest(fused[-2], fused[-1]), F.least(fused[-2], fused[-1])
+        unnamed = high + F.log1p(F.exp(low - high))
+    placed = placed.select("id", "declared", "letters", F.array(*fused[: len(names)]).alias("l"), unnamed.alias("none")).withColumn("top", F.array_max("l"))
     placed = placed.withColumn("z", F.aggregate("l", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     best = F.element_at(F.array(*map(F.lit, names)), F.array_position("l", F.col("top")).cast("int"))
     odds = F.exp(F.least(F.col("none") - F.col("top"), F.lit(700.0)))
@@ -138,29 +151,34 @@ def learn_profile(df: DataFrame, text_col: str, declared_col: str, max_rows: int
     Counted over the whole texts of about ``max_rows`` rows of each; the driver gets a number for each language and bin.
     """
     rows = pick(df, text=text_col, declared=declared_col).where("text is not null and declared is not null")
-    sizes = {r["declared"]: r["n"] for r in rows.groupBy("declared").agg(F.count("*").alias("n")).collect()}
-    names, share = sorted(sizes), 1 << 30
-    most = [F.lit(x) for k, n in sizes.items() if n > max_rows for x in (k, share * max_rows // n)]
-    if most:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(share)) < F.coalesce(F.create_map(*most)[F.col("declared")], F.lit(share)))
+    tags = rows.groupBy("declared").agg(F.count("*").alias("n"))
+    top = {r["declared"]: r["n"] for r in tags.orderBy(F.desc("n"), "declared").limit(TAGS).collect()}
+    rest = (tags.agg(F.sum("n")).first()[0] or 0) - sum(top.values())
+    names, share = sorted(top), 1 << 30
+    lines = len(names) + (rest > 0)  # the last line is that of all other tags
+    most = [F.lit(x) for k, n in top.items() if n > max_rows for x in (k, share * max_rows // n)]
+    if most or rest > max_rows:
+        known = F.create_map(*[F.lit(x) for k in names for x in (k, share)])
+        limit = F.coalesce(*([F.create_map(*most)[F.col("declared")]] if most else []), known[F.col("declared")], F.lit(share * min(max_rows, rest) // max(rest, 1) if rest else share))
+        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(share)) < limit)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(names), BINS), np.int64)
+        counts = np.zeros((lines, BINS), np.int64)
         at = {x: i for i, x in enumerate(names)}
         for batch in batches:
             for text, declared in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("declared").to_pylist(), strict=True):
-                if declared in at:
-                    counts[at[declared]] += np.bincount(trigram_bins(text), minlength=BINS)
+                if declared in at or rest > 0:
+                    counts[at.get(declared, len(names))] += np.bincount(trigram_bins(text), minlength=BINS)
         cell = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(counts.ravel()[cell], pa.int64())], names=["cell", "n"])
 
-    table = np.zeros(len(names) * BINS)
+    table = np.zeros(lines * BINS)
     if names:
         found = rows.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
         table[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(float)
     table = table.reshape(-1, BINS)
     shown = table.any(axis=1)  # texts without a letter teach nothing
-    names, table = [x for x, s in zip(names, shown, strict=True) if s], table[shown]
+    names, table = [x for x, s in zip(names, shown, strict=False) if s], table[shown]
     total, kinds = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True)
     return names, np.log(np.vstack([(table + kinds / BINS) / (total + kinds), np.full(BINS, 1 / BINS)]))
 

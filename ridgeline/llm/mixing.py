@@ -7,9 +7,9 @@ convex, so the flow repeats words only where a quota can't be filled otherwise,
 words a pattern gives; its documents are all taken as often as that allows, and of the rest, documents in
 the order of a seeded hash are taken once more while they fit, then smaller ones, then the one that comes nearest.
 
-Sources and patterns are tables of any size. A source whose documents have no other fills its quota from its one pattern, which
-is its flow. Sources that share documents, directly or through others, are one network each; the flow of a network is
-found in one task, which holds its patterns (not their documents). The driver sees sums only.
+Sources and patterns are tables of any size. Sources that share documents, directly or through others, are one network each (a
+source whose documents have no other is one by itself); the flow of a network is found in one task, which holds its patterns
+(not their documents). The driver sees sums only. Filling goes on, pass after pass, over the documents that may still fit.
 
 Defined results: a null or empty text has size 0 and nothing is taken; a null source is a source of its own, last in
 order; rows with the same id are taken one by one, those that are equal in text too as any of them; other columns are ignored;
@@ -28,8 +28,8 @@ from ridgeline.llm.common import before, connected_components, discard, join_hot
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS, SEED = 3, 20_240_101
-#: Passes of filling at most, and the share of a target that may stay open when a document would still fit.
-PASSES, NEAR = 8, 0.002
+#: The share of a target that may stay open when a document would still fit.
+NEAR = 0.002
 
 
 def in_order(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -123,11 +123,11 @@ def network_flows(patterns: DataFrame, targets: DataFrame, repeats: int) -> Data
     name = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))  # the null source has a name of its own
     member = patterns.select("key", "size", F.explode("sources").alias("source")).join(targets.select(F.col("source").alias("_s"), "target"), F.col("source").eqNullSafe(F.col("_s")))
     member = materialize(member.select("key", "size", name.alias("source"), "target"), "members")
-    if not several.limit(1).count():
-        return member.select("key", F.least(F.round("target").cast("long"), F.lit(repeats) * F.col("size")).alias("given"))
-    links = member.join(several.select("key"), "key", "left_semi").select(F.concat(F.lit("k"), "key").alias("a"), F.col("source").alias("b"))
-    network = connected_components(links).select(F.col("node").alias("source"), F.col("label").alias("network"))
-    placed = member.join(network, "source", "left").withColumn("network", F.coalesce("network", "source"))
+    placed = member.withColumn("network", F.col("source"))
+    if several.limit(1).count():
+        links = member.join(several.select("key"), "key", "left_semi").select(F.concat(F.lit("k"), "key").alias("a"), F.col("source").alias("b"))
+        network = connected_components(links).select(F.col("node").alias("source"), F.col("label").alias("network"))
+        placed = member.join(network, "source", "left").withColumn("network", F.coalesce("network", "source"))
 
     def flow(rows: pd.DataFrame) -> pd.DataFrame:
         names = sorted(rows["source"].unique())
@@ -173,26 +173,25 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources_c
     plan = materialize(plan, "plan", patterns)
     chosen = join_hot(rows.drop("sources"), plan, ["key"], "n")
 
-    def gaps(state: DataFrame) -> DataFrame:
-        """What each pattern still lacks, its documents, and the least of those that are left."""
-        left = F.min(F.when((F.col("more") == 0) & (F.col("size") > 0), F.col("size")))
-        return state.groupBy("key").agg((F.max("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap"), F.count("*").alias("n"), F.max("target").alias("t"), left.alias("least"))
-
-    # whole documents in seeded order while they fit; again over those left that are small enough for what is left
-    state = materialize(chosen.withColumn("more", F.lit(0)), "chosen", rows)
-    gap = materialize(gaps(state), "gap")
-    for _ in range(PASSES):
-        joined = join_hot(state, gap.select("key", "gap", "n"), ["key"], "n")
-        fits = (F.col("more") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
-        order = before(joined, ["key"], F.col("h"), ["size", "row"], F.when(fits, F.col("size")).otherwise(0), total)
-        take = fits & (F.col("before") + F.col("size") <= F.col("gap"))
-        state = materialize(order.withColumn("more", F.when(take, 1).otherwise(F.col("more"))).drop("gap", "before"), "chosen", state)
-        discard(gap)
-        gap = materialize(gaps(state), "gap")
-        if not gap.where(f"least <= gap and gap > {NEAR!r} * t").limit(1).count():
-            break
+    # whole documents in seeded order while they fit; again over those left that are small enough for what is left. What doesn't fit
+    # once never will, as gaps only shrink; and the first that fits is always taken, so the passes end.
+    state = materialize(chosen, "chosen", rows)
+    gap, counts = materialize(plan.select("key", F.col("rest").alias("gap"), F.col("target").alias("t"), "n"), "gap"), ["key", "gap", "n"]
+    left, still, taken = state.where("size > 0").select("key", "size", "h", "row"), gap.where("gap > 0").select(*counts), None
+    while still.limit(1).count():
+        fits = join_hot(left, still, ["key"], "n").where("size <= gap")
+        order = before(fits, ["key"], F.col("h"), ["size", "row"], F.col("size"), total)
+        passed = materialize(order.withColumn("take", F.col("before") + F.col("size") <= F.col("gap")).drop("gap", "before"), "passed")
+        now = passed.where("take").select("row")
+        taken = materialize(now if taken is None else taken.unionByName(now), "taken", taken)
+        spent = passed.groupBy("key").agg(F.sum(F.when(F.col("take"), F.col("size")).otherwise(0)).alias("spent"), F.min(F.when(~F.col("take"), F.col("size"))).alias("least"), F.count_if(~F.col("take")).alias("open"))
+        gap = materialize(gap.select("key", "gap", "t", "n").join(spent, "key", "left").withColumn("gap", F.col("gap") - F.coalesce("spent", F.lit(0))), "gap", gap)
+        still = gap.where(f"least <= gap and gap > {NEAR!r} * t").select("key", "gap", F.col("open").alias("n"))
+        left = passed.where("not take").drop("take")
     # the one document that comes nearest to what is left still; the first of them in seeded order
-    others = join_hot(state.where("more = 0 and size > 0"), gap.select("key", "gap", "n"), ["key"], "n")
+    more = state.join(taken.withColumn("more", F.lit(1)), "row", "left") if taken is not None else state.withColumn("more", F.lit(None).cast("int"))
+    state = materialize(more.fillna(0, ["more"]), "chosen", state, taken)
+    others = join_hot(state.where("more = 0 and size > 0"), gap.select(*counts), ["key"], "n")
     nearest = others.groupBy("key").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "h", "size", "row")).alias("best"), F.max("gap").alias("g"))
     last = materialize(nearest.where("best.off < g").select(F.col("best.row").alias("row"), F.lit(1).alias("one")), "nearest", gap)
     done = state.join(last, "row", "left").withColumn("more", F.greatest("more", F.coalesce("one", F.lit(0))))

@@ -52,6 +52,13 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_mix_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where every document belongs to two sources, its own and its language's: quotas share documents, so words are routed."""
+    docs = table(spark, sf_dir, "documents").withColumn("sources", F.array(F.concat(F.lit("at "), "source"), F.concat(F.lit("in "), "lang")))
+    mixed = mix(docs, sources_col="sources")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; ``lang`` is what it declares and ``source`` its host."""
     return identify(table(spark, sf_dir, "documents"))
@@ -150,6 +157,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_quality": op4_quality,
     "op5_mix": op5_mix,
+    "op5_mix_overlap": op5_mix_overlap,
     "op6_language": op6_language,
     "op6_language_pages": op6_language_pages,
     "op7_shards": op7_shards,

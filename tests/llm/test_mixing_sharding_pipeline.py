@@ -105,6 +105,34 @@ def test_mix_of_overlapping_sources(spark):
     assert len(got) == 200 and sum(r["taken"] for r in got) == pytest.approx(4000, rel=0.05)
 
 
+def test_overlapping_sources_take_what_the_best_flow_gives(spark):
+    """Documents of one word each, so that a pattern can take any number: totals and repetition cost are the best there are."""
+    kinds = [(["a"], 4), (["a", "b"], 2), (["b"], 1), (["c"], 3), (["c", "d"], 1)]
+    rows = [(k * 100 + i, f"w{i}", sources) for k, (sources, n) in enumerate(kinds) for i in range(n)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>"), weights=(1, 5)).collect()
+    taken, targets = defaultdict(int), {}
+    for r in got:
+        taken[r["doc_id"] // 100] += r["taken"]
+        targets[r["source"]] = r["target"]
+    table = spark.createDataFrame([("a", 6), ("b", 3), ("c", 4), ("d", 1)], "source string, size long")
+    quota = {r["source"]: round(r["target"]) for r in source_targets(table, (1, 5), 3, 11).collect()}
+    for names, patterns in ((["a", "b"], [0, 1, 2]), (["c", "d"], [3, 4])):
+        supplies, members = [kinds[p][1] for p in patterns], [[names.index(s) for s in kinds[p][0]] for p in patterns]
+        cost = sum(max(0, taken[p] - k * kinds[p][1]) for p in patterns for k in (1, 2))
+        assert (sum(taken[p] for p in patterns), cost) == best_flow(supplies, members, [quota[n] for n in names], 3)
+
+
+def test_filling_goes_on_as_long_as_a_document_fits(spark):
+    """Sizes by powers of two, each a pass of its own: more passes than any fixed number."""
+    rows = [(i, words(1 << (i % 11), i), "a") for i in range(66)] + [(1000 + i, words(30, i), "b") for i in range(400)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 1)).collect()
+    for name in "ab":
+        mine = [r for r in got if r["source"] == name]
+        gap = mine[0]["target"] - sum(r["taken"] for r in mine)
+        low = min(r["copies"] for r in mine)
+        assert gap < max(min(r["size"] for r in mine if r["copies"] == low), 0.002 * mine[0]["target"]) + 1
+
+
 def test_before_is_a_running_sum(spark):
     rng = random.Random(1)
     rows = [(rng.choice("ab"), rng.getrandbits(63) - (1 << 62), i, rng.randrange(5)) for i in range(300)]

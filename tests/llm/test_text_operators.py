@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from ridgeline.llm import language
 from ridgeline.llm import ngram_join as nj
 from ridgeline.llm.language import identify, page_evidence
 from ridgeline.llm.queries import op6_language_pages
@@ -279,6 +280,17 @@ def test_language_learns_rare_languages(spark, max_rows):
     assert got[6001]["rejected"]
 
 
+def test_rare_tags_share_a_profile(spark, monkeypatch):
+    """With two profiles of their own, the others are one hypothesis that is never answered; common languages stay right."""
+    monkeypatch.setattr(language, "TAGS", 2)
+    said = {"en": "the people of the town were walking there", "de": "die leute der stadt gingen dort spazieren", **{f"q{chr(97 + i)}": f"zq{i}x vw{i}k jj{i}y" for i in range(20)}}
+    rows = [(k * 100 + i, f"{text} {i}", tag, "h") for k, (tag, text) in enumerate(said.items()) for i in range(40 if k < 2 else 3)]
+    got = {r["doc_id"]: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows) and {r["language"] for r in got.values()} <= {"en", "de"}
+    assert all(got[i]["language"] == "en" and not got[i]["rejected"] for i in range(40)) and all(got[100 + i]["language"] == "de" and not got[100 + i]["rejected"] for i in range(40))
+    assert sum(got[k * 100 + i]["rejected"] for k in range(2, 22) for i in range(3)) >= 55
+
+
 def test_language_of_pages(spark, tmp_path):
     rng = random.Random(16)
     vocabulary = {"aa": ["lorem", "dolor", "amet", "&eacute;lit"], "bb": ["zwischen", "durch", "schon", "stra&szlig;e"]}

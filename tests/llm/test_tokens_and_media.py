@@ -1,6 +1,7 @@
 """Byte-level BPE, Huffman id files and Ogg media against libraries and brute force."""
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -45,6 +46,20 @@ def test_bpe_equals_the_library_and_round_trips(spark, space_begins):
         assert r["n_tokens"] == len(r["ids"]) // 4 and bytes(r["decoded"]) == text.encode()
 
 
+def test_long_pieces_equal_the_library():
+    """Unbroken letters beyond the bound of the matrices, in order of the library's own merges; a hundred thousand of them end soon."""
+    ranks, pattern = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+    library = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    rng, coder = np.random.default_rng(8), vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern, True)
+    made = ["".join(rng.choice(list("etaoinshrdlu"), n)) for n in (255, 256, 257, 258, 700, 5000)] + ["a" * 3000, "ab" * 2000, "é" * 999, "日" * 400, "the" * 500]
+    for text in made:
+        assert coder.encode([text.encode()])[0].tolist() == library.encode_ordinary(text)
+    long = "".join(rng.choice(list("etaoinshrdlu"), 100_000))
+    began = time.process_time()
+    ids, n = coder.encode([long.encode()])
+    assert time.process_time() - began < 8 and coder.decode(ids, n) == [long.encode()]
+
+
 def test_bpe_of_an_empty_table(spark):
     assert encode_bpe(spark.createDataFrame([], "doc_id long, text string"), PATH, PATTERN).count() == 0
 
