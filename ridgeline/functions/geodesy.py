@@ -71,12 +71,17 @@ def altitude_angle_deg(eye_m: Column, target_m: Column, distance_m: Column, k: f
     return F.degrees(F.atan2(target_m - eye_m - curvature_drop_m(distance_m, k), distance_m))
 
 
+def height_above(height_m: Column) -> Column:
+    """A height above the ground; one below it is refused."""
+    return F.when(height_m < 0, F.raise_error(F.concat(F.lit("height below the ground: "), height_m.cast("string"))).cast("double")).otherwise(height_m)
+
+
 def flat_horizon_distance_m(height_m: Column, k: float = REFRACTION_COEFFICIENT) -> Column:
-    return F.sqrt(num(2 * effective_radius_m(k)) * height_m)
+    return F.sqrt(num(2 * effective_radius_m(k)) * height_above(height_m))
 
 
 def flat_horizon_dip_deg(height_m: Column, k: float = REFRACTION_COEFFICIENT) -> Column:
-    return F.degrees(F.atan(-F.sqrt(num(2) * height_m / num(effective_radius_m(k)))))
+    return F.degrees(F.atan(-F.sqrt(num(2) * height_above(height_m) / num(effective_radius_m(k)))))
 
 
 def exact_altitude_deg(eye_m: Column, target_m: Column, ground_m: Column, k: float = REFRACTION_COEFFICIENT) -> Column:

@@ -142,7 +142,7 @@ def nearest(peaks: DataFrame, most: int = 30) -> DataFrame:
 
 def lenient_number(text: Column) -> Column:
     """The number that is left when all but digits, dots and minus signs are taken out, as far as it can be read."""
-    left = F.regexp_replace(text, r"[^\d.\-]", "")
+    left = F.regexp_replace(text, r"[^\d.\-]", "")  # fixed: what that generation took out
     return F.when(text != "", F.regexp_extract(left, r"^(-?(?:\d+\.?\d*|\.\d+))", 1).try_cast("double"))
 
 

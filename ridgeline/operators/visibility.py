@@ -8,12 +8,13 @@ array afterwards and joins to sightings by equality.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.geodesy import (
     COINCIDENT_DISTANCE_TOLERANCE, altitude_angle_deg, angular_difference_deg, bounding_box, cell_name, haversine_m, initial_bearing_deg, lon_width_deg, lon_within, num,
 )
+from ridgeline.tables import write_down
 
 RAY = ("observer_id", "bearingDeg")
 MAX_SAMPLE_GAP_FACTOR = 1.5
@@ -37,11 +38,6 @@ def horizon_profile(rays: DataFrame) -> DataFrame:
     return staircase(rays).groupBy(*RAY).agg(F.max(last).alias("top"), F.sort_array(F.collect_list(last)).alias("steps")).select(*RAY, F.col("top.altitudeDeg").alias("altitudeDeg"), (F.col("top.distanceM") / num(1000)).alias("distanceKm"), F.col("top.elevationM").alias("elevationM"), "steps")
 
 
-def whole_rays(rays: DataFrame) -> DataFrame:
-    """observer_id, bearingDeg, samples: each ray's samples, near to far."""
-    return with_altitude(rays).groupBy(*RAY).agg(F.sort_array(F.collect_list(F.struct("distanceM", "elevationM", "altitudeDeg"))).alias("samples"))
-
-
 def within_radius(observers: DataFrame, summits: DataFrame, radius_km: float) -> DataFrame:
     """observer x summit pairs within a radius (inclusive): cells of the circle's box joined by name, then the exact distance.
 
@@ -104,29 +100,53 @@ def bracketed(seen: DataFrame, profile: DataFrame) -> DataFrame:
 
 
 def nearer_step(steps: str) -> str:
-    """The highest step nearer than the sighting (ties: the nearer step), as SQL over ``steps``."""
+    """The highest step nearer than the sighting, as SQL over ``steps``: stairs rise, so it is the last that is nearer."""
     limit = f"distanceKm - abs(distanceKm) * {COINCIDENT_DISTANCE_TOLERANCE!r}D"
-    return f"array_max(transform(filter({steps}, s -> s.distanceM / 1000D < {limit}), s -> struct(s.altitudeDeg as alt, -s.distanceM / 1000D as nearKm)))"
+    return f"try_element_at(filter({steps}, s -> s.distanceM / 1000D < {limit}), -1)"
 
 
 def against_horizon(seen: DataFrame, rays: DataFrame) -> DataFrame:
     """Sightings with occludingAltitudeDeg, clearanceDeg and occluderDistanceKm (null if nothing stands nearer)."""
-    out = bracketed(seen, horizon_profile(rays))
+    return against_profile(seen, horizon_profile(rays))
+
+
+def against_profile(seen: DataFrame, profile: DataFrame) -> DataFrame:
+    """against_horizon() with a profile that is there already (with steps)."""
+    out = bracketed(seen, profile)
     for side in ("_before", "_after"):
         out = out.withColumn(side, F.expr(nearer_step(side)))
     b, a = F.col("_before"), F.col("_after")
-    angle = F.when(b.isNull(), a["alt"]).when(a.isNull(), b["alt"]).otherwise(b["alt"] + F.col("weight") * (a["alt"] - b["alt"]))
-    out = out.withColumn("occludingAltitudeDeg", F.coalesce(angle, num(-90))).withColumn("occluderDistanceKm", F.least(-b["nearKm"], -a["nearKm"]))
+    low, high = b["altitudeDeg"], a["altitudeDeg"]
+    angle = F.when(b.isNull(), high).when(a.isNull(), low).otherwise(low + F.col("weight") * (high - low))
+    out = out.withColumn("occludingAltitudeDeg", F.coalesce(angle, num(-90))).withColumn("occluderDistanceKm", F.least(b["distanceM"], a["distanceM"]) / num(1000))
     return out.withColumn("clearanceDeg", F.col("altitudeDeg") - F.col("occludingAltitudeDeg")).drop("_before", "_after")
 
 
-def measured_sql(samples: str, start: str, end: str, spacing_m: float) -> str:
-    """Whether no gap between samples from start to end is wider than 1.5 spacings, as SQL."""
-    gap = f"{spacing_m * MAX_SAMPLE_GAP_FACTOR!r}D"
-    return (
-        f"aggregate(filter({samples}, s -> s.distanceM > {start} and s.distanceM < {end}), named_struct('prev', cast({start} as double), 'ok', true), "
-        f"(acc, s) -> named_struct('prev', s.distanceM, 'ok', acc.ok and s.distanceM - acc.prev <= {gap}), acc -> acc.ok and {end} - acc.prev <= {gap})"
-    )
+def ray_table(rays: DataFrame, spacing_m: float, near_m: float) -> DataFrame:
+    """One row for each bearing with terrain: steps of its skyline, distances of its samples, what is so far at each of them, and its near ground.
+
+    So far at a sample (states): gaps wider than 1.5 spacings between it and the observer (bad), the crest (its altitude, how near, its
+    height and the gaps up to it) and the lowest ground since (low). All are running values over one sorting of the ray; a sighting then
+    needs the last sample before it and looks through no other.
+    """
+    order = Window.partitionBy(*RAY).orderBy("distanceM", "elevationM")
+    so_far, since = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*RAY, "crest").orderBy("distanceM", "elevationM").rowsBetween(Window.unboundedPreceding, 0)
+    nearer = Window.partitionBy(*RAY).orderBy("distanceM", F.desc("altitudeDeg")).rowsBetween(Window.unboundedPreceding, -1)
+    s = with_altitude(rays).withColumn("_high", F.max("altitudeDeg").over(nearer))
+    wide = F.col("distanceM") - F.coalesce(F.lag("distanceM").over(order), num(0)) > spacing_m * MAX_SAMPLE_GAP_FACTOR
+    s = s.withColumn("_wide", F.when(wide, 1).otherwise(0)).withColumn("bad", F.sum("_wide").over(so_far))
+    crest = F.struct(F.col("altitudeDeg").alias("alt"), (-F.col("distanceM")).alias("near"), "elevationM", "bad")
+    s = s.withColumn("crest", F.max(crest).over(so_far))
+    s = s.withColumn("low", F.min(F.when(F.col("distanceM") > -F.col("crest.near"), F.col("elevationM"))).over(since))
+    step = F.when(F.col("_high").isNull() | (F.col("altitudeDeg") > F.col("_high")), F.struct("distanceM", "altitudeDeg", "elevationM"))
+    ground = F.when(F.col("distanceM") <= near_m, F.col("elevationM"))
+    at = s.groupBy(*RAY).agg(F.sort_array(F.collect_list(F.struct("distanceM", "elevationM", "bad", "crest", "low"))).alias("s"), F.sort_array(F.collect_list(step)).alias("steps"), F.min(ground).alias("lowM"), F.max(ground).alias("highM"))
+    return at.select(*RAY, F.col("s.distanceM").alias("distances"), F.transform("s", lambda x: F.struct(x["distanceM"].alias("distanceM"), x["bad"].alias("bad"), x["crest"].alias("crest"), x["low"].alias("low"))).alias("states"), "steps", "lowM", "highM")
+
+
+def last_before(limit: Column) -> Column:
+    """The state at the last sample of the nearest ray that is nearer than ``limit``; null if none is."""
+    return F.get("states", F.size(F.filter("distances", lambda x: x < limit)) - 1)
 
 
 def annotate(observers: DataFrame, summits: DataFrame, rays: DataFrame, swept_deg: list[float], radius_km: float, spacing_m: float, min_km: float = 0.2, near_m: float = 2000.0, tolerance_deg: float = 0.0, half_window_deg: float = 15.0) -> DataFrame:
@@ -135,20 +155,23 @@ def annotate(observers: DataFrame, summits: DataFrame, rays: DataFrame, swept_de
     status, first that holds: too-near, unmeasured-bearing, unmeasured-range, judged. visibility of the judged: marginal
     where ground too near to be resolved decides, visible, self-occluded, or foreground-occluded, with the evidence.
     """
-    seen = against_horizon(sightings(observers, summits, radius_km), rays)
+    table = write_down(ray_table(rays, spacing_m, near_m), "rays")  # terrain is evaluated once; all that follows reads this
+    seen = against_profile(sightings(observers, summits, radius_km), table.select(*RAY, "steps"))
     # bearings that were asked for and have no terrain: once for each observer
-    missing = horizon_coverage(rays, swept_deg).groupBy("observer_id").agg(F.collect_list("bearingDeg").alias("_missing"))
+    missing = horizon_coverage(table, swept_deg).groupBy("observer_id").agg(F.collect_list("bearingDeg").alias("_missing"))
     seen = seen.join(missing, "observer_id", "left")
     between = F.exists("_missing", lambda u: ((u > F.col("_b")) & (u < F.col("_a"))) | ((u - 360 > F.col("_b")) & (u - 360 < F.col("_a"))) | ((u + 360 > F.col("_b")) & (u + 360 < F.col("_a"))))
     hole = F.coalesce(between, F.lit(False)) & (F.col("weight") != 0)
-    own = whole_rays(rays).select("observer_id", F.col("bearingDeg").alias("nearest"), "samples")
+    own = table.select("observer_id", F.col("bearingDeg").alias("nearest"), "distances", "states")
     out = seen.withColumn("hole", hole).join(own, ["observer_id", "nearest"], "left")
-    out = out.withColumn("measured", F.coalesce(F.expr(measured_sql("samples", "0D", "distanceM", spacing_m)), F.lit(False)))
+    gap, d = num(spacing_m * MAX_SAMPLE_GAP_FACTOR), F.col("distanceM")
+    out = out.withColumns({"_at": last_before(d), "_before": last_before(d * num(1 - COINCIDENT_DISTANCE_TOLERANCE))}).drop("states")
+    whole = F.when(F.col("_at").isNull(), d <= gap).otherwise((F.col("_at.bad") == 0) & (d - F.col("_at.distanceM") <= gap))
+    out = out.withColumn("measured", F.coalesce(whole & F.col("distances").isNotNull(), F.lit(False))).drop("distances", "_at")
     status = F.when(F.col("distanceKm") < min_km, "too-near").when(F.col("hole"), "unmeasured-bearing").when(~F.col("measured"), "unmeasured-range").otherwise("judged")
 
     # half the relief of the unresolvable ground around the observer, towards the summit
-    near = rays.where(F.col("distanceM") <= near_m).groupBy(*RAY).agg(F.min("elevationM").alias("low"), F.max("elevationM").alias("high"))
-    near = near.groupBy("observer_id").agg(F.collect_list(F.struct("bearingDeg", "low", "high")).alias("_near"))  # one for each bearing
+    near = table.where("lowM is not null").groupBy("observer_id").agg(F.collect_list(F.struct("bearingDeg", F.col("lowM").alias("low"), F.col("highM").alias("high"))).alias("_near"))  # one for each bearing
     out = out.join(near, "observer_id", "left").withColumn("_near", F.filter("_near", lambda n: F.abs(angular_difference_deg(F.col("bearingDeg"), n["bearingDeg"])) <= num(half_window_deg)))
     relief = F.greatest(F.array_max(F.col("_near.high")), F.col("groundElevationM")) - F.least(F.array_min(F.col("_near.low")), F.col("groundElevationM"))
     band_m = F.when(F.size("_near") > 0, relief / num(2)).otherwise(num(0))
@@ -168,15 +191,13 @@ def annotate(observers: DataFrame, summits: DataFrame, rays: DataFrame, swept_de
 
 
 def classify(seen: DataFrame, spacing_m: float, tolerance_deg: float = 0.0) -> DataFrame:
-    """Adds evidence, crestDistanceKm and colDepthM from ``samples``, the nearest ray of each sighting."""
-    limit = f"(distanceM * {1 - COINCIDENT_DISTANCE_TOLERANCE!r}D)"
-    out = seen.withColumn("_crest", F.expr(f"array_max(transform(filter(samples, s -> s.distanceM < {limit}), s -> struct(s.altitudeDeg as alt, -s.distanceM as near, s.elevationM as elevationM)))"))
-    blocked = F.coalesce(F.col("_crest.alt") > F.col("altitudeDeg") + num(tolerance_deg), F.lit(False))
-    out = out.withColumn("_from", -F.col("_crest.near")).withColumn("_low", F.expr(f"array_min(transform(filter(samples, s -> s.distanceM > _from and s.distanceM < {limit}), s -> s.elevationM))"))
-    covered = F.expr(measured_sql(f"filter(samples, s -> s.distanceM < {limit})", "_from", "distanceM", spacing_m))
-    depth = F.coalesce(F.greatest(num(0), F.col("_crest.elevationM") - F.col("_low")), num(0))
+    """Adds evidence, crestDistanceKm and colDepthM from ``_before``, the state of the nearest ray at the last sample before each sighting."""
+    crest, gap = F.col("_before.crest"), num(spacing_m * MAX_SAMPLE_GAP_FACTOR)
+    blocked = F.coalesce(crest["alt"] > F.col("altitudeDeg") + num(tolerance_deg), F.lit(False))
+    covered = (F.col("_before.bad") == crest["bad"]) & (F.col("distanceM") - F.col("_before.distanceM") <= gap)
+    depth = F.coalesce(F.greatest(num(0), crest["elevationM"] - F.col("_before.low")), num(0))
     evidence = F.when(~blocked, "occluder-not-on-this-ray").when(~covered, "unsampled-gap-between-occluder-and-summit").when(depth > 0, "col-between-occluder-and-summit").otherwise("unbroken-rise-to-summit")
-    return out.withColumn("evidence", evidence).withColumn("crestDistanceKm", F.when(blocked, F.col("_from") / num(1000))).withColumn("colDepthM", F.when(blocked & covered, depth)).drop("_crest", "_from", "_low")
+    return seen.withColumn("evidence", evidence).withColumn("crestDistanceKm", F.when(blocked, -crest["near"] / num(1000))).withColumn("colDepthM", F.when(blocked & covered, depth)).drop("_before")
 
 
 def horizon_coverage(rays: DataFrame, swept_deg: list[float]) -> DataFrame:
@@ -216,3 +237,19 @@ def peaks_for(areas: DataFrame, summits: DataFrame, allow_empty: bool = False) -
         return found.withColumn("reason", F.lit(None).cast("string"))
     empty = areas.select("key").join(found.select("key").distinct(), "key", "left_anti").withColumn("reason", F.lit("empty-result"))
     return found.unionByName(empty, allowMissingColumns=True)
+
+
+def stored_within_radius(observers: DataFrame, store: DataFrame, radius_km: float) -> DataFrame:
+    """within_radius() over a store of summits partitioned by ``cell`` (landforms.write_cells): partitions that no circle touches are pruned at run time.
+
+    The cells that observers need are the small side of a join on the partition column, so their names, once known, prune the
+    store's folders before a file is opened.
+    """
+    box = bounding_box(F.col("lat"), F.col("lon"), radius_km)
+    rows = F.sequence(F.floor(box["south"]).cast("int"), F.least(F.lit(89), F.floor(box["north"]).cast("int")))
+    columns = F.when(box["east"] - box["west"] >= 359, F.sequence(F.lit(-180), F.lit(179))).otherwise(F.sequence(F.floor(box["west"]).cast("int"), F.floor(box["east"]).cast("int")))
+    cells = observers.select(F.explode(rows).alias("_r"), columns.alias("_cs")).select("_r", F.explode("_cs").alias("_c"))
+    needed = cells.select(cell_name(F.col("_r").cast("double"), F.col("_c").cast("double")).alias("cell")).distinct()  # at most one for each square degree
+    needed = needed.where((F.col("cell") >= "N") & (F.col("cell") < "T"))  # all names; Spark prunes by a side only if it is filtered
+    near = store.join(F.broadcast(needed), "cell", "left_semi")
+    return within_radius(observers, near, radius_km)

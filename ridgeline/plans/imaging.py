@@ -94,10 +94,10 @@ def label_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("observer_id", "id", "rank", "budget", (F.col("rank") <= F.col("budget")).alias("labelled"))
 
 
-def label_collisions(spark: SparkSession, sf_dir: str, radius_km: float = 15.0) -> DataFrame:
+def label_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of label boxes of one observer that overlap (touching is no overlap)."""
     h, p, ro, hf, vf = _pose()
-    seen = v.sightings(views.observers(spark, sf_dir), views.summits(spark, sf_dir), radius_km)
+    seen = v.sightings(views.observers(spark, sf_dir), views.summits(spark, sf_dir), views.RADIUS_KM)
     at = c.project(h, p, ro, hf, vf, F.col("bearingDeg"), F.col("altitudeDeg"))
     boxes = seen.select("observer_id", "id", at["inFrame"].alias("inFrame"), r(at["x"] * num(1600), 3).alias("x"), r(at["y"] * num(1200), 3).alias("y"), (text_width_em(F.col("name")) * num(14)).alias("w")).where("inFrame")
     # boxes by the screen cells that they touch; a pair counts in the cell of its overlap's upper left corner
@@ -111,11 +111,6 @@ def label_collisions(spark: SparkSession, sf_dir: str, radius_km: float = 15.0)
     return a.join(b, [*same, hit, once]).select("a.observer_id", F.col("a.id").alias("first"), F.col("b.id").alias("second"))
 
 
-def label_collisions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """label_collisions of all summits within the radius that labels are ranked in."""
-    return label_collisions(spark, sf_dir, views.RADIUS_KM)
-
-
 def resolved_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heading, ground height and field of view from three layers: user, photograph, default; a bad user value blocks."""
     k = F.col("p_partkey")
@@ -163,7 +158,7 @@ POINTS = "pts AS (SELECT c_custkey AS point_id, 44.9e0 + ((c_custkey * 37) % 120
 _C = "c_custkey"
 _P = "p_partkey"
 
-_FUNCS = (raster_readings, grid_choice, missing_tiles, projected_peaks, fields_of_view, clipped_segments, label_ranking, label_collisions, label_collisions_all, resolved_pose, trims)
+_FUNCS = (raster_readings, grid_choice, missing_tiles, projected_peaks, fields_of_view, clipped_segments, label_ranking, label_collisions, resolved_pose, trims)
 QUERIES = {f.__name__: f for f in _FUNCS}
 ORACLES = {
     "raster_readings": f"""WITH {GRID}, {POINTS}, ix AS (SELECT *, (46e0 - lat) / 0.02e0 AS r0, (CASE WHEN lon - 7e0 >= 0 THEN lon - 7e0 ELSE lon - 7e0 + 360e0 END) / 0.02e0 AS c0 FROM pts),
@@ -190,7 +185,7 @@ t AS (SELECT *, greatest(0e0, CASE WHEN dx > 0 THEN -ax / dx WHEN dx < 0 THEN (1
 SELECT k, CASE WHEN NOT gone AND t0 <= t1 THEN round(ax + t0 * dx, 3) + 0e0 END AS x0, CASE WHEN NOT gone AND t0 <= t1 THEN round(ay + t0 * dy, 3) + 0e0 END AS y0, CASE WHEN NOT gone AND t0 <= t1 THEN round(ax + t1 * dx, 3) + 0e0 END AS x1, CASE WHEN NOT gone AND t0 <= t1 THEN round(ay + t1 * dy, 3) + 0e0 END AS y1 FROM t""",
     "label_ranking": f"""WITH {s.OBSERVER}, {s.SUMMIT}, {s.SIGHTING}, m AS (SELECT s.*, avg({_width('p.name')} * 14e0 + 8e0) OVER (PARTITION BY s.observer_id) AS mw, row_number() OVER (PARTITION BY s.observer_id ORDER BY s.altitudeDeg DESC, s.elevationM DESC, s.id) AS rank FROM g_seen s JOIN g_summit p ON p.id = s.id),
 b AS (SELECT *, CAST(greatest(1, floor(0.75e0 * floor(1600e0 / mw) * 3e0)) AS BIGINT) AS budget FROM m) SELECT observer_id, id, rank, budget, rank <= budget AS labelled FROM b""",
-    "label_collisions": f"""WITH {s.OBSERVER}, {s.SUMMIT}, {s.SIGHTING}, posed AS (SELECT s.*, p.name, {POSE} FROM g_seen s JOIN g_summit p ON p.id = s.id WHERE distanceM <= 15000e0), {AXES},
+    "label_collisions": f"""WITH {s.OBSERVER}, {s.SUMMIT}, {s.SIGHTING}, posed AS (SELECT s.*, p.name, {POSE} FROM g_seen s JOIN g_summit p ON p.id = s.id WHERE distanceM <= 30000e0), {AXES},
 bx AS (SELECT observer_id, id, round(x * 1600e0, 3) AS px, round(y * 1200e0, 3) AS py, {_width('name')} * 14e0 AS w FROM bk WHERE inFrame)
 SELECT a.observer_id, a.id AS first, b.id AS second FROM bx a JOIN bx b ON a.observer_id = b.observer_id AND a.id < b.id AND a.px < b.px + b.w AND b.px < a.px + a.w AND a.py < b.py + 32 AND b.py < a.py + 32""",
     "resolved_pose": f"""WITH x AS (SELECT {_P} AS k, p_size, CASE WHEN {_P} % 6 = 0 THEN ({_P} % 900) - 90e0 END AS u, CASE WHEN {_P} % 4 = 0 THEN 'T' WHEN {_P} % 4 = 1 THEN 'M' END AS rf, CASE WHEN {_P} % 5 <> 0 THEN CAST(({_P} * 7) % 360 AS DOUBLE) END AS raw, CASE WHEN {_P} % 3 <> 0 THEN 2.5e0 END AS decl FROM part),
@@ -203,5 +198,3 @@ y AS (SELECT *, least(360e0, hf * 1.5e0) AS dr, least(175e0, greatest(1e0, hf +
 SELECT k, {s.fold('h + (k % 61 - 30e0)')} AS headingDeg, greatest(-90e0, least(90e0, p + (k % 41 - 20e0))) AS pitchDeg, tf AS hFovDeg, round(2e0 * degrees(atan(tan(radians(tf) / 2e0) / 1.5e0)), 4) + 0e0 AS vFovDeg,
   round(CASE WHEN sp >= 360 THEN 0e0 ELSE dr - (CASE WHEN off < sp THEN least(sp - off, dr) ELSE 0e0 END) - greatest(0e0, least(off + dr - 360e0, sp)) END, 6) + 0e0 AS uncoveredDeg, round(least(1e0, greatest(0e0, (hf - 30e0) / 50e0)), 6) + 0e0 AS ramp FROM z""",
 }
-#: All label boxes within the radius.
-ORACLES["label_collisions_all"] = ORACLES["label_collisions"].replace("distanceM <= 15000e0", "distanceM <= 30000e0")

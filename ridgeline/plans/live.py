@@ -17,41 +17,31 @@ AGE, TAU = 6 * 3_600_000, 7_200_000.0
 OFFSETS = [x * 0.5 for x in range(-50, 51)]
 
 
-def _instants(spark: SparkSession, sf_dir: str, every: int = 5) -> DataFrame:
-    e = views.headings(spark, sf_dir)
-    return e.where(F.col("event_id") % every == 0).select("device", (F.col("ms") + 1_800_000 * (F.col("event_id") % 12)).alias("atMs")).distinct()
+def _instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.headings(spark, sf_dir).select("device", (F.col("ms") + 1_800_000 * (F.col("event_id") % 12)).alias("atMs")).distinct()
 
 
-def heading_answers(spark: SparkSession, sf_dir: str, every: int = 5) -> DataFrame:
-    """Smoothed headings at every fifth reading's time, without a declination: refusals and values."""
-    out = se.smoothed_headings(views.headings(spark, sf_dir), _instants(spark, sf_dir, every), None, AGE, TAU)
+def heading_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smoothed headings at every reading's time, without a declination: refusals and values."""
+    out = se.smoothed_headings(views.headings(spark, sf_dir), _instants(spark, sf_dir), None, AGE, TAU)
     return out.select("device", "atMs", r("headingDeg", 3).alias("headingDeg"), r("spreadDeg", 3).alias("spreadDeg"), "samples", "refusal")
 
 
-def true_headings(spark: SparkSession, sf_dir: str, every: int = 5) -> DataFrame:
+def true_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with a declination, so that magnetic readings count."""
-    out = se.smoothed_headings(views.headings(spark, sf_dir), _instants(spark, sf_dir, every), 2.5, AGE, TAU)
+    out = se.smoothed_headings(views.headings(spark, sf_dir), _instants(spark, sf_dir), 2.5, AGE, TAU)
     return out.select("device", "atMs", r("headingDeg", 3).alias("headingDeg"), "samples", "refusal")
 
 
-def orientation_answers(spark: SparkSession, sf_dir: str, every: int = 5) -> DataFrame:
-    out = se.smoothed_orientation(views.gravity(spark, sf_dir), _instants(spark, sf_dir, every), AGE, TAU)
+def orientation_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = se.smoothed_orientation(views.gravity(spark, sf_dir), _instants(spark, sf_dir), AGE, TAU)
     return out.select("device", "atMs", r("pitchDeg", 3).alias("pitchDeg"), r("pitchSpreadDeg", 3).alias("pitchSpreadDeg"), "pitchRefusal", r("rollDeg", 3).alias("rollDeg"), "rollRefusal")
 
 
-def heading_answers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """heading_answers at every reading's time."""
-    return heading_answers(spark, sf_dir, every=1)
-
-
-def true_headings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """true_headings at every reading's time."""
-    return true_headings(spark, sf_dir, every=1)
-
-
-def orientation_answers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orientation_answers at every reading's time."""
-    return orientation_answers(spark, sf_dir, every=1)
+def fused_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heading, pitch and roll of every device at every reading's time, each answered or refused by itself."""
+    out = se.fused_poses(views.headings(spark, sf_dir), views.gravity(spark, sf_dir), _instants(spark, sf_dir), 2.5, AGE, TAU)
+    return out.select("device", "atMs", r("headingDeg", 3).alias("headingDeg"), "headingRefusal", r("pitchDeg", 3).alias("pitchDeg"), "pitchRefusal", r("rollDeg", 3).alias("rollDeg"), "rollRefusal")
 
 
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +95,7 @@ def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image", "offsetDeg", r("refinedDeg", 3).alias("refinedDeg"), r("score", 6).alias("score"))
 
 
-INST = "inst AS (SELECT DISTINCT device, ms + 1800000 * (event_id % 12) AS atMs FROM g_heading WHERE event_id % 5 = 0)"
+INST = "inst AS (SELECT DISTINCT device, ms + 1800000 * (event_id % 12) AS atMs FROM g_heading)"
 
 
 def _heading_sql(true: str, spread: bool) -> str:
@@ -118,7 +108,7 @@ SELECT device, atMs, CASE WHEN refusal IS NULL THEN round({s.fold('degrees(atan2
 
 
 _SIGNAL = "sg AS (SELECT vec_id // 20 AS image, vec_id % 20 AS col, unnest(embedding)::DOUBLE AS value, generate_subscripts(embedding, 1) - 1 AS row FROM embeddings)"
-_FUNCS = (heading_answers, true_headings, orientation_answers, heading_answers_all, true_headings_all, orientation_answers_all, calibration, heading_windows, column_scores, skylines, row_moments, alignment)
+_FUNCS = (heading_answers, true_headings, orientation_answers, fused_poses, calibration, heading_windows, column_scores, skylines, row_moments, alignment)
 QUERIES = {f.__name__: f for f in _FUNCS}
 _SHAPE = "(sin(radians({b} * 3e0)) + 0.6e0 * sin(radians({b} * 7e0 + 40e0)) + 0.3e0 * cos(radians({b} * 11e0)))"
 ORACLES = {
@@ -149,5 +139,5 @@ c AS (SELECT image, f, CASE WHEN (oo - mo * mo) * (pp - mp * mp) > 1e-12 THEN (o
 k AS (SELECT *, lag(sc) OVER (PARTITION BY image ORDER BY f) AS l, lead(sc) OVER (PARTITION BY image ORDER BY f) AS r FROM c), g AS (SELECT *, coalesce(CASE WHEN l - 2e0 * sc + r < 0 THEN greatest(-0.5e0, least(0.5e0, 0.5e0 * (l - r) / (l - 2e0 * sc + r))) ELSE 0e0 END, 0e0) AS pk FROM k),
 z AS (SELECT image, max(struct_pack(s := round(sc, 9), n := -abs(f), f := f, p := pk)) AS b FROM g GROUP BY image) SELECT image, b.f AS offsetDeg, round(b.f + b.p * 0.5e0, 3) + 0e0 AS refinedDeg, round(b.s, 6) + 0e0 AS score FROM z""",
 }
-#: The sensor queries at every reading's time.
-ORACLES |= {f"{name}_all": ORACLES[name].replace(" WHERE event_id % 5 = 0", "") for name in ("heading_answers", "true_headings", "orientation_answers")}
+ORACLES["fused_poses"] = f"""SELECT a.device, a.atMs, a.headingDeg, a.refusal AS headingRefusal, b.pitchDeg, b.pitchRefusal, b.rollDeg, b.rollRefusal
+FROM ({ORACLES["true_headings"]}) a JOIN ({ORACLES["orientation_answers"]}) b ON b.device = a.device AND b.atMs = a.atMs"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import camera as cam
 from ridgeline.functions.geodesy import num
 from ridgeline.operators import classic as old
+from ridgeline.operators import backdrop as bd
 from ridgeline.operators import overlay as ov
 from ridgeline.operators import profiles as pf
 from ridgeline.operators import raster as ra
@@ -55,19 +56,42 @@ def label_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("observer_id", "id", "status", "direction", "level", r("boxX", 3).alias("boxX"), r("boxY", 3).alias("boxY"), "overlapped")
 
 
-def horizon_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of each observer's skyline inside the frame: 241 bearings over three quarters of the view, interpolated and projected."""
+def line_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """observer_id, at, xPx, yPx: each observer's skyline at 241 bearings over three quarters of the view, interpolated and projected."""
     profile = v.horizon_profile(views.rays(spark, sf_dir)).select("observer_id", "bearingDeg", F.col("altitudeDeg").alias("angleDeg"))
     h, p, ro, hf, vf = imaging._pose()
     half = F.least(hf * num(0.75), num(85))
-    asked = views.observers(spark, sf_dir).select("observer_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(240)), lambda i: h - half + i * half / num(120))).alias("at", "bearing"))
+    bearings = F.transform(F.sequence(F.lit(0), F.lit(240)), lambda i: h - half + i * half / num(120))
+    asked = views.observers(spark, sf_dir).select("observer_id", F.posexplode(bearings).alias("at", "bearing"))
     at = asked.select("observer_id", F.col("at").alias("id"), "bearing", num(0).alias("angle"))
     found = old.interpolated(at, profile).select("observer_id", F.col("id").alias("at"), "bearing", "horizonDeg")
     on = cam.project(h, p, ro, hf, vf, F.col("bearing"), F.col("horizonDeg"))
-    lines = ov.clipped_lines(found.select("observer_id", "at", (on["x"] * FRAME.width_px).alias("xPx"), (on["y"] * FRAME.height_px).alias("yPx")), FRAME.width_px, FRAME.height_px)
+    return found.select("observer_id", "at", (on["x"] * FRAME.width_px).alias("xPx"), (on["y"] * FRAME.height_px).alias("yPx"))
+
+
+def horizon_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of each observer's skyline inside the frame."""
+    lines = ov.clipped_lines(line_points(spark, sf_dir), FRAME.width_px, FRAME.height_px)
     return lines.select("observer_id", F.col("first").cast("long").alias("first"), "segments", r("length", 2).alias("length"))
 
 
+def horizon_polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same runs as lists of points."""
+    lines = bd.polylines(line_points(spark, sf_dir), FRAME.width_px, FRAME.height_px)
+    rounded = F.transform("points", lambda p: F.struct(r(p["x"], 1).alias("x"), r(p["y"], 1).alias("y")))
+    return lines.select("observer_id", F.col("first").cast("long").alias("first"), bd.point_list(rounded).alias("points"))
+
+
+def backdrop_silhouettes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The silhouettes in each observer's drawn backdrop, in the order of the sweep, and how long the document's other lines are."""
+    lines = bd.polylines(line_points(spark, sf_dir), FRAME.width_px, FRAME.height_px)
+    lines = lines.withColumn("points", F.transform("points", lambda p: F.struct(r(p["x"], 1).alias("x"), r(p["y"], 1).alias("y"))))
+    names = views.observers(spark, sf_dir).select("observer_id", F.concat(F.lit("view <"), F.col("observer_id").cast("string"), F.lit(">")).alias("caption"))
+    svg = F.split("svg", "\n")
+    drawn, rest = F.filter(svg, lambda x: x.startswith("<polygon")), F.filter(svg, lambda x: ~x.startswith("<polygon"))
+    return bd.backdrops(lines, names, FRAME).select("observer_id", F.array_join(drawn, "\n").alias("silhouettes"), F.size(rest).alias("lines"), F.contains("svg", F.concat(F.lit("view &lt;"), F.col("observer_id").cast("string"), F.lit("&gt;"))).alias("captioned"))
+
+
 def normalised_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two readings of each bearing, one a turn further on and without steps, merged."""
     p = v.horizon_profile(views.rays(spark, sf_dir))
@@ -180,7 +204,7 @@ def areas_of_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.peaks_for(areas, views.summits(spark, sf_dir)).select("key", "id", r("distanceM", 3).alias("distanceM"), "nth", "reason")
 
 
-_ALL = (drawn_peaks, label_partition, label_layout, horizon_lines, normalised_profile, occluder_notes, pose_offsets, pose_uncertainties, overlay_texts, scene_notes, svg_overlays, empty_terrain, analytic_profiles, skyline_observations, nearest_readings, areas_of_peaks)
+_ALL = (drawn_peaks, label_partition, label_layout, horizon_lines, horizon_polylines, backdrop_silhouettes, normalised_profile, occluder_notes, pose_offsets, pose_uncertainties, overlay_texts, scene_notes, svg_overlays, empty_terrain, analytic_profiles, skyline_observations, nearest_readings, areas_of_peaks)
 QUERIES = {f.__name__: f for f in _ALL}
 
 P = "p_partkey"
@@ -253,6 +277,14 @@ j AS (SELECT *, CASE WHEN coalesce(abs(lag(x1) OVER w - x0) <= 1e-9 AND abs(lag(
 rn AS (SELECT *, sum(nw) OVER (PARTITION BY observer_id ORDER BY ix) AS run FROM j)
 SELECT observer_id, min(ix) AS first, count(*) AS segments, round(sum(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2))), 2) + 0e0 AS length FROM rn WHERE x0 IS NOT NULL AND NOT (abs(x1 - x0) <= 1e-9 AND abs(y1 - y0) <= 1e-9) GROUP BY observer_id, run"""
 
+_RUNS, _HELD = ORACLES["horizon_lines"].rsplit("SELECT", 1)[0], "x0 IS NOT NULL AND NOT (abs(x1 - x0) <= 1e-9 AND abs(y1 - y0) <= 1e-9)"
+_PAIR = {k: f"{_coordinate(f'round(x{k}, 1)')} || ',' || {_coordinate(f'round(y{k}, 1)')}" for k in (0, 1)}
+_LISTS = f"""{_RUNS}, pl AS (SELECT observer_id, min(ix) AS first, arg_min({_PAIR[0]}, ix) || ' ' || string_agg({_PAIR[1]}, ' ' ORDER BY ix) AS points,
+  {_coordinate("round(arg_max(x1, ix), 1)")} || ',1200 ' || {_coordinate("round(arg_min(x0, ix), 1)")} || ',1200' AS foot FROM rn WHERE {_HELD} GROUP BY observer_id, run)"""
+ORACLES["horizon_polylines"] = f"{_LISTS} SELECT observer_id, first, points FROM pl"
+ORACLES["backdrop_silhouettes"] = f"""{_LISTS}, ln AS (SELECT observer_id, string_agg('<polygon points="' || points || ' ' || foot || '" fill="{bd.ROCK}"/>', chr(10) ORDER BY first) AS s FROM pl GROUP BY observer_id)
+SELECT o.observer_id, coalesce(s, '') AS silhouettes, 10 AS lines, true AS captioned FROM g_observer o LEFT JOIN ln USING (observer_id)"""
+
 ORACLES |= {
     "scene_notes": f"""WITH {POSED}, x AS (SELECT observer_id, name || ' ' || id AS nm, CASE WHEN NOT inFrame THEN 'off-frame' ELSE visibility END AS kind FROM v),
 y AS (SELECT observer_id, kind, count(*) AS n, list_sort(list(nm)) AS l FROM x WHERE kind IN ('off-frame', 'foreground-occluded', 'marginal') GROUP BY 1, 2)

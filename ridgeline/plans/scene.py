@@ -20,13 +20,7 @@ def r(x: Column | str, digits: int = 4) -> Column:
 
 
 def geo_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every observer and summit a twentieth of them at a time: distance, bearing, destination, altitude, dip."""
-    o, p = views.observers(spark, sf_dir).alias("o"), views.summits(spark, sf_dir).where("elevationM is not null").alias("p")
-    return _scalars(p.join(o, F.expr("cast(substring(p.id, 2) as bigint) % 25 = o.observer_id")))
-
-
-def geo_scalars_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of every observer and every summit of known height within the radius."""
+    """Distance, bearing, destination, altitude and dip of every observer and every summit of known height within the radius."""
     o, p = views.observers(spark, sf_dir), views.summits(spark, sf_dir).where("elevationM is not null")
     near = v.within_radius(o, p, views.RADIUS_KM).select(F.col("observer_id").alias("_o"), F.col("id").alias("_p")).alias("near")
     o, p = o.alias("o"), p.alias("p")
@@ -163,7 +157,7 @@ g_final AS (
 
 HID = "visibility IN ('self-occluded', 'foreground-occluded')"
 
-QUERIES = {f.__name__: f for f in (geo_scalars, geo_scalars_all, horizon_staircase, horizon_profile, peaks_within_radius, visible_peaks, annotated_scene, scene_report, horizon_coverage, sweep_report, near_field, profile_coverage)}
+QUERIES = {f.__name__: f for f in (geo_scalars, horizon_staircase, horizon_profile, peaks_within_radius, visible_peaks, annotated_scene, scene_report, horizon_coverage, sweep_report, near_field, profile_coverage)}
 
 ORACLES = {
     "geo_scalars": f"""WITH {s.OBSERVER}, {s.SUMMIT}, pair AS (
@@ -196,4 +190,4 @@ f AS (SELECT observer_id, max(gap) AS gap, arg_max(bearingDeg, struct_pack(g :=
 SELECT observer_id, CASE WHEN gap > 4e0 * med THEN start END AS gapFromDeg, CASE WHEN gap > 4e0 * med THEN (start + gap) % 360e0 END AS gapToDeg, CASE WHEN gap > 4e0 * med THEN 360e0 - gap ELSE 360e0 END AS coveredSpanDeg FROM f""",
 }
 #: All pairs within the radius.
-ORACLES["geo_scalars_all"] = ORACLES["geo_scalars"].replace("ON CAST(substring(p.id, 2) AS BIGINT) % 25 = o.observer_id", "ON true") + " WHERE d <= 30000e0"
+ORACLES["geo_scalars"] = ORACLES["geo_scalars"].replace("ON CAST(substring(p.id, 2) AS BIGINT) % 25 = o.observer_id", "ON true") + " WHERE d <= 30000e0"

@@ -80,7 +80,7 @@ class PoseProcessor(StatefulProcessor):
     def flags(self) -> tuple[bool, bool]:
         return tuple(self.known.get()) if self.known.exists() else (False, False)
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         open_questions = set(self.handle.listTimers())
         heading, gravity = self.flags()
         fresh = []
@@ -94,7 +94,7 @@ class PoseProcessor(StatefulProcessor):
             fresh.append(told.assign(heading=told["kind"] == "heading")[FIELDS])
         held = pd.concat([self.rows(), *fresh], ignore_index=True) if fresh else self.rows()
         self.known.update((heading, gravity))
-        self.keep(held, min([*open_questions, timer_values.getCurrentWatermarkInMs()]))
+        self.keep(held, min([*open_questions, timerValues.getCurrentWatermarkInMs()]))
         return iter([])
 
     def keep(self, held: pd.DataFrame, oldest: int) -> None:
@@ -106,13 +106,13 @@ class PoseProcessor(StatefulProcessor):
             plain = held.astype(object).where(held.notna(), None)
             self.readings.put([tuple(x) for x in plain.itertuples(index=False)])
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        at, held, (declination, max_age, tau, limit) = int(expired.getExpiryTimeInMs()), self.rows(), self.options
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at, held, (declination, max_age, tau, limit) = int(expiredTimerInfo.getExpiryTimeInMs()), self.rows(), self.options
         is_heading = held["heading"].astype(bool)
         known = self.flags()
         answer = (*heading_answer(held[is_heading], at, known[0], declination, max_age, tau), *orientation_answer(held[~is_heading], at, known[1], max_age, tau, limit))
         later = [t for t in self.handle.listTimers() if t != at]
-        self.keep(held, min([*later, timer_values.getCurrentWatermarkInMs()]))
+        self.keep(held, min([*later, timerValues.getCurrentWatermarkInMs()]))
         yield pd.DataFrame([(key[0], at, *answer)], columns=[c.split()[0] for c in ANSWER.split(", ")])
 
     def close(self) -> None:

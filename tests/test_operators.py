@@ -63,9 +63,9 @@ def test_a_summit_does_not_hide_itself_and_holes_refuse(spark):
 
 @pytest.mark.parametrize(("heights", "evidence"), [([10, 900, 950, 1000], "unbroken-rise-to-summit"), ([10, 900, 500, 950], "col-between-occluder-and-summit"), ([10, 900, None, None, None, 950], "unsampled-gap-between-occluder-and-summit"), ([10, 20, 30, 40], "occluder-not-on-this-ray")])
 def test_occlusion_classes(spark, heights, evidence):
-    rays = visibility.whole_rays(ray_table(spark, heights))
+    rays = visibility.ray_table(ray_table(spark, heights), 500.0, 2000.0)
     top = (len(heights)) * 500.0
-    seen = rays.select("observer_id", "samples", num(top).alias("distanceM"), num(12).alias("altitudeDeg"))
+    seen = rays.select("observer_id", num(top).alias("distanceM"), num(12).alias("altitudeDeg"), visibility.last_before(num(top - 1e-3)).alias("_before"))
     assert visibility.classify(seen, 500.0).first().evidence == evidence
 
 
