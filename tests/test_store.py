@@ -122,3 +122,31 @@ def test_backdrops(spark):
     assert svg[1].count("<polygon") == 2 and '<polygon points="0,42.5 30,20 30,80 0,80" fill="#20262b"/>\n<polygon points="60,40 90,10 90,80 60,80"' in svg[1]
     assert "A &amp; &lt;B&gt;" in svg[1] and backdrop.CAPTION in svg[1] and svg[1].index("url(#sky)") < svg[1].index("<polygon") < svg[1].index("url(#hatch)")
     assert "<polygon" not in svg[2] and backdrop.CAPTION in svg[2]
+
+
+def test_windows_beside_their_sidecars(spark, tmp_path):
+    import json
+
+    sound = {"name": "w", "data": "w.raw", "format": ti.LAYOUT, "geometry": {"northLat": 46.0, "westLon": 7.0, "rows": 3, "cols": 2, "latStepDeg": 0.1, "lonStepDeg": 0.1}, "source": {"tile": "N45E007", "extractedFromRow": 0, "extractedFromCol": 5}}
+    wrong = {"unsupported-format": {"format": "float"}, "no-geometry": {"geometry": None}, "no-provenance": {"source": None}, "no-name-or-data": {"data": None}, "bad-count": {"geometry": sound["geometry"] | {"rows": 1.5}}, "bad-spacing": {"geometry": sound["geometry"] | {"latStepDeg": 0}}}
+    for i, (why, change) in enumerate({"": {}, **wrong, "short": {"name": "short", "data": "short.raw"}, "lost": {"name": "lost", "data": "nowhere.raw"}}.items()):
+        (tmp_path / f"{i}{why}.json").write_text(json.dumps(sound | {"name": why or "w"} | change))
+    (tmp_path / "w.raw").write_bytes(encode_samples([1, 2, VOID, -4, 5, 6]))
+    (tmp_path / "short.raw").write_bytes(b"xx")
+    found = ti.window_catalog(spark, str(tmp_path))
+    assert {r["name"]: r.reason for r in found.collect()} == {"w": None, "short": None, "lost": None} | {k: k for k in wrong}
+    assert [r.source.url for r in found.where("name = 'w'").collect()] == ["unknown"]
+    rows = ti.window_samples(found, str(tmp_path)).collect()
+    assert sorted((r.row, r.col, r.elevationM) for r in rows if r["name"] == "w") == [(0, 0, 1.0), (0, 1, 2.0), (1, 0, None), (1, 1, -4.0), (2, 0, 5.0), (2, 1, 6.0)]
+    assert {r["name"]: r.reason for r in rows if r["name"] != "w"} == {"short": "wrong-length", "lost": "wrong-length"}
+
+
+def test_settings_are_filled_in_or_refused():
+    from ridgeline.operators.config import SceneConfig
+
+    assert SceneConfig().resolved() == SceneConfig(0.0, 0.0, 0.0, 200.0, 0.05, False, {})
+    assert SceneConfig(tolerance_deg=0.5).resolved().tolerance_deg == 0.5
+    for name in ("tolerance_deg", "col_tolerance_m", "near_field_m"):
+        for bad in (-1.0, float("nan")):
+            with pytest.raises(ValueError):
+                SceneConfig(**{name: bad}).resolved()
