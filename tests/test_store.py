@@ -150,3 +150,30 @@ def test_settings_are_filled_in_or_refused():
         for bad in (-1.0, float("nan")):
             with pytest.raises(ValueError):
                 SceneConfig(**{name: bad}).resolved()
+
+
+def test_photographs_to_verdicts(spark, tmp_path):
+    """A wall north of the camera: what stands above it is seen at the middle of the frame, what stands behind it is not; no terrain, no verdict."""
+    from ridgeline.operators.photo import annotate_photos
+
+    grid = np.full((121, 121), 1000)
+    grid[48:54, :] = 2500  # latitudes about 45.55 to 45.6
+    (tmp_path / "N45E007.hgt").write_bytes(encode_samples(grid))
+    rational = lambda x: [int(x), 1, 0, 1, round((x - int(x)) * 360_000), 100]
+    base = {
+        "GPSLatitude": (ex.RATIONAL, rational(45.5)), "GPSLatitudeRef": (ex.ASCII, [b"N"]), "GPSLongitude": (ex.RATIONAL, rational(7.5)), "GPSLongitudeRef": (ex.ASCII, [b"E"]), "GPSImgDirection": (ex.RATIONAL, [0, 1]),
+        "GPSImgDirectionRef": (ex.ASCII, [b"T"]), "FocalLengthIn35mmFormat": (ex.SHORT, [28]), "ExifImageWidth": (ex.SHORT, [4000]), "ExifImageHeight": (ex.SHORT, [3000]),
+    }
+    photos = {
+        "a": base, "no lens": {k: v for k, v in base.items() if k != "FocalLengthIn35mmFormat"}, "magnetic": base | {"GPSImgDirectionRef": (ex.ASCII, [b"M"])},
+        "no terrain": base | {"GPSLatitudeRef": (ex.ASCII, [b"S"]), "GPSAltitude": (ex.RATIONAL, [1500, 1])}, "no ground": base | {"GPSLatitudeRef": (ex.ASCII, [b"S"])},
+    }
+    files = spark.createDataFrame([(k, bytearray(ex.jpeg_with(ex.tiff_block(v)))) for k, v in photos.items()] + [("broken", bytearray(b"no photo"))], "path string, content binary")
+    summits = spark.createDataFrame([("high", "High", 45.65, 7.5, 6000.0), ("behind", "Behind", 45.65, 7.5, 1400.0), ("south", "South", 45.42, 7.5, 1900.0), ("unknown", "None", 45.6, 7.5, None), ("near S", "S", -45.42, 7.5, 2000.0)], "id string, name string, lat double, lon double, elevationM double")
+    blocks = ti.tile_blocks(ti.tile_files(spark, str(tmp_path)))
+    got = {(r.path, r.id): r for r in annotate_photos(files, summits, blocks, [float(b) for b in range(0, 360, 5)], [1000.0 * k for k in range(1, 21)], 20.0).collect()}
+    assert {k for k in got} == {("a", "high"), ("a", "behind"), ("a", "south")}  # others have no pose, no height or no terrain
+    high, behind, south = (got["a", k] for k in ("high", "behind", "south"))
+    assert high.visibility == "visible" and high.inFrame and abs(high.x - 0.5) < 1e-3 and high.y < 0.5 and high.groundSource == "terrain"
+    assert behind.visibility == "foreground-occluded" and behind.clearanceDeg < -5
+    assert south.visibility == "visible" and not south.inFrame
