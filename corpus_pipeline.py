@@ -106,7 +106,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte_bpe", byte_bpe),
 ]
 
-#: The stages are not expressible in SQL (tokenizing, trained language profiles); tests hold them against brute force.
+#: The stages are not expressible in SQL (tokenizing, trained language profiles); tests hold what each keeps and changes against its contract.
 ORACLE_SQL = None
 
 

@@ -162,7 +162,8 @@ def before(df: DataFrame, keys: list[str], order: Column, ties: list[str], value
     """Add ``before``: the sum of ``value`` over the rows of the same ``keys`` that come earlier by a hash order.
 
     ``order`` is a 64-bit hash (any long). Its range is cut into buckets of about ``per_bucket`` rows; bucket sums
-    are summed up first, so no task ever sees more than one bucket of one key, however large the key is.
+    are summed up first, so no task sees more than one bucket of one key, however large the key is. Rows of one hash are in one
+    bucket, however many they are: ``order`` must tell rows apart that are many.
     """
     buckets = max(1, -(-n_rows // per_bucket))
     width = (1 << 62) // buckets + 1

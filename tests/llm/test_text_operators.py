@@ -12,7 +12,7 @@ from ridgeline.llm import ngram_join as nj
 from ridgeline.llm.language import identify, page_evidence
 from ridgeline.llm.queries import op6_language_pages
 from ridgeline.llm.line_dedup import LINE, dedup_lines
-from ridgeline.llm.mih import top_k
+from ridgeline.llm.mih import sign_code, top_k
 from ridgeline.llm.quality import held_out_fold, neighbours, score_quality
 
 SCHEMA = "doc_id long, text string, node string, TEXT string, id long, n long"
@@ -233,6 +233,24 @@ def test_top_k_equals_brute_force(spark):
     assert top_k(few.limit(0), few).count() == 0
 
 
+def test_sign_codes_of_odd_vectors(spark):
+    """Null, short and long vectors have no code; nulls, zeros and undefined numbers are no positive signs."""
+    nan = float("nan")
+    rows = [(0, None), (1, [1.0]), (2, [1.0] * 5), (3, [1.0, -1.0, 0.0, 2.0]), (4, [nan, 1.0, None, -0.0]), (5, [float("inf"), float("-inf"), 1e-300, -1.0])]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    assert {r["id"]: r["c"] for r in df.select("id", sign_code("v", 4).alias("c")).collect()} == {0: None, 1: None, 2: None, 3: 0b1001, 4: 0b0010, 5: 0b0101}
+
+
+def test_very_long_and_repeated_texts_in_line_dedup(spark):
+    """A text of a megabyte without a line end, and one passage in very many copies of one row."""
+    long = " ".join(f"w{i}" for i in range(150_000))
+    passage = " ".join(f"p{i}" for i in range(60)) + "."
+    rows = [(1, long), (2, long), *[(3, passage)] * 400, (4, f"Own words first. {passage} Own words last.")]
+    got = sorted((r["doc_id"], r["text"]) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got[0] == (1, long) and got[1] == (2, "") and len(got) == 403
+    assert sum(t == passage for i, t in got if i == 3) <= 400 and "p7" not in got[-1][1] and got[-1][1].startswith("Own words first.")
+
+
 def test_language_evidence(spark):
     rng = random.Random(6)
     vocabulary = {"aa": ["lorem", "dolor", "amet", "elit"], "bb": ["zwischen", "durch", "schon", "strasse"]}

@@ -186,3 +186,23 @@ def test_ogg_damage_is_counted_and_not_guessed():
     assert damaged >= 1 and skipped > 0 and sum(s.lost_pages for s in streams) == 1
     assert all(p in payload for s in streams for p in s.packets[1:])
     assert ogg.read_ogg(b"nothing of the kind") == ([], 0, 19)
+
+
+def test_many_small_files_are_one_stream(spark):
+    """Files of a few bytes: several of each part, whose places in the stream go on from one to the next."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = [f"word {i} and {'more ' * (i % 7)}" for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # a file ends after a batch
+    try:
+        files = huffman.write_ids(huffman.materialize(huffman.tokenize(df, path, 2), "ids"), 49_408, file_bytes=100)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = huffman.read_ids(files, "bigint").join(huffman.file_starts(files), ["part", "seq"]).collect()
+    assert max(r["seq"] for r in got) > 5 and len(got) == len(texts)
+    at = 0
+    for r in sorted(got, key=lambda r: r["id"]):
+        ids = library.encode(texts[r["id"]], add_special_tokens=False).ids + [2]
+        assert r["start"] + r["local"] == at and np.frombuffer(r["ids"], "<u4").tolist() == ids
+        at += len(ids)
