@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,18 +129,19 @@ def network_flows(patterns: DataFrame, targets: DataFrame, repeats: int) -> Data
         network = connected_components(links).select(F.col("node").alias("source"), F.col("label").alias("network"))
         placed = member.join(network, "source", "left").withColumn("network", F.coalesce("network", "source"))
 
-    def flow(rows: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(rows["source"].unique())
+    def flow(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["key"], r["source"]))
+        names = sorted({r["source"] for r in rows})
         at = {s: i for i, s in enumerate(names)}
-        keys, quotas = sorted(rows["key"].unique()), [0] * len(names)
-        members, supply = {k: [] for k in keys}, {}
-        for r in rows.sort_values(["key", "source"]).itertuples(index=False):
-            members[r.key].append(at[r.source])
-            supply[r.key], quotas[at[r.source]] = int(r.size), round(r.target)
+        quotas, members, supply = [0] * len(names), {}, {}
+        for r in rows:
+            members.setdefault(r["key"], []).append(at[r["source"]])
+            supply[r["key"]], quotas[at[r["source"]]] = r["size"], round(r["target"])
+        keys = list(members)
         given = min_cost_flow([supply[k] for k in keys], [members[k] for k in keys], quotas, repeats)
-        return pd.DataFrame({"key": keys, "given": [sum(g) for g in given]})
+        return pa.table([pa.array(keys, pa.string()), pa.array([sum(g) for g in given], pa.int64())], names=["key", "given"])
 
-    return placed.select("network", "key", "size", "source", "target").groupBy("network").applyInPandas(flow, "key string, given bigint")
+    return placed.select("network", "key", "size", "source", "target").groupBy("network").applyInArrow(flow, "key string, given bigint")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), repeats: int = MAX_REPEATS, seed: int = SEED, order_col: str | None = None) -> DataFrame:
