@@ -62,12 +62,12 @@ def sampling_grid(centres: DataFrame, radius_km: float, rays: int, per_ray: int)
 
 
 def listed_parts(listings: DataFrame) -> DataFrame:
-    """key, name, bytes of the parquet parts that XML listings of a bucket (key, xml) name, in order of their names."""
+    """key, name, bytes of the parquet parts that XML listings of a bucket (key, xml) name, in order of their names (of equal names the smaller first)."""
     entry = F.regexp_extract_all("xml", F.lit(r"(?s)<Contents>(.*?)</Contents>"), F.lit(1))
     parts = listings.select("key", F.explode(entry).alias("e"))
     name, size = F.regexp_extract("e", r"<Key>([^<]*)</Key>", 1), F.regexp_extract("e", r"<Size>(\d+)</Size>", 1)
     found = parts.select("key", name.alias("name"), size.try_cast("long").alias("bytes")).where("name like '%.parquet' and bytes is not null")
-    return found.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("name")).cast("long"))
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("name", "bytes")).cast("long"))
 
 
 def segments(ranges: DataFrame) -> DataFrame:
