@@ -20,7 +20,8 @@ Cells. A tree holds at most about CELL_SETS sets; a larger one is cut to chunks
 asks for its likeliest partner that it isn't connected with yet, so a group of near copies costs its size. Where a tree's
 sets are in several components after these pairs were verified, those outside its largest component search all
 its chunks, cell by cell, for all partners in other components. Every link joins two sets of one tree, so
-components are exact; nothing is capped. Cells hold points of 512 bytes; whole sets are brought to pairs only.
+components are exact; nothing is capped. Cells hold points of 512 bytes. Whole sets are brought to pairs only, as the
+texts they come from: a set's hashes are longer than its text and can't be compressed, so they are made anew there.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing; with fewer words
 than n the whole sequence is one n-gram; equal sets are linked; rows with the same id are handled row by
@@ -255,11 +256,9 @@ def similar_components(df: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         grams, counts = gram_sets(_texts(batch), n)
         half, node = node_names(grams, counts)
-        ends, data = np.cumsum(counts) * 8, grams.astype("<u8").tobytes()
-        sets = [data[e - c * 8 : e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
         at = [x.tobytes() for x in np.minimum(points(grams, counts), 65535).astype("<u2")]
-        columns = [pa.array(half, pa.int64()), pa.array(node, pa.binary()), pa.array(counts, pa.int64()), pa.array(at, pa.binary()), pa.array(sets, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["half", "node", "n", "point", "elements"])
+        columns = [pa.array(half, pa.int64()), pa.array(node, pa.binary()), pa.array(counts, pa.int64()), pa.array(at, pa.binary()), batch.column("text").cast(pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["half", "node", "n", "point", "text"])
 
     named = materialize(map_steps(docs, "text", name, f"id {kind}, n bigint, half bigint, node binary"), "nodes")
 
@@ -274,7 +273,7 @@ def similar_components(df: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_
     sources = join_small(docs, materialize(chosen.where("id is not null").select("id").distinct(), "ids"), "id", "left_semi")
     if chosen.where("id is null").limit(1).count():
         sources = sources.union(docs.where("id is null"))
-    sets = map_steps(sources, "text", whole, "half bigint, node binary, n bigint, point binary, elements binary")
+    sets = map_steps(sources, "text", whole, "half bigint, node binary, n bigint, point binary, text binary")
     sets = materialize(sets.where("n > 0").dropDuplicates(["node"]), "sets", chosen)
 
     placed = materialize(members.join(sets.select("half", "node", "n"), "half").select("tree", "half", "node", "n"), "members", trees)
@@ -303,17 +302,17 @@ def similar_components(df: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_
         theirs = F.transform(every, lambda i: F.struct(i.alias("block"), F.col("chunk").alias("chunk")))
         cells = placed.select("tree", "node", F.col("node").alias("component"), F.col("chunk").alias("own"), F.inline(F.array_distinct(F.concat(mine, theirs))))
         cells = cells.select("tree", "block", "chunk", "node", "component", yes.alias("outer"), (F.col("own") == F.col("block")).alias("query"), (F.col("own") == F.col("chunk")).alias("stored"))
-        alike = verify(materialize(search(cells, False), "pairs"), sets, p, q)
+        alike = verify(materialize(search(cells, False), "pairs"), sets, n, p, q)
         labels = connected_components(alike)
     else:
         # the least set of a tree is in all its chunks, so that its near copies meet
         hub = F.when(F.col("half") == F.col("tree"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
         cells = placed.select("tree", F.lit(0).alias("block"), F.explode(hub).alias("chunk"), "node", F.col("node").alias("component"), *flags)
         pairs = materialize(search(cells, True), "pairs")
-        alike = verify(pairs, sets, p, q)
+        alike = verify(pairs, sets, n, p, q)
         labels = connected_components(alike)
         rest = materialize(search(outside(placed, labels), False).join(pairs, ["a", "b"], "left_anti"), "pairs", pairs)
-        more = verify(rest, sets, p, q)
+        more = verify(rest, sets, n, p, q)
         if more.limit(1).count():
             alike = alike.union(more)
             labels = connected_components(alike)
@@ -368,20 +367,21 @@ def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are alike."""
+def verify(pairs: DataFrame, sets: DataFrame, n: int, p: int, q: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are alike. sets: node, text."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in step_batches(batches, "xs"):
             keep = np.zeros(batch.num_rows, bool)
+            (x, nx), (y, ny) = (gram_sets(batch.column(c).to_pylist(), n) for c in ("xs", "ys"))
+            x, y = (np.split(grams, np.cumsum(counts)[:-1]) for grams, counts in ((x, nx), (y, ny)))
             for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in ("xs", "ys"))
-                keep[i] = overlap(x, y) >= needed(len(x), len(y), p, q)
+                keep[i] = overlap(x[i], y[i]) >= needed(len(x[i]), len(y[i]), p, q)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     whole = pairs
     for side, name in (("a", "xs"), ("b", "ys")):
-        mine = sets.select(F.col("node").alias(side), F.col("elements").alias(name))
+        mine = sets.select(F.col("node").alias(side), F.col("text").alias(name))
         asked = hot_keys(pairs, side)
         if asked is None:
             whole = whole.join(mine.hint("merge"), side)
