@@ -244,7 +244,41 @@ def tokenize(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(pieces_of(ids.astype("<u4"), counts), pa.binary())], names=["id", "n_tokens", "ids"])
 
     source = pick(df, id=id_col, text=text_col)
-    return map_steps(source, "text", step, f"id {source.schema['id'].dataType.simpleString()}, n_tokens bigint, ids binary")
+    return map_steps(source, "text", step, _tokens(source))
+
+
+def _tokens(source: DataFrame) -> str:
+    return f"id {source.schema['id'].dataType.simpleString()}, n_tokens bigint, ids binary"
+
+
+def with_counts(tokens: DataFrame, n_ids: int) -> DataFrame:
+    """``tokens`` (id, n_tokens, ids), and a row more of each task: n_tokens -1, ids how often each id occurs in the task's rows (64-bit integers)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, schema = np.zeros(n_ids, np.int64), None
+        for batch in batches:
+            schema = batch.schema
+            total += np.bincount(np.frombuffer(b"".join(x or b"" for x in batch.column("ids").to_pylist()), "<u4"), minlength=n_ids)
+            yield batch
+        if schema is not None:
+            last = [pa.nulls(1, schema.field(0).type), pa.array([-1], pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(last, names=["id", "n_tokens", "ids"])
+
+    return tokens.mapInArrow(run, _tokens(tokens))
+
+
+def summed_counts(tasks: DataFrame, n_ids: int) -> np.ndarray:
+    """The sum of the tasks' counts (ids). The driver gets one number for each id of the vocabulary."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_ids, np.int64)
+        for batch in batches:
+            for x in batch.column("ids").to_pylist():
+                total += np.frombuffer(x, "<i8")
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["token", "n"])
+
+    return _by_token(tasks.select("ids").mapInArrow(add, "token int, n bigint"), n_ids)
 
 
 # -- the operator ---------------------------------------------------------------------------------------------------
@@ -260,18 +294,22 @@ def id_counts(ids: DataFrame, n_ids: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["token", "n"])
 
-    found = ids.select("ids").mapInArrow(count, "token int, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    return _by_token(ids.select("ids").mapInArrow(count, "token int, n bigint"), n_ids)
+
+
+def _by_token(counted: DataFrame, n_ids: int) -> np.ndarray:
+    found = counted.groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(n_ids, np.int64)
     out[found["token"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return out
 
 
-def write_ids(ids: DataFrame, n_ids: int, max_bits: int = MAX_BITS, block: int = BLOCK, file_bytes: int = FILE_BYTES) -> DataFrame:
+def write_ids(ids: DataFrame, n_ids: int, max_bits: int = MAX_BITS, block: int = BLOCK, file_bytes: int = FILE_BYTES, counts: np.ndarray | None = None) -> DataFrame:
     """Files of (id, n_tokens, ids) in ascending order of id: rows (part, seq, n_docs, n_tokens, bytes).
 
-    Ids are coded before the shuffle, so it moves coded bytes only; ``ids`` is read twice (counts, then codes).
+    Ids are coded before the shuffle, so it moves coded bytes only. Without ``counts`` (of each id) ``ids`` is read once more to count.
     """
-    counts = id_counts(ids, n_ids)
+    counts = id_counts(ids, n_ids) if counts is None else counts
     lengths = code_lengths(counts, max_bits)
     packed, coded_bytes = zlib.compress(lengths.tobytes(), 9), int(counts @ lengths) // 8
     kind = ids.schema["id"].dataType.simpleString()
@@ -333,7 +371,7 @@ def file_starts(files: DataFrame) -> DataFrame:
 
 def store_tokens(df: DataFrame, tokenizer_path: str, n_ids: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenize all texts and write their ids; the files of write_ids()."""
-    ids = materialize(tokenize(df, tokenizer_path, end_id, id_col, text_col), "token-ids")
-    files = write_ids(ids, n_ids)
+    ids = materialize(with_counts(tokenize(df, tokenizer_path, end_id, id_col, text_col), n_ids), "token-ids")
+    files = write_ids(ids.where("n_tokens >= 0"), n_ids, counts=summed_counts(ids.where("n_tokens < 0"), n_ids))
     discard(ids)
     return files
