@@ -2,6 +2,7 @@
 
 A round compares a point with the samples of its own cell and the eight around it. Whatever lies outside them is farther than one
 cell, so a nearest found within a cell's size is the nearest of all; points without one go on to cells of twice the size.
+Points of one place are compared once, and so are samples: of those of one place the lowest counts.
 """
 
 from __future__ import annotations
@@ -20,6 +21,22 @@ def _celled(df: DataFrame, size: float) -> DataFrame:
     return df.withColumn("_i", F.floor(F.col("lat") / num(size))).withColumn("_j", F.floor(F.col("lon") / num(size)))
 
 
+def _places(points: DataFrame) -> DataFrame:
+    """One point for each place."""
+    return points.select("lat", "lon").distinct().select(F.struct("lat", "lon").alias("point_id"), "lat", "lon")
+
+
+def _lowest(samples: DataFrame) -> DataFrame:
+    return samples.groupBy("lat", "lon").agg(F.min(F.struct("elevationM"))["elevationM"].alias("elevationM"))
+
+
+def _at_places(points: DataFrame, found: DataFrame) -> DataFrame:
+    """point_id, elevationM, apartDeg of points by what was found at their places (point_id: the place)."""
+    there = found.select(F.col("point_id.lat").alias("_lat"), F.col("point_id.lon").alias("_lon"), "elevationM", "apartDeg")
+    joined = points.select("point_id", "lat", "lon").join(there, F.col("lat").eqNullSafe(F.col("_lat")) & F.col("lon").eqNullSafe(F.col("_lon")), "left")
+    return joined.select("point_id", "elevationM", "apartDeg")
+
+
 def one_round(points: DataFrame, samples: DataFrame, size: float) -> DataFrame:
     """points with nearest (apart, lat, lon, elevationM) among the samples of nine cells; null if there is none. Of equals the most southern, then western."""
     around = _celled(points, size).select("*", F.explode(F.array(*[F.struct((F.col("_i") + a).alias("i"), (F.col("_j") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("c"))
@@ -32,8 +49,9 @@ def one_round(points: DataFrame, samples: DataFrame, size: float) -> DataFrame:
 
 def within_tolerance(points: DataFrame, samples: DataFrame, tolerance_deg: float = CELL_DEG) -> DataFrame:
     """point_id, elevationM of the nearest sample no farther than the tolerance (in degrees on both axes); null where there is none: no data is no height."""
-    found = one_round(points.select("point_id", "lat", "lon"), samples, tolerance_deg)
-    return found.select("point_id", F.when(F.col("nearest.apart") <= tolerance_deg, F.col("nearest.elevationM")).alias("elevationM"), F.when(F.col("nearest.apart") <= tolerance_deg, F.col("nearest.apart")).alias("apartDeg"))
+    found = one_round(_places(points), _lowest(samples), tolerance_deg)
+    near = F.col("nearest.apart") <= tolerance_deg
+    return _at_places(points, found.select("point_id", F.when(near, F.col("nearest.elevationM")).alias("elevationM"), F.when(near, F.col("nearest.apart")).alias("apartDeg")))
 
 
 def nearest(points: DataFrame, samples: DataFrame, cell_deg: float) -> DataFrame:
@@ -41,7 +59,8 @@ def nearest(points: DataFrame, samples: DataFrame, cell_deg: float) -> DataFrame
 
     ``cell_deg`` should hold a handful of samples: few points then need more than a round or two.
     """
-    size, open_points, done = cell_deg, points.select("point_id", "lat", "lon"), []
+    samples = write_down(_lowest(samples), "samples")
+    size, open_points, done = cell_deg, _places(points), []
     while True:
         found = write_down(one_round(open_points, samples, size), "nearest")
         widest = size >= 720
@@ -53,4 +72,4 @@ def nearest(points: DataFrame, samples: DataFrame, cell_deg: float) -> DataFrame
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    return _at_places(points, out)
