@@ -1,26 +1,29 @@
 """How far a camera's heading and pitch are off, from its photograph's skyline against the terrain's profile - or why nothing can be said.
 
-Each level scores a table of candidates in one grouped pass: the directions of a skyline's columns, turned by a candidate, are
-joined by whole degrees to the arcs of the profile (an arc is two neighbouring bearings), and weighted sums give correlation,
-relief and misfit of each candidate. The levels are headings (at no change of pitch, by a correlation that no constant offset
-changes), then pitches (by misfit), then a small grid of both about what was found, with the exact rotation.
+Each level scores candidates: the skylines of an image and the arcs of its profile (an arc is two neighbouring bearings) meet by
+one shuffle, and weighted sums over a skyline's columns, in arrays, give correlation, relief and misfit of each candidate. The
+levels are headings (at no change of pitch, by a correlation that no constant offset changes), then pitches (by misfit), then a
+small grid of both about what was found, with the exact rotation.
 
 Tables: skyline (key, image, bearingDeg, altitudeDeg, weight, headingDeg) as skyline.observations() gives it with the camera's
 heading; columns (key, columns: how many columns a skyline has); profile (image, bearingDeg, altitudeDeg). A key is one
-alignment; several keys may share an image's profile. Rows are keyed by key (and degree), so nothing is gathered but a few
-hundred scores of each key.
+alignment; several keys may share an image's profile. A task holds one image's skylines and arcs at once, some hundred rows.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ridgeline.functions import camera as cam
-from ridgeline.functions.geodesy import angular_difference_deg, clamp, fold, num
+from ridgeline.functions.geodesy import angular_difference_deg, clamp, num
 from ridgeline.operators.visibility import profile_coverage
+from ridgeline.shipping import ship
 from ridgeline.tables import write_down
 
 # Bounds below (above, for misfit) which nothing is said, and from which on nothing is wrong.
@@ -33,10 +36,11 @@ PEAK_EXCLUSION_DEG = 2.0
 GRID, HEADING_STEPS, PITCH_STEPS = 12, 1.5, 3.0
 COMPASS_BUDGET_DEG, NEAR_FIELD_M, COMB_STEP_DEG, COMB_HALF_DEG, COMB_HEADING_STEP = 6.0, 150.0, 1.0, 0.6, 0.1
 LOWEST = float("-inf")
+_POSED = ("key", "image", "bearingDeg", "altitudeDeg", "weight", "headingDeg")
 
 
 def arcs(profile: DataFrame) -> DataFrame:
-    """image, degree, start, end, a, b: what lies between neighbouring bearings, once for each whole degree it touches; a profile's one hole has none."""
+    """image, start, end, a, b: what lies between neighbouring bearings; a profile's one hole has none."""
     order, whole = Window.partitionBy("image").orderBy("bearingDeg"), Window.partitionBy("image")
     points = profile.select("image", "bearingDeg", "altitudeDeg").dropDuplicates(["image", "bearingDeg"])
     nxt, first = F.lead("bearingDeg").over(order), F.min("bearingDeg").over(whole)
@@ -45,44 +49,79 @@ def arcs(profile: DataFrame) -> DataFrame:
         F.coalesce(F.lead("altitudeDeg").over(order), F.min_by("altitudeDeg", "bearingDeg").over(whole)).alias("b"), F.count("*").over(whole).alias("_n"),
     ).where("_n > 1").drop("_n")
     hole = profile_coverage(points.withColumnRenamed("image", "observer_id")).select(F.col("observer_id").alias("image"), "gapFromDeg")
-    kept = pairs.join(hole, "image").where(F.col("gapFromDeg").isNull() | (F.col("start") != F.col("gapFromDeg"))).drop("gapFromDeg")
-    degrees = F.transform(F.sequence(F.floor("start").cast("int"), F.floor("end").cast("int")), lambda d: F.pmod(d, F.lit(360)))
-    return kept.select("*", F.explode(F.array_distinct(degrees)).alias("degree"))
-
-
-def evaluate(turned: DataFrame, arc: DataFrame) -> DataFrame:
-    """key, k and used, score, photoReliefDeg, profileReliefDeg, residualDeg of each candidate. turned: key, image, k, bearing, altitude, weight."""
-    at = fold(F.col("bearing"))
-    joined = turned.withColumn("_at", at).withColumn("degree", F.floor(at).cast("int")).join(arc, ["image", "degree"])
-    inside = fold(F.col("_at") - F.col("start"))
-    joined = joined.withColumn("_in", inside).where(F.col("_in") < F.col("end") - F.col("start"))
-    w, o = F.col("weight"), F.col("altitude")
-    p = F.col("a") + F.col("_in") / (F.col("end") - F.col("start")) * (F.col("b") - F.col("a"))
-    sums = joined.withColumn("_p", p).groupBy("key", "k").agg(
-        F.count("*").alias("used"), F.sum(w).alias("w"), F.sum(w * o).alias("o"), F.sum(w * F.col("_p")).alias("p"), F.sum(w * o * o).alias("oo"),
-        F.sum(w * F.col("_p") * F.col("_p")).alias("pp"), F.sum(w * o * F.col("_p")).alias("op"), F.sum(w * (o - F.col("_p")) * (o - F.col("_p"))).alias("rr"),
-    ).where("w > 0 and used > 1")
-    mean = {c: F.col(c) / F.col("w") for c in ("o", "p", "oo", "pp", "op")}
-    photo, terrain = F.greatest(num(0), mean["oo"] - mean["o"] * mean["o"]), F.greatest(num(0), mean["pp"] - mean["p"] * mean["p"])
-    spread = F.sqrt(photo * terrain)
-    score = F.when(spread > 1e-12, (mean["op"] - mean["o"] * mean["p"]) / spread).otherwise(num(0))
-    return sums.select("key", "k", "used", score.alias("score"), F.sqrt(photo).alias("photoReliefDeg"), F.sqrt(terrain).alias("profileReliefDeg"), F.sqrt(F.col("rr") / F.col("w")).alias("residualDeg"))
-
-
-def with_rays(skyline: DataFrame) -> DataFrame:
-    """Skyline rows with their unit rays and the level axis across the frame: what a tilt needs, once for each row."""
-    ray = cam.direction(F.col("bearingDeg"), F.col("altitudeDeg"))
-    h = F.radians("headingDeg")
-    return skyline.withColumns({"_e": ray[0], "_n": ray[1], "_u": ray[2], "_ax": F.cos(h), "_ay": -F.sin(h)})
-
-
-def tilted(rays: DataFrame, cosine: Column, sine: Column) -> DataFrame:
-    """with_rays() rows with the bearing and altitude after a tilt about the level axis (exact rotation; a turn only adds to the bearing)."""
-    e, n, u, x, y = (F.col(f"_{c}") for c in ("e", "n", "u", "ax", "ay"))
-    along = (x * e + y * n) * (num(1) - cosine)
-    moved = e * cosine + y * u * sine + x * along, n * cosine - x * u * sine + y * along, u * cosine + (x * n - y * e) * sine
-    out = rays.withColumns({"_x": moved[0], "_y": moved[1], "_z": moved[2]})
-    return out.withColumn("bearing", F.degrees(F.atan2("_x", "_y"))).withColumn("altitude", F.degrees(F.asin(clamp(F.col("_z"), -1, 1)))).drop("_e", "_n", "_u", "_ax", "_ay", "_x", "_y", "_z")
+    return pairs.join(hole.hint("merge"), "image").where(F.col("gapFromDeg").isNull() | (F.col("start") != F.col("gapFromDeg"))).drop("gapFromDeg")
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    """geodesy.fold() of an array."""
+    turn = np.mod(x, 360.0)
+    return np.where(turn >= 360.0, 0.0, turn) + 0.0
+
+
+def fits(bearing: np.ndarray, altitude: np.ndarray, weight: np.ndarray, arc: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """used, score, photoReliefDeg, profileReliefDeg, residualDeg of each candidate (a row of bearings and altitudes); used is 0 where there is nothing to say."""
+    at = folded(bearing)
+    arc_of = np.searchsorted(arc["start"], at, side="right") - 1  # the last one goes on across north
+    start, width = arc["start"][arc_of], (arc["end"] - arc["start"])[arc_of]
+    inside = folded(at - start)
+    met = inside < width
+    with np.errstate(all="ignore"):
+        p = np.where(met, arc["a"][arc_of] + inside / width * (arc["b"] - arc["a"])[arc_of], 0.0)
+        w, o, used = np.where(met, weight, 0.0), np.where(met, altitude, 0.0), met.sum(axis=1)
+        total = w.sum(axis=1)
+        mo, mp, oo, pp, op, rr = ((w * x).sum(axis=1) / total for x in (o, p, o * o, p * p, o * p, (o - p) * (o - p)))
+        photo, terrain = np.maximum(0.0, oo - mo * mo), np.maximum(0.0, pp - mp * mp)
+        spread = np.sqrt(photo * terrain)
+        score = np.where(spread > 1e-12, (op - mo * mp) / spread, 0.0)
+    used = np.where((total > 0) & (used > 1), used, 0)
+    return {"used": used, "score": score, "photoReliefDeg": np.sqrt(photo), "profileReliefDeg": np.sqrt(terrain), "residualDeg": np.sqrt(rr)}
+
+
+def by_key(skyline: DataFrame, arc: DataFrame, run: Callable, fields: str) -> DataFrame:
+    """key and ``fields`` that ``run`` (rows of one key as arrays, arcs of its image as arrays) finds, as many rows as it gives; none without arcs.
+
+    Skylines and arcs meet by image: a few hundred rows of each, whatever the number of candidates.
+    """
+    ship(skyline.sparkSession)
+    schema = f"key {skyline.schema['key'].dataType.simpleString()}, {fields}"
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    names = [c for c in skyline.columns if c not in ("key", "image")]
+
+    def match(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return kinds.empty_table()
+        order = np.argsort(right.column("start").to_numpy(), kind="stable")
+        arcs_of = {c: right.column(c).to_numpy()[order] for c in ("start", "end", "a", "b")}
+        columns = {c: left.column(c).to_numpy() for c in names}
+        rows: dict[str, list[int]] = {}
+        for i, key in enumerate(left.column("key").to_pylist()):
+            rows.setdefault(repr(key), []).append(i)
+        out, firsts = [], []
+        for at in rows.values():
+            found = run({c: v[at] for c, v in columns.items()}, arcs_of)
+            out.append(found)
+            firsts += [at[0]] * len(next(iter(found.values())))
+        values = [pa.array(np.concatenate([x[f.name] for x in out]), f.type) for f in list(kinds)[1:]]
+        return pa.Table.from_arrays([left.column("key").take(pa.array(firsts, pa.int64())).combine_chunks().cast(kinds.field(0).type), *values], schema=kinds)
+
+    return skyline.groupBy("image").cogroup(arc.select("image", "start", "end", "a", "b").groupBy("image")).applyInArrow(match, schema)
+
+
+def tilted(rows: dict[str, np.ndarray], pitches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bearings and altitudes (a row for each pitch) after a tilt about the level axis across the frame (exact rotation; a turn only adds to the bearing)."""
+    b, a, h, t = (np.radians(x) for x in (rows["bearingDeg"], rows["altitudeDeg"], rows["headingDeg"], pitches[:, None]))
+    e, n, u = np.sin(b) * np.cos(a), np.cos(b) * np.cos(a), np.sin(a)
+    x, y, cosine, sine = np.cos(h), -np.sin(h), np.cos(t), np.sin(t)
+    along = (x * e + y * n) * (1.0 - cosine)
+    east, north, up = e * cosine + y * u * sine + x * along, n * cosine - x * u * sine + y * along, u * cosine + (x * n - y * e) * sine
+    return np.degrees(np.arctan2(east, north)), np.degrees(np.arcsin(np.clip(up, -1.0, 1.0)))
+
+
+def peak_at(left: float, centre: float, right: float) -> float:
+    """parabola() of numbers."""
+    curve = left - 2.0 * centre + right
+    at = 0.5 * (left - right) / curve if abs(curve) >= 1e-12 and np.isfinite(curve) else np.nan
+    return float(np.clip(at, -0.5, 0.5)) if np.isfinite(at) else 0.0
 
 
 def parabola(left: Column, centre: Column, right: Column) -> Column:
@@ -93,16 +132,17 @@ def parabola(left: Column, centre: Column, right: Column) -> Column:
     return F.when(finite, clamp(at, -0.5, 0.5)).otherwise(num(0))
 
 
-def candidates(skyline: DataFrame, values: list[float], name: str) -> DataFrame:
-    return skyline.select("*", F.posexplode(F.array(*map(num, values))).alias("k", name))
-
-
 def heading_scores(skyline: DataFrame, arc: DataFrame, offsets: list[float]) -> DataFrame:
     """key, k, offset, used, score of every heading offset that enough of the skyline meets the profile at."""
-    turned = candidates(skyline, offsets, "offset").withColumn("bearing", F.col("bearingDeg") + F.col("offset")).withColumn("altitude", F.col("altitudeDeg"))
-    observed = skyline.groupBy("key").agg(F.count("*").alias("n"))
-    found = evaluate(turned, arc).join(observed, "key").where(F.col("used") >= F.greatest(num(2), F.col("n") * num(MIN_USED)))
-    return found.select("key", "k", F.element_at(F.array(*map(num, offsets)), F.col("k") + 1).alias("offset"), "used", F.round("score", 9).alias("score"))
+    turns = np.array(offsets)
+
+    def run(rows: dict[str, np.ndarray], arc: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        found = fits(rows["bearingDeg"] + turns[:, None], np.broadcast_to(rows["altitudeDeg"], (len(turns), len(rows["altitudeDeg"]))), rows["weight"], arc)
+        k = np.flatnonzero(found["used"] >= max(2.0, len(rows["weight"]) * MIN_USED))
+        return {"k": k, "offset": turns[k], "used": found["used"][k], "score": found["score"][k]}
+
+    found = by_key(skyline.select("key", "image", "bearingDeg", "altitudeDeg", "weight"), arc, run, "k int, offset double, used bigint, score double")
+    return found.withColumn("score", F.round("score", 9))
 
 
 def best_heading(scores: DataFrame, offsets: list[float], step: float) -> DataFrame:
@@ -129,34 +169,43 @@ def best_heading(scores: DataFrame, offsets: list[float], step: float) -> DataFr
 
 def best_pitch(skyline: DataFrame, arc: DataFrame, headings: DataFrame, pitches: list[float], step: float) -> DataFrame:
     """key, heading, pitch: the pitch of the least misfit with the heading held."""
-    tilts = F.array(*[F.struct(num(math.cos(math.radians(p))).alias("c"), num(math.sin(math.radians(p))).alias("s")) for p in pitches])
-    posed = with_rays(skyline.join(headings.select("key", F.col("heading").alias("_h")), "key")).select("*", F.posexplode(tilts).alias("k", "tilt"))
-    posed = tilted(posed, F.col("tilt.c"), F.col("tilt.s")).withColumn("bearing", F.col("bearing") + F.col("_h"))
-    cost = evaluate(posed, arc).select("key", "k", F.round("residualDeg", 9).alias("cost"))
-    order = Window.partitionBy("key").orderBy("k")
-    near = lambda c, k: F.when(k == F.col("k") + (1 if c is F.lead else -1), c("cost").over(order)).otherwise(float("inf"))
-    cost = cost.withColumns({"left": near(F.lag, F.lag("k").over(order)), "right": near(F.lead, F.lead("k").over(order))})
-    best = cost.groupBy("key").agg(F.min(F.struct("cost", "k", "left", "right")).alias("x"))
-    at = F.col("x")
-    left, right = F.when(at["k"] == 0, at["cost"]).otherwise(at["left"]), F.when(at["k"] == len(pitches) - 1, at["cost"]).otherwise(at["right"])
-    pitch = num(pitches[0]) + at["k"] * num(step) + num(step) * parabola(left, at["cost"], right)
-    return headings.join(best, "key", "left").select("key", "heading", F.coalesce(pitch, num(0)).alias("pitch"))
+    tilts = np.array(pitches)
+
+    def run(rows: dict[str, np.ndarray], arc: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        bearing, altitude = tilted(rows, tilts)
+        found = fits(bearing + rows["_h"], altitude, rows["weight"], arc)
+        cost = np.where(found["used"] > 0, np.round(found["residualDeg"], 9), np.inf)
+        k = int(cost.argmin())
+        if not np.isfinite(cost[k]):
+            return {"pitch": np.zeros(0)}
+        left, right = cost[k - 1] if k else cost[k], cost[k + 1] if k < len(tilts) - 1 else cost[k]
+        return {"pitch": np.array([tilts[0] + k * step + step * peak_at(left, cost[k], right)])}
+
+    posed = skyline.select(*_POSED).join(headings.select("key", F.col("heading").alias("_h")).hint("merge"), "key")
+    best = by_key(posed, arc, run, "pitch double")
+    return headings.join(best.hint("merge"), "key", "left").select("key", "heading", F.coalesce("pitch", num(0)).alias("pitch"))
 
 
 def refined(skyline: DataFrame, arc: DataFrame, about: DataFrame, heading_step: float, pitch_step: float, search_pitch: bool) -> DataFrame:
     """key, heading, pitch and the fit there: the least misfit on a small grid of both about (key, heading, pitch)."""
     spans = HEADING_STEPS * heading_step, PITCH_STEPS * pitch_step if search_pitch else 0.0
-    turns, tilts = ([2 * span * i / GRID - span for i in range(n)] for span, n in ((spans[0], GRID + 1), (spans[1], GRID + 1 if search_pitch else 1)))
+    turns, tilts = (np.array([2 * span * i / GRID - span for i in range(n)]) for span, n in ((spans[0], GRID + 1), (spans[1], GRID + 1 if search_pitch else 1)))
+    measures = ["score", "photoReliefDeg", "profileReliefDeg", "residualDeg"]
+
+    def run(rows: dict[str, np.ndarray], arc: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        bearing, altitude = tilted(rows, rows["_p"][0] + tilts)
+        bearing = (bearing + rows["_h"])[None] + turns[:, None, None]
+        found = fits(bearing.reshape(-1, bearing.shape[-1]), np.tile(altitude, (len(turns), 1)), rows["weight"], arc)
+        cost = np.where(found["used"] > 0, np.round(found["residualDeg"], 9), np.inf)
+        k = int(cost.argmin())
+        one = [k] if np.isfinite(cost[k]) else []
+        moved = {"turn": turns[[i // len(tilts) for i in one]], "tilt": tilts[[i % len(tilts) for i in one]]} if one else {"turn": np.zeros(0), "tilt": np.zeros(0)}
+        return moved | {m: found[m][one] if one else found[m][:0] for m in ("used", *measures)}
+
     about = about.select("key", F.col("heading").alias("_h"), F.col("pitch").alias("_p"))
-    posed = with_rays(skyline.join(about, "key")).select("*", F.posexplode(F.array(*map(num, tilts))).alias("_j", "_dp"))
-    pitch = F.radians(F.col("_p") + F.col("_dp"))
-    posed = tilted(posed, F.cos(pitch), F.sin(pitch)).select("*", F.posexplode(F.array(*map(num, turns))).alias("_i", "_dh"))
-    posed = posed.withColumns({"k": F.col("_i") * len(tilts) + F.col("_j"), "bearing": F.col("bearing") + F.col("_h") + F.col("_dh")})
-    fits = evaluate(posed, arc)
-    best = fits.groupBy("key").agg(F.min(F.struct(F.round("residualDeg", 9).alias("cost"), "k", "used", "score", "photoReliefDeg", "profileReliefDeg", "residualDeg")).alias("x"))
-    cell = lambda values, at: F.element_at(F.array(*map(num, values)), at + 1)
-    turn, tilt = cell(turns, F.floor(F.col("x.k") / len(tilts)).cast("int")), cell(tilts, F.col("x.k") % len(tilts))
-    return about.join(best, "key", "left").select("key", (F.col("_h") + turn).alias("heading"), (F.col("_p") + tilt).alias("pitch"), "x.used", "x.score", "x.photoReliefDeg", "x.profileReliefDeg", "x.residualDeg")
+    fields = "turn double, tilt double, used bigint, " + ", ".join(f"{m} double" for m in measures)
+    best = by_key(skyline.select(*_POSED).join(about.hint("merge"), "key"), arc, run, fields)
+    return about.join(best.hint("merge"), "key", "left").select("key", (F.col("_h") + F.col("turn")).alias("heading"), (F.col("_p") + F.col("tilt")).alias("pitch"), "used", *measures)
 
 
 def ramp(x: Column, low: float, high: float) -> Column:
@@ -189,8 +238,8 @@ def align_skylines(
     tried = skyline.join(observed.where("early is null").select("key"), "key", "left_semi")
     headings = write_down(best_heading(heading_scores(tried, arc, offsets), offsets, heading_step), "headings")
     about = best_pitch(tried, arc, headings, steps(pitch_range, pitch_step), pitch_step) if search_pitch else headings.select("key", "heading", num(0).alias("pitch"))
-    fits = refined(tried, arc, about, heading_step, pitch_step, search_pitch)
-    out = observed.join(headings.drop("heading"), "key", "left").join(fits, "key", "left")
+    fit = refined(tried, arc, about, heading_step, pitch_step, search_pitch)
+    out = observed.join(headings.drop("heading"), "key", "left").join(fit, "key", "left")
     # without a fit there is nothing to measure
     out = out.withColumns({"usedFraction01": F.coalesce(F.col("used"), F.col("observed")) / total, "relief": F.least("photoReliefDeg", "profileReliefDeg")})
     reason = (
