@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,33 +94,96 @@ def rise(x: Column, ends: tuple[float, float]) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), num(0)).otherwise(clamp((x - num(low)) / num(high - low), 0, 1))
 
 
+FACTORS = ("contrast", "snr", "edge01", "evidence", "between")
+
+
+def columns_of(image: pa.Table) -> list[np.ndarray]:
+    """Rows of one image by column and row: one matrix of their places if all columns have as many rows, or one for each column."""
+    col, row = image.column("col").to_numpy(), image.column("row").to_numpy()
+    order = np.lexsort((row, col))
+    cuts = np.flatnonzero(np.diff(col[order])) + 1
+    parts = np.split(order, cuts)
+    return [order.reshape(len(parts), -1)] if len({len(x) for x in parts}) == 1 else [x[None] for x in parts]
+
+
+def shifted(x: np.ndarray, by: int) -> np.ndarray:
+    """Of each row the value ``by`` rows further down (up, if negative); 0 outside."""
+    out = np.zeros_like(x)
+    if abs(by) < x.shape[1]:
+        out[:, max(0, -by) : x.shape[1] - max(0, by)] = x[:, max(0, by) : x.shape[1] - max(0, -by)]
+    return out
+
+
+def rising(x: np.ndarray, ends: tuple[float, float]) -> np.ndarray:
+    """0 up to the first end, 1 from the second on; 0 for what is no finite number."""
+    low, high = ends
+    return np.where(np.isfinite(x), np.clip((x - low) / (high - low), 0.0, 1.0), 0.0)
+
+
+def grid_factors(value: np.ndarray, known: np.ndarray, radius: int, band: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Which rows have terrain's first row's factors (all that something known is above of), and the factors; arrays of columns times rows."""
+    guard, value = radius + 1, np.where(known, value, 0.0)
+
+    def over(x: np.ndarray, has: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Mean of the known within rows first to last from each, and whether any is."""
+        s, n = sum(shifted(x, k) for k in range(first, last + 1)), sum(shifted(has.astype(float), k) for k in range(first, last + 1))
+        return s / n, n > 0
+
+    def before(x: np.ndarray, last: int) -> np.ndarray:
+        """Sum from the first row to ``last`` rows before each."""
+        return shifted(np.cumsum(x, axis=1), -last)
+
+    with np.errstate(all="ignore"):
+        mean, known = over(value, known, -radius, radius)
+        v = np.where(known, mean, 0.0)
+        pair = known & (shifted(known.astype(float), -1) > 0)
+        rough = before(np.where(pair, np.abs(v - shifted(v, -1)), 0.0), guard + 2)
+        n0, s0, n = before(known.astype(float), 1), before(v, 1), known.sum(axis=1, keepdims=True)
+        s, q = np.cumsum(v, axis=1)[:, -1:], np.cumsum(v * v, axis=1)[:, -1:]
+        (above, has_above), (below, has_below) = over(v, known, -(guard + band), -(guard + 1)), over(v, known, guard, guard + band - 1)
+        contrast = s0 / n0 - (s - s0) / (n - n0)
+        top = n0 - guard - 1
+        clear = 1.0 - rising(np.where(top <= 1, 0.0, rough / (top - 1)), ROUGHNESS)
+        share = n0 / n
+        between = share * (1.0 - share) * contrast * contrast
+        within = np.sqrt(np.maximum(0.0, np.maximum(0.0, q / n - (s / n) * (s / n)) - between))
+        snr = np.where(within > 0, contrast / within, np.inf)
+        edge = np.where(has_above & has_below, np.clip((above - below) / np.maximum(contrast, 1e-9), 0.0, 1.0), 1.0)
+        evidence = rising(contrast, CONTRAST) * rising(snr, SNR) * edge * clear
+        step = (contrast > 0) & (clear > 0)
+    values = (contrast, np.where(snr == np.inf, SNR[1], snr), edge, evidence, between)
+    return n0 > 0, {k: np.where(step, x, 0.0) for k, x in zip(FACTORS, values, strict=True)}
+
+
 def step_factors(signal: DataFrame, height: int, radius: int = 1, band: int | None = None) -> DataFrame:
     """image, col, row, contrast, snr, edge01, evidence, between: every row of a column as the first row of terrain under sky.
 
-    All factors are window sums over one sorting of a column. They are 0 where what lies above is not brighter, or too rough for sky.
+    They are 0 where what lies above is not brighter, or too rough for sky. Images are dealt out by one shuffle; an image's
+    factors are sums over its columns in arrays.
     """
-    band, guard = band or band_rows(height), radius + 1
-    order, whole = Window.partitionBy(*COLUMN).orderBy("row"), Window.partitionBy(*COLUMN)
-    v = smooth(signal, radius).withColumn("d", F.abs(F.col("value") - F.lag("value").over(order)))
-    over = lambda f, first, last: f.over(order.rowsBetween(first, last))
-    start = Window.unboundedPreceding
-    v = v.withColumns({
-        "n0": over(F.count("value"), start, -1), "s0": F.coalesce(over(F.sum("value"), start, -1), num(0)), "rough": F.coalesce(over(F.sum("d"), start, -(guard + 2)), num(0)),
-        "above": over(F.avg("value"), -(guard + band), -(guard + 1)), "below": over(F.avg("value"), guard, guard + band - 1),
-        "n": F.count("value").over(whole), "s": F.sum("value").over(whole), "q": F.sum(F.col("value") * F.col("value")).over(whole),
-    }).where("n0 > 0")
-    contrast = F.col("s0") / F.col("n0") - (F.col("s") - F.col("s0")) / (F.col("n") - F.col("n0"))
-    top = F.col("n0") - guard - 1
-    clear = num(1) - rise(F.when(top <= 1, num(0)).otherwise(F.col("rough") / (top - 1)), ROUGHNESS)
-    v = v.withColumns({"contrast": contrast, "clear": clear, "share": F.col("n0") / F.col("n"), "spread": F.greatest(num(0), F.col("q") / F.col("n") - (F.col("s") / F.col("n")) * (F.col("s") / F.col("n")))})
-    v = v.withColumn("between", F.col("share") * (num(1) - F.col("share")) * F.col("contrast") * F.col("contrast"))
-    v = v.withColumn("within", F.sqrt(F.greatest(num(0), F.col("spread") - F.col("between"))))
-    snr = F.when(F.col("within") > 0, F.col("contrast") / F.col("within")).otherwise(float("inf"))
-    edge = F.coalesce(clamp((F.col("above") - F.col("below")) / F.greatest(F.col("contrast"), num(1e-9)), 0, 1), num(0))
-    v = v.withColumns({"snr": snr, "edge01": edge}).withColumn("evidence", rise(F.col("contrast"), CONTRAST) * rise(F.col("snr"), SNR) * F.col("edge01") * F.col("clear"))
-    step = (F.col("contrast") > 0) & (F.col("clear") > 0)
-    values = {"contrast": F.col("contrast"), "snr": F.least(F.col("snr"), F.when(F.col("snr") == float("inf"), num(SNR[1])).otherwise(F.col("snr"))), "edge01": F.col("edge01"), "evidence": F.col("evidence"), "between": F.col("between")}
-    return v.select(*COLUMN, "row", *[F.when(step, x).otherwise(num(0)).alias(k) for k, x in values.items()])
+    ship(signal.sparkSession)
+    band = band or band_rows(height)
+    kinds = {f.name: f.dataType.simpleString() for f in signal.schema}
+
+    def run(image: pa.Table) -> pa.Table:
+        value, known, places, found = *known_values(image), [], {k: [] for k in FACTORS}
+        for at in columns_of(image):
+            has, factors = grid_factors(value[at], known[at], radius, band)
+            places.append(at[has])
+            for k in FACTORS:
+                found[k].append(factors[k][has])
+        out = image.select([*COLUMN, "row"]).take(pa.array(np.concatenate(places)))
+        for k in FACTORS:
+            out = out.append_column(k, pa.array(np.concatenate(found[k])))
+        return out
+
+    schema = f"image {kinds['image']}, col {kinds['col']}, row {kinds['row']}, " + ", ".join(f"{k} double" for k in FACTORS)
+    return signal.select(*COLUMN, "row", "value").groupBy("image").applyInArrow(run, schema)
+
+
+def known_values(image: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    value = image.column("value")
+    return value.to_numpy().astype(float), value.is_valid().to_numpy()
 
 
 def choose_rows(evidence: np.ndarray, between: np.ndarray, pitch: float, radius: int) -> np.ndarray:
@@ -141,20 +205,29 @@ def read_skyline(signal: DataFrame, height: int, pitch: float = 1.0, radius: int
     column's evidence is found in one task for each image (see best_path); an image is bounded by its pixels.
     """
     ship(signal.sparkSession)
-    names = ["contrast", "snr", "edge01", "evidence"]
+    names, band = ["contrast", "snr", "edge01", "evidence"], band or band_rows(height)
     kinds = {f.name: f.dataType.simpleString() for f in signal.schema}
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["col", "row"])
-        cols = frame["col"].drop_duplicates().to_numpy()
-        values = {k: frame[k].to_numpy().reshape(len(cols), -1)[:, : height - 2] for k in [*names, "between"]}  # rows 1 to height - 2
+    def run(image: pa.Table) -> pa.Table:
+        grids = columns_of(image)
+        if len(grids) > 1:
+            raise ValueError("an image's columns differ in their rows")
+        value, known = known_values(image)
+        cols = image.select(list(COLUMN)).take(pa.array(grids[0][:, 0]))
         if height < 4:
-            return pd.DataFrame({"image": frame["image"].iloc[0], "col": cols, "row": None} | dict.fromkeys(names, 0.0))
-        row, at = choose_rows(values["evidence"], values["between"], pitch, radius + 1), np.arange(len(cols))
-        return pd.DataFrame({"image": frame["image"].iloc[0], "col": cols, "row": row + 1} | {k: values[k][at, row] for k in names})
+            row, best = pa.nulls(cols.num_rows, pa.int32()), dict.fromkeys(names, np.zeros(cols.num_rows))
+        else:
+            _, factors = grid_factors(value[grids[0]], known[grids[0]], radius, band)
+            factors = {k: x[:, 1 : height - 1] for k, x in factors.items()}  # rows 1 to height - 2
+            path, at = choose_rows(factors["evidence"], factors["between"], pitch, radius + 1), np.arange(cols.num_rows)
+            row, best = pa.array(path + 1, pa.int32()), {k: factors[k][at, path] for k in names}
+        out = cols.append_column("row", row)
+        for k in names:
+            out = out.append_column(k, pa.array(best[k]))
+        return out
 
     schema = f"image {kinds['image']}, col {kinds['col']}, row int, contrast double, snr double, edge01 double, evidence double"
-    chosen = step_factors(signal, height, radius, band).groupBy("image").applyInPandas(run, schema)
+    chosen = signal.select(*COLUMN, "row", "value").groupBy("image").applyInArrow(run, schema)
     chosen = chosen.withColumn("row", F.when(F.col("evidence") > 0, F.col("row")))
     near = F.collect_list(F.when(F.col("evidence") >= READABLE, F.struct("col", "row"))).over(Window.partitionBy("image").orderBy("col").rowsBetween(-window, window))
     chosen = chosen.withColumn("_near", near).withColumn("_near", F.sort_array(F.transform(F.filter("_near", lambda x: (x["col"] != F.col("col")) & x["row"].isNotNull()), lambda x: x["row"])))

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions import camera as c
-from ridgeline.functions.geodesy import angular_difference_deg, fold, num
+from ridgeline.functions.geodesy import fold, num
 from ridgeline.operators import alignment as al
 from ridgeline.operators import skyline as sk
 from ridgeline.plans import sqltext as s
 from ridgeline.plans.scene import r
+from ridgeline.shipping import ship
 from ridgeline.sources import views
-from ridgeline.tables import write_down
+from ridgeline.tables import spread, write_down
 
 COLS, ROWS, HFOV = 64, 48, 65.0
+#: Photographs of one task, about.
+IMAGES = 500
+#: Photographs that are exposed at once.
+AT_ONCE = 16
 #: Bell curves of a skyline: offset from its centre, width and height in degrees.
 BELLS = ((-14.0, 5.0, 3.2), (6.0, 3.0, 2.1), (21.0, 7.0, 4.0))
 BASE, PITCH = 2.0, 2.0
@@ -32,7 +42,8 @@ def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     turned, tilted = ((k * 7) % 33 - num(16)) * num(0.5), ((k * 5) % 9 - num(4)) * num(0.4)
     held = F.pmod(k * num(37), num(360))
-    return views.table(spark, sf_dir, "supplier").select(
+    suppliers = spread(views.table(spark, sf_dir, "supplier").select("s_suppkey"), IMAGES, "s_suppkey")
+    return suppliers.select(
         k.alias("image"), fold(held - turned).alias("headingDeg"), (num(PITCH) - tilted).alias("pitchDeg"), held.alias("heldDeg"), F.when(k % 5 == 1, num(0)).otherwise(num(1)).alias("amplitude"),
         num(0).alias("rollDeg"), num(HFOV).alias("hFovDeg"), c.vfov_deg(num(HFOV), num(COLS / ROWS)).alias("vFovDeg"),
     )
@@ -48,14 +59,28 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def photographs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image, col, row, value: how much each pixel looks like sky. One in five is fog."""
-    k = F.col("image")
-    at = cameras(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(0), F.lit(COLS - 1))).alias("col")).select("*", F.explode(F.sequence(F.lit(0), F.lit(ROWS - 1))).alias("row"))
-    x, y = (F.col("col") + num(0.5)) / num(COLS), (F.col("row") + num(0.5)) / num(ROWS)
-    bearing, up = c.unproject(F.col("heldDeg"), num(PITCH), num(0), F.col("hFovDeg"), F.col("vFovDeg"), x, y)
-    sky = up > altitude(angular_difference_deg(F.col("heldDeg"), bearing), F.col("amplitude"))
-    clear = F.when(sky, num(0.85) - num(0.0008) * F.col("row")).otherwise(num(0.35) + num(0.02) * ((F.col("col") * 31 + F.col("row") * 17 + k) % 7))
-    fog = num(0.6) + num(0.0005) * ((F.col("col") * 13 + F.col("row") * 7) % 5)
-    return at.select("image", "col", "row", F.when(k % 5 == 0, fog).otherwise(clear).alias("value"))
+    ship(spark)
+    at = cameras(spark, sf_dir).select("image", "amplitude", "hFovDeg", "vFovDeg")
+    kind = at.schema["image"].dataType.simpleString()
+
+    def expose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        col, row = (x.ravel() for x in np.meshgrid(np.arange(COLS, dtype=np.int32), np.arange(ROWS, dtype=np.int32), indexing="ij"))
+        p = math.radians(PITCH)
+        for batch in batches:
+            for part in (batch.slice(i, AT_ONCE) for i in range(0, batch.num_rows, AT_ONCE)):
+                k, amplitude, hfov, vfov = (part.column(c).to_numpy()[:, None] for c in range(4))
+                # bearings are told from the direction the camera is held in; its pitch is its only tilt
+                a, b = ((col + 0.5) / COLS - 0.5) * 2.0 * np.tan(np.radians(hfov) / 2.0), (0.5 - (row + 0.5) / ROWS) * 2.0 * np.tan(np.radians(vfov) / 2.0)
+                off = np.degrees(np.arctan2(a, math.cos(p) - b * math.sin(p)))
+                up = np.degrees(np.arcsin((math.sin(p) + b * math.cos(p)) / np.sqrt(1.0 + a * a + b * b)))
+                hills = sum(height * np.exp(-0.5 * ((off - at) / width) * ((off - at) / width)) for at, width, height in BELLS)
+                clear = np.where(up > BASE + amplitude * hills, 0.85 - 0.0008 * row, 0.35 + 0.02 * ((col * 31 + row * 17 + k) % 7))
+                value = np.where(k % 5 == 0, 0.6 + 0.0005 * ((col * 13 + row * 7) % 5), clear)
+                n = part.num_rows
+                columns = [part.column(0).take(pa.array(np.repeat(np.arange(n), len(col)))), pa.array(np.tile(col, n)), pa.array(np.tile(row, n)), pa.array(value.ravel())]
+                yield pa.RecordBatch.from_arrays(columns, names=["image", "col", "row", "value"])
+
+    return at.mapInArrow(expose, f"image {kind}, col int, row int, value double")
 
 
 def skyline_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
