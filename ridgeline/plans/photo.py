@@ -125,8 +125,7 @@ def directions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def heading_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The peak of each scan, between its candidates, and how far it stands above its best rival."""
-    scores = write_down(al.heading_scores(directions(spark, sf_dir), al.arcs(profiles(spark, sf_dir)), OFFSETS), "scores")
-    out = al.best_heading(scores, OFFSETS, 0.2)
+    out = al.locked_headings(directions(spark, sf_dir), profiles(spark, sf_dir), OFFSETS, 0.2)
     return out.select(F.col("key").alias("image"), r("heading", 3).alias("headingOffsetDeg"), r("peak", 6).alias("peak"), r("margin", 5).alias("margin"), "atEdge")
 
 
