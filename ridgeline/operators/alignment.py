@@ -67,7 +67,13 @@ def arcs_of(bearing: np.ndarray, altitude: np.ndarray) -> dict[str, np.ndarray]:
 
 def folded(x: np.ndarray) -> np.ndarray:
     """geodesy.fold() of an array."""
-    turn = np.mod(x, 360.0)
+    low, high = (x.min(), x.max()) if x.size else (0.0, 0.0)
+    if not (low >= -360.0 and high < 720.0):
+        turn = np.mod(x, 360.0)
+    elif low >= 0.0 and high < 360.0:  # within a turn of it sums are the same, without a division
+        return x + 0.0
+    else:
+        turn = x - 360.0 if low >= 360.0 else x + 360.0 if high < 0.0 else np.where(x < 0.0, x + 360.0, np.where(x >= 360.0, x - 360.0, x))
     return np.where(turn >= 360.0, 0.0, turn) + 0.0
 
 
@@ -75,13 +81,18 @@ def met(bearing: np.ndarray, altitude: np.ndarray, weight: np.ndarray, arc: dict
     """Weights (0 off the profile), altitudes, the profile's, how many columns meet it and their weight, of each candidate (a row of bearings and altitudes)."""
     at = folded(bearing)
     arc_of = np.searchsorted(arc["start"], at, side="right") - 1  # the last one goes on across north
-    start, width = arc["start"][arc_of], (arc["end"] - arc["start"])[arc_of]
-    inside = folded(at - start)
+    start, width, a, rise = (x.take(arc_of, mode="wrap") for x in (arc["start"], arc["end"] - arc["start"], arc["a"], arc["b"] - arc["a"]))
+    inside = at - start
+    if inside.size and inside.min() < 0.0:
+        inside = np.where(inside < 0.0, inside + 360.0, inside)
     on = inside < width
     with np.errstate(all="ignore"):
-        p = np.where(on, arc["a"][arc_of] + inside / width * (arc["b"] - arc["a"])[arc_of], 0.0)
-    w, o, used = np.where(on, weight, 0.0), np.where(on, altitude, 0.0), on.sum(axis=1)
-    total = w.sum(axis=1)
+        p = a + inside / width * rise
+    if on.all():
+        w, o, used, total = weight, altitude, np.full(len(on), on.shape[1]), np.full(len(on), weight.sum())
+    else:
+        w, o, p, used = np.where(on, weight, 0.0), np.where(on, altitude, 0.0), np.where(on, p, 0.0), on.sum(axis=1)
+        total = w.sum(axis=1)
     return w, o, p, np.where((total > 0) & (used > 1), used, 0), total
 
 
@@ -147,7 +158,7 @@ def tilted(rows: dict[str, np.ndarray], pitches: np.ndarray) -> tuple[np.ndarray
     x, y, cosine, sine = np.cos(h), -np.sin(h), np.cos(t), np.sin(t)
     along = (x * e + y * n) * (1.0 - cosine)
     east, north, up = e * cosine + y * u * sine + x * along, n * cosine - x * u * sine + y * along, u * cosine + (x * n - y * e) * sine
-    return np.degrees(np.arctan2(east, north)), np.degrees(np.arcsin(np.clip(up, -1.0, 1.0)))
+    return folded(np.degrees(np.arctan2(east, north))), np.degrees(np.arcsin(np.clip(up, -1.0, 1.0)))
 
 
 def parabola(left: np.ndarray, centre: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -6,6 +6,8 @@ columns runs in one task for each image (a signal is at most some hundred column
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -38,30 +40,34 @@ def split_scores(signal: DataFrame) -> DataFrame:
 
 
 def best_path(scores: np.ndarray, penalty: float, free: int) -> np.ndarray:
-    """Row of each column that maximises the scores less the cost of steps (exact).
+    """best_paths() of one image."""
+    return best_paths(scores[None], penalty, free)[0]
+
+
+def best_paths(scores: np.ndarray, penalty: float, free: int) -> np.ndarray:
+    """Row of each column of each image that maximises the scores (images times columns times rows) less the cost of steps (exact).
 
     A step of up to ``free`` rows costs nothing, each further row ``penalty``; no step is too long, so a cliff can be followed.
     Work is rows times columns: the best within the free window first, then what a steady cost carries up and down from there.
     """
-    n_cols, n_rows = scores.shape
-    rows, best = np.arange(n_rows), scores[0].astype(float)
-    parent = np.zeros((n_cols, n_rows), np.int64)
+    n, n_cols, n_rows = scores.shape
+    rows, best, beyond = np.arange(n_rows), scores[:, 0].astype(float), np.full((n, free), -np.inf)
+    parent = np.zeros((n_cols, n, n_rows), np.int64)
     for c in range(1, n_cols):
-        padded = np.concatenate([np.full(free, -np.inf), best, np.full(free, -np.inf)])
-        near = np.lib.stride_tricks.sliding_window_view(padded, 2 * free + 1)
-        arg = near.argmax(axis=1) + rows - free  # the first of equals
-        carried, via = best[arg], rows
+        near = np.lib.stride_tricks.sliding_window_view(np.concatenate([beyond, best, beyond], axis=1), 2 * free + 1, axis=1)
+        arg = near.argmax(axis=2) + rows - free  # the first of equals
+        carried, via = np.take_along_axis(best, arg, 1), np.broadcast_to(rows, arg.shape)
         for turn in (1, -1):  # from above, then from below
-            value = (carried + penalty * turn * rows)[::turn]
-            high = np.maximum.accumulate(value)
-            source = np.maximum.accumulate(np.where(value == high, rows, 0))  # the nearest of equals
-            carried, via = high[::turn] - penalty * turn * rows, via[::turn][source][::turn]
-        parent[c] = arg[via]
-        best = carried + scores[c]
-    path = np.zeros(n_cols, np.int64)
-    path[-1] = int(best.argmax())
+            value = (carried + penalty * turn * rows)[:, ::turn]
+            high = np.maximum.accumulate(value, axis=1)
+            source = np.maximum.accumulate(np.where(value == high, rows, 0), axis=1)  # the nearest of equals
+            carried, via = high[:, ::turn] - penalty * turn * rows, np.take_along_axis(via[:, ::turn], source, 1)[:, ::turn]
+        parent[c] = np.take_along_axis(arg, via, 1)
+        best = carried + scores[:, c]
+    path = np.zeros((n, n_cols), np.int64)
+    path[:, -1] = best.argmax(axis=1)
     for c in range(n_cols - 1, 0, -1):
-        path[c - 1] = parent[c, path[c]]
+        path[:, c - 1] = parent[c][np.arange(n), path[:, c]]
     return path
 
 
@@ -81,6 +87,8 @@ def extract_skyline(signal: DataFrame, penalty: float = 0.002, free: int = 1) ->
 # Where each factor of the evidence begins and where it is full, how rough a sky is, and what a readable column has.
 CONTRAST, SNR, ROUGHNESS = (0.04, 0.2), (1.0, 4.0), (0.002, 0.006)
 READABLE, AGREEMENT, FREE_SLOPE, SLOPE_PENALTY = 0.1, 0.12, 5.0, 1.0
+#: Pictures that are read at once.
+PICTURES = 16
 
 
 def band_rows(height: int) -> int:
@@ -187,25 +195,62 @@ def known_values(image: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def choose_rows(evidence: np.ndarray, between: np.ndarray, pitch: float, radius: int) -> np.ndarray:
-    """Row of each column: the path of most evidence, moved within the blur to where the two sides differ most."""
-    path = best_path(evidence, SLOPE_PENALTY / pitch, max(1, int(FREE_SLOPE * pitch + 0.5)))
-    cols, best, row = np.arange(len(path)), between[np.arange(len(path)), path], path.copy()
+    """Row of each column of each image: the path of most evidence, moved within the blur to where the two sides differ most."""
+    def at(x: np.ndarray, row: np.ndarray) -> np.ndarray:
+        return np.take_along_axis(x, row[..., None], 2)[..., 0]
+
+    path = best_paths(evidence, SLOPE_PENALTY / pitch, max(1, int(FREE_SLOPE * pitch + 0.5)))
+    best, row = at(between, path), path.copy()
     for offset in range(1, radius + 1):
         for other in (path - offset, path + offset):
-            there = np.clip(other, 0, evidence.shape[1] - 1)
-            better = (there == other) & (evidence[cols, there] > 0) & (between[cols, there] > best)
-            row[better], best[better] = there[better], between[cols, there][better]
+            there = np.clip(other, 0, evidence.shape[2] - 1)
+            better = (there == other) & (at(evidence, there) > 0) & (at(between, there) > best)
+            row, best = np.where(better, there, row), np.where(better, at(between, there), best)
     return row
 
 
+def agreement(row: np.ndarray, evidence: np.ndarray, height: int, window: int) -> np.ndarray:
+    """How well each column's row (below 0: none) agrees with the median of the readable ones within a window; 1 where fewer than three are or the column has none."""
+    clear = np.where((row >= 0) & (evidence >= READABLE), row, np.inf)
+    edge = np.full((len(row), window), np.inf)
+    near = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, clear, edge], axis=1), 2 * window + 1, axis=1)
+    near = np.sort(np.delete(near, window, axis=2), axis=2)
+    n = np.isfinite(near).sum(axis=2)
+    low, high = (np.take_along_axis(near, x[..., None], 2)[..., 0] for x in (np.maximum(n - 1, 0) // 2, np.minimum(n // 2, 2 * window - 1)))
+    said = (n >= 3) & (row >= 0)
+    apart = np.abs(row - np.where(said, (low + high) / 2.0, 0.0)) / float(height) / AGREEMENT
+    return np.where(said, 1.0 / (1.0 + apart * apart), 1.0)
+
+
+READ = ("xNorm", "rowNorm", "confidence01", "contrast", "snr", "edge01", "agreement01")
+
+
+def read_grids(value: np.ndarray, known: np.ndarray, cols: np.ndarray, height: int, pitch: float, radius: int, band: int, window: int) -> dict[str, np.ndarray]:
+    """READ of every column of images that have as many columns and rows as each other (arrays of images times columns times rows; cols: images times columns)."""
+    n, count, rows = value.shape
+    if height < 4:
+        row, best = np.full((n, count), -1), {k: np.zeros((n, count)) for k in FACTORS}
+    else:
+        _, factors = grid_factors(value.reshape(-1, rows), known.reshape(-1, rows), radius, band)
+        factors = {k: x.reshape(value.shape)[:, :, 1 : height - 1] for k, x in factors.items()}  # rows 1 to height - 2
+        path = choose_rows(factors["evidence"], factors["between"], pitch, radius + 1)
+        best = {k: np.take_along_axis(x, path[..., None], 2)[..., 0] for k, x in factors.items()}
+        row = np.where(best["evidence"] > 0, path + 1, -1)
+    agree = agreement(row, best["evidence"], height, window)
+    sure = np.clip(best["evidence"] * agree, 0.0, 1.0)
+    readable = (row >= 0) & (sure >= READABLE)
+    found = {"xNorm": (cols + 0.5) / count, "rowNorm": np.where(readable, (row + 0.5) / float(height), np.nan), "confidence01": np.where(readable, sure, 0.0)}
+    return {k: x.ravel() for k, x in (found | {k: best[k] for k in ("contrast", "snr", "edge01")} | {"agreement01": agree}).items()}
+
+
 def read_skyline(signal: DataFrame, height: int, pitch: float = 1.0, radius: int = 1, band: int | None = None, window: int = 16) -> DataFrame:
     """One row for each column of each image: xNorm, rowNorm (null: not readable), confidence01 and what it is made of.
 
     signal: image, col, row (both from 0), value; ``height`` rows; ``pitch``: source pixels a column stands for. The path through a
-    column's evidence is found in one task for each image (see best_path); an image is bounded by its pixels.
+    column's evidence is found in one task for each image (see best_paths); an image is bounded by its pixels.
     """
     ship(signal.sparkSession)
-    names, band = ["contrast", "snr", "edge01", "evidence"], band or band_rows(height)
+    band = band or band_rows(height)
     kinds = {f.name: f.dataType.simpleString() for f in signal.schema}
 
     def run(image: pa.Table) -> pa.Table:
@@ -213,35 +258,40 @@ def read_skyline(signal: DataFrame, height: int, pitch: float = 1.0, radius: int
         if len(grids) > 1:
             raise ValueError("an image's columns differ in their rows")
         value, known = known_values(image)
-        cols = image.select(list(COLUMN)).take(pa.array(grids[0][:, 0]))
-        if height < 4:
-            row, best = pa.nulls(cols.num_rows, pa.int32()), dict.fromkeys(names, np.zeros(cols.num_rows))
-        else:
-            _, factors = grid_factors(value[grids[0]], known[grids[0]], radius, band)
-            factors = {k: x[:, 1 : height - 1] for k, x in factors.items()}  # rows 1 to height - 2
-            path, at = choose_rows(factors["evidence"], factors["between"], pitch, radius + 1), np.arange(cols.num_rows)
-            row, best = pa.array(path + 1, pa.int32()), {k: factors[k][at, path] for k in names}
-        out = cols.append_column("row", row)
-        for k in names:
-            out = out.append_column(k, pa.array(best[k]))
+        out = image.select(list(COLUMN)).take(pa.array(grids[0][:, 0]))
+        found = read_grids(value[grids[0]][None], known[grids[0]][None], out.column("col").to_numpy()[None], height, pitch, radius, band, window)
+        for k in READ:
+            out = out.append_column(k, pa.array(found[k], from_pandas=True))
         return out
 
-    schema = f"image {kinds['image']}, col {kinds['col']}, row int, contrast double, snr double, edge01 double, evidence double"
-    chosen = signal.select(*COLUMN, "row", "value").groupBy("image").applyInArrow(run, schema)
-    chosen = chosen.withColumn("row", F.when(F.col("evidence") > 0, F.col("row")))
-    near = F.collect_list(F.when(F.col("evidence") >= READABLE, F.struct("col", "row"))).over(Window.partitionBy("image").orderBy("col").rowsBetween(-window, window))
-    chosen = chosen.withColumn("_near", near).withColumn("_near", F.sort_array(F.transform(F.filter("_near", lambda x: (x["col"] != F.col("col")) & x["row"].isNotNull()), lambda x: x["row"])))
-    n = F.size("_near")
-    median = F.when(n >= 3, (F.get("_near", F.floor((n - 1) / 2).cast("int")) + F.get("_near", F.floor(n / 2).cast("int"))) / num(2))
-    apart = F.abs(F.col("row") - median) / num(height) / num(AGREEMENT)
-    chosen = chosen.withColumn("agreement01", F.coalesce(num(1) / (num(1) + apart * apart), num(1)))
-    sure = clamp(F.col("evidence") * F.col("agreement01"), 0, 1)
-    columns = F.count("*").over(Window.partitionBy("image"))
-    readable = F.col("row").isNotNull() & (F.col("_sure") >= READABLE)
-    return chosen.withColumn("_sure", sure).select(
-        *COLUMN, ((F.col("col") + num(0.5)) / columns).alias("xNorm"), F.when(readable, (F.col("row") + num(0.5)) / num(height)).alias("rowNorm"), F.when(readable, F.col("_sure")).otherwise(num(0)).alias("confidence01"),
-        "contrast", "snr", "edge01", "agreement01",
-    )
+    schema = f"image {kinds['image']}, col {kinds['col']}, " + ", ".join(f"{k} double" for k in READ)
+    return signal.select(*COLUMN, "row", "value").groupBy("image").applyInArrow(run, schema)
+
+
+def read_pictures(pictures: DataFrame, columns: int, height: int, pitch: float = 1.0, radius: int = 1, band: int | None = None, window: int = 16) -> DataFrame:
+    """read_skyline() of pictures that are rows: value (an array, column after column, null where not known) and whatever else is to stay beside what is read.
+
+    Nothing is shuffled; a task reads PICTURES at once.
+    """
+    ship(pictures.sparkSession)
+    band, kept = band or band_rows(height), [f for f in pictures.schema if f.name != "value"]
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, PICTURES) for i in range(0, batch.num_rows, PICTURES)):
+                n, pixels = part.num_rows, part.column("value").flatten()
+                if len(pixels) != n * columns * height:
+                    raise ValueError(f"a picture has no {columns} times {height} pixels")
+                value, known = (x.reshape(n, columns, height) for x in (pixels.to_numpy(zero_copy_only=False).astype(float), pixels.is_valid().to_numpy(zero_copy_only=False)))
+                found = read_grids(value, known, np.tile(np.arange(columns), (n, 1)), height, pitch, radius, band, window)
+                each = pa.array(np.repeat(np.arange(n), columns))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c).take(each) for c in names), pa.array(np.tile(np.arange(columns, dtype=np.int32), n)), *(pa.array(found[k], from_pandas=True) for k in READ)], names=[*names, "col", *READ]
+                )
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "col int", *(f"{k} double" for k in READ)])
+    return pictures.select(*names, "value").mapInArrow(run, schema)
 
 
 def skyline_summary(columns: DataFrame) -> DataFrame:
@@ -286,13 +336,13 @@ def align(observed: DataFrame, profile: DataFrame, offsets: list[float]) -> Data
 
 
 def observations(columns: DataFrame, least: float) -> DataFrame:
-    """Readable columns of a skyline as directions: image, bearingDeg, altitudeDeg, weight.
+    """Readable columns of a skyline as directions: image, bearingDeg, altitudeDeg, weight, headingDeg.
 
     columns: image, xNorm, rowNorm (null: not readable), confidence, and the camera's headingDeg, pitchDeg, rollDeg, hFovDeg, vFovDeg.
     """
     kept = columns.where(F.col("rowNorm").isNotNull() & (F.col("confidence") >= least))
     bearing, altitude = unproject(*[F.col(c) for c in ("headingDeg", "pitchDeg", "rollDeg", "hFovDeg", "vFovDeg", "xNorm", "rowNorm")])
-    return kept.select("image", bearing.alias("bearingDeg"), altitude.alias("altitudeDeg"), F.col("confidence").alias("weight"))
+    return kept.select("image", bearing.alias("bearingDeg"), altitude.alias("altitudeDeg"), F.col("confidence").alias("weight"), "headingDeg")
 
 
 def aligned(status: Column) -> Column:

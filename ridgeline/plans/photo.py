@@ -18,7 +18,7 @@ from ridgeline.plans import sqltext as s
 from ridgeline.plans.scene import r
 from ridgeline.shipping import ship
 from ridgeline.sources import views
-from ridgeline.tables import spread, write_down
+from ridgeline.tables import spread
 
 COLS, ROWS, HFOV = 64, 48, 65.0
 #: Photographs of one task, about.
@@ -57,18 +57,19 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("image", fold(F.col("heldDeg") + d).alias("bearingDeg"), altitude(d, F.col("amplitude")).alias("altitudeDeg"), near.alias("distanceKm"))
 
 
-def photographs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image, col, row, value: how much each pixel looks like sky. One in five is fog."""
+def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cameras() with the photograph: how much each pixel looks like sky (value, column after column). One in five is fog."""
     ship(spark)
-    at = cameras(spark, sf_dir).select("image", "amplitude", "hFovDeg", "vFovDeg")
-    kind = at.schema["image"].dataType.simpleString()
+    at = cameras(spark, sf_dir)
+    names = at.columns
+    read = [names.index(c) for c in ("image", "amplitude", "hFovDeg", "vFovDeg")]
 
     def expose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         col, row = (x.ravel() for x in np.meshgrid(np.arange(COLS, dtype=np.int32), np.arange(ROWS, dtype=np.int32), indexing="ij"))
         p = math.radians(PITCH)
         for batch in batches:
             for part in (batch.slice(i, AT_ONCE) for i in range(0, batch.num_rows, AT_ONCE)):
-                k, amplitude, hfov, vfov = (part.column(c).to_numpy()[:, None] for c in range(4))
+                k, amplitude, hfov, vfov = (part.column(c).to_numpy()[:, None] for c in read)
                 # bearings are told from the direction the camera is held in; its pitch is its only tilt
                 a, b = ((col + 0.5) / COLS - 0.5) * 2.0 * np.tan(np.radians(hfov) / 2.0), (0.5 - (row + 0.5) / ROWS) * 2.0 * np.tan(np.radians(vfov) / 2.0)
                 off = np.degrees(np.arctan2(a, math.cos(p) - b * math.sin(p)))
@@ -76,11 +77,21 @@ def photographs(spark: SparkSession, sf_dir: str) -> DataFrame:
                 hills = sum(height * np.exp(-0.5 * ((off - at) / width) * ((off - at) / width)) for at, width, height in BELLS)
                 clear = np.where(up > BASE + amplitude * hills, 0.85 - 0.0008 * row, 0.35 + 0.02 * ((col * 31 + row * 17 + k) % 7))
                 value = np.where(k % 5 == 0, 0.6 + 0.0005 * ((col * 13 + row * 7) % 5), clear)
-                n = part.num_rows
-                columns = [part.column(0).take(pa.array(np.repeat(np.arange(n), len(col)))), pa.array(np.tile(col, n)), pa.array(np.tile(row, n)), pa.array(value.ravel())]
-                yield pa.RecordBatch.from_arrays(columns, names=["image", "col", "row", "value"])
+                ends = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * len(col))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, pa.array(value.ravel()))], names=[*names, "value"])
+
+    return at.mapInArrow(expose, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in at.schema), "value array<double>"]))
+
+
+def photographs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image, col, row, value: the pixels of exposures()."""
+    at = exposures(spark, sf_dir).select("image", F.posexplode("value").alias("i", "value"))
+    return at.select("image", (F.col("i") / ROWS).cast("int").alias("col"), (F.col("i") % ROWS).alias("row"), "value")
+
 
-    return at.mapInArrow(expose, f"image {kind}, col int, row int, value double")
+def skylines(spark: SparkSession, sf_dir: str, *beside: str) -> DataFrame:
+    """The skyline read off every photograph, with the named fields of its camera beside."""
+    return sk.read_pictures(exposures(spark, sf_dir).select("image", *beside, "value"), COLS, ROWS)
 
 
 def skyline_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,22 +102,20 @@ def skyline_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def photo_skylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The skyline read off every photograph: rows, confidence and what it is made of."""
-    out = sk.read_skyline(photographs(spark, sf_dir), ROWS)
+    out = skylines(spark, sf_dir)
     return out.select("image", "col", *[r(x, 5).alias(x) for x in ("xNorm", "rowNorm", "confidence01", "contrast", "snr", "edge01", "agreement01")])
 
 
 def photo_skyline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each photograph's skyline is readable."""
-    out = sk.skyline_summary(sk.read_skyline(photographs(spark, sf_dir), ROWS))
+    out = sk.skyline_summary(skylines(spark, sf_dir))
     return out.select("image", "columns", *[r(x, 5).alias(x) for x in ("coverage01", "meanConfidence01", "reliefNorm")])
 
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key, image, bearingDeg, altitudeDeg, weight, headingDeg of the readable columns, as each camera says it stands."""
-    camera = cameras(spark, sf_dir).drop("heldDeg", "amplitude")
-    read = sk.read_skyline(photographs(spark, sf_dir), ROWS).withColumnRenamed("confidence01", "confidence").join(camera, "image")
-    seen = sk.observations(read, 0.05).join(camera.select("image", "headingDeg"), "image")
-    return seen.withColumn("key", F.col("image"))
+    read = skylines(spark, sf_dir, "headingDeg", "pitchDeg", "rollDeg", "hFovDeg", "vFovDeg").withColumnRenamed("confidence01", "confidence")
+    return sk.observations(read, 0.05).withColumn("key", F.col("image"))
 
 
 def heading_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,14 +141,14 @@ def heading_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def photo_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heading and pitch of every photograph's camera recovered from its skyline, or the reason why not."""
     columns = cameras(spark, sf_dir).select(F.col("image").alias("key"), "image", F.lit(COLS).alias("columns"))
-    out = al.align_skylines(write_down(observed(spark, sf_dir), "observed"), columns, profiles(spark, sf_dir))
+    out = al.align_skylines(observed(spark, sf_dir), columns, profiles(spark, sf_dir))
     return out.select("image", "status", "reason", r("headingOffsetDeg", 2).alias("headingOffsetDeg"), r("pitchOffsetDeg", 2).alias("pitchOffsetDeg"), r("confidence01", 2).alias("confidence01"), "concerns", r("usedFraction01", 4).alias("usedFraction01"))
 
 
 def pose_trims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each photograph's skyline suggests within what a compass may be wrong by."""
     camera = cameras(spark, sf_dir).select("image", "headingDeg", "hFovDeg", F.lit(COLS).alias("columns"))
-    out = al.suggested_trims(write_down(observed(spark, sf_dir), "observed"), camera, profiles(spark, sf_dir))
+    out = al.suggested_trims(observed(spark, sf_dir), camera, profiles(spark, sf_dir))
     return out.select("image", "status", "reason", "detail", r("headingTrimDeg", 1).alias("headingTrimDeg"), r("pitchTrimDeg", 1).alias("pitchTrimDeg"))
 
 
